@@ -34,7 +34,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int)
     return per.select("known", "source", "source_size", F.when(level.isNull(), F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: int = 11, rows_per_range: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: int = 11, rows_per_range: int = 1_000) -> DataFrame:
     """The mix: doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted).
 
     Each document gets a key at random from its identity. Every source is cut into ranges of keys in proportion to its
