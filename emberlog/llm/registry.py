@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "quality", "decontaminate", "substring_dedup", "suffix_dedup", "simhash", "mixing")
+MODULES = ("licenses", "quality", "decontaminate", "substring_dedup", "suffix_dedup", "simhash", "katz", "mixing")
 
 
 def queries() -> dict:
