@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK, Rolling, chunks, mix, saved, word_hashes, words_of, LOWER
+from .common import LOWER, Rolling, chunks, mix, release, saved, word_hashes, words_of
 from .components import components
 
 U = np.uint64
@@ -97,6 +97,184 @@ def near_duplicate_components(docs: DataFrame, size: int = 3, radius: int = 2, s
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- wide fingerprints: near-duplicates at a similarity that a few bits of 64 cannot span
+
+PIECES, PIECE_BITS = 20, 32
+#: Documents with a shingle similarity (Jaccard) of 0.8 differ in 97 of 640 bits on average, with a deviation of 9.
+WIDE_LIMIT = 102
+#: Classes that one step of a task works on, and entries that a bucket of variants gathers, about.
+STEP, BUCKET_ENTRIES = 16_384, 4_000_000
+_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
+
+
+def _wide(size: int):
+    """Fingerprints of PIECES * PIECE_BITS bits: a bit is set if over half of the shingles' hashes have it."""
+    width = PIECES * PIECE_BITS // 8
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for row, end, offsets, data in chunks(b.column(2)):
+                data, rows = LOWER[data], end - row
+                starts, ends, first = words_of(offsets, data)
+                n = np.diff(first)
+                roll = Rolling(word_hashes(data, starts, ends), 0x9E3779B97F4A7C15)
+                have = np.where(n > 0, np.maximum(n - size + 1, 1), 0)  # a shorter text is one shingle
+                doc = np.repeat(np.arange(rows), have)
+                lo = np.arange(len(doc)) - (np.cumsum(have) - have)[doc] + first[:-1][doc]
+                h = roll.of(lo, np.minimum(lo + size, first[1:][doc]))
+                prints = np.zeros((rows, width), np.uint8)
+                for k in range(0, width, 8):
+                    own = mix(h ^ U((k + 1) * 0xD1B54A32D192ED03 & ((1 << 64) - 1)))
+                    for j in range(8):
+                        byte = ((own >> U(8 * j)) & U(255)).astype(np.int64)
+                        ones = np.bincount(doc * 256 + byte, minlength=rows * 256).reshape(rows, 256) @ _BITS_OF_BYTE
+                        prints[:, k + j] = np.packbits(2 * ones > have[:, None], axis=1)[:, 0]
+                out += [x.tobytes() for x in prints]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "text_key", "fp"])
+
+    return run
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
+PACKED = "piece int, bucket long, variants binary, nodes binary"
+
+
+def _balls(buckets: int, limit: int):
+    """Each piece's ball of radius one, by bucket of variants. Of the nodes of a variant in one step, those that are
+    near the smallest are linked to it here (piece null: pairs), and only the others and the smallest go on."""
+    masks = np.concatenate([[0], 1 << np.arange(PIECE_BITS)]).astype(np.uint32)
+
+    def steps(batches):
+        nodes, prints, size = [], [], 0
+        for b in batches:
+            for i in range(0, b.num_rows, STEP):
+                part = b.slice(i, STEP)
+                nodes.append(part.column(0).to_numpy())
+                prints.append(np.frombuffer(b"".join(part.column(1).to_pylist()), U).reshape(part.num_rows, -1))
+                size += part.num_rows
+                if size >= STEP:
+                    yield np.concatenate(nodes), np.concatenate(prints)
+                    nodes, prints, size = [], [], 0
+        if size:
+            yield np.concatenate(nodes), np.concatenate(prints)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for node, fp in steps(batches):
+            order = np.argsort(node, kind="stable")
+            node, fp = node[order], np.ascontiguousarray(fp[order])
+            words, out = fp.view(np.uint32), []
+            for piece in range(PIECES):
+                variant = (words[:, piece][:, None] ^ masks[None, :]).ravel()
+                by = np.argsort(variant, kind="stable")  # within a variant in the order of nodes
+                variant, at = variant[by], by // len(masks)
+                head = np.flatnonzero(np.append(True, variant[1:] != variant[:-1]))
+                least = at[head][np.repeat(np.arange(len(head)), np.diff(np.append(head, len(at))))]
+                other = np.flatnonzero(least != at)
+                pairs, inverse = np.unique(least[other] * len(node) + at[other], return_inverse=True)
+                a, b = pairs // len(node), pairs % len(node)
+                near = np.concatenate([_distance(fp[a[i : i + STEP]], fp[b[i : i + STEP]]) <= limit for i in range(0, len(a), STEP)]) if len(a) else np.zeros(0, bool)
+                if near.any():
+                    out.append((None, None, node[a[near]].tobytes(), node[b[near]].tobytes()))
+                stay = np.ones(len(at), bool)
+                stay[other[near[inverse]]] = False
+                variant, own = variant[stay], node[at[stay]]
+                bucket = (variant.astype(np.int64) * buckets) >> 32
+                edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(own)]):
+                    out.append((piece, int(bucket[i]), variant[i:j].tobytes(), own[i:j].tobytes()))
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["piece", "bucket", "variants", "nodes"])
+
+    return run
+
+
+def _meet(key, table):
+    """Pairs to verify: each node of a variant with the smallest, and with the one before it."""
+    import pyarrow as pa
+
+    variant = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("variants")])
+    node = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("nodes")])
+    order = np.lexsort((node, variant))
+    variant, node = variant[order], node[order]
+    new = np.append(True, variant[1:] != variant[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    at = np.flatnonzero(~new)
+    a, b = np.concatenate([node[first[at]], node[at - 1]]), np.tile(node[at], 2)
+    a, b = a[a < b], b[a < b]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = np.ones(len(a), bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.table([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+
+def _unpacked(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        for x, y in zip(*(b.column(i).to_pylist() for i in (0, 1))):
+            yield pa.record_batch([pa.array(np.frombuffer(v, np.int64)) for v in (x, y)], names=["a", "b"])
+
+
+def _verified(limit: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), U).reshape(b.num_rows, -1) for i in (2, 3))
+            near = np.flatnonzero(_distance(x, y) <= limit) if b.num_rows else []
+            yield pa.record_batch([b.column(i).take(pa.array(near, pa.int64())) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, limit: int = WIDE_LIMIT) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) that stay if of each group of near-duplicates one stays.
+
+    Documents with word shingles (size words, A-Z lower-cased) of similarity 0.8 or more have wide fingerprints that
+    differ in few bits of each piece. Every piece emits its ball of radius one; pieces within two bits meet at a
+    variant. Pairs that meet are verified on the whole fingerprint, and what is linked directly or through others is
+    a group, of which the smallest doc_id stays (rows without one come last; then by a hash of the text). At a
+    similarity of exactly 0.8 about 93 of 100 pairs meet, at 0.85 99.
+
+    Equal fingerprints are one node. Texts without words (null, empty) are one group; shorter texts than size words
+    are one shingle. Rows that repeat doc_id and text count as one; different texts with one doc_id are taken for the
+    same document. Columns of other names stay as they are. An empty table gives no rows.
+    """
+    key, ident = F.xxhash64("text"), F.col("doc_id").cast("long")
+    slim = docs.select(ident.alias("doc_id"), key.alias("text_key"), "text")
+    fps = saved(slim.mapInArrow(_wide(size), "doc_id long, text_key long, fp binary"), "wide-fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
+    classes = fps.groupBy("fp").agg(best).select(F.coalesce("best.doc_id", F.xxhash64("fp")).alias("node"), "fp", "best")
+    classes = saved(classes, "wide-classes")
+    buckets = max(4, classes.count() * (PIECE_BITS + 1) // BUCKET_ENTRIES)
+    packed = saved(classes.select("node", "fp").mapInArrow(_balls(buckets, limit), PACKED), "wide-balls")
+    local = packed.where("piece is null").select("variants", "nodes").mapInArrow(_unpacked, "a long, b long")
+    met = packed.where("piece is not null").groupBy("piece", "bucket").applyInArrow(_meet, "a long, b long").distinct()
+    sides = [classes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab"]
+    found = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", "fp_a", "fp_b").mapInArrow(_verified(limit), "a long, b long")
+    links = saved(local.unionByName(found), "wide-links")
+    release(packed)
+    roots = components(links)
+    named = classes.join(roots, "node", "left").select(F.coalesce("component", "node").alias("component"), "best")
+    stay = named.groupBy("component").agg(F.min("best").alias("best")).select("best.doc_id", "best.text_key")
+    stay = saved(stay.distinct(), "wide-stay")
+    own, hashed = "__doc_key", "__text_key"
+    rows = docs.withColumn(own, F.coalesce(ident, F.lit(-1 << 63))).withColumn(hashed, key)
+    stay = stay.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias(own), F.col("text_key").alias(hashed))
+    once = Window.partitionBy(own, hashed).orderBy(own)
+    kept = rows.join(stay, [own, hashed], "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    return kept.select(*docs.columns)
+
+
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_duplicate_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
