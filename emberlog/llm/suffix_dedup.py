@@ -245,6 +245,27 @@ def dedup_suffixes(docs: DataFrame, size: int = 50, whole_chars: bool = False) -
     return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(whole_chars), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def _cut_texts(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        *columns, spans = b.columns
+        k = b.schema.get_field_index("text")
+        texts = pa.record_batch([pa.nulls(b.num_rows), b.column(k), spans], names=["doc_id", "text", "spans"])
+        kept = next(_cut(True)([texts])).column(4).cast(pa.string())
+        columns[k] = pa.array([t.as_py() if own.is_valid else None for own, t in zip(b.column(k), kept)], pa.string())
+        yield pa.record_batch(columns, names=b.schema.names[:-1])
+
+
+def drop_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
+    """docs with what dedup_suffixes removes cut from text, in whole characters; all rows and other columns stay. A null
+    text stays null."""
+    own, key = "__doc", F.col("doc_id").cast("long")
+    spans = shared_spans(docs.select(key.alias("doc_id"), "text"), _anchors(size), _passages(size), "suffix")
+    rows = docs.withColumn(own, key).join(spans.select(F.col("doc_id").alias(own), F.col("spans").alias("__spans")), own, "left").drop(own)
+    return rows.mapInArrow(_cut_texts, docs.schema)
+
+
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_suffixes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
