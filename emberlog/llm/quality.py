@@ -116,7 +116,7 @@ def _collected(batches):
             yield pa.record_batch([pa.array(grade[row:end].astype(np.int32)), pa.ListArray.from_arrays(cuts, index.astype(np.int32)), pa.ListArray.from_arrays(cuts, value.astype(np.float32))], names=["grade", "index", "value"])
 
 
-def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample_bound: int = 16_000, l2: float = 10.0) -> OrdinalModel:
+def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample_bound: int = 8_000, l2: float = 10.0) -> OrdinalModel:
     """The model from ratings (doc_id, grade from 0 to grades - 1). It is fitted on the driver on a sample of about
     sample_bound rated documents at most, whatever the size of the corpus. Without any rating all weights are 0 and
     every grade is as likely."""

@@ -103,7 +103,7 @@ PIECES, PIECE_BITS = 20, 32
 #: Documents with a shingle similarity (Jaccard) of 0.8 differ in 97 of 640 bits on average, with a deviation of 9.
 WIDE_LIMIT = 102
 #: Classes that one step of a task works on, and entries that a bucket of variants gathers, about.
-STEP, BUCKET_ENTRIES = 16_384, 4_000_000
+STEP, BUCKET_ENTRIES = 8_192, 1_000_000
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
@@ -170,8 +170,9 @@ def _balls(buckets: int, limit: int):
         for node, fp in steps(batches):
             order = np.argsort(node, kind="stable")
             node, fp = node[order], np.ascontiguousarray(fp[order])
-            words, out = fp.view(np.uint32), []
+            words = fp.view(np.uint32)
             for piece in range(PIECES):
+                out = []
                 variant = (words[:, piece][:, None] ^ masks[None, :]).ravel()
                 by = np.argsort(variant, kind="stable")  # within a variant in the order of nodes
                 variant, at = variant[by], by // len(masks)
@@ -190,8 +191,8 @@ def _balls(buckets: int, limit: int):
                 edge = np.flatnonzero(np.diff(bucket, prepend=-1))
                 for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(own)]):
                     out.append((piece, int(bucket[i]), variant[i:j].tobytes(), own[i:j].tobytes()))
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["piece", "bucket", "variants", "nodes"])
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["piece", "bucket", "variants", "nodes"])
 
     return run
 
