@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, chunks, mix, release, saved, word_hashes, words_of
+from .common import LOWER, Rolling, chunks, mix, saved, word_hashes, words_of
 from .components import components
 
 U = np.uint64
@@ -145,9 +145,9 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 PACKED = "piece int, bucket long, variants binary, nodes binary"
 
 
-def _balls(buckets: int, limit: int):
+def _balls(buckets: int, limit: int, links: bool):
     """Each piece's ball of radius one, by bucket of variants. Of the nodes of a variant in one step, those that are
-    near the smallest are linked to it here (piece null: pairs), and only the others and the smallest go on."""
+    near the smallest are linked to it, and only the others and the smallest go on. links: the former; else the latter."""
     masks = np.concatenate([[0], 1 << np.arange(PIECE_BITS)]).astype(np.uint32)
 
     def steps(batches):
@@ -172,7 +172,6 @@ def _balls(buckets: int, limit: int):
             node, fp = node[order], np.ascontiguousarray(fp[order])
             words = fp.view(np.uint32)
             for piece in range(PIECES):
-                out = []
                 variant = (words[:, piece][:, None] ^ masks[None, :]).ravel()
                 by = np.argsort(variant, kind="stable")  # within a variant in the order of nodes
                 variant, at = variant[by], by // len(masks)
@@ -182,15 +181,15 @@ def _balls(buckets: int, limit: int):
                 pairs, inverse = np.unique(least[other] * len(node) + at[other], return_inverse=True)
                 a, b = pairs // len(node), pairs % len(node)
                 near = np.concatenate([_distance(fp[a[i : i + STEP]], fp[b[i : i + STEP]]) <= limit for i in range(0, len(a), STEP)]) if len(a) else np.zeros(0, bool)
-                if near.any():
-                    out.append((None, None, node[a[near]].tobytes(), node[b[near]].tobytes()))
+                if links:
+                    yield pa.record_batch([pa.array(node[x[near]]) for x in (a, b)], names=["a", "b"])
+                    continue
                 stay = np.ones(len(at), bool)
                 stay[other[near[inverse]]] = False
                 variant, own = variant[stay], node[at[stay]]
                 bucket = (variant.astype(np.int64) * buckets) >> 32
                 edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(own)]):
-                    out.append((piece, int(bucket[i]), variant[i:j].tobytes(), own[i:j].tobytes()))
+                out = [(piece, int(bucket[i]), variant[i:j].tobytes(), own[i:j].tobytes()) for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(own)])]
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["piece", "bucket", "variants", "nodes"])
 
@@ -217,14 +216,6 @@ def _meet(key, table):
     return pa.table([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
-def _unpacked(batches):
-    import pyarrow as pa
-
-    for b in batches:
-        for x, y in zip(*(b.column(i).to_pylist() for i in (0, 1))):
-            yield pa.record_batch([pa.array(np.frombuffer(v, np.int64)) for v in (x, y)], names=["a", "b"])
-
-
 def _verified(limit: int):
     def run(batches):
         import pyarrow as pa
@@ -257,13 +248,13 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, limit: int = WIDE_LIMIT
     classes = fps.groupBy("fp").agg(best).select(F.coalesce("best.doc_id", F.xxhash64("fp")).alias("node"), "fp", "best")
     classes = saved(classes, "wide-classes")
     buckets = max(4, classes.count() * (PIECE_BITS + 1) // BUCKET_ENTRIES)
-    packed = saved(classes.select("node", "fp").mapInArrow(_balls(buckets, limit), PACKED), "wide-balls")
-    local = packed.where("piece is null").select("variants", "nodes").mapInArrow(_unpacked, "a long, b long")
-    met = packed.where("piece is not null").groupBy("piece", "bucket").applyInArrow(_meet, "a long, b long").distinct()
+    slim = classes.select("node", "fp")
+    local = slim.mapInArrow(_balls(buckets, limit, True), "a long, b long").distinct()
+    packed = slim.mapInArrow(_balls(buckets, limit, False), PACKED)
+    met = packed.groupBy("piece", "bucket").applyInArrow(_meet, "a long, b long").distinct()
     sides = [classes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab"]
     found = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", "fp_a", "fp_b").mapInArrow(_verified(limit), "a long, b long")
     links = saved(local.unionByName(found), "wide-links")
-    release(packed)
     roots = components(links)
     named = classes.join(roots, "node", "left").select(F.coalesce("component", "node").alias("component"), "best")
     stay = named.groupBy("component").agg(F.min("best").alias("best")).select("best.doc_id", "best.text_key")
