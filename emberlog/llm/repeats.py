@@ -50,6 +50,25 @@ def rows_out(anchor, seg, doc, lo, hi):
         yield batch(mix(gd.view(U)).view(np.int64), np.zeros(len(gd), np.int64), gd, glo.astype(np.int32), ghi.astype(np.int32), done=True)
 
 
+def rows_met(anchor, doc, lo, hi):
+    """Record batches of ROWS to find out which rows' anchors are in several documents: rows of which that is certain
+    here are done, and of their anchors one row each goes on for others' sake."""
+    import pyarrow as pa
+
+    order = np.lexsort((doc, anchor))
+    a, d = anchor[order], doc[order]
+    head = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    last = np.append(head[1:], len(a)) - 1
+    many = np.repeat(d[head] < d[last], last - head + 1)
+    gd, glo, ghi = merged(d[many], lo[order][many], hi[order][many])
+    on = ~many
+    on[head] = True
+    one = order[on]
+    for h, k, i, j, done in ((a[on], d[on], lo[one], hi[one], False), (mix(gd.view(U)), gd, glo, ghi, True)):
+        columns = (h.view(np.int64), np.zeros(len(h), np.int64), k, i.astype(np.int32), j.astype(np.int32), np.full(len(h), done))
+        yield pa.record_batch([pa.array(c) for c in columns], names=["anchor", "seg", "doc_id", "lo", "hi", "done"])
+
+
 def merged(doc, lo, hi):
     """The union of spans by document, as maximal spans in order."""
     order = np.lexsort((lo, doc))
@@ -64,11 +83,12 @@ def merged(doc, lo, hi):
     return doc[at], lo[at], np.maximum.reduceat(reach, at) if len(at) else reach
 
 
-def shared_spans(docs: DataFrame, anchors, passages, name: str) -> DataFrame:
+def shared_spans(docs: DataFrame, anchors, passages, name: str, refine=None) -> DataFrame:
     """The spans to remove of each document that has any: doc_id, spans array<struct<lo, hi>>; they may overlap.
 
     docs: doc_id, text. anchors(batches) and passages(batches) are for mapInArrow and give ROWS; passages gets doc_id,
-    text, spans and gives a row for each passage inside the spans.
+    text, spans and gives a row for each passage inside the spans. refine, if given, gets the same and gives rows whose
+    lo..hi hold all passages that can be in several documents, by longer anchors: spans whose anchors are not go.
     """
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = docs.mapInArrow(anchors, ROWS)
@@ -80,6 +100,11 @@ def shared_spans(docs: DataFrame, anchors, passages, name: str) -> DataFrame:
     found = saved(rows.where(~first | (F.col("seg1") < F.col("seg2"))).select("doc_id", "lo", "hi", first.alias("open")), f"{name}-segments")
 
     open_ = found.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    if refine:
+        rows = docs.join(open_, "doc_id").select("doc_id", "text", "spans").mapInArrow(refine, ROWS)
+        rows = rows.withColumn("least", F.min("doc_id").over(by)).withColumn("most", F.max("doc_id").over(by)).where("done or least < most")
+        near = saved(rows.select("doc_id", "lo", "hi"), f"{name}-refined")
+        open_ = near.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     part = docs.join(open_, "doc_id").select("doc_id", "text", "spans").mapInArrow(passages, ROWS)
     part = part.withColumn("owner", F.min("doc_id").over(Window.partitionBy("anchor", "seg"))).where("done or doc_id > owner")
     every = found.where("not open").select("doc_id", "lo", "hi").unionByName(part.select("doc_id", "lo", "hi"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, chunks, eights, mix
-from .repeats import rows_out, shared_spans, span_arrays, union
+from .repeats import rows_met, rows_out, shared_spans, span_arrays, union
 
 #: Bytes of an anchor; every passage holds the smallest of its anchors by hash.
 GRAM = 24
@@ -84,6 +84,35 @@ def _anchors(size: int):
     return run
 
 
+def _refine(size: int):
+    """Rows for an anchor with half of what a passage has beside it: a passage holds the half to the left or the right."""
+    half = (size - GRAM) // 2
+    grown = GRAM + half
+
+    def run(batches):
+        for b in batches:
+            at, raw = buffers(b.column(1))
+            raw = np.concatenate([raw[: at[-1]], np.zeros(64, np.uint8)])
+            at8, ids, parts = eights(raw), b.column(0).to_numpy(), []
+            for k in range(b.num_rows):
+                begin, n = int(at[k]), int(at[k + 1] - at[k])
+                lo, hi = span_arrays(b.column(2), k)
+                a = np.where(hi < n, hi - size, lo + size - GRAM)
+                unsure = (hi >= n) & (lo == 0)  # a short document: its segment stays whole
+                left, right = np.flatnonzero(~unsure & (a - half >= lo)), np.flatnonzero(~unsure & (a + grown <= hi))
+                h = [_run_hash(at8, begin + a[left] - half, grown, 9), _run_hash(at8, begin + a[right], grown, 11)]
+                for rows, own, i, j in ((left, h[0], lo[left], a[left] - half + size), (right, h[1], a[right] - half, hi[right])):
+                    parts.append((own, np.full(len(rows), ids[k]), np.maximum(i, lo[rows]), np.minimum(j, hi[rows])))
+                whole = np.flatnonzero(unsure)
+                for d in (ids[k], ids[k] - 1) if len(whole) else ():  # two documents for an anchor that is its own
+                    own = mix(np.array([ids[k]], np.int64).view(U) + U(1))
+                    parts.append((own, np.array([d]), lo[whole[:1]], hi[whole[:1]] if d == ids[k] else lo[whole[:1]]))
+            if parts:
+                yield from rows_met(*map(np.concatenate, zip(*parts)))
+
+    return run
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions of text (small non-negative numbers) in the order of their suffixes, compared up to depth at least.
 
@@ -241,7 +270,7 @@ def dedup_suffixes(docs: DataFrame, size: int = 50, whole_chars: bool = False) -
     if size < GRAM + 8:
         raise ValueError(f"size must be at least {GRAM + 8}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = shared_spans(docs, _anchors(size), _passages(size), "suffix")
+    spans = shared_spans(docs, _anchors(size), _passages(size), "suffix", _refine(size))
     return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(whole_chars), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -261,7 +290,7 @@ def drop_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """docs with what dedup_suffixes removes cut from text, in whole characters; all rows and other columns stay. A null
     text stays null."""
     own, key = "__doc", F.col("doc_id").cast("long")
-    spans = shared_spans(docs.select(key.alias("doc_id"), "text"), _anchors(size), _passages(size), "suffix")
+    spans = shared_spans(docs.select(key.alias("doc_id"), "text"), _anchors(size), _passages(size), "suffix", _refine(size))
     rows = docs.withColumn(own, key).join(spans.select(F.col("doc_id").alias(own), F.col("spans").alias("__spans")), own, "left").drop(own)
     return rows.mapInArrow(_cut_texts, docs.schema)
 
