@@ -197,7 +197,7 @@ def _balls(buckets: int, limit: int, links: bool):
 
 
 def _meet(key, table):
-    """Pairs to verify: each node of a variant with the smallest, and with the one before it."""
+    """Pairs to verify: each node of a variant with the smallest."""
     import pyarrow as pa
 
     variant = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("variants")])
@@ -207,7 +207,7 @@ def _meet(key, table):
     new = np.append(True, variant[1:] != variant[:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     at = np.flatnonzero(~new)
-    a, b = np.concatenate([node[first[at]], node[at - 1]]), np.tile(node[at], 2)
+    a, b = node[first[at]], node[at]
     a, b = a[a < b], b[a < b]
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
