@@ -61,6 +61,7 @@ def _passages(size: int):
                 for k in range(row, end):
                     begin, n = int(first[k - row]), int(first[k - row + 1] - first[k - row])
                     lo, hi = span_arrays(spans, k)
+                    hi = np.minimum(hi, n)  # of another row of this doc_id
                     lo, hi = lo[hi - lo >= size], hi[hi - lo >= size]
                     starts = np.zeros(n + 1, np.int64)
                     np.add.at(starts, lo, 1)

@@ -97,6 +97,7 @@ def _refine(size: int):
             for k in range(b.num_rows):
                 begin, n = int(at[k]), int(at[k + 1] - at[k])
                 lo, hi = span_arrays(b.column(2), k)
+                lo, hi = lo[hi <= n], hi[hi <= n]  # longer ones are of another row of this doc_id
                 a = np.where(hi < n, hi - size, lo + size - GRAM)
                 unsure = (hi >= n) & (lo == 0)  # a short document: its segment stays whole
                 left, right = np.flatnonzero(~unsure & (a - half >= lo)), np.flatnonzero(~unsure & (a + grown <= hi))
