@@ -5,7 +5,7 @@ operators pick anchors so that two equal passages always share one, and then wor
 
     anchor, seg   hashes of the anchor and of the whole segment around it that passages with this anchor can reach
     doc_id        the document
-    lo, hi        the segment in units of the document
+    lo, n         the segment in units of the document: its start and length
     done          a task found the segment in a smaller document of its own rows; lo..hi is removed
 
 Documents that share an anchor meet by its hash. A segment that equals one of a smaller document is removed whole; of
@@ -22,51 +22,64 @@ from pyspark.sql import functions as F
 
 from .common import mix, saved
 
-ROWS = "anchor long, seg long, doc_id long, lo int, hi int, done boolean"
+ROWS = "anchor long, seg long, doc_id long, lo int, n int, done boolean"
+#: Rows that a task settles at a time, and rows of a batch that it hands on.
+SETTLED, HANDED = 1_000_000, 100_000
 U = np.uint64
 
 
+def batches_of(anchor, seg, doc, lo, hi, done):
+    """Record batches of ROWS, small ones: the JVM holds each whole."""
+    import pyarrow as pa
+
+    for i in range(0, len(anchor), HANDED):
+        part = slice(i, i + HANDED)
+        n = (hi[part] - lo[part]).astype(np.int32)
+        columns = (anchor[part].view(np.int64), seg[part].view(np.int64), doc[part], lo[part].astype(np.int32), n, np.full(len(n), done))
+        yield pa.record_batch([pa.array(c) for c in columns], names=["anchor", "seg", "doc_id", "lo", "n", "done"])
+
+
+def joined(parts):
+    """The concatenated columns of parts, which is emptied."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    parts.clear()
+    return columns
+
+
 def rows_out(anchor, seg, doc, lo, hi):
     """Record batches of ROWS, after rows that repeat a segment of a smaller document here have been settled.
 
     That keeps groups of copies from being shuffled anchor by anchor: what they repeat becomes few merged spans.
     """
-    import pyarrow as pa
-
-    def batch(*columns, done):
-        return pa.record_batch([pa.array(c) for c in columns] + [pa.array(np.full(len(columns[0]), done))], names=["anchor", "seg", "doc_id", "lo", "hi", "done"])
-
     if not len(anchor):
         return
     order = np.lexsort((doc, seg, anchor))
-    a, s, d = anchor[order], seg[order], doc[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-    least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-    keep, gone = order[d == least], order[d > least]
-    yield batch(anchor[keep].view(np.int64), seg[keep].view(np.int64), doc[keep], lo[keep].astype(np.int32), hi[keep].astype(np.int32), done=False)
-    if len(gone):
-        gd, glo, ghi = merged(doc[gone], lo[gone], hi[gone])
-        yield batch(mix(gd.view(U)).view(np.int64), np.zeros(len(gd), np.int64), gd, glo.astype(np.int32), ghi.astype(np.int32), done=True)
+    anchor, seg, doc, lo, hi = (c[order] for c in (anchor, seg, doc, lo, hi))
+    new = np.ones(len(anchor), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])
+    keep = doc == doc[np.flatnonzero(new)][np.cumsum(new, dtype=np.int32) - 1]
+    del order, new
+    gone = merged(doc[~keep], lo[~keep], hi[~keep])
+    anchor, seg, doc, lo, hi = (c[keep] for c in (anchor, seg, doc, lo, hi))
+    yield from batches_of(anchor, seg, doc, lo, hi, False)
+    doc, lo, hi = gone
+    yield from batches_of(mix(doc.view(U)), np.zeros(len(doc), U), doc, lo, hi, True)
 
 
 def rows_met(anchor, doc, lo, hi):
     """Record batches of ROWS to find out which rows' anchors are in several documents: rows of which that is certain
     here are done, and of their anchors one row each goes on for others' sake."""
-    import pyarrow as pa
-
     order = np.lexsort((doc, anchor))
-    a, d = anchor[order], doc[order]
-    head = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-    last = np.append(head[1:], len(a)) - 1
-    many = np.repeat(d[head] < d[last], last - head + 1)
-    gd, glo, ghi = merged(d[many], lo[order][many], hi[order][many])
+    anchor, doc, lo, hi = (c[order] for c in (anchor, doc, lo, hi))
+    head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)])
+    last = np.append(head[1:], len(anchor)) - 1
+    many = np.repeat(doc[head] < doc[last], last - head + 1)
+    gone = merged(doc[many], lo[many], hi[many])
     on = ~many
     on[head] = True
-    one = order[on]
-    for h, k, i, j, done in ((a[on], d[on], lo[one], hi[one], False), (mix(gd.view(U)), gd, glo, ghi, True)):
-        columns = (h.view(np.int64), np.zeros(len(h), np.int64), k, i.astype(np.int32), j.astype(np.int32), np.full(len(h), done))
-        yield pa.record_batch([pa.array(c) for c in columns], names=["anchor", "seg", "doc_id", "lo", "hi", "done"])
+    yield from batches_of(anchor[on], np.zeros(int(on.sum()), U), doc[on], lo[on], hi[on], False)
+    doc, lo, hi = gone
+    yield from batches_of(mix(doc.view(U)), np.zeros(len(doc), U), doc, lo, hi, True)
 
 
 def merged(doc, lo, hi):
@@ -92,22 +105,22 @@ def shared_spans(docs: DataFrame, anchors, passages, name: str, refine=None) ->
     """
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = docs.mapInArrow(anchors, ROWS)
-    by = Window.partitionBy("anchor")
+    by, end = Window.partitionBy("anchor"), (F.col("lo") + F.col("n")).alias("hi")
     rows = rows.withColumn("least", F.min("doc_id").over(by)).withColumn("most", F.max("doc_id").over(by))
     rows = rows.withColumn("seg1", F.min("seg").over(by)).withColumn("seg2", F.max("seg").over(by)).where("done or least < most")
     rows = rows.withColumn("owner", F.min("doc_id").over(Window.partitionBy("anchor", "seg")))
     first = ~F.col("done") & (F.col("doc_id") == F.col("owner"))
-    found = saved(rows.where(~first | (F.col("seg1") < F.col("seg2"))).select("doc_id", "lo", "hi", first.alias("open")), f"{name}-segments")
+    found = saved(rows.where(~first | (F.col("seg1") < F.col("seg2"))).select("doc_id", "lo", end, first.alias("open")), f"{name}-segments")
 
     open_ = found.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     if refine:
         rows = docs.join(open_, "doc_id").select("doc_id", "text", "spans").mapInArrow(refine, ROWS)
         rows = rows.withColumn("least", F.min("doc_id").over(by)).withColumn("most", F.max("doc_id").over(by)).where("done or least < most")
-        near = saved(rows.select("doc_id", "lo", "hi"), f"{name}-refined")
+        near = saved(rows.select("doc_id", "lo", end), f"{name}-refined")
         open_ = near.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     part = docs.join(open_, "doc_id").select("doc_id", "text", "spans").mapInArrow(passages, ROWS)
     part = part.withColumn("owner", F.min("doc_id").over(Window.partitionBy("anchor", "seg"))).where("done or doc_id > owner")
-    every = found.where("not open").select("doc_id", "lo", "hi").unionByName(part.select("doc_id", "lo", "hi"))
+    every = found.where("not open").select("doc_id", "lo", "hi").unionByName(part.select("doc_id", "lo", end))
     # a document's spans are at most as many as its units
     return every.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 

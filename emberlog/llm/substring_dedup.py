@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, chunks, mix, word_hashes, words_of
-from .repeats import rows_out, shared_spans, span_arrays, union
+from .repeats import SETTLED, joined, rows_out, shared_spans, span_arrays, union
 
 #: A perfect difference set modulo 31 (fixed values): each residue but 0 is the difference of exactly one pair.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -45,8 +45,10 @@ def _anchors(size: int):
                 lo, hi = np.maximum(p - PERIOD + 1, 0), np.minimum(p + size, n[d])
                 seg = far.of(at - (p - lo), at + (hi - p)) ^ mix(((p - lo) * 4096 + hi - p).astype(U))
                 parts.append((near.of(at, at + length), seg, ids[row + d], lo, hi))
+                if sum(len(x[0]) for x in parts) > SETTLED:
+                    yield from rows_out(*joined(parts))
             if parts:
-                yield from rows_out(*map(np.concatenate, zip(*parts)))
+                yield from rows_out(*joined(parts))
 
     return run
 
@@ -69,8 +71,10 @@ def _passages(size: int):
                     p = np.flatnonzero(np.cumsum(starts)[:n])
                     at = begin + p
                     parts.append((near.of(at, at + size), far.of(at, at + size), np.full(len(p), ids[k]), p, p + size))
+                if sum(len(x[0]) for x in parts) > SETTLED:
+                    yield from rows_out(*joined(parts))
             if parts:
-                yield from rows_out(*map(np.concatenate, zip(*parts)))
+                yield from rows_out(*joined(parts))
 
     return run
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, chunks, eights, mix
-from .repeats import rows_met, rows_out, shared_spans, span_arrays, union
+from .repeats import SETTLED, joined, rows_met, rows_out, shared_spans, span_arrays, union
 
 #: Bytes of an anchor; every passage holds the smallest of its anchors by hash.
 GRAM = 24
@@ -77,9 +77,11 @@ def _anchors(size: int):
                 for s in np.unique(shape):
                     k = rest[shape == s]
                     seg[k] = _run_hash(at8, lo[k], int(hi[k[0]] - lo[k[0]]), 77) ^ mix(np.array([s], U))[0]
-                parts.append((anchor, seg, ids[row + d], lo - begin, hi - begin))
+                parts.append((anchor, seg, ids[row + d], (lo - begin).astype(np.int32), (hi - begin).astype(np.int32)))
+                if sum(len(x[0]) for x in parts) > SETTLED:
+                    yield from rows_out(*joined(parts))
             if parts:
-                yield from rows_out(*map(np.concatenate, zip(*parts)))
+                yield from rows_out(*joined(parts))
 
     return run
 
@@ -93,7 +95,7 @@ def _refine(size: int):
         for b in batches:
             at, raw = buffers(b.column(1))
             raw = np.concatenate([raw[: at[-1]], np.zeros(64, np.uint8)])
-            at8, ids, parts = eights(raw), b.column(0).to_numpy(), []
+            at8, ids, parts, held = eights(raw), b.column(0).to_numpy(), [], 0
             for k in range(b.num_rows):
                 begin, n = int(at[k]), int(at[k + 1] - at[k])
                 lo, hi = span_arrays(b.column(2), k)
@@ -108,8 +110,12 @@ def _refine(size: int):
                 for d in (ids[k], ids[k] - 1) if len(whole) else ():  # two documents for an anchor that is its own
                     own = mix(np.array([ids[k]], np.int64).view(U) + U(1))
                     parts.append((own, np.array([d]), lo[whole[:1]], hi[whole[:1]] if d == ids[k] else lo[whole[:1]]))
+                held += len(lo)
+                if held > SETTLED // 2:  # a segment gives two rows
+                    yield from rows_met(*joined(parts))
+                    held = 0
             if parts:
-                yield from rows_met(*map(np.concatenate, zip(*parts)))
+                yield from rows_met(*joined(parts))
 
     return run
 
@@ -226,8 +232,10 @@ def _passages(size: int):
                 if held > (1 << 20) or (k == b.num_rows - 1 and pieces):
                     parts.append(block(pieces, np.array(owners), np.array(begins)))
                     pieces, owners, begins, held = [], [], [], 0
+                if sum(len(x[0]) for x in parts) > SETTLED:
+                    yield from rows_out(*joined(parts))
             if parts:
-                yield from rows_out(*map(np.concatenate, zip(*parts)))
+                yield from rows_out(*joined(parts))
 
     return run
 
