@@ -3,15 +3,16 @@
 A passage is a run of `size` units (words or bytes) that also starts in a document with a smaller doc_id. Both
 operators pick anchors so that two equal passages always share one, and then work on these rows:
 
-    anchor, seg   hashes of the anchor and of the whole segment around it that passages with this anchor can reach
+    anchor        a hash of the anchor
+    seg           a hash of the whole segment around it that passages with this anchor can reach; 0 if a task found the
+                  segment in a smaller document of its own rows: it is removed
     doc_id        the document
-    lo, n         the segment in units of the document: its start and length
-    done          a task found the segment in a smaller document of its own rows; lo..hi is removed
+    place         the segment in units of the document: its start, in the upper bits, and its length
 
 Documents that share an anchor meet by its hash. A segment that equals one of a smaller document is removed whole; of
 equal segments only the smallest document's goes on. If an anchor has several different segments, what they share is
-less than a segment, and their passages are compared one by one. Anchor and segment are two independent 64-bit
-hashes, so segments count as equal by 128 bits.
+less than a segment, and their passages are compared one by one. Anchor and segment are independent hashes of 64 and 31
+bits, so segments count as equal by 95 bits. Rows are narrow because there are more of them than of anything else.
 """
 
 from __future__ import annotations
@@ -22,21 +23,23 @@ from pyspark.sql import functions as F
 
 from .common import mix, saved
 
-ROWS = "anchor long, seg long, doc_id long, lo int, n int, done boolean"
+ROWS = "anchor long, seg int, doc_id long, place long"
+LENGTH_BITS = 31
 #: Rows that a task settles at a time, and rows of a batch that it hands on.
 SETTLED, HANDED = 1_000_000, 100_000
 U = np.uint64
 
 
 def batches_of(anchor, seg, doc, lo, hi, done):
-    """Record batches of ROWS, small ones: the JVM holds each whole."""
+    """Record batches of ROWS, small ones: the JVM holds each whole. seg: 64-bit hashes."""
     import pyarrow as pa
 
     for i in range(0, len(anchor), HANDED):
         part = slice(i, i + HANDED)
-        n = (hi[part] - lo[part]).astype(np.int32)
-        columns = (anchor[part].view(np.int64), seg[part].view(np.int64), doc[part], lo[part].astype(np.int32), n, np.full(len(n), done))
-        yield pa.record_batch([pa.array(c) for c in columns], names=["anchor", "seg", "doc_id", "lo", "n", "done"])
+        short = np.zeros(len(doc[part]), np.int32) if done else ((seg[part] >> U(33)) + U(1)).astype(np.int32)
+        place = (lo[part].astype(np.int64) << LENGTH_BITS) + (hi[part] - lo[part])
+        columns = (anchor[part].view(np.int64), short, doc[part], place)
+        yield pa.record_batch([pa.array(c) for c in columns], names=["anchor", "seg", "doc_id", "place"])
 
 
 def joined(parts):
@@ -105,22 +108,24 @@ def shared_spans(docs: DataFrame, anchors, passages, name: str, refine=None) ->
     """
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = docs.mapInArrow(anchors, ROWS)
-    by, end = Window.partitionBy("anchor"), (F.col("lo") + F.col("n")).alias("hi")
+    by, done = Window.partitionBy("anchor"), F.col("seg") == 0
+    lo = F.shiftright("place", LENGTH_BITS).cast("int")
+    span = lo.alias("lo"), (lo + F.col("place").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int")).alias("hi")
     rows = rows.withColumn("least", F.min("doc_id").over(by)).withColumn("most", F.max("doc_id").over(by))
-    rows = rows.withColumn("seg1", F.min("seg").over(by)).withColumn("seg2", F.max("seg").over(by)).where("done or least < most")
+    rows = rows.withColumn("seg1", F.min("seg").over(by)).withColumn("seg2", F.max("seg").over(by)).where(done | (F.col("least") < F.col("most")))
     rows = rows.withColumn("owner", F.min("doc_id").over(Window.partitionBy("anchor", "seg")))
-    first = ~F.col("done") & (F.col("doc_id") == F.col("owner"))
-    found = saved(rows.where(~first | (F.col("seg1") < F.col("seg2"))).select("doc_id", "lo", end, first.alias("open")), f"{name}-segments")
+    first = ~done & (F.col("doc_id") == F.col("owner"))
+    found = saved(rows.where(~first | (F.col("seg1") < F.col("seg2"))).select("doc_id", *span, first.alias("open")), f"{name}-segments")
 
     open_ = found.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     if refine:
         rows = docs.join(open_, "doc_id").select("doc_id", "text", "spans").mapInArrow(refine, ROWS)
-        rows = rows.withColumn("least", F.min("doc_id").over(by)).withColumn("most", F.max("doc_id").over(by)).where("done or least < most")
-        near = saved(rows.select("doc_id", "lo", end), f"{name}-refined")
+        rows = rows.withColumn("least", F.min("doc_id").over(by)).withColumn("most", F.max("doc_id").over(by)).where(done | (F.col("least") < F.col("most")))
+        near = saved(rows.select("doc_id", *span), f"{name}-refined")
         open_ = near.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     part = docs.join(open_, "doc_id").select("doc_id", "text", "spans").mapInArrow(passages, ROWS)
-    part = part.withColumn("owner", F.min("doc_id").over(Window.partitionBy("anchor", "seg"))).where("done or doc_id > owner")
-    every = found.where("not open").select("doc_id", "lo", "hi").unionByName(part.select("doc_id", "lo", end))
+    part = part.withColumn("owner", F.min("doc_id").over(Window.partitionBy("anchor", "seg"))).where(done | (F.col("doc_id") > F.col("owner")))
+    every = found.where("not open").select("doc_id", "lo", "hi").unionByName(part.select("doc_id", *span))
     # a document's spans are at most as many as its units
     return every.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
