@@ -103,8 +103,9 @@ def shared_spans(docs: DataFrame, anchors, passages, name: str, refine=None) ->
     """The spans to remove of each document that has any: doc_id, spans array<struct<lo, hi>>; they may overlap.
 
     docs: doc_id, text. anchors(batches) and passages(batches) are for mapInArrow and give ROWS; passages gets doc_id,
-    text, spans and gives a row for each passage inside the spans. refine, if given, gets the same and gives rows whose
-    lo..hi hold all passages that can be in several documents, by longer anchors: spans whose anchors are not go.
+    text, spans and gives a row for each passage inside the spans. refine, if given, gives rows whose lo..hi hold all
+    passages that can be in several documents, by longer anchors: spans whose anchors are not go. refine and then also
+    passages get PIECES: of each text the bytes in open spans only, so that whole texts move once.
     """
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = docs.mapInArrow(anchors, ROWS)
@@ -119,17 +120,49 @@ def shared_spans(docs: DataFrame, anchors, passages, name: str, refine=None) ->
 
     open_ = found.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     if refine:
-        rows = docs.join(open_, "doc_id").select("doc_id", "text", "spans").mapInArrow(refine, ROWS)
+        cut = docs.join(open_, "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(pieces, PIECES)
+        cut = saved(cut, f"{name}-pieces")
+        rows = cut.mapInArrow(refine, ROWS)
         rows = rows.withColumn("least", F.min("doc_id").over(by)).withColumn("most", F.max("doc_id").over(by)).where(done | (F.col("least") < F.col("most")))
         near = saved(rows.select("doc_id", *span), f"{name}-refined")
         open_ = near.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    part = docs.join(open_, "doc_id").select("doc_id", "text", "spans").mapInArrow(passages, ROWS)
+        docs = cut.drop("spans")
+    part = docs.join(open_, "doc_id").select("doc_id", "text", "spans", *[c for c in ("total", "starts", "cuts") if refine]).mapInArrow(passages, ROWS)
     part = part.withColumn("owner", F.min("doc_id").over(Window.partitionBy("anchor", "seg"))).where(done | (F.col("doc_id") > F.col("owner")))
     every = found.where("not open").select("doc_id", "lo", "hi").unionByName(part.select("doc_id", *span))
     # a document's spans are at most as many as its units
     return every.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
+PIECES = "doc_id long, text binary, spans array<struct<lo: int, hi: int>>, total int, starts array<int>, cuts array<int>"
+
+
+def pieces(batches):
+    """Of each text the bytes that its spans cover, as one string; starts: of its runs in the text, cuts: in the string;
+    total: bytes of the text."""
+    import pyarrow as pa
+
+    for b in batches:
+        bodies, totals, starts, cuts = [], [], [], []
+        for k in range(b.num_rows):
+            raw = b.column(1)[k].as_py()
+            lo, hi = union(*span_arrays(b.column(2), k), len(raw))
+            bodies.append(b"".join([raw[i:j] for i, j in zip(lo.tolist(), hi.tolist())]))
+            totals.append(len(raw))
+            starts.append(lo.astype(np.int32))
+            cuts.append((np.cumsum(hi - lo) - (hi - lo)).astype(np.int32))
+        lists = [pa.array(x, pa.list_(pa.int32())) for x in (starts, cuts)]
+        yield pa.record_batch([b.column(0), pa.array(bodies, pa.binary()), b.column(2), pa.array(totals, pa.int32()), *lists], names=["doc_id", "text", "spans", "total", "starts", "cuts"])
+
+
+def shifts(starts, cuts, lo: np.ndarray) -> np.ndarray:
+    """What to add to the positions lo of a text to have them in its pieces; starts, cuts: a row's Arrow lists."""
+    s, c = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (starts, cuts))
+    if not len(s):
+        return np.zeros(len(lo), np.int64)
+    return (c - s)[np.maximum(np.searchsorted(s, lo, "right") - 1, 0)]
+
+
 def span_arrays(column, row: int):
     """lo and hi of one row of an Arrow column array<struct<lo, hi>>; empty where null."""
     if not column[row].is_valid:

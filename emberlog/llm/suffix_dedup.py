@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, chunks, eights, mix
-from .repeats import SETTLED, joined, rows_met, rows_out, shared_spans, span_arrays, union
+from .repeats import SETTLED, joined, rows_met, rows_out, shared_spans, shifts, span_arrays, union
 
 #: Bytes of an anchor; every passage holds the smallest of its anchors by hash.
 GRAM = 24
@@ -97,13 +97,14 @@ def _refine(size: int):
             raw = np.concatenate([raw[: at[-1]], np.zeros(64, np.uint8)])
             at8, ids, parts, held = eights(raw), b.column(0).to_numpy(), [], 0
             for k in range(b.num_rows):
-                begin, n = int(at[k]), int(at[k + 1] - at[k])
+                n = b.column(3)[k].as_py()
                 lo, hi = span_arrays(b.column(2), k)
                 lo, hi = lo[hi <= n], hi[hi <= n]  # longer ones are of another row of this doc_id
+                begin = int(at[k]) + shifts(b.column(4)[k], b.column(5)[k], lo)
                 a = np.where(hi < n, hi - size, lo + size - GRAM)
                 unsure = (hi >= n) & (lo == 0)  # a short document: its segment stays whole
                 left, right = np.flatnonzero(~unsure & (a - half >= lo)), np.flatnonzero(~unsure & (a + grown <= hi))
-                h = [_run_hash(at8, begin + a[left] - half, grown, 9), _run_hash(at8, begin + a[right], grown, 11)]
+                h = [_run_hash(at8, begin[left] + a[left] - half, grown, 9), _run_hash(at8, begin[right] + a[right], grown, 11)]
                 for rows, own, i, j in ((left, h[0], lo[left], a[left] - half + size), (right, h[1], a[right] - half, hi[right])):
                     parts.append((own, np.full(len(rows), ids[k]), np.maximum(i, lo[rows]), np.minimum(j, hi[rows])))
                 whole = np.flatnonzero(unsure)
@@ -222,10 +223,11 @@ def _passages(size: int):
             pieces, owners, begins, held = [], [], [], 0
             for k in range(b.num_rows):
                 lo, hi = span_arrays(b.column(2), k)
-                lo, hi = union(lo, hi, int(at[k + 1] - at[k]))
-                for i, j in zip(lo.tolist(), hi.tolist()):
+                lo, hi = union(lo, hi, b.column(3)[k].as_py())
+                begin = int(at[k]) + shifts(b.column(4)[k], b.column(5)[k], lo)
+                for i, j, s in zip(lo.tolist(), hi.tolist(), begin.tolist()):
                     if j - i >= size:
-                        pieces.append(raw[at[k] + i : at[k] + j])
+                        pieces.append(raw[s + i : s + j])
                         owners.append(ids[k])
                         begins.append(i)
                         held += j - i
