@@ -131,7 +131,7 @@ def shared_spans(docs: DataFrame, anchors, passages, name: str, refine=None) ->
     part = part.withColumn("owner", F.min("doc_id").over(Window.partitionBy("anchor", "seg"))).where(done | (F.col("doc_id") > F.col("owner")))
     every = found.where("not open").select("doc_id", "lo", "hi").unionByName(part.select("doc_id", *span))
     # a document's spans are at most as many as its units
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return saved(every.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), f"{name}-spans")
 
 
 PIECES = "doc_id long, text binary, spans array<struct<lo: int, hi: int>>, total int, starts array<int>, cuts array<int>"
