@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import xxhash
@@ -102,8 +103,9 @@ def near_duplicate_components(docs: DataFrame, size: int = 3, radius: int = 2, s
 PIECES, PIECE_BITS = 20, 32
 #: Documents with a shingle similarity (Jaccard) of 0.8 differ in 97 of 640 bits on average, with a deviation of 9.
 WIDE_LIMIT = 102
-#: Classes that one step of a task works on, and entries that a bucket of variants gathers, about.
-STEP, BUCKET_ENTRIES = 8_192, 1_000_000
+#: Classes that one step of a task works on, variants that a bucket gathers, about, nodes of a block of a hot bucket,
+#: pieces whose buckets are dealt at a time, and nodes of a variant whose pairs are all compared.
+STEP, BUCKET_ENTRIES, BUCKET_NODES, ROUND, CROWD = 8_192, 1_000_000, 50_000, 5, 16
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
@@ -142,98 +144,160 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
-PACKED = "piece int, bucket long, variants binary, nodes binary"
+def _steps(batches):
+    """Nodes and fingerprints of about STEP classes at a time."""
+    nodes, prints, size = [], [], 0
+    for b in batches:
+        for i in range(0, b.num_rows, STEP):
+            part = b.slice(i, STEP)
+            nodes.append(part.column(0).to_numpy())
+            prints.append(np.frombuffer(b"".join(part.column(1).to_pylist()), U).reshape(part.num_rows, -1))
+            size += part.num_rows
+            if size >= STEP:
+                yield np.concatenate(nodes), np.concatenate(prints)
+                nodes, prints, size = [], [], 0
+    if size:
+        yield np.concatenate(nodes), np.concatenate(prints)
 
 
-def _balls(buckets: int, limit: int, links: bool):
-    """Each piece's ball of radius one, by bucket of variants. Of the nodes of a variant in one step, those that are
-    near the smallest are linked to it, and only the others and the smallest go on. links: the former; else the latter."""
-    masks = np.concatenate([[0], 1 << np.arange(PIECE_BITS)]).astype(np.uint32)
+PACKED = "piece int, bucket long, i int, j int, n long, nodes binary, prints binary"
 
-    def steps(batches):
-        nodes, prints, size = [], [], 0
-        for b in batches:
-            for i in range(0, b.num_rows, STEP):
-                part = b.slice(i, STEP)
-                nodes.append(part.column(0).to_numpy())
-                prints.append(np.frombuffer(b"".join(part.column(1).to_pylist()), U).reshape(part.num_rows, -1))
-                size += part.num_rows
-                if size >= STEP:
-                    yield np.concatenate(nodes), np.concatenate(prints)
-                    nodes, prints, size = [], [], 0
-        if size:
-            yield np.concatenate(nodes), np.concatenate(prints)
+
+def _balls(pieces: range, high: int, blocks: dict[tuple[int, int], int] | None):
+    """Each node with its fingerprint, once for every bucket that has variants of its piece: a bucket is the variants
+    with the same first high bits, so these are its own and one for each of those bits. A bucket of several blocks gets
+    its nodes as pairs (i, j) of blocks. blocks None: numbers of nodes only."""
+    flips = np.concatenate([[0], 1 << np.arange(high)]).astype(np.int64)
 
     def run(batches):
         import pyarrow as pa
 
-        for node, fp in steps(batches):
-            order = np.argsort(node, kind="stable")
-            node, fp = node[order], np.ascontiguousarray(fp[order])
-            words = fp.view(np.uint32)
-            for piece in range(PIECES):
-                variant = (words[:, piece][:, None] ^ masks[None, :]).ravel()
-                by = np.argsort(variant, kind="stable")  # within a variant in the order of nodes
-                variant, at = variant[by], by // len(masks)
-                head = np.flatnonzero(np.append(True, variant[1:] != variant[:-1]))
-                least = at[head][np.repeat(np.arange(len(head)), np.diff(np.append(head, len(at))))]
-                other = np.flatnonzero(least != at)
-                pairs, inverse = np.unique(least[other] * len(node) + at[other], return_inverse=True)
-                a, b = pairs // len(node), pairs % len(node)
-                near = np.concatenate([_distance(fp[a[i : i + STEP]], fp[b[i : i + STEP]]) <= limit for i in range(0, len(a), STEP)]) if len(a) else np.zeros(0, bool)
-                if links:
-                    yield pa.record_batch([pa.array(node[x[near]]) for x in (a, b)], names=["a", "b"])
-                    continue
-                stay = np.ones(len(at), bool)
-                stay[other[near[inverse]]] = False
-                variant, own = variant[stay], node[at[stay]]
-                bucket = (variant.astype(np.int64) * buckets) >> 32
-                edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-                out = [(piece, int(bucket[i]), variant[i:j].tobytes(), own[i:j].tobytes()) for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(own)])]
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["piece", "bucket", "variants", "nodes"])
+        for node, fp in _steps(batches):
+            words = np.ascontiguousarray(fp).view(np.uint32)
+            for piece in pieces:
+                bucket = ((words[:, piece].astype(np.int64) >> (PIECE_BITS - high))[:, None] ^ flips[None, :]).ravel()
+                by = np.argsort(bucket, kind="stable")
+                bucket, at, out = bucket[by], by // len(flips), []
+                edge = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+                for lo, hi in zip(edge, [*edge[1:], len(at)]):
+                    k, own = int(bucket[lo]), at[lo:hi]
+                    if blocks is None:
+                        out.append((piece, k, 0, 0, len(own), b"", b""))
+                        continue
+                    n = blocks.get((piece, k), 1)
+                    block = (mix(node[own].view(U)) % U(n)).astype(np.int64)
+                    for x in range(n):
+                        part = own[block == x] if n > 1 else own
+                        packed = (len(part), node[part].tobytes(), fp[part].tobytes())
+                        out += [(piece, k, min(x, y), max(x, y), *packed) for y in range(n) if (x != y or n == 1) and len(part)]
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[f.split()[0] for f in PACKED.split(", ")])
 
     return run
 
 
-def _meet(key, table):
-    """Pairs to verify: each node of a variant with the smallest."""
-    import pyarrow as pa
+def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest that it reaches by links (a, b)."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[a], least[b])
+        now = least.copy()
+        for side in (a, b, least[a], least[b]):
+            np.minimum.at(now, side, low)
+        now = now[now]
+        if (now == least).all():
+            return least
+        least = now
+
+
+def near_pairs(variant: np.ndarray, at: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between places of fp that reach what all pairs of one variant within limit bits reach. Variants of few
+    places have all pairs compared; in others, a place is compared with all that it does not reach yet."""
+    order = np.lexsort((at, variant))
+    variant, at = variant[order], at[order]
+    head = np.flatnonzero(np.append(True, variant[1:] != variant[:-1])) if len(at) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(at)))
+    few = np.repeat(size <= CROWD, size)
+    links_a, links_b = [], []
+    keys = []
+    for d in range(1, CROWD):
+        i = np.flatnonzero(few[:-d] & (variant[d:] == variant[:-d]))
+        if not len(i):
+            break
+        keys.append(np.unique(at[i] * len(fp) + at[i + d]))
+    pairs = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    for k in range(0, len(pairs), STEP):
+        a, b = np.divmod(pairs[k : k + STEP], len(fp))
+        near = _distance(fp[a], fp[b]) <= limit
+        links_a.append(a[near])
+        links_b.append(b[near])
+    crowds = [at[i : i + n] for i, n in zip(head[size > CROWD].tolist(), size[size > CROWD].tolist())]
+    if crowds:
+        members = np.unique(np.concatenate(crowds))
+        label = np.arange(len(members))
+        for crowd in crowds:
+            own = np.searchsorted(members, crowd)
+            for k in range(len(own) - 1):
+                if k % 64 == 0 and (label[own] == label[own[0]]).all():
+                    break
+                other = own[k + 1 :][label[own[k + 1 :]] != label[own[k]]]
+                if not len(other):
+                    continue
+                hit = other[_distance(fp[members[own[k]]][None, :], fp[members[other]]) <= limit]
+                if len(hit):
+                    links_a.append(np.full(len(hit), members[own[k]]))
+                    links_b.append(members[hit])
+                    label[np.isin(label, label[hit])] = label[own[k]]
+    return (np.concatenate(links_a), np.concatenate(links_b)) if links_a else (np.zeros(0, np.int64),) * 2
 
-    variant = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("variants")])
-    node = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("nodes")])
-    order = np.lexsort((node, variant))
-    variant, node = variant[order], node[order]
-    new = np.append(True, variant[1:] != variant[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    at = np.flatnonzero(~new)
-    a, b = node[first[at]], node[at]
-    a, b = a[a < b], b[a < b]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    keep = np.ones(len(a), bool)
-    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.table([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
+def _meet(high: int, limit: int):
+    """Links of a bucket's nodes that reach what its pairs within limit bits reach: each node with the smallest."""
+    masks = np.concatenate([[0], 1 << np.arange(PIECE_BITS)]).astype(np.uint32)
 
-def _verified(limit: int):
-    def run(batches):
+    def run(key, table):
         import pyarrow as pa
 
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), U).reshape(b.num_rows, -1) for i in (2, 3))
-            near = np.flatnonzero(_distance(x, y) <= limit) if b.num_rows else []
-            yield pa.record_batch([b.column(i).take(pa.array(near, pa.int64())) for i in (0, 1)], names=["a", "b"])
+        node = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("nodes")])
+        fp = np.concatenate([np.frombuffer(x.as_py(), U).reshape(-1, PIECES * PIECE_BITS // 64) for x in table.column("prints")])
+        order = np.argsort(node, kind="stable")
+        node, fp = node[order], fp[order]
+        own = fp.view(np.uint32)[:, key[0].as_py()]
+        variants, ats = [], []
+        for m in masks:
+            v = own ^ m
+            mine = np.flatnonzero(v.astype(np.int64) >> (PIECE_BITS - high) == key[1].as_py())
+            variants.append(v[mine])
+            ats.append(mine)
+        a, b = near_pairs(np.concatenate(variants), np.concatenate(ats), fp, limit)
+        least = _stars(len(node), a, b)
+        far = np.flatnonzero(least != np.arange(len(node)))
+        return pa.table([pa.array(node[least[far]]), pa.array(node[far])], names=["a", "b"])
 
     return run
 
 
+def wide_links(classes: DataFrame, limit: int, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
+    """Links (a, b) between nodes (node, fp) that reach what all pairs reach that are within two bits in a piece and
+    within limit bits on the whole. No pair is a row: each bucket of variants compares its nodes within its task."""
+    slim = classes.select("node", "fp")
+    high = max(2, ceil(log2(max(1, slim.count()) * 33 / BUCKET_ENTRIES + 1)))
+    sizes = slim.mapInArrow(_balls(range(PIECES), high, None), PACKED).groupBy("piece", "bucket").agg(F.sum("n").alias("n"))
+    over = {(r.piece, r.bucket): 1 + ceil(r.n / bucket_nodes) for r in sizes.where(F.col("n") > 2 * bucket_nodes).collect()}  # hot buckets only
+    links = None
+    for k in range(0, PIECES, ROUND):  # some pieces at a time: fingerprints of all of them would fill the disks
+        sent = slim.mapInArrow(_balls(range(k, min(k + ROUND, PIECES)), high, over), PACKED)
+        found = saved(sent.groupBy("piece", "bucket", "i", "j").applyInArrow(_meet(high, limit), "a long, b long").distinct(), "wide-links")
+        links = found if links is None else links.unionByName(found)
+    return links.distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 5, limit: int = WIDE_LIMIT) -> DataFrame:
     """The rows of docs (doc_id, text and any others) that stay if of each group of near-duplicates one stays.
 
     Documents with word shingles (size words, A-Z lower-cased) of similarity 0.8 or more have wide fingerprints that
-    differ in few bits of each piece. Every piece emits its ball of radius one; pieces within two bits meet at a
-    variant. Pairs that meet are verified on the whole fingerprint, and what is linked directly or through others is
+    differ in few bits of each piece. Every piece has its ball of radius one; pieces within two bits meet at a
+    variant. All that meet are compared on the whole fingerprint, and what is linked directly or through others is
     a group, of which the smallest doc_id stays (rows without one come last; then by a hash of the text). At a
     similarity of exactly 0.8 about 93 of 100 pairs meet, at 0.85 99.
 
@@ -247,14 +311,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, limit: int = WIDE_LIMIT
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
     classes = fps.groupBy("fp").agg(best).select(F.coalesce("best.doc_id", F.xxhash64("fp")).alias("node"), "fp", "best")
     classes = saved(classes, "wide-classes")
-    buckets = max(4, classes.count() * (PIECE_BITS + 1) // BUCKET_ENTRIES)
-    slim = classes.select("node", "fp")
-    local = slim.mapInArrow(_balls(buckets, limit, True), "a long, b long").distinct()
-    packed = slim.mapInArrow(_balls(buckets, limit, False), PACKED)
-    met = packed.groupBy("piece", "bucket").applyInArrow(_meet, "a long, b long").distinct()
-    sides = [classes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab"]
-    found = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", "fp_a", "fp_b").mapInArrow(_verified(limit), "a long, b long")
-    links = saved(local.unionByName(found), "wide-links")
+    links = saved(wide_links(classes, limit), "wide-links")
     roots = components(links)
     named = classes.join(roots, "node", "left").select(F.coalesce("component", "node").alias("component"), "best")
     stay = named.groupBy("component").agg(F.min("best").alias("best")).select("best.doc_id", "best.text_key")

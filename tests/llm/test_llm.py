@@ -242,6 +242,24 @@ def test_near_duplicates_one_stays(spark, odd):
     assert drop_near_duplicates(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket_nodes", [50_000, 20])
+def test_wide_links_past_a_smaller_stranger(spark, bucket_nodes):
+    import random
+
+    from emberlog.llm.simhash import PIECE_BITS, PIECES, wide_links
+
+    random.seed(8)
+    bits = PIECES * PIECE_BITS
+    near = random.getrandbits(bits)
+    copy = near ^ sum(1 << (PIECE_BITS * p + b) for p in range(1, PIECES) for b in (0, 9, 20))
+    stranger = random.getrandbits(bits) >> PIECE_BITS << PIECE_BITS | near & (1 << PIECE_BITS) - 1  # shares all variants of a piece
+    crowd = [random.getrandbits(bits) >> PIECE_BITS << PIECE_BITS | near & (1 << PIECE_BITS) - 1 for _ in range(60)]
+    for others in ([stranger], [stranger, *crowd]):
+        rows = [(k, bytearray(x.to_bytes(bits // 8, "little"))) for k, x in enumerate([*others, near, copy])]
+        got = wide_links(spark.createDataFrame(rows, "node long, fp binary").repartition(3), 102, bucket_nodes).collect()
+        assert [tuple(r) for r in got] == [(len(others), len(others) + 1)]
+
+
 def brute_katz(rows, order):
     tok = [words(low(t)) + ["</s>"] for _, t in rows]
     cnt = [Counter() for _ in range(order)]
