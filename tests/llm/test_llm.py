@@ -242,6 +242,43 @@ def test_near_duplicates_one_stays(spark, odd):
     assert drop_near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_are_those_of_the_shingles(spark):
+    import random
+
+    from emberlog.llm.simhash import alike_links
+
+    random.seed(12)
+    rows, pairs = [], {}
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    for k in range(120):  # pairs of about 0.70 to 0.90
+        base = [f"w{random.randrange(10**6)}" for _ in range(400)]
+        own = base[:]
+        for i in random.sample(range(4, 396), 5 + k % 10):
+            own[i] = f"z{i}"
+        a, b = " ".join(base), " ".join(own)
+        s, t = shingles(a), shingles(b)
+        pairs[k] = len(s & t) / len(s | t)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    kept = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    far = [k for k, x in pairs.items() if x < 0.8]
+    near = [k for k, x in pairs.items() if x >= 0.8]
+    found = sum(2 * k + 1 not in kept for k in near)
+    assert len(far) > 20 and len(near) > 40
+    assert all({2 * k, 2 * k + 1} <= kept for k in far) and found >= 0.95 * len(near)
+    # a group of several blocks: candidates form a chain, links are those of the shingles
+    base = [f"v{i}" for i in range(60)]
+    many = [(k, " ".join([*base, f"own{k}"] if k % 3 else [f"u{k}-{i}" for i in range(60)])) for k in range(1300)]
+    docs = spark.createDataFrame(many, SCHEMA).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    classes = docs.select(F.col("doc_id").alias("node"), F.struct("doc_id", "text_key").alias("best"), F.lit(56).alias("n"))
+    chain = spark.range(1299).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = {r.node: r.component for r in components(alike_links(docs, classes, chain, 5)).collect()}
+    assert got == {k: 1 for k in range(1300) if k % 3}
+
+
 @pytest.mark.parametrize("bucket_nodes", [50_000, 20])
 def test_wide_links_past_a_smaller_stranger(spark, bucket_nodes):
     import random
