@@ -167,6 +167,16 @@ def _counted(key, table):
     return pa.table([*head, *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary())))], names=["order", "bucket", "chunk", "counts", "own"])
 
 
+def _power(n: list[int]) -> float:
+    """The slope of a line through log r and log n[r - 1], as in simple Good-Turing: a number is first spread over the
+    zeros on both sides of it. 0 if fewer than two numbers are positive."""
+    at = [r for r, x in enumerate(n, 1) if x]
+    if len(at) < 2:
+        return 0.0
+    spread = [2 * n[r - 1] / (after - before) for before, r, after in zip([0, *at], at, [*at[1:], 2 * at[-1] - at[-2]])]
+    return float(np.polyfit(np.log(at), np.log(spread), 1)[0])
+
+
 @dataclass(frozen=True)
 class Discounts:
     """What remains of a count: ratio[c] of a count c up to TRUSTED, c - less of a larger one."""
@@ -177,8 +187,10 @@ class Discounts:
     @staticmethod
     def of(n: list[int]) -> Discounts:
         """From n[r - 1] = the number of n-grams that occur r times, r from 1 to TRUSTED + 1, by Good-Turing as Katz
-        has it; where that gives no ratio between 0 and 1 (small or odd corpora), each count loses the same amount,
-        and so do counts over TRUSTED, which leaves every context some mass."""
+        has it. Where that gives a ratio outside 0 to 1 (groups of copies raise single numbers), the numbers are
+        smoothed first by a log-linear fit. Only where that falls no faster than 1 / r, or there is nothing to fit
+        (a few words), each count loses the same amount. So do counts over TRUSTED, which leaves every context some
+        mass."""
         less = min(max(n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5, 0.05), 0.95)
         k, ratio = TRUSTED, [0.0]
         for r in range(1, k + 1):
@@ -187,6 +199,10 @@ class Discounts:
                 cut = (k + 1) * n[k] / n[0]
                 d = ((r + 1) * n[r] / (r * n[r - 1]) - cut) / (1 - cut)
             ratio.append(d)
+        if not all(0 < d < 1 for d in ratio[1:]) and (power := _power(n)) < -1:
+            # of n[r - 1] = c * r ** power; all ratios are between 0 and 1
+            cut = (k + 1) ** (power + 1)
+            ratio = [0.0] + [(((r + 1) / r) ** (power + 1) - cut) / (1 - cut) for r in range(1, k + 1)]
         if not all(0 < d < 1 for d in ratio[1:]):
             ratio = [0.0] + [1 - less / r for r in range(1, k + 1)]
         return Discounts(tuple(ratio), less)
@@ -382,7 +398,7 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return katz_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return katz_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3)
 
 
 QUERIES = {"op9_lm_scoring": op9_lm_scoring}

@@ -351,6 +351,26 @@ def test_katz_brute_force(spark, order):
     assert all(abs(a - b) < 1e-8 for g, w in zip(got, want) for a, b in zip(g[5:], w[5:]))
 
 
+def test_katz_discounts_of_copies():
+    import random
+
+    random.seed(4)
+    counts = Counter()
+    for k in range(400):
+        copies = 5 if k % 4 == 0 else 1
+        counts.update({w: copies * n for w, n in Counter(f"w{int(random.paretovariate(0.7))}" for _ in range(60)).items()})
+    of = Counter(counts.values())
+    for n in ([of[r] for r in range(1, TRUSTED + 2)], [203564, 59191, 24852, 14252, 13435, 7102], [1577239, 246764, 51785, 21749, 18965, 7618]):
+        assert 6 * n[5] / (5 * n[4]) > 1 or 5 * n[4] / (4 * n[3]) > 1  # Good-Turing fails on the numbers as they are
+        x, y = [math.log(r) for r in range(1, 7)], [math.log(v) for v in n]
+        slope = sum((a - sum(x) / 6) * (b - sum(y) / 6) for a, b in zip(x, y)) / sum((a - sum(x) / 6) ** 2 for a in x)
+        smooth = [r**slope for r in range(1, 7)]
+        cut = 6 * smooth[5] / smooth[0]
+        want = [((r + 1) * smooth[r] / (r * smooth[r - 1]) - cut) / (1 - cut) for r in range(1, 6)]
+        got = Discounts.of(n).ratio
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[1:], want)) and all(0 < a < 1 for a in want)
+
+
 def test_katz_without_training(spark):
     assert all(r.score == 0 and r.base_score == 0 for r in katz_scores(spark.createDataFrame([(i, "a b") for i in range(200) if held_out(i)], SCHEMA)).collect())
 
