@@ -54,7 +54,30 @@ def token_order(docs: DataFrame, vocabulary: set[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
-def _scan(phrases: Mapping[str, str], rank: Mapping[bytes, int], least: int):
+def line_windows(lines: list[tuple[set, int]], least: int, longest: int):
+    """(inner, tokens) of runs of adjacent lines, given as (template tokens, number of words), that have at least `least`
+    different tokens; inner is the number of words between the first line and the last. Lines without words part runs.
+    A run is left out if a shorter one within it has the same tokens, or if inner is over longest."""
+    for s, (own, _) in enumerate(lines):
+        if not own:
+            continue
+        if len(own) >= least:
+            yield 0, own
+        seen, rest, inner = set(own), set(), 0
+        for more, n in lines[s + 1 : s + 2 + longest]:
+            if not n or inner > longest:
+                break
+            rest |= more
+            if own <= rest:
+                break
+            if not more <= seen:
+                seen |= more
+                if len(seen) >= least:
+                    yield inner, set(seen)
+            inner += n
+
+
+def _scan(phrases: Mapping[str, str], rank: Mapping[bytes, int], least: int, longest: int):
     """Per document: the phrase scan, and the blocks that have at least `least` different template tokens, as ranks."""
     needles = [(f" {p} ".encode(), label) for p, label in phrases.items()]
     known = frozenset(rank)
@@ -74,9 +97,10 @@ def _scan(phrases: Mapping[str, str], rank: Mapping[bytes, int], least: int):
                         places.append(flat.count(b" ", 0, at))
                         labels.add(label)
                         at = flat.find(needle, at + 1)
-                blocks = [sorted(rank[w] for w in own) for block in line.split(b"\n") if len(own := known.intersection(block.split())) >= least]
+                lines = [(known.intersection(own), len(own)) for own in map(bytes.split, line.split(b"\n"))]
+                blocks = [{"inner": inner, "ranks": sorted(rank[w] for w in own)} for inner, own in line_windows(lines, least, longest)]
                 out.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), blocks))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("inner", pa.int32()), ("ranks", pa.list_(pa.int32()))])))
             columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
             yield pa.record_batch([b.column(0), *columns], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "blocks"])
 
@@ -87,8 +111,10 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches of every row of docs.
 
     Words are A-Z lower-cased runs of characters other than ASCII ones that are no letters or digits. The phrase scan
-    counts the places where a phrase's words follow each other. A block is a line; a template matches it if the block
-    has the share threshold of the template's different words at least. Candidates come from a join on tokens: with
+    counts the places where a phrase's words follow each other. A block is a line or a run of adjacent lines without an empty one, so that
+    wrapped texts match: between its first line and its last it has no more words than the template. A template matches
+    a block if that has the share threshold of the template's different words at least. Comment marks are no words.
+    Candidates come from a join on tokens: with
     all tokens in one order, the rarest first, a block of the overlap needed must have a token in common with the
     template's prefix within its own prefix (prefix filter), have as many template tokens as needed (length filter), and
     have enough tokens left behind the two places (positional filter); those left are verified exactly. matches lists
@@ -96,23 +122,23 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     Null and empty texts have no words. Repeated rows each have their result; a null doc_id stays. Other columns of docs
     are ignored.
     """
-    rows = [(label, k, sorted(set(tokens(t)))) for label, texts in templates.items() for k, t in enumerate(texts)]
+    rows = [(label, len(tokens(t)), sorted(set(tokens(t)))) for label, texts in templates.items() for t in texts]
     spark = docs.sparkSession
     order = token_order(docs, {w for _, _, ws in rows for w in ws})
     rank = {w: i for i, w in enumerate(order)}
     need = [max(1, ceil(threshold * len(ws) - 1e-9)) for _, _, ws in rows]
-    shapes = [(label, i, n, sorted(rank[w] for w in ws)) for i, ((label, _, ws), n) in enumerate(zip(rows, need))]
-    table = spark.createDataFrame(shapes, "label string, template int, need int, t_ranks array<int>")
+    shapes = [(label, i, long, n, sorted(rank[w] for w in ws)) for i, ((label, long, ws), n) in enumerate(zip(rows, need))]
+    table = spark.createDataFrame(shapes, "label string, template int, long int, need int, t_ranks array<int>")
     least = min(need)
-    scan = _scan(phrases, {w.encode(): i for w, i in rank.items()}, least)
-    ddl = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, blocks array<array<int>>"
+    scan = _scan(phrases, {w.encode(): i for w, i in rank.items()}, least, max(long for _, long, _ in rows))
+    ddl = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, blocks array<struct<inner: int, ranks: array<int>>>"
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, ddl).withColumn("row", F.monotonically_increasing_id())
     scanned = saved(scanned, "license-scan")
-    blocks = scanned.select("row", F.posexplode("blocks").alias("block", "ranks"))
+    blocks = scanned.select("row", F.posexplode("blocks").alias("block", "own")).select("row", "block", "own.inner", "own.ranks")
     probe = blocks.select("*", F.posexplode(F.expr(f"slice(ranks, 1, size(ranks) - {least} + 1)")).alias("at", "token"))
     index = table.select("*", F.posexplode(F.expr("slice(t_ranks, 1, size(t_ranks) - need + 1)")).alias("t_at", "token"))
     pairs = probe.join(F.broadcast(index), "token")  # as many rows as the templates have prefix tokens
-    pairs = pairs.where("size(ranks) >= need and least(at, t_at) + least(size(ranks) - at, size(t_ranks) - t_at) >= need")
+    pairs = pairs.where("inner <= long and size(ranks) >= need and least(at, t_at) + least(size(ranks) - at, size(t_ranks) - t_at) >= need")
     pairs = pairs.dropDuplicates(["row", "block", "template"])
     pairs = pairs.withColumn("common", F.size(F.array_intersect("ranks", "t_ranks"))).where("common >= need")
     hits = pairs.groupBy("row").agg(F.sort_array(F.collect_set("label")).alias("own"), F.max(F.col("common") / F.size("t_ranks")).alias("score"), F.sort_array(F.collect_list(F.struct("block", "label", (F.col("common") / F.size("t_ranks")).alias("containment")))).alias("matches"))

@@ -84,6 +84,24 @@ def test_license_template_containment(spark):
     assert got[1] == ("mit-notice", 1.0) and got[2] == ("", 0.0) and "cc-by-nc-4.0-notice" in got[3][0]
 
 
+@pytest.mark.parametrize("width", [72, 80, 100])
+def test_license_wrapped(spark, width):
+    import textwrap
+
+    from emberlog.llm.licenses import TEMPLATES
+
+    long = [label for label in TEMPLATES if label.endswith("-text")]
+    rows = []
+    for k, label in enumerate(long):
+        text = textwrap.fill("Copyright 2020 of somebody. " + TEMPLATES[label][0] + ", and so on for the rest of it.", width)
+        rows += [(3 * k, text), (3 * k + 1, "/*\n" + textwrap.indent(text, " * ") + "\n */"), (3 * k + 2, "x\n" + textwrap.indent(text, "// ").replace("\n", "\r\n"))]
+    scattered = "\n".join(f"{w} {'filler ' * 12}" for w in TEMPLATES["mit-text"][0].split())  # the words, far from each other
+    rows += [(90, scattered), (91, TEMPLATES["mit-text"][0].replace(" ", "\n\n"))]
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(label in got[3 * k + i][0] and got[3 * k + i][1] >= 0.8 for k, label in enumerate(long) for i in range(3))
+    assert got[90] == ([""], 0.0) and got[91] == ([""], 0.0)
+
+
 def test_quality_orders_and_held_out_accuracy(spark, data):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     grades = quality_grades(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
