@@ -101,6 +101,7 @@ def _windows(column):
         at = np.flatnonzero(pos + WINDOW <= n[doc])
         at = at[literal[at + WINDOW] - literal[at] >= LITERALS]
         roll = Rolling(h, 0x9E3779B97F4A7C15)
+        value = value & ~U(1) | (h == _SLOTS["name"]).astype(U)  # the last bit tells names from numbers and units
         yield row, doc[at], pos[at], roll.of(at, at + WINDOW), at, slot, value
 
 
@@ -149,9 +150,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", least
 
     Texts become sequences of template tokens: numbers, names and units are placeholders. Windows of eight tokens, five of
     them words at least, meet by hash. Windows at the same distance between item and document are one placing of the
-    item; a placing counts if it has least_windows windows or the share least_share of the item's, and if its slots are
-    consistent: one value of the item always stands where one value of the document stands, and the other way round. So
-    a question with other numbers or names is found, and one whose slots contradict each other is not. The best placing
+    item. Each number or unit of the item is assigned the value that stands for it in most of the placing's windows
+    (of equally many the larger hash), and windows that contradict this are left out; a placing in which two values
+    stand for one name is left out as a whole. Two values of the item may have one in the document. A placing counts
+    if least_windows windows or the share least_share of the item's remain. So a question with other numbers or names
+    is found, with equal numbers that became different ones too, and one that mixes up names is not. The best placing
     of each pair is returned. An item or document without such a window (null, empty or short text) takes no part;
     rows that repeat a key count as one document, a null key is a key like any other. Other columns are ignored.
     """
@@ -165,11 +168,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", least
     found = docs.mapInArrow(_rows(bits), f"key {kind}, {ROW}").join(bench, "hash")
     pairs = F.expr("transform(arrays_zip(item_slots, slots), p -> struct(p.item_slots as i, p.slots as d))")
     placing = found.groupBy("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.count_distinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
-    sides = [F.size(F.array_distinct(F.col(f"pairs.{side}"))) for side in "id"]
-    n = F.size("pairs")
-    placing = placing.withColumn("n_slots", n).where((n == sides[0]) & (n == sides[1])).join(sizes, "item_id")
+        F.collect_set(F.struct("item_pos", pairs.alias("pairs"))).alias("windows")
+    )  # no more windows than the item has, but for rows that repeat a key
+    placing = placing.withColumn("every", F.flatten("windows.pairs")).withColumn("pairs", F.array_distinct("every"))
+    placing = placing.where("size(filter(pairs, p -> p.i & 1 = 1)) = size(array_distinct(transform(filter(pairs, p -> p.i & 1 = 1), p -> p.i)))")
+    counted = placing.withColumn("counted", F.expr("transform(pairs, p -> struct(p.i as i, size(filter(every, q -> q = p)) as n, p.d as d))"))
+    # pairs that another one with the same value of the item outdoes
+    lost = "filter(counted, p -> exists(counted, q -> q.i = p.i and (q.n > p.n or q.n = p.n and q.d > p.d)))"
+    placing = counted.withColumn("lost", F.expr(f"transform({lost}, p -> struct(p.i as i, p.d as d))"))
+    placing = placing.withColumn("windows", F.expr("filter(windows, w -> not arrays_overlap(w.pairs, lost))"))
+    placing = placing.withColumn("n_windows", F.size(F.array_distinct("windows.item_pos"))).withColumn("n_slots", F.size(F.array_distinct(F.flatten("windows.pairs"))))
+    placing = placing.where("n_windows > 0").join(sizes, "item_id")
     placing = placing.where((F.col("n_windows") >= least_windows) | (F.col("n_windows") >= least_share * F.col("item_windows")))
     best = placing.groupBy("key", "item_id", "item_windows").agg(F.max(F.struct("n_windows", "n_slots")).alias("best"))
     return best.select(F.col("key").alias(key), "item_id", "best.n_windows", "item_windows", "best.n_slots")

@@ -149,6 +149,18 @@ def test_leaks(spark):
     assert find_leaks(docs, bench.limit(0)).count() == 0 and find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_with_contradicting_numbers(spark):
+    item = "A farmer in the valley has 5 apples left in the old wooden barn behind the house and then buys exactly 5 pears at the market near the river, so how much fruit is there in the end for all of the children?"
+    two = "A farmer in the valley has 6 apples left in the old wooden barn behind the house and then buys exactly 8 pears at the market near the river, so how much fruit is there in the end for all of the children?"
+    parted = item.replace("5 apples", "3 apples").replace("5 pears", "7 pears")
+    equal = two.replace("6 apples", "4 apples").replace("8 pears", "4 pears")
+    docs = spark.createDataFrame([(1, parted), (2, equal), (3, "Nothing of the kind is to be found in here, I am afraid, dear reader of it.")], SCHEMA)
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.item_windows) for r in find_leaks(docs, spark.createDataFrame([(1, item), (2, two)], "item_id long, text string")).collect()}
+    assert set(got) == {(d, i) for d in (1, 2) for i in (1, 2)}
+    assert got[1, 2] == got[2, 2] == got[2, 1] and got[2, 2][0] == got[2, 2][1] > got[1, 1][0]
+    assert [r.doc_id for r in decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [3]
+
+
 def removed(rows, size, units):
     own, first = defaultdict(list), {}
     for d, t in rows:
