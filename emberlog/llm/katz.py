@@ -85,7 +85,7 @@ def _chunked(batches):
 
 class Grams:
     """The n-grams of one chunk: for each order the different hashes (sorted), the place of each position's hash among
-    them, one position of each, and how often each occurs in training documents."""
+    them, one position of each, how often each occurs in training documents, and whether in a held-out one."""
 
     def __init__(self, row: dict, order: int):
         cuts, body = unpack(row["cuts"]), unpack(row["body"], np.uint8)
@@ -100,7 +100,7 @@ class Grams:
         self.place = np.arange(len(h)) - self.begin[self.doc]
         self.n_tokens = n + 1
         train = ~np.asarray(row["held"], bool)[self.doc]
-        self.hashes, self.index, self.sample, self.trained = [], [], [], []
+        self.hashes, self.index, self.sample, self.trained, self.tested = [], [], [], [], []
         own = h
         for o in range(1, order + 1):
             if o > 1:
@@ -113,6 +113,9 @@ class Grams:
             self.index.append(index)
             self.sample.append(at[rep])
             self.trained.append(np.bincount(inverse[train[at]], minlength=len(u)))
+            tested = np.zeros(len(u), bool)
+            tested[inverse[~train[at]]] = True
+            self.tested.append(tested)
 
 
 def bucket_cuts(hashes: np.ndarray, buckets: int):
@@ -122,7 +125,7 @@ def bucket_cuts(hashes: np.ndarray, buckets: int):
     return zip(b[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(b)])
 
 
-ASKED = "order int, bucket long, chunk long, hashes binary, trained binary"
+ASKED = "order int, bucket long, chunk long, hashes binary, trained binary, tested binary"
 
 
 def _ask(order: int, buckets: int):
@@ -133,17 +136,20 @@ def _ask(order: int, buckets: int):
             for row in b.to_pylist():
                 grams, out = Grams(row, order), []
                 for o in range(1, order + 1):
-                    h, t = grams.hashes[o - 1], grams.trained[o - 1]
-                    out += [(o, k, row["chunk"], pack_sorted(h[i:j]), pack(t[i:j])) for k, i, j in bucket_cuts(h, buckets)]
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["order", "bucket", "chunk", "hashes", "trained"])
+                    h, t, tested = grams.hashes[o - 1], grams.trained[o - 1], grams.tested[o - 1]
+                    out += [(o, k, row["chunk"], pack_sorted(h[i:j]), pack(t[i:j]), pack(tested[i:j])) for k, i, j in bucket_cuts(h, buckets)]
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[f.split()[0] for f in ASKED.split(", ")])
 
     return run
 
 
-#: answers: chunk, counts, own (the chunk that a trained n-gram's share of the weights comes from). chunk null: the
-#: bucket's numbers of n-grams by count (1 to TRUSTED + 1), of all n-grams and of all tokens.
-COUNTED = "order int, bucket long, chunk long, counts binary, own binary"
+#: answers: chunk, counts, marks (OWN: the chunk that a trained n-gram's share of the weights comes from; OPEN: the
+#: n-gram occurs in a held-out document somewhere, so that its weight as a context may be needed: texts of training
+#: never back off). chunk null: the bucket's numbers of n-grams by count (1 to TRUSTED + 1), of all n-grams and of all
+#: tokens.
+COUNTED = "order int, bucket long, chunk long, counts binary, marks binary"
+OWN, OPEN = 1, 2
 
 
 def _counted(key, table):
@@ -156,15 +162,17 @@ def _counted(key, table):
     total = np.zeros(len(u), np.int64)
     np.add.at(total, inverse, each)
     seen = np.flatnonzero(each > 0)
-    own = np.zeros(len(each), bool)
-    own[seen[np.unique(inverse[seen], return_index=True)[1]]] = True
+    open_ = np.zeros(len(u), bool)
+    open_[inverse[np.concatenate([unpack(r["tested"], bool) for r in rows])]] = True
+    marks = np.where(open_, OPEN, 0).astype(np.uint8)[inverse]
+    marks[seen[np.unique(inverse[seen], return_index=True)[1]]] |= OWN
     ends = np.cumsum([len(x) for x in lists])
-    out = [(r["chunk"], pack(total[inverse[e - len(x) : e]]), pack(own[e - len(x) : e])) for r, x, e in zip(rows, lists, ends)]
+    out = [(r["chunk"], pack(total[inverse[e - len(x) : e]]), pack(marks[e - len(x) : e])) for r, x, e in zip(rows, lists, ends)]
     real = total[(total > 0) & (u != START)] if key[0].as_py() == 1 else total[total > 0]
     sums = [int((real == c).sum()) for c in range(1, TRUSTED + 2)] + [len(real), int(real.sum())]
     out.append((None, pack(np.array(sums)), b""))
     head = [pa.array([key[i].as_py()] * len(out), t) for i, t in ((0, pa.int32()), (1, pa.int64()))]
-    return pa.table([*head, *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary())))], names=["order", "bucket", "chunk", "counts", "own"])
+    return pa.table([*head, *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary())))], names=["order", "bucket", "chunk", "counts", "marks"])
 
 
 def _power(n: list[int]) -> float:
@@ -243,24 +251,40 @@ def _model(counted: DataFrame, order: int) -> Model:
 
 # ---- evaluation
 
-#: order null: a chunk's documents and what awaits backoff weights (body); else a bucket's sums for contexts of order.
-SCORED = "order int, bucket long, chunk long, hashes binary, total binary, mass binary, lower binary, wanted binary, body binary"
+#: order null: a chunk's documents, and the numbers of tokens of each that await the weight of a context (its place among
+#: those that the chunk wants); else a bucket's sums for contexts of order - 1.
+DOCS = "array<struct<id: long, held: boolean, n_tokens: long, n_known: long, base: double, score: double>>"
+WAITS = "array<struct<order: int, doc: int, context: int, n: int>>"
+SCORED = f"order int, bucket long, chunk long, hashes binary, total binary, mass binary, lower binary, wanted binary, docs {DOCS}, waits {WAITS}"
+
+
+def _struct_list(names: list[str], columns: list):
+    """One row: the list of structs with these fields."""
+    import pyarrow as pa
+
+    cells = pa.StructArray.from_arrays([pa.array(c) for c in columns], names)
+    return pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), cells)
+
+
+def _fields(cell) -> list[np.ndarray]:
+    """The fields of a list of structs, as arrays."""
+    items = cell.values
+    return [items.field(i).to_numpy(zero_copy_only=False) for i in range(items.type.num_fields)]
 
 
 def _evaluate(model: Model, order: int, buckets: int):
     def run(key, chunk, answers):
         import pyarrow as pa
 
-        names = [f.split()[0] for f in SCORED.split(", ")]
         row = chunk.to_pylist()[0]
         grams = Grams(row, order)
         count = [np.zeros(len(h), np.int64) for h in grams.hashes]
-        own = [np.zeros(len(h), bool) for h in grams.hashes]
+        marks = [np.zeros(len(h), np.uint8) for h in grams.hashes]
         replies = {(r["order"], r["bucket"]): r for r in answers.to_pylist()}
         for o in range(1, order + 1):
             for k, i, j in bucket_cuts(grams.hashes[o - 1], buckets):
                 r = replies[o, k]
-                count[o - 1][i:j], own[o - 1][i:j] = unpack(r["counts"]), unpack(r["own"], bool)
+                count[o - 1][i:j], marks[o - 1][i:j] = unpack(r["counts"]), unpack(r["marks"], np.uint8)
         known = count[0] > 0
         prob = [np.where(known, model.discounts[0].apply(count[0]) / max(model.tokens, 1), model.unknown)]
         context, out = [None], []
@@ -276,7 +300,7 @@ def _evaluate(model: Model, order: int, buckets: int):
             total = count[o - 2][context[-1]]
             left = model.discounts[o - 1].apply(count[o - 1])
             prob.append(np.where(count[o - 1] > 0, left / np.maximum(total, 1), 0.0))
-            mine = np.flatnonzero(own[o - 1])
+            mine = np.flatnonzero((marks[o - 1] & OWN > 0) & (marks[o - 2][context[-1]] & OPEN > 0))
             size = len(grams.hashes[o - 2])
             lower = prob[o - 2][grams.index[o - 2][at[mine]]]
             sums.append((np.bincount(context[-1][mine], left[mine], size), np.bincount(context[-1][mine], lower, size)))
@@ -293,7 +317,7 @@ def _evaluate(model: Model, order: int, buckets: int):
                 waiting.append((o, pairs // (len(grams.hashes[o - 2]) + 1), pairs % (len(grams.hashes[o - 2]) + 1), n))
             score += np.bincount(grams.doc[rest[hit]], np.log10(prob[o - 1][index[hit]]), docs)
             rest = rest[~hit]
-        body = [pack(np.array([o for o, *_ in waiting]))]
+        waits = []
         for o, d, c, n in waiting:
             wanted = np.zeros(len(grams.hashes[o - 2]), bool)
             wanted[c] = True
@@ -302,15 +326,17 @@ def _evaluate(model: Model, order: int, buckets: int):
             h, t = grams.hashes[o - 2][some], count[o - 2][some]
             for k, i, j in bucket_cuts(h, buckets):
                 part = some[i:j]
-                out.append((o, k, row["chunk"], pack_sorted(h[i:j]), pack(t[i:j]), pack(mass[part]), pack(lower[part]), pack(wanted[part]), None))
-            body += [pack(d), pack(np.cumsum(wanted)[c] - 1), pack(n)]
+                out.append((o, k, row["chunk"], pack_sorted(h[i:j]), pack(t[i:j]), pack(mass[part]), pack(lower[part]), pack(wanted[part])))
+            waits.append([np.full(len(d), o), d, np.cumsum(wanted)[c] - 1, n])
         n_known = np.bincount(doc, c1 > 0, docs).astype(np.int64)
-        body += [pack(grams.n_tokens), pack(n_known), pack(base), pack(score)]
-        import pickle
-
-        out.append((None, None, row["chunk"], None, None, None, None, None, pickle.dumps((row["ids"], row["held"], body))))
-        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+        out.append((None, None, row["chunk"], None, None, None, None, None))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        ids, held = pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_())
+        each = _struct_list(["id", "held", "n_tokens", "n_known", "base", "score"], [ids, held, grams.n_tokens, n_known, base, score])
+        columns = [np.concatenate(c).astype(np.int32) for c in zip(*waits)] if waits else [np.zeros(0, np.int32)] * 4
+        await_ = _struct_list(["order", "doc", "context", "n"], columns)
+        last = [pa.chunked_array([pa.nulls(len(out) - 1, x.type), x]) for x in (each, await_)]
+        return pa.table([*(pa.array(c, t) for c, t in zip(zip(*out), kinds)), *last], names=["order", "bucket", "chunk", "hashes", "total", "mass", "lower", "wanted", "docs", "waits"])
 
     return run
 
@@ -347,23 +373,21 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _finish(train_tokens: int):
     def run(key, scored, weights):
-        import pickle
-
         import pyarrow as pa
 
-        ids, held, body = pickle.loads(scored.column("body")[0].as_py())
+        row = scored.slice(0, 1)
+        items = row.column("docs")[0].values
+        ids, held = items.field(0), items.field(1)
+        n_tokens, n_known, base, score = _fields(row.column("docs")[0])[2:]
+        orders, d, c, n = _fields(row.column("waits")[0])
         by: dict[int, list] = {}
         for r in sorted(weights.to_pylist(), key=lambda r: (r["order"], r["bucket"])):
             by.setdefault(r["order"], []).append(unpack(r["weights"], float))
-        orders = unpack(body[0]).tolist()
-        n_tokens, n_known, base, score = (unpack(b, k) for b, k in zip(body[-4:], (np.int64, np.int64, float, float)))
-        for k, o in enumerate(orders):
-            d, c, n = (unpack(b) for b in body[1 + 3 * k : 4 + 3 * k])
-            if len(d):
-                score = score + np.bincount(d, n * np.concatenate(by[o])[c], len(ids))
-        columns = (ids, held, n_tokens, n_known, [train_tokens] * len(ids), base, score)
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
+        for o, lists in by.items():
+            own = orders == o
+            score = score + np.bincount(d[own], n[own] * np.concatenate(lists)[c[own]], len(ids))
+        columns = (ids, held, n_tokens, n_known, np.full(len(ids), train_tokens, np.int64), base, score)
+        return pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=[f.split()[0] for f in RESULT.split(", ")])
 
     return run
 
@@ -391,9 +415,9 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     answers = counted.where("chunk is not null")
     scored = saved(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_evaluate(model, order, buckets), SCORED), "katz-scored")
     release(chunks, counted)
-    sums = scored.where("order is not null").drop("body")
+    sums = scored.where("order is not null").drop("docs", "waits")
     weights = saved(sums.groupBy("order", "bucket").applyInArrow(_weights, WEIGHTS), "katz-weights")
-    waiting = scored.where("order is null").select("chunk", "body")
+    waiting = scored.where("order is null").select("chunk", "docs", "waits")
     return waiting.groupBy("chunk").cogroup(weights.groupBy("chunk")).applyInArrow(_finish(model.tokens), RESULT)
 
 
