@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, chunks, mix, word_hashes, words_of
-from .repeats import SETTLED, joined, rows_out, shared_spans, span_arrays, union
+from .repeats import SETTLED, joined, rows_out, shared_spans, span_arrays, tagged, union
 
 #: A perfect difference set modulo 31 (fixed values): each residue but 0 is the difference of exactly one pair.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -33,8 +33,8 @@ def _anchors(size: int):
 
     def run(batches):
         for b in batches:
-            ids, parts = b.column(0).to_numpy(), []
-            for row, end, first, near, far in _sequences(b.column(1)):
+            ids, tags, parts = b.column(0).to_numpy(), b.column(1).to_numpy(), []
+            for row, end, first, near, far in _sequences(b.column(2)):
                 n = np.diff(first)
                 doc = np.repeat(np.arange(end - row), n)
                 pos = np.arange(first[-1]) - first[:-1][doc]
@@ -44,7 +44,7 @@ def _anchors(size: int):
                 d, p = doc[at], pos[at]
                 lo, hi = np.maximum(p - PERIOD + 1, 0), np.minimum(p + size, n[d])
                 seg = far.of(at - (p - lo), at + (hi - p)) ^ mix(((p - lo) * 4096 + hi - p).astype(U))
-                parts.append((near.of(at, at + length), seg, ids[row + d], lo, hi))
+                parts.append((near.of(at, at + length), seg, ids[row + d], tags[row + d], lo, hi))
                 if sum(len(x[0]) for x in parts) > SETTLED:
                     yield from rows_out(*joined(parts))
             if parts:
@@ -58,19 +58,18 @@ def _passages(size: int):
 
     def run(batches):
         for b in batches:
-            ids, spans, parts = b.column(0).to_numpy(), b.column(2), []
-            for row, end, first, near, far in _sequences(b.column(1)):
+            ids, tags, spans, parts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3), []
+            for row, end, first, near, far in _sequences(b.column(2)):
                 for k in range(row, end):
                     begin, n = int(first[k - row]), int(first[k - row + 1] - first[k - row])
                     lo, hi = span_arrays(spans, k)
-                    hi = np.minimum(hi, n)  # of another row of this doc_id
                     lo, hi = lo[hi - lo >= size], hi[hi - lo >= size]
                     starts = np.zeros(n + 1, np.int64)
                     np.add.at(starts, lo, 1)
                     np.add.at(starts, hi - size + 1, -1)
                     p = np.flatnonzero(np.cumsum(starts)[:n])
                     at = begin + p
-                    parts.append((near.of(at, at + size), far.of(at, at + size), np.full(len(p), ids[k]), p, p + size))
+                    parts.append((near.of(at, at + size), far.of(at, at + size), np.full(len(p), ids[k]), np.full(len(p), tags[k]), p, p + size))
                 if sum(len(x[0]) for x in parts) > SETTLED:
                     yield from rows_out(*joined(parts))
             if parts:
@@ -104,14 +103,14 @@ def dedup_substrings(docs: DataFrame, size: int = 50) -> DataFrame:
     Words are runs of other characters than white space (space, tab to carriage return). A word goes if it is in a run
     of size consecutive words of its document that also starts in a document with a smaller doc_id, in the input. Null
     and empty texts have no words. Rows with a null doc_id have no order: they stay whole and remove nothing. Rows that
-    repeat a doc_id count as one document, so what is found in one holds for all. Other columns are ignored. size is at
-    least PERIOD; shorter documents than size stay whole.
+    repeat a doc_id are documents of their own, none of them smaller than the other. Other columns are ignored. size is
+    at least PERIOD; shorter documents than size stay whole.
     """
     if size < PERIOD:
         raise ValueError(f"size must be at least {PERIOD}")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = tagged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     spans = shared_spans(docs, _anchors(size), _passages(size), "substring")
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, chunks, eights, mix
-from .repeats import SETTLED, joined, rows_met, rows_out, shared_spans, shifts, span_arrays, union
+from .repeats import REMOVED, SETTLED, certain, joined, rows_met, rows_out, shared_spans, shifts, span_arrays, tagged, union
 
-#: Bytes of an anchor; every passage holds the smallest of its anchors by hash.
-GRAM = 24
+#: Bytes of an anchor, and of the shorter strings of which the smallest by hash decides which anchor a passage picks.
+GRAM, LEAST_GRAM = 28, 4
 U = np.uint64
 
 
@@ -25,26 +25,33 @@ def _run_hash(at8: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarr
 
 
 def _picked(data: np.ndarray, n: int, size: int) -> np.ndarray:
-    """Positions of the smallest anchor by hash of each size-byte window of data[:n], the leftmost of equals."""
-    m, w = n - GRAM + 1, size - GRAM + 1
+    """Positions of the anchor that each size-byte window of data[:n] picks.
+
+    With w anchors in a window, the place of the window's smallest short string by hash (the leftmost of equals), modulo
+    w, is the anchor's place. A short string's length is that of an anchor modulo w, so neighbouring windows mostly pick
+    the same anchor: there are fewer of them than if the smallest anchor were picked itself.
+    """
+    w = size - GRAM + 1
+    short = LEAST_GRAM + (GRAM - LEAST_GRAM) % w
+    m = n - short + 1
     at8 = eights(data)
-    h = at8[:m] * U(0x9E3779B97F4A7C15)
-    h ^= at8[8 : m + 8] * U(0xC2B2AE3D27D4EB4F)
-    h ^= h >> U(31)
-    h += at8[16 : m + 16] * U(0xFF51AFD7ED558CCD)
-    h ^= h >> U(33)
-    h *= U(0xC4CEB9FE1A85EC53)
+    if short < 8:
+        h = mix((at8[:m] & U((1 << (8 * short)) - 1)) * U(0x9E3779B97F4A7C15))
+    else:
+        h = _run_hash(at8, np.arange(m), short, 5)
     h &= U((1 << 64) - (1 << 24))
-    h |= np.arange(m, dtype=U)  # chunks are far below 2^24 bytes but for a single longer document, see _documents
-    reach = 1
-    while 2 * reach <= w:
+    h |= np.arange(m, dtype=U)  # stretches are far below 2^24 bytes
+    wide, reach = size - short + 1, 1
+    while 2 * reach <= wide:
         h = np.minimum(h[:-reach], h[reach:])
         reach *= 2
-    h = np.minimum(h[: m - w + 1], h[w - reach : w - reach + m - w + 1])
-    h &= U((1 << 24) - 1)
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    return h[new].astype(np.int64)
+    count = n - size + 1
+    h = np.minimum(h[:count], h[wide - reach : wide - reach + count])
+    start = np.arange(count)
+    at = start + ((h & U((1 << 24) - 1)).astype(np.int64) - start) % w
+    new = np.ones(count, bool)
+    new[1:] = at[1:] != at[:-1]
+    return at[new]
 
 
 STRETCH = 1 << 22
@@ -55,8 +62,8 @@ def _anchors(size: int):
 
     def run(batches):
         for b in batches:
-            ids, parts = b.column(0).to_numpy(), []
-            for row, end, offsets, data in chunks(b.column(1)):
+            ids, tags, parts = b.column(0).to_numpy(), b.column(1).to_numpy(), []
+            for row, end, offsets, data in chunks(b.column(2)):
                 n = int(offsets[-1])
                 at8 = eights(data)
                 # windows across documents pick anchors too, which do no harm; those that a document cuts go below
@@ -77,7 +84,7 @@ def _anchors(size: int):
                 for s in np.unique(shape):
                     k = rest[shape == s]
                     seg[k] = _run_hash(at8, lo[k], int(hi[k[0]] - lo[k[0]]), 77) ^ mix(np.array([s], U))[0]
-                parts.append((anchor, seg, ids[row + d], (lo - begin).astype(np.int32), (hi - begin).astype(np.int32)))
+                parts.append((anchor, seg, ids[row + d], tags[row + d], (lo - begin).astype(np.int32), (hi - begin).astype(np.int32)))
                 if sum(len(x[0]) for x in parts) > SETTLED:
                     yield from rows_out(*joined(parts))
             if parts:
@@ -87,36 +94,36 @@ def _anchors(size: int):
 
 
 def _refine(size: int):
-    """Rows for an anchor with half of what a passage has beside it: a passage holds the half to the left or the right."""
+    """Rows for an anchor with half of what a passage has beside it: a passage holds the half to the left or the right. A
+    document shorter than its segment stays whole."""
     half = (size - GRAM) // 2
     grown = GRAM + half
 
     def run(batches):
         for b in batches:
-            at, raw = buffers(b.column(1))
+            at, raw = buffers(b.column(2))
             raw = np.concatenate([raw[: at[-1]], np.zeros(64, np.uint8)])
-            at8, ids, parts, held = eights(raw), b.column(0).to_numpy(), [], 0
+            at8, ids, tags, parts, whole, held = eights(raw), b.column(0).to_numpy(), b.column(1).to_numpy(), [], [], 0
             for k in range(b.num_rows):
-                n = b.column(3)[k].as_py()
-                lo, hi = span_arrays(b.column(2), k)
-                lo, hi = lo[hi <= n], hi[hi <= n]  # longer ones are of another row of this doc_id
-                begin = int(at[k]) + shifts(b.column(4)[k], b.column(5)[k], lo)
+                n = b.column(4)[k].as_py()
+                lo, hi = span_arrays(b.column(3), k)
+                begin = int(at[k]) + shifts(b.column(5)[k], b.column(6)[k], lo)
                 a = np.where(hi < n, hi - size, lo + size - GRAM)
                 unsure = (hi >= n) & (lo == 0)  # a short document: its segment stays whole
                 left, right = np.flatnonzero(~unsure & (a - half >= lo)), np.flatnonzero(~unsure & (a + grown <= hi))
                 h = [_run_hash(at8, begin[left] + a[left] - half, grown, 9), _run_hash(at8, begin[right] + a[right], grown, 11)]
                 for rows, own, i, j in ((left, h[0], lo[left], a[left] - half + size), (right, h[1], a[right] - half, hi[right])):
-                    parts.append((own, np.full(len(rows), ids[k]), np.maximum(i, lo[rows]), np.minimum(j, hi[rows])))
-                whole = np.flatnonzero(unsure)
-                for d in (ids[k], ids[k] - 1) if len(whole) else ():  # two documents for an anchor that is its own
-                    own = mix(np.array([ids[k]], np.int64).view(U) + U(1))
-                    parts.append((own, np.array([d]), lo[whole[:1]], hi[whole[:1]] if d == ids[k] else lo[whole[:1]]))
+                    parts.append((own, np.full(len(rows), ids[k]), np.full(len(rows), tags[k]), np.maximum(i, lo[rows]), np.minimum(j, hi[rows])))
+                if unsure.any():
+                    whole.append((ids[k : k + 1], tags[k : k + 1], np.zeros(1, np.int64), np.array([n])))
                 held += len(lo)
                 if held > SETTLED // 2:  # a segment gives two rows
                     yield from rows_met(*joined(parts))
                     held = 0
             if parts:
                 yield from rows_met(*joined(parts))
+            if whole:
+                yield from certain(REMOVED, *joined(whole))
 
     return run
 
@@ -193,7 +200,7 @@ def _passages(size: int):
     """Rows for the size-byte strings inside a document's spans. Blocks of spans get a suffix array each; neighbours in
     it with size bytes in common are one string, of which the smallest document's goes on, with 128 bits of hash."""
 
-    def block(pieces, owners, begins):
+    def block(pieces, owners, tags, begins):
         lengths = np.array([len(p) for p in pieces])
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
         text = np.zeros(int((lengths + 1).sum()) + 64, np.uint8)
@@ -214,25 +221,24 @@ def _passages(size: int):
         group = np.cumsum(np.append(True, ~same)) - 1 if len(order) else np.zeros(0, np.int64)
         head = order[np.flatnonzero(np.append(True, ~same))] if len(order) else order
         p = order - starts[piece] + begins[piece]
-        return _run_hash(at8, head, size, 3)[group], _run_hash(at8, head, size, 33)[group], owners[piece], p, p + size
+        return _run_hash(at8, head, size, 3)[group], _run_hash(at8, head, size, 33)[group], owners[piece], tags[piece], p, p + size
 
     def run(batches):
         for b in batches:
-            at, raw = buffers(b.column(1))
-            ids, parts = b.column(0).to_numpy(), []
+            at, raw = buffers(b.column(2))
+            ids, tags, parts = b.column(0).to_numpy(), b.column(1).to_numpy(), []
             pieces, owners, begins, held = [], [], [], 0
             for k in range(b.num_rows):
-                lo, hi = span_arrays(b.column(2), k)
-                lo, hi = union(lo, hi, b.column(3)[k].as_py())
-                begin = int(at[k]) + shifts(b.column(4)[k], b.column(5)[k], lo)
+                lo, hi = union(*span_arrays(b.column(3), k), b.column(4)[k].as_py())
+                begin = int(at[k]) + shifts(b.column(5)[k], b.column(6)[k], lo)
                 for i, j, s in zip(lo.tolist(), hi.tolist(), begin.tolist()):
                     if j - i >= size:
                         pieces.append(raw[s + i : s + j])
-                        owners.append(ids[k])
+                        owners.append(k)
                         begins.append(i)
                         held += j - i
                 if held > (1 << 20) or (k == b.num_rows - 1 and pieces):
-                    parts.append(block(pieces, np.array(owners), np.array(begins)))
+                    parts.append(block(pieces, ids[owners], tags[owners], np.array(begins)))
                     pieces, owners, begins, held = [], [], [], 0
                 if sum(len(x[0]) for x in parts) > SETTLED:
                     yield from rows_out(*joined(parts))
@@ -274,15 +280,16 @@ def dedup_suffixes(docs: DataFrame, size: int = 50, whole_chars: bool = False) -
 
     Texts are UTF-8 bytes. A byte goes if it is in a string of size bytes that also starts in a document with a smaller
     doc_id, in the input; strings never cross documents. Null and empty texts have no bytes. Rows with a null doc_id
-    have no order: they stay whole and remove nothing. Rows that repeat a doc_id count as one document. whole_chars
+    have no order: they stay whole and remove nothing. Rows that repeat a doc_id are documents of their own, none of them
+    smaller than the other. whole_chars
     keeps characters of which some bytes stay, so that kept is UTF-8; counts are as without it. Other columns are
     ignored. size is at least 32.
     """
     if size < GRAM + 8:
         raise ValueError(f"size must be at least {GRAM + 8}")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = tagged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     spans = shared_spans(docs, _anchors(size), _passages(size), "suffix", _refine(size))
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(whole_chars), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(whole_chars), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _cut_texts(batches):
@@ -300,9 +307,11 @@ def _cut_texts(batches):
 def drop_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """docs with what dedup_suffixes removes cut from text, in whole characters; all rows and other columns stay. A null
     text stays null."""
-    own, key = "__doc", F.col("doc_id").cast("long")
-    spans = shared_spans(docs.select(key.alias("doc_id"), "text"), _anchors(size), _passages(size), "suffix", _refine(size))
-    rows = docs.withColumn(own, key).join(spans.select(F.col("doc_id").alias(own), F.col("spans").alias("__spans")), own, "left").drop(own)
+    own, tag = "__doc", "__tag"
+    ids = tagged(docs.withColumn(own, F.col("doc_id").cast("long")), own, tag)
+    spans = shared_spans(ids.select(F.col(own).alias("doc_id"), F.col(tag).alias("tag"), "text"), _anchors(size), _passages(size), "suffix", _refine(size))
+    spans = spans.select(F.col("doc_id").alias(own), F.col("tag").alias(tag), F.col("spans").alias("__spans"))
+    rows = ids.join(spans, [own, tag], "left").select(*docs.columns, "__spans")
     return rows.mapInArrow(_cut_texts, docs.schema)
 
 

@@ -180,7 +180,7 @@ def removed(rows, size, units):
     return out
 
 
-#: With ids that the documents have not; different texts of one id are one document to the repeat operators.
+#: With ids that the documents have not.
 SHORT = [(None if d is None else 100_000 + d, t) for d, t in ODD if d != 5]
 
 
@@ -198,6 +198,53 @@ def test_suffixes_brute_force(spark, docs):
     assert got == removed(rows, 50, lambda t: (t or "").encode())
 
 
+def test_repeats_of_texts_that_share_an_id(spark, docs):
+    """Only words and bytes that a smaller document holds go, from the row that has them."""
+    own = texts(docs)[:60]
+    a, b, c = (" ".join(f"{x}{i}" for i in range(90)) for x in "abc")
+    rows = own + [(9_001, a), (9_002, a), (9_002, b), (9_002, b), (9_003, b + " " + c), (9_003, c + " " + a), (9_000, c[40:]), (None, a)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in dedup_substrings(df).collect())
+    assert got == removed(rows, 50, lambda t: tuple(words(t)))
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in dedup_suffixes(df).collect())
+    assert got == removed(rows, 50, lambda t: (t or "").encode())
+    left = Counter((r.doc_id, r.text) for r in drop_repeats(df).collect())
+    assert left == Counter((r.doc_id, bytes(r.kept).decode()) for r in dedup_suffixes(df, whole_chars=True).collect())
+
+
+def test_spans_of_suffixes(spark, docs):
+    """n_spans is the number of maximal runs of removed bytes."""
+    rows = texts(docs)[:80] + [(9_000, "x" * 30 + texts(docs)[0][1] + "y" * 30), (9_001, "q" * 200), (9_002, "q" * 55 + "r" + "q" * 60)]
+    first = {}
+    for d, t in sorted(rows):
+        u = (t or "").encode()
+        for i in range(len(u) - 49):
+            first.setdefault(u[i : i + 50], d)
+    want = {}
+    for d, t in rows:
+        u = (t or "").encode()
+        gone = [False] * len(u)
+        for i in range(len(u) - 49):
+            if first[u[i : i + 50]] < d:
+                gone[i : i + 50] = [True] * 50
+        want[d] = sum(g and not before for g, before in zip(gone, [False, *gone]))
+    assert {r.doc_id: r.n_spans for r in dedup_suffixes(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+@pytest.mark.parametrize("dedup", [dedup_substrings, dedup_suffixes])
+def test_nothing_unique_goes_around_a_common_line(dedup, spark):
+    """Many texts of random words around one common line: its anchors are hot, and all segments around them differ."""
+    import random
+
+    random.seed(9)
+    line = " ".join(f"c{i:02d}" for i in range(45)) if dedup is dedup_substrings else "a common line of just forty bytes in all"
+    word = lambda: f"{random.getrandbits(40):x}"
+    rows = [(d, " ".join([*(word() for _ in range(20)), line, *(word() for _ in range(20))])) for d in range(4_000)]
+    rows += [(9_000 + d, rows[d][1]) for d in range(3)]  # true copies
+    out = dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)).where("n_removed > 0").collect()
+    assert sorted(r.doc_id for r in out) == [9_000, 9_001, 9_002] and all(not r.kept for r in out)
+
+
 @pytest.mark.parametrize("dedup", [dedup_substrings, dedup_suffixes])
 def test_texts_that_share_an_id(dedup, spark, docs):
     rows = texts(docs) + [(d, (t or "")[::3]) for d, t in texts(docs)]
