@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -27,16 +28,20 @@ TRUSTED = 5
 
 
 def pack(values: np.ndarray) -> bytes:
+    """The values byte plane by byte plane, compressed: high bytes are mostly zero."""
     import pyarrow as pa
 
-    raw = np.ascontiguousarray(values).tobytes()
+    raw = np.ascontiguousarray(values)
+    raw = np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), -1).T).tobytes() if len(raw) else b""
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes, kind=np.int64) -> np.ndarray:
     import pyarrow as pa
 
-    return np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), kind)
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -85,9 +90,10 @@ def _chunked(batches):
 
 class Grams:
     """The n-grams of one chunk: for each order the different hashes (sorted), the place of each position's hash among
-    them, one position of each, how often each occurs in training documents, and whether in a held-out one."""
+    them, one position of each, how often each occurs in training documents, and whether in a held-out one. only: the
+    single order for which they are wanted."""
 
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict, order: int, only: int | None = None):
         cuts, body = unpack(row["cuts"]), unpack(row["body"], np.uint8)
         data = LOWER[np.concatenate([body, np.zeros(64, np.uint8)])]
         starts, ends, first = words_of(cuts, data)
@@ -105,6 +111,8 @@ class Grams:
         for o in range(1, order + 1):
             if o > 1:
                 own = np.concatenate([np.zeros(1, U), mix(own[:-1] * U(0xC2B2AE3D27D4EB4F) + h[1:] * U(0x9E3779B97F4A7C15) + U(o))])
+            if only not in (None, o):
+                continue
             at = np.flatnonzero(self.place >= o - 1)
             u, rep, inverse = np.unique(own[at], return_index=True, return_inverse=True)
             index = np.full(len(h), -1)
@@ -129,15 +137,16 @@ ASKED = "order int, bucket long, chunk long, hashes binary, trained binary, test
 
 
 def _ask(order: int, buckets: int):
+    """What each chunk has of n-grams of this order, in a row for each bucket."""
+
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for row in b.to_pylist():
-                grams, out = Grams(row, order), []
-                for o in range(1, order + 1):
-                    h, t, tested = grams.hashes[o - 1], grams.trained[o - 1], grams.tested[o - 1]
-                    out += [(o, k, row["chunk"], pack_sorted(h[i:j]), pack(t[i:j]), pack(tested[i:j])) for k, i, j in bucket_cuts(h, buckets)]
+                grams = Grams(row, order, order)
+                h, t, tested = grams.hashes[0], grams.trained[0], grams.tested[0]
+                out = [(order, k, row["chunk"], pack_sorted(h[i:j]), pack(t[i:j]), pack(tested[i:j])) for k, i, j in bucket_cuts(h, buckets)]
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[f.split()[0] for f in ASKED.split(", ")])
 
@@ -409,12 +418,14 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = saved(docs.mapInArrow(_chunked, CHUNKS), "katz-chunks")
     buckets = max(12, math.ceil(chunks.count() * CHUNK_BYTES / 6 / BUCKET_GRAMS))
-    asked = chunks.mapInArrow(_ask(order, buckets), ASKED)
-    counted = saved(asked.groupBy("order", "bucket").applyInArrow(_counted, COUNTED), "katz-counts")
+    # one order after the other: the lists of one take about as much room as the texts
+    asked = [chunks.mapInArrow(_ask(o, buckets), ASKED).groupBy("order", "bucket").applyInArrow(_counted, COUNTED) for o in range(1, order + 1)]
+    tables = [saved(df, "katz-counts") for df in asked]
+    counted = reduce(DataFrame.unionByName, tables)
     model = _model(counted, order)
     answers = counted.where("chunk is not null")
     scored = saved(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_evaluate(model, order, buckets), SCORED), "katz-scored")
-    release(chunks, counted)
+    release(chunks, *tables)
     sums = scored.where("order is not null").drop("docs", "waits")
     weights = saved(sums.groupBy("order", "bucket").applyInArrow(_weights, WEIGHTS), "katz-weights")
     waiting = scored.where("order is null").select("chunk", "docs", "waits")
