@@ -71,6 +71,7 @@ def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     to the smallest only; a variant's group is at most a ball. An odd radius takes the next even one and verifies pairs.
     """
     half = (radius + 1) // 2
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # balls are many times as large as fps
     masks = F.array(*[F.lit(m) for m in ball_masks(64, half)])
     balls = fps.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     groups = balls.groupBy("variant").agg(F.collect_list("fp").alias("near")).where(F.size("near") > 1)
@@ -271,7 +272,8 @@ def near_pairs(variant: np.ndarray, at: np.ndarray, fp: np.ndarray, limit: int)
 
 
 def _meet(high: int, limit: int):
-    """Links of a bucket's nodes that reach what its pairs within limit bits reach: each node with the smallest."""
+    """Links of a bucket's nodes that reach what its pairs within limit bits reach: each node with the smallest that it
+    reaches."""
     masks = np.concatenate([[0], 1 << np.arange(PIECE_BITS)]).astype(np.uint32)
 
     def run(key, table):
@@ -398,14 +400,14 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, limit: int = WIDE_LIMIT
     text). Of pairs of 0.8 to 0.85, of 200 and 1,000 words, 98 of 100 were linked in a simulation, of lesser ones none.
 
     Equal fingerprints are one node. Texts without words (null, empty) are one group; shorter texts than size words
-    are one shingle. Rows that repeat doc_id and text count as one; different texts with one doc_id are taken for the
-    same document. Columns of other names stay as they are. An empty table gives no rows.
+    are one shingle. Rows that repeat doc_id and text count as one; different texts with one doc_id are documents of
+    their own. Columns of other names stay as they are. An empty table gives no rows.
     """
     key, ident = F.xxhash64("text"), F.col("doc_id").cast("long")
     slim = docs.select(ident.alias("doc_id"), key.alias("text_key"), "text")
     fps = saved(slim.mapInArrow(_wide(size), "doc_id long, text_key long, fp binary, n long"), "wide-fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
-    classes = fps.groupBy("fp").agg(best, F.max("n").alias("n")).select(F.coalesce("best.doc_id", F.xxhash64("fp")).alias("node"), "fp", "best", "n")
+    classes = fps.groupBy("fp").agg(best, F.max("n").alias("n")).select(F.xxhash64("fp").alias("node"), "fp", "best", "n")
     classes = saved(classes, "wide-classes")
     met = saved(wide_links(classes, limit), "wide-met")
     links = saved(alike_links(slim, classes, met, size), "wide-links")
