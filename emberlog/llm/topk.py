@@ -12,8 +12,10 @@ from .common import saved
 
 #: Candidates and queries that meet in one cell at most, about.
 CELL_ROWS, CELL_QUERIES = 8_192, 2_048
-PART = "side int, list int, q long, r long, vec long, tie long, part array<int>, cutoff long"
-FOUND = "query long, vec long, tie long, list int, score long"
+#: Components beyond this are taken for it: with any other component of 2 or more the score would leave the longs.
+LIMIT = 1 << 62
+LONG = (1 << 63) - 1
+FOUND = "query long, vec long, tie long, list int, r long, score long, total long"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -22,30 +24,54 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("int")).alias("v"))
+    most = float(LIMIT)
+    return rows.select("vec_id", F.transform("v", lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(most)), F.lit(-most))).cast("long")).alias("v"))
 
 
-def _cells(queries: DataFrame, rows: DataFrame, lists: int, size: int, n_queries: int, n_rows: int) -> DataFrame:
-    """Both sides' parts, each sent to the cells of its list in which it meets the other side's stripes."""
+def _cells(queries: DataFrame, rows: DataFrame, lists: int, size: int, n_queries: int, n_rows: int, open_: DataFrame | None = None) -> DataFrame:
+    """Both sides' parts, each sent to the cells of its list in which it meets the other side's stripes; open_: only the
+    cells (query, list, r)."""
     qs, rs = max(1, math.ceil(n_queries / CELL_QUERIES)), max(1, math.ceil(n_rows / CELL_ROWS))
     step = max(1, math.ceil(size / lists))
     parts = F.posexplode(F.expr(f"transform(sequence(0, {lists - 1}), i -> slice(v, i * {step} + 1, {step}))"))
-    q = queries.select("vec", "cutoff", parts.alias("list", "part")).withColumn("q", F.pmod(F.xxhash64("vec"), F.lit(qs)))
-    q = q.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rs - 1)))).selectExpr("0 side", "list", "q", "cast(r as long) r", "vec", "0L tie", "part", "cutoff")
-    r = rows.select("vec", "tie", parts.alias("list", "part")).withColumn("r", F.pmod(F.xxhash64("vec"), F.lit(rs)))
-    r = r.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qs - 1)))).selectExpr("1 side", "list", "cast(q as long) q", "r", "vec", "tie", "part", "0L cutoff")
+    stripe = lambda n: F.pmod(F.xxhash64("vec"), F.lit(n))
+    q = queries.select("vec", "total", parts.alias("list", "part")).withColumn("q", stripe(qs))
+    r = rows.select("vec", "tie", parts.alias("list", "part")).withColumn("r", stripe(rs))
+    if open_ is None:
+        q = q.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rs - 1))))
+        r = r.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))))
+    else:
+        cells = open_.select(F.col("query").alias("vec"), "list", "r").withColumn("q", stripe(qs))
+        q = q.join(cells.select("vec", "list", "r"), ["vec", "list"])
+        r = r.join(cells.select("list", "r", "q").distinct(), ["list", "r"])
+    q = q.selectExpr("0 side", "list", "cast(q as long) q", "cast(r as long) r", "vec", "0L tie", "part", "total")
+    r = r.selectExpr("1 side", "list", "cast(q as long) q", "cast(r as long) r", "vec", "tie", "part", "0L total")
     return q.unionByName(r)
 
 
-def _scores(k: int | None):
-    """Of each cell, the k best entries of each query's list (k given), or all that reach the query's cutoff."""
+def _top(x: np.ndarray) -> int:
+    return max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All inner products of whole-number rows of a and b, exactly; those beyond a long are the nearest long."""
+    bound = a.shape[1] * _top(a) * _top(b)
+    if bound < 1 << 53:
+        return np.rint(a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    if bound < 1 << 63:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -LONG, LONG).astype(np.int64)
+
+
+def _scores(k: int | None, lists: int):
+    """Of each cell, the k best entries of each query's list (k given), or all that reach the query's share of its total."""
 
     def matrix(table):
         cells = table.column("part").combine_chunks()
         cells = cells.chunk(0) if hasattr(cells, "chunk") else cells
         at = np.asarray(cells.offsets)
         width = int(np.diff(at).max(initial=0))
-        out = np.zeros((len(table), width))
+        out = np.zeros((len(table), width), np.int64)
         row = np.repeat(np.arange(len(table)), np.diff(at))
         out[row, np.arange(at[0], at[-1]) - at[row]] = cells.flatten().to_numpy(zero_copy_only=False)
         return out
@@ -63,18 +89,18 @@ def _scores(k: int | None):
             tie = r.column("tie").to_numpy()
             order = np.argsort(tie, kind="stable")
             b, tie, vec = b[order], tie[order], r.column("vec").to_numpy()[order]
-            cut, own = q.column("cutoff").to_numpy(), q.column("vec").to_numpy()
+            total, own = q.column("total").to_numpy(), q.column("vec").to_numpy()
             for i in range(0, len(q), 256):
-                s = a[i : i + 256] @ b.T  # whole numbers far below 2^53: exact
+                s = products(a[i : i + 256], b)
                 if k is None:
-                    x, y = np.nonzero(s >= cut[i : i + 256, None])
+                    x, y = np.nonzero(s >= -(-total[i : i + 256, None] // lists))
                 else:  # the smaller row id wins a tie: columns are in its order
                     best = np.argsort(-s, axis=1, kind="stable")[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
                     x, y = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
-                out.append((own[i + x], vec[y], tie[y], np.rint(s[x, y]).astype(np.int64)))
-        own, vec, tie, score = (np.concatenate(c) for c in zip(*out)) if out else [np.zeros(0, np.int64)] * 4
-        which = np.full(len(own), key[0].as_py(), np.int32)
-        return pa.table([pa.array(c) for c in (own, vec, tie, which, score)], names=["query", "vec", "tie", "list", "score"])
+                out.append((own[i + x], vec[y], tie[y], s[x, y], total[i + x]))
+        own, vec, tie, score, total = (np.concatenate(c) for c in zip(*out)) if out else [np.zeros(0, np.int64)] * 5
+        which, cell = np.full(len(own), key[0].as_py(), np.int32), np.full(len(own), key[2].as_py(), np.int64)
+        return pa.table([pa.array(c) for c in (own, vec, tie, which, cell, score, total)], names=[f.split()[0] for f in FOUND.split(", ")])
 
     return run
 
@@ -84,10 +110,22 @@ def _best(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _dots(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        score = np.zeros(b.num_rows, np.int64)
+        q, v = b.column(3), b.column(4)
+        for k in range(b.num_rows):
+            x, y = (c[k].values.to_numpy(zero_copy_only=False) for c in (q, v))
+            n = min(len(x), len(y))
+            score[k] = products(x[None, :n], y[None, :n])[0, 0]
+        yield pa.record_batch([*b.columns[:3], pa.array(score)], names=["query", "vec", "tie", "score"])
+
+
 def _exact(pairs: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
-    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: F.coalesce(x, F.lit(0)).cast("long") * F.coalesce(y, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
     pairs = pairs.join(queries.select(F.col("vec").alias("query"), F.col("v").alias("qv")), "query").join(rows.select("vec", "v"), "vec")
-    return pairs.select("query", "vec", "tie", dot.alias("score"))
+    return pairs.select("query", "vec", "tie", "qv", "v").mapInArrow(_dots, "query long, vec long, tie long, score long")
 
 
 def top_k(vectors: DataFrame, query: str = "vec_id % 50 = 0", k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, lists: int = 2) -> DataFrame:
@@ -95,15 +133,17 @@ def top_k(vectors: DataFrame, query: str = "vec_id % 50 = 0", k: int = 5, id_col
     out; all of them if there are fewer. Ties go to the smaller vec_id.
 
     query is a condition on vec_id. The components of all vectors are cut into `lists` ranges, and a range's inner
-    product is a row's entry in that list. Phase one gathers the best entries of each query's lists and resolves their
-    rows: the K-th best total is a safe cutoff. Phase two sends cutoff / lists with the query to every cell of its
-    lists and collects all entries that reach it: a row in none of them is below the cutoff. Phase three drops rows
-    that cannot reach the cutoff with the entries they lack and resolves the others exactly.
+    product is a row's entry in that list. Phase one gathers the best entries of each query's lists, cell by cell, and
+    resolves the best ones' rows: the K-th best total is a safe cutoff. Phase two collects all entries that reach
+    cutoff / lists: a row in none of them is below the cutoff. Cells of which phase one's last entry is below it have
+    given all they have; only the others get the query and its cutoff again. Phase three drops rows that cannot reach
+    the cutoff with the entries they lack and resolves the others exactly.
 
     Lists are scored in cells of bounded numbers of queries and rows. Equal vectors are searched for once, and as
     candidates only the k + 1 smallest ids of them can matter; that is exact. Rows that do not take part: see
     quantised. Repeated ids are rows of their own, each a query with its own result; vectors of different lengths meet
-    as if padded with zeros. Other columns are ignored. An empty table gives no rows.
+    as if padded with zeros. Sums are exact; a score beyond the longs is the nearest long, and components beyond 2^62
+    count as that. Other columns are ignored. An empty table gives no rows.
     """
     top = k + 1  # with the query's own row
     rows = quantised(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id())
@@ -118,19 +158,27 @@ def top_k(vectors: DataFrame, query: str = "vec_id % 50 = 0", k: int = 5, id_col
     asking = rows.where(query).select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), "vec_key")
     wanted = asking.select("vec_key").distinct()
     queries = saved(classes.join(wanted, "vec_key", "left_semi").select("vec", "vec_key", "v"), "topk-queries")
-    size, n_rows = classes.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
+    peak = F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v"))))
+    size, n_rows, most = classes.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*"), F.coalesce(peak, F.lit(0))).first()
     n_queries = queries.count()
+    if size * most * most > LONG // 4:  # sums of parts could leave the longs: one list, whose entries are the totals
+        lists = 1
 
-    def phase(queries: DataFrame, best: int | None) -> DataFrame:
-        return _cells(queries, classes, lists, size, n_queries, n_rows).groupBy("list", "q", "r").applyInArrow(_scores(best), FOUND)
+    def phase(queries: DataFrame, best: int | None, open_: DataFrame | None = None) -> DataFrame:
+        cells = _cells(queries, classes, lists, size, n_queries, n_rows, open_)
+        return cells.groupBy("list", "q", "r").applyInArrow(_scores(best, lists), FOUND)
 
-    gathered = _best(phase(queries.withColumn("cutoff", F.lit(0).cast("long")), top), top, ["query", "list"])
-    resolved = _exact(gathered.select("query", "vec", "tie").distinct(), queries, classes)
+    gathered = saved(phase(queries.withColumn("total", F.lit(0).cast("long")), top), "topk-gathered")
+    resolved = _exact(_best(gathered, top, ["query", "list"]).select("query", "vec", "tie").distinct(), queries, classes)
     # fewer classes than top: the lists held them all, and no cutoff is needed beyond the least of them
     cutoff = saved(_best(resolved, top, ["query"]).groupBy("query").agg(F.min("score").alias("total")), "topk-cutoffs")
-    each = F.ceil(F.col("total") / lists).cast("long")
-    entries = phase(queries.join(cutoff, queries.vec == cutoff.query).select("vec", "v", each.alias("cutoff")), None)
-    some = entries.groupBy("query", "vec", "tie").agg(F.sum("score").alias("partial"), F.count("*").alias("n")).join(cutoff, "query")
+    each = F.expr(f"if(total > 0, total + {lists - 1}, total) div {lists}")  # rounded up
+    known = gathered.drop("total").join(cutoff, "query").where(F.col("score") >= each)
+    open_ = saved(known.groupBy("query", "list", "r").count().where(F.col("count") >= top), "topk-open")
+    asked = queries.join(cutoff, queries.vec == cutoff.query).select("vec", "v", "total")
+    more = phase(asked, None, open_).join(open_, ["query", "list", "r"], "left_semi")
+    entries = known.join(open_, ["query", "list", "r"], "left_anti").unionByName(more)
+    some = entries.groupBy("query", "vec", "tie").agg(F.sum("score").alias("partial"), F.count("*").alias("n"), F.max("total").alias("total"))
     some = some.where(F.col("partial") + (lists - F.col("n")) * (each - 1) >= F.col("total"))
     some = saved(some.select("query", "vec", "tie", "partial", "n"), "topk-entries")
     whole = some.where(F.col("n") == lists).select("query", "vec", "tie", F.col("partial").alias("score"))

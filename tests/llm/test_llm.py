@@ -138,6 +138,41 @@ def test_top_k_brute_force(spark):
     assert top_k(spark.createDataFrame(rows[:3], df.select("vec_id", "embedding").schema)).count() == 2
 
 
+@pytest.mark.parametrize("big", [1e9, 1e15, 1e300])
+def test_top_k_of_large_components(spark, big):
+    import random
+
+    random.seed(6)
+    rows = [(i, [random.uniform(-1, 1) for _ in range(5)]) for i in range(60)] + [(61, [big, 0.0, 0.5, -1.0, 1.0]), (62, [-big, 1.0, 0.0, 0.0, 0.0]), (100, [0.0, 0.25, -0.5, 0.5, 0.0])]
+    got = sorted(tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect())
+    ok = [(i, [max(-(1 << 62), min(1 << 62, math.floor(256 * x))) for x in v]) for i, v in rows]
+    want = []
+    for i, v in ok:
+        if i % 50 == 0:
+            best = sorted((-max(-(2**63 - 1), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), j) for j, w in ok if j != i)[:3]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_top_k_over_many_cells(spark, monkeypatch):
+    """Cells that phase one has not exhausted are asked again."""
+    import random
+
+    from emberlog.llm import topk
+
+    random.seed(7)
+    monkeypatch.setattr(topk, "CELL_ROWS", 40)
+    monkeypatch.setattr(topk, "CELL_QUERIES", 3)
+    rows = [(i, [random.uniform(0, 1) for _ in range(4)]) for i in range(400)]
+    got = sorted(tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query="vec_id % 20 = 0", k=2).collect())
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for i, v in ok[::20]:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in ok if j != i)[:2]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_leaks(spark):
     item = "A farmer in the valley sells 12 kg of apples to Maria for 3 dollars each and keeps the rest, so how much money does Maria pay in total today?"
     other = item.replace("12", "45").replace("Maria", "Jonas Berg").replace("3 dollars", "9 euros")
