@@ -102,6 +102,62 @@ def test_license_wrapped(spark, width):
     assert got[90] == ([""], 0.0) and got[91] == ([""], 0.0)
 
 
+def brute_licenses(text):
+    """Labels and score by trying every run of words of every paragraph."""
+    from emberlog.llm.licenses import NAMES, TEMPLATES
+
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    every = [(label, len(split(t)), set(split(t))) for label, ts in TEMPLATES.items() for t in ts]
+    parts, now = [], []
+    for line in [*(text or "").split("\n"), ""]:
+        if split(line):
+            now += split(line)
+        elif now:
+            parts.append(now)
+            now = []
+    best = {}
+    for part in parts:
+        found = {}
+        for k, (label, long, own) in enumerate(every):
+            need = math.ceil(0.8 * len(own) - 1e-9)
+            runs = [own.intersection(part[i : i + 2 * long]) for i in range(len(part))]
+            common = max((len(r) for r in runs if NAMES & own <= r), default=0)
+            if common >= need:
+                found[k] = common / len(own)
+        for k, x in found.items():
+            if not any(every[k][2] < every[j][2] and every[k][0] != every[j][0] for j in found):
+                best[every[k][0]] = max(x, best.get(every[k][0], 0))
+    return sorted(best), max(best.values(), default=0.0)
+
+
+def test_licenses_brute_force(spark, docs):
+    import random
+
+    from emberlog.llm.licenses import TEMPLATES
+
+    random.seed(2)
+    rows = texts(docs) + [(8_000, "Licensed under CC BY 4.0."), (8_001, "Licensed under CC BY-NC 4.0."), (8_002, "Released under the BSD License.")]
+    scattered = ["word"] * 500
+    scattered[3], scattered[100], scattered[250], scattered[400], scattered[450] = "released", "under", "the", "license", "mit"
+    rows.append((8_003, " ".join(scattered)))
+    notices = [t for ts in TEMPLATES.values() for t in ts]
+    for k in range(300):  # parts of templates among other words, wrapped, with words left out and gaps
+        own = random.choice(notices).split()
+        own = [w for w in own if random.random() > 0.1]
+        for _ in range(random.randrange(3)):
+            own.insert(random.randrange(len(own) + 1), " ".join(["filler"] * random.randrange(1, 40)))
+        body = [*(["before"] * random.randrange(90)), *own, *(["the", "of", "and"] * random.randrange(40))]
+        rows.append((9_000 + k, "".join(w + random.choice(("\n", " ", " ", " ", "\r\n // ", "\n \n" if random.random() < 0.05 else " ")) for w in body)))
+    got = {r.doc_id: (set(filter(None, r.labels.split(","))) - set(filter(None, r.base_labels.split(","))), r.score) for r in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    labels = 0
+    for d, t in rows:
+        want, score = brute_licenses(t)
+        assert got[d][0] == set(want) and abs(got[d][1] - score) < 1e-12, (d, t[:300], got[d], want, score)
+        labels += bool(want)
+    assert labels > 100
+    assert got[8_000][0] == {"cc-by-4.0-notice"} and got[8_001][0] == {"cc-by-nc-4.0-notice"} and not got[8_002][0] and not got[8_003][0]
+
+
 def test_quality_orders_and_held_out_accuracy(spark, data):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     grades = quality_grades(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
