@@ -6,12 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, chunks, mix, word_hashes
+from .common import LOWER, Rolling, chunks, mix, saved, word_hashes
 
 U = np.uint64
 WINDOW = 8
 #: A window counts if so many of its tokens are words and no placeholders.
 LITERALS = 5
+#: Items of fewer tokens than this would be found everywhere.
+SHORTEST = 3
 #: Units that may follow a number (fixed values).
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "ton", "tons", "lb", "lbs", "pound", "pounds", "ounce", "ounces", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "degree", "degrees", "kmh", "mph", "w", "kw", "kwh", "v", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb")
 #: Bits of the fixed-size filter that benchmark windows set; it only spares rows, the join decides.
@@ -90,50 +92,98 @@ def canonical(offsets: np.ndarray, data: np.ndarray):
     return starts, ends, h, slot, value, np.searchsorted(starts, offsets)
 
 
-def _windows(column):
-    """For each chunk with windows: (row, position of the window's first token, window hash, token index, slots, values)."""
+#: A kind of windows: whether placeholders stand in them (else the values themselves), and the number of tokens.
+Shape = tuple[bool, int]
+
+
+def _shape_hashes(h: np.ndarray, value: np.ndarray, shapes: list[Shape]):
+    """For each shape a function from the windows' first tokens to their hashes."""
+    rolls = {t: Rolling(h if t else mix(value ^ U(0x94D049BB133111EB)), 0x9E3779B97F4A7C15) for t in {t for t, _ in shapes}}
+    for templated, size in shapes:
+        salt = mix(np.array([2 * size + templated], U))[0]
+        yield templated, size, lambda at, r=rolls[templated], n=size, s=salt: mix(r.of(at, at + n) ^ s)
+
+
+def _literals(slot: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(~slot)])
+
+
+def _marked(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Values whose last bit tells names from numbers and units."""
+    return value & ~U(1) | (h == _SLOTS["name"]).astype(U)
+
+
+def _windows(column, shapes: list[Shape]):
+    """For each chunk and shape: (row, documents, positions of the windows' first tokens, window hashes, token indices,
+    slots, values, shape)."""
     for row, end, offsets, data in chunks(column):
         starts, _, h, slot, value, first = canonical(offsets, data)
         n = np.diff(first)
         doc = np.repeat(np.arange(end - row), n)
         pos = np.arange(len(starts)) - first[:-1][doc]
-        literal = np.concatenate([[0], np.cumsum(~slot)])
-        at = np.flatnonzero(pos + WINDOW <= n[doc])
-        at = at[literal[at + WINDOW] - literal[at] >= LITERALS]
-        roll = Rolling(h, 0x9E3779B97F4A7C15)
-        value = value & ~U(1) | (h == _SLOTS["name"]).astype(U)  # the last bit tells names from numbers and units
-        yield row, doc[at], pos[at], roll.of(at, at + WINDOW), at, slot, value
+        literal, marked = _literals(slot), _marked(h, value)
+        for templated, size, hashed in _shape_hashes(h, value, shapes):
+            at = np.flatnonzero(pos + size <= n[doc])
+            if templated:
+                at = at[literal[at + size] - literal[at] >= LITERALS]
+            yield row, doc[at], pos[at], hashed(at), at, slot, marked, (templated, size)
+
+
+def _batch(key, pos, h, at, slot, value, shape: Shape, extra: bool):
+    import pyarrow as pa
 
+    templated, size = shape
+    cells = at[:, None] + np.arange(size)[None, :]
+    filled = slot[cells] if templated else np.zeros(cells.shape, bool)
+    cuts = np.concatenate([[0], np.cumsum(filled.sum(1))]).astype(np.int32)
+    columns = [key, pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(cuts, value[cells][filled].view(np.int64))]
+    if extra:
+        columns += [pa.array(np.full(len(at), templated)), pa.array(np.full(len(at), size, np.int32))]
+    return pa.record_batch(columns, names=[f.split()[0] for f in f"key x, {ITEM if extra else ROW}".split(", ")])
 
-def _rows(bits=None):
+
+ROW = "pos int, hash long, slots array<long>"
+ITEM = f"{ROW}, templated boolean, size int"
+
+
+def _item_rows(batches):
+    """The windows of benchmark items, at most WINDOW tokens long. An item that has no window with enough words is looked
+    for with its own numbers and names in place of placeholders."""
+    import pyarrow as pa
+
+    for b in batches:
+        for row, end, offsets, data in chunks(b.column(1)):
+            starts, _, h, slot, value, first = canonical(offsets, data)
+            literal, marked = _literals(slot), _marked(h, value)
+            for k in range(end - row):
+                n = int(first[k + 1] - first[k])
+                size = min(n, WINDOW)
+                if n < SHORTEST:
+                    continue
+                every = int(first[k]) + np.arange(n - size + 1)
+                at = every[literal[every + size] - literal[every] >= LITERALS]
+                shape = (len(at) > 0, size)
+                at = at if len(at) else every
+                hashed = next(_shape_hashes(h, value, [shape]))[2](at)
+                yield _batch(b.column(0).take(pa.array(np.full(len(at), row + k))), at - first[k], hashed, at, slot, marked, shape, True)
+
+
+def _rows(bits, shapes: list[Shape]):
     """(key, pos, hash, slots): windows that may be in the filter; slots are the places and values of its placeholders."""
 
     def run(batches):
         import pyarrow as pa
 
-        keep = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool) if bits is not None else None
+        keep = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
         for b in batches:
-            keys = b.column(0)
-            for row, doc, pos, h, at, slot, value in _windows(b.column(1)):
-                if keep is not None:
-                    near = np.flatnonzero(keep[(h & U(FILTER_BITS - 1)).astype(np.int64)])
-                    doc, pos, h, at = doc[near], pos[near], h[near], at[near]
-                if not len(at):
-                    continue
-                cells = at[:, None] + np.arange(WINDOW)[None, :]
-                filled = slot[cells]
-                cuts = np.concatenate([[0], np.cumsum(filled.sum(1))]).astype(np.int32)
-                yield pa.record_batch(
-                    [keys.take(pa.array(row + doc)), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(cuts, value[cells][filled].view(np.int64))],
-                    names=["key", "pos", "hash", "slots"],
-                )
+            for row, doc, pos, h, at, slot, value, shape in _windows(b.column(1), shapes):
+                near = np.flatnonzero(keep[(h & U(FILTER_BITS - 1)).astype(np.int64)])
+                if len(near):
+                    yield _batch(b.column(0).take(pa.array(row + doc[near])), pos[near], h[near], at[near], slot, value, shape, False)
 
     return run
 
 
-ROW = "pos int, hash long, slots array<long>"
-
-
 def window_filter(windows: DataFrame) -> bytes:
     """A filter of FILTER_BITS bits from the column hash: its size is the same for any number of windows."""
     bit = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
@@ -155,17 +205,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", least
     stand for one name is left out as a whole. Two values of the item may have one in the document. A placing counts
     if least_windows windows or the share least_share of the item's remain. So a question with other numbers or names
     is found, with equal numbers that became different ones too, and one that mixes up names is not. The best placing
-    of each pair is returned. An item or document without such a window (null, empty or short text) takes no part;
-    rows that repeat a key count as one document, a null key is a key like any other. Other columns are ignored.
+    of each pair is returned. An item of fewer than eight tokens is one window. An item of which no window has five words
+    is looked for with its own numbers, units and names, not with placeholders. Items of fewer than three tokens and
+    null and empty texts take no part; rows that repeat a key count as one document, a null key is a key like any other.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     docs, items = docs.select(F.col(key).alias("key"), "text"), benchmark.select(F.col("item_id").alias("key"), "text")
     kind = dict(docs.dtypes)["key"]
-    bench = items.mapInArrow(_rows(), f"key {dict(items.dtypes)['key']}, {ROW}")
+    bench = saved(items.mapInArrow(_item_rows, f"key {dict(items.dtypes)['key']}, {ITEM}"), "benchmark-windows")
+    shapes = [(r.templated, r["size"]) for r in bench.select("templated", "size").distinct().collect()]  # two kinds of up to WINDOW lengths
     bench = bench.select(F.col("key").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
     sizes = bench.groupBy("item_id").agg(F.count_distinct("item_pos").alias("item_windows"))
     bits = spark.sparkContext.broadcast(window_filter(bench))
-    found = docs.mapInArrow(_rows(bits), f"key {kind}, {ROW}").join(bench, "hash")
+    found = docs.mapInArrow(_rows(bits, shapes), f"key {kind}, {ROW}").join(bench, "hash")
     pairs = F.expr("transform(arrays_zip(item_slots, slots), p -> struct(p.item_slots as i, p.slots as d))")
     placing = found.groupBy("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set(F.struct("item_pos", pairs.alias("pairs"))).alias("windows")

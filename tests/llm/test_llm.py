@@ -240,6 +240,84 @@ def test_leaks(spark):
     assert find_leaks(docs, bench.limit(0)).count() == 0 and find_leaks(docs.limit(0), bench).count() == 0
 
 
+def template_tokens(text):
+    """(what stands in a window, what stands for a placeholder or None, whether a name), by regular expressions."""
+    from emberlog.llm.decontaminate import UNITS
+
+    out, before_number, name_ends = [], False, False
+    for m in re.finditer(r"(?:[0-9A-Za-z\x80-\U0010ffff]|(?<=[0-9])[.,](?=[0-9]))+", text or ""):
+        w, lead = m[0], (text[: m.start()]).rstrip(" \t\x0b\x0c")
+        opens = not lead or lead[-1] in ".!?:;\n\r\"|"
+        if "0" <= w[0] <= "9":
+            out.append(("#", low(w), False))
+        elif before_number and low(w) in UNITS:
+            out.append(("unit", low(w), False))
+        elif "A" <= w[0] <= "Z" and not opens:
+            if name_ends:
+                out[-1] = ("name", tuple(sorted([*out[-1][1], low(w)])), True)
+            else:
+                out.append(("name", (low(w),), True))
+        else:
+            out.append((low(w), None, False))
+        before_number, name_ends = "0" <= w[0] <= "9", out[-1][0] == "name"
+    return out
+
+
+def brute_leaks(docs, items):
+    found = {}
+    for item, text in items:
+        t = template_tokens(text)
+        n = min(8, len(t))
+        if n < 3:
+            continue
+        every = list(range(len(t) - n + 1))
+        own = [i for i in every if sum(x[1] is None for x in t[i : i + n]) >= 5]
+        verbatim = not own
+        own = own or every
+        key = (lambda w: tuple(str(x[1] or x[0]) for x in w)) if verbatim else (lambda w: tuple(x[0] for x in w))
+        index = defaultdict(list)
+        for i in own:
+            index[key(t[i : i + n])].append(i)
+        for doc, body in docs:
+            d, placing = template_tokens(body), defaultdict(set)
+            for j in range(len(d) - n + 1):
+                for i in index.get(key(d[j : j + n]), ()):
+                    placing[j - i].add(i)
+            best = 0
+            for shift, at in placing.items():
+                pairs = {i: set() if verbatim else {(a[1], b[1], a[2]) for a, b in zip(t[i : i + n], d[i + shift : i + shift + n]) if a[1] is not None} for i in at}
+                names = defaultdict(set)
+                votes = Counter()
+                for i in at:
+                    for a, b, is_name in pairs[i]:
+                        if is_name:
+                            names[a].add(b)
+                    votes.update([] if verbatim else [(a[1], b[1]) for a, b in zip(t[i : i + n], d[i + shift : i + shift + n]) if a[1] is not None])
+                if any(len(v) > 1 for v in names.values()):
+                    continue
+                lost = {(a, b) for (a, b), c in votes.items() if any(x == a and k > c for (x, _), k in votes.items())}
+                best = max(best, sum(not {(a, b) for a, b, _ in pairs[i]} & lost for i in at))
+            if best and (best >= 6 or best >= 0.5 * len(own)):
+                found[doc, item] = (best, len(own))
+    return found
+
+
+def test_leaks_brute_force(spark, docs, data, odd):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    items += [(9_001, "What is the capital of France?"), (9_002, "12 + 45 = 57, so 3 x 19 = 57"), (9_003, "Name it."), (9_004, ""), (9_005, None), (9_006, items[0][1])]
+    rows = texts(docs) + [(80_000, "They asked: what is the capital of Spain?"), (80_001, "And what is the capital of France, then"), (80_002, "so 12 + 45 = 57, so 3 x 19 = 57."), (80_003, "12 + 45 = 58, so 3 x 20 = 58"), (80_004, "Name it."), *((d, t) for d, t in ODD if d != 4 and d is not None)]
+    rows += [(81_000 + k, f"Some words before. {t} And after it, {k}.") for k, (_, t) in enumerate(items[:20])]
+    rows += [(82_000 + k, re.sub(r"[0-9]+", lambda m: str(int(m[0]) + 7), t or "").replace("the", "a", 1)) for k, (_, t) in enumerate(items[:20])]
+    table = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("key", "hash", "slots", "pos", "item_id")})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("key", F.lit(1))
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.item_windows) for r in find_leaks(table.repartition(3), bench).collect()}
+    want = brute_leaks([(d, t) for d, t in rows], items)
+    assert got == want and {(80_000, 9_001), (80_001, 9_001), (80_002, 9_002)} <= set(got) and (80_003, 9_002) not in got
+    assert sum(d >= 81_000 for d, _ in got) >= 30
+    kept = decontaminate(odd, bench)
+    assert kept.columns == odd.columns and kept.count() == len(ODD)
+
+
 def test_leaks_with_contradicting_numbers(spark):
     item = "A farmer in the valley has 5 apples left in the old wooden barn behind the house and then buys exactly 5 pears at the market near the river, so how much fruit is there in the end for all of the children?"
     two = "A farmer in the valley has 6 apples left in the old wooden barn behind the house and then buys exactly 8 pears at the market near the river, so how much fruit is there in the end for all of the children?"
