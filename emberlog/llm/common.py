@@ -14,16 +14,32 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (as in tests) one below the warehouse."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-    return top.rstrip("/") + "/emberlog"
+    """This application's folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local
+    master (as in tests) takes a folder below the warehouse; on a cluster it is an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    return f"{top.rstrip('/')}/emberlog/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results of operators read some of them until they are written."""
+    _delete(spark, shared_dir(spark))
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet to the shared folder and return a scan of it.
 
     This cuts the lineage: an executor lost later costs a re-read only. The shuffle files of the write are released
-    as it ends, so that the phases of an operator do not add up on disk.
+    as it ends, so that the phases of an operator do not add up on disk; the setting for this holds for the session
+    while the write runs, which costs other queries at that time a stage that they would have used again, at most.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -42,9 +58,7 @@ def release(*frames: DataFrame) -> None:
     """Delete what saved() wrote for frames that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_saved_at", None):
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
 
 
 # ---- numpy over the bytes of Arrow string columns

@@ -17,7 +17,7 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Elements (fixed values): those whose content is no text, void ones, inline ones, and those that end an open paragraph.
-RAW = frozenset("script style template iframe noframes noembed textarea title xmp noscript svg math object".split())
+RAW = frozenset("script style template iframe noframes noembed textarea title xmp noscript".split())
 VOID = frozenset("area base col embed hr img input link meta param source track wbr br".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()

@@ -98,22 +98,22 @@ def fit_ordinal(doc: np.ndarray, index: np.ndarray, value: np.ndarray, grade: np
 
 
 def graded_sample(docs: DataFrame, ratings: DataFrame, bound: int, seed: int = 5) -> DataFrame:
-    """text, grade of about bound rated documents at most, picked by a hash of the doc_id; ratings: doc_id, grade."""
+    """doc_id, text, grade of about bound rated documents at most, picked by a hash of the doc_id; ratings: doc_id, grade."""
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     n = rated.count()
     if n > bound:
         rated = rated.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
-    return docs.select("doc_id", "text").join(rated, "doc_id").select("text", "grade")
+    return docs.select("doc_id", "text").join(rated, "doc_id").select("doc_id", "text", "grade")
 
 
 def _collected(batches):
     import pyarrow as pa
 
     for b in batches:
-        grade = b.column(1).to_numpy()
+        grade, keys = b.column(1).to_numpy(), b.column(2)
         for row, end, doc, index, value in features(b.column(0)):
             cuts = np.searchsorted(doc, np.arange(end - row + 1)).astype(np.int32)
-            yield pa.record_batch([pa.array(grade[row:end].astype(np.int32)), pa.ListArray.from_arrays(cuts, index.astype(np.int32)), pa.ListArray.from_arrays(cuts, value.astype(np.float32))], names=["grade", "index", "value"])
+            yield pa.record_batch([keys.slice(row, end - row), pa.array(grade[row:end].astype(np.int32)), pa.ListArray.from_arrays(cuts, index.astype(np.int32)), pa.ListArray.from_arrays(cuts, value.astype(np.float32))], names=["key", "grade", "index", "value"])
 
 
 def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample_bound: int = 8_000, l2: float = 10.0) -> OrdinalModel:
@@ -121,7 +121,10 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample_bou
     sample_bound rated documents at most, whatever the size of the corpus. Without any rating all weights are 0 and
     every grade is as likely."""
     sample = graded_sample(docs, ratings.where(F.col("grade").between(0, grades - 1)), sample_bound)
-    rows = sample.mapInArrow(_collected, "grade int, index array<int>, value array<float>").toArrow().combine_chunks()
+    sample = sample.select("text", "grade", F.xxhash64("doc_id", "text", "grade").alias("key"))
+    rows = sample.mapInArrow(_collected, "key long, grade int, index array<int>, value array<float>").toArrow()
+    # the rows' order differs from run to run: a fixed order makes sums, and so the model, repeatable
+    rows = rows.sort_by("key").combine_chunks()
     if not rows.num_rows:
         share = np.arange(1, grades) / grades
         return OrdinalModel(np.zeros(SIZE), np.log(share / (1 - share)))
@@ -131,15 +134,14 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample_bou
     doc = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     index = pc.list_flatten(lists).to_numpy().astype(np.int64)
     value = pc.list_flatten(rows.column("value").combine_chunks()).to_numpy().astype(np.float64)
-    # the rows' order differs from run to run: a fixed order makes sums, and so the model, repeatable
     grade = rows.column("grade").to_numpy().astype(np.int64)
     return fit_ordinal(doc, index, value, grade, grades, l2)
 
 
-def score_quality(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """docs with expected_grade and tails (array: P(grade >= 1), P(grade >= 2), ...); a null text is scored as empty.
-    Columns of these names in docs are replaced."""
-    docs = docs.drop("expected_grade", "tails")
+def score_quality(docs: DataFrame, model: OrdinalModel, grade_col: str = "expected_grade", tails_col: str = "tails") -> DataFrame:
+    """docs with two more columns: the expected grade, and tails (array: P(grade >= 1), P(grade >= 2), ...); a null text
+    is scored as empty. Columns of these names in docs are replaced: give others to keep them."""
+    docs = docs.drop(grade_col, tails_col)
     spark, fields = docs.sparkSession, docs.schema
     weights, thresholds = spark.sparkContext.broadcast(model.weights.astype(np.float32)), model.thresholds
 
@@ -154,9 +156,9 @@ def score_quality(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             tails = scorer.tails(np.round(z, 9))
             cuts = np.arange(b.num_rows + 1, dtype=np.int32) * tails.shape[1]
             extra = [pa.array(tails.sum(1)), pa.ListArray.from_arrays(cuts, tails.ravel())]
-            yield pa.record_batch([*b.columns, *extra], names=[*b.schema.names, "expected_grade", "tails"])
+            yield pa.record_batch([*b.columns, *extra], names=[*b.schema.names, grade_col, tails_col])
 
-    schema = T.StructType([*fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*fields, T.StructField(grade_col, T.DoubleType()), T.StructField(tails_col, T.ArrayType(T.DoubleType()))])
     return docs.mapInArrow(run, schema)
 
 

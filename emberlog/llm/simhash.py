@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import ceil, log2
 
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, chunks, mix, saved, word_hashes, words_of
+from .common import LOWER, Rolling, chunks, mix, release, saved, word_hashes, words_of
 from .components import components
 
 U = np.uint64
@@ -305,12 +306,13 @@ def wide_links(classes: DataFrame, limit: int, bucket_nodes: int = BUCKET_NODES)
     high = max(2, ceil(log2(max(1, slim.count()) * 33 / BUCKET_ENTRIES + 1)))
     sizes = slim.mapInArrow(_balls(range(PIECES), high, None), PACKED).groupBy("piece", "bucket").agg(F.sum("n").alias("n"))
     over = {(r.piece, r.bucket): 1 + ceil(r.n / bucket_nodes) for r in sizes.where(F.col("n") > 2 * bucket_nodes).collect()}  # hot buckets only
-    links = None
+    found = []
     for k in range(0, PIECES, ROUND):  # some pieces at a time: fingerprints of all of them would fill the disks
         sent = slim.mapInArrow(_balls(range(k, min(k + ROUND, PIECES)), high, over), PACKED)
-        found = saved(sent.groupBy("piece", "bucket", "i", "j").applyInArrow(_meet(high, limit), "a long, b long").distinct(), "wide-links")
-        links = found if links is None else links.unionByName(found)
-    return links.distinct()
+        found.append(saved(sent.groupBy("piece", "bucket", "i", "j").applyInArrow(_meet(high, limit), "a long, b long").distinct(), "wide-links"))
+    links = saved(reduce(DataFrame.unionByName, found).distinct(), "wide-met")
+    release(*found)
+    return links
 
 
 def _sets(size: int):
@@ -409,12 +411,13 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, limit: int = WIDE_LIMIT
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
     classes = fps.groupBy("fp").agg(best, F.max("n").alias("n")).select(F.xxhash64("fp").alias("node"), "fp", "best", "n")
     classes = saved(classes, "wide-classes")
-    met = saved(wide_links(classes, limit), "wide-met")
+    met = wide_links(classes, limit)
     links = saved(alike_links(slim, classes, met, size), "wide-links")
     roots = components(links)
     named = classes.join(roots, "node", "left").select(F.coalesce("component", "node").alias("component"), "best")
     stay = named.groupBy("component").agg(F.min("best").alias("best")).select("best.doc_id", "best.text_key")
     stay = saved(stay.distinct(), "wide-stay")
+    release(fps, classes, met, links)
     own, hashed = "__doc_key", "__text_key"
     rows = docs.withColumn(own, F.coalesce(ident, F.lit(-1 << 63))).withColumn(hashed, key)
     stay = stay.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias(own), F.col("text_key").alias(hashed))

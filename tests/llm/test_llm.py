@@ -167,6 +167,84 @@ def test_quality_orders_and_held_out_accuracy(spark, data):
     assert sum((r.tails[1] >= 0.5) == (r.grade == 2) for r in rows) > 0.85 * len(rows)
 
 
+def test_quality_scores_brute_force(spark, docs):
+    """Scores from words found by regular expressions and a model of random weights."""
+    import random
+
+    import numpy as np
+
+    from emberlog.llm.common import word_hashes
+    from emberlog.llm.quality import SIZE, SYMBOLS, WORDS, OrdinalModel
+
+    random.seed(4)
+    model = OrdinalModel(np.array([random.uniform(-1, 1) for _ in range(SIZE)], np.float32).astype(float), np.array([-0.5, 0.75]))
+    of = lambda w, seed=0: int(word_hashes(np.frombuffer(w + bytes(16), np.uint8), np.array([0]), np.array([len(w)]), seed)[0])
+    rows = texts(docs)[:120] + [(d, t) for d, t in ODD if d != 5]
+    got = Counter((r.doc_id, round(r.expected_grade, 6)) for r in score_quality(spark.createDataFrame(rows, SCHEMA), model).collect())
+    want = Counter()
+    for d, t in rows:
+        raw = (t or "").encode()
+        ws = re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)
+        n = max(len(ws), 1)
+        z = sum(model.weights[of(w) % WORDS] for w in {of(w) % WORDS: w for w in map(bytes.lower, ws)}.values())
+        for kind, c in Counter(WORDS + of(w, 1) % SYMBOLS for w in re.findall(rb"[^0-9A-Za-z\x80-\xff\t-\r ]+", raw)).items():
+            z += model.weights[kind] * min(c * 8 / n, 16)
+        low_ws = [w.lower() for w in ws]
+        z += model.weights[WORDS + SYMBOLS] * min(len(re.findall(rb"[A-Z]", raw)) * 2 / n, 16)
+        z += model.weights[WORDS + SYMBOLS + 1] * min(sum(a == b for a, b in zip(low_ws, low_ws[1:])) * 8 / n, 16)
+        want[d, round(sum(1 / (1 + math.exp(max(-60, min(60, c - z)))) for c in model.thresholds), 6)] += 1
+    assert got == want
+
+
+def test_ordinal_fit_reaches_the_maximum():
+    """The fit's penalised likelihood against long plain gradient ascent, by loops over rows."""
+    import random
+
+    import numpy as np
+
+    from emberlog.llm.quality import fit_ordinal
+
+    random.seed(3)
+    n, k = 90, 4
+    x = [[random.choice((0.0, 1.0)) for _ in range(k)] for _ in range(n)]
+    grade = [sum(2.0 * a[0] - 1.5 * a[1] + random.gauss(0, 1) > c for c in (-0.3, 0.9)) for a in x]
+    doc, index, value = zip(*[(i, j, v) for i, a in enumerate(x) for j, v in enumerate(a) if v])
+
+    def loss(w, cuts):
+        out = 5.0 * sum(a * a for a in w)  # l2 / 2
+        for a, g in zip(x, grade):
+            z = sum(p * q for p, q in zip(w, a))
+            up = 1.0 if g == 2 else 1 / (1 + math.exp(z - cuts[g]))
+            out -= math.log(max(up - (0.0 if g == 0 else 1 / (1 + math.exp(z - cuts[g - 1]))), 1e-12))
+        return out
+
+    best = [0.0] * k + [-0.5, 0.5]
+    step = 0.5
+    while step > 1e-5:  # coordinate search
+        moved = False
+        for i in range(k + 2):
+            for d in (step, -step):
+                now = best[:]
+                now[i] += d
+                if now[k] < now[k + 1] and loss(now[:k], now[k:]) < loss(best[:k], best[k:]) - 1e-12:
+                    best, moved = now, True
+        step = step if moved else step / 2
+    model = fit_ordinal(np.array(doc), np.array(index), np.array(value), np.array(grade), 3)
+    got, want = loss(model.weights[:k].tolist(), model.thresholds.tolist()), loss(best[:k], best[k:])
+    assert model.thresholds[0] < model.thresholds[1] and want - 1e-9 <= got < want + 0.02 * abs(want)
+
+
+def test_quality_stage_keeps_clashing_columns_and_is_repeatable(spark, docs, data):
+    import corpus_pipeline as p
+
+    clash = docs.withColumn("tails", F.lit("x")).withColumn("expected_grade", F.lit("y")).withColumn("__row", F.lit(1))
+    out = p.quality(spark, clash, data)
+    assert out.dtypes == clash.dtypes and out.where("tails <> 'x' or expected_grade <> 'y'").count() == 0
+    grades = quality_grades(spark.read.parquet(f"{data}/labels.parquet"))
+    one, two = (fit_quality(docs.repartition(n), grades.repartition(n)) for n in (3, 7))
+    assert (one.weights == two.weights).all() and (one.thresholds == two.thresholds).all()
+
+
 def test_quality_odd(spark, odd):
     none = spark.createDataFrame([], "doc_id long, grade int")
     out = score_quality(odd, fit_quality(odd, none))
@@ -644,12 +722,49 @@ PAGE = """<!DOCTYPE html><html><body class="has-sidebar"><header><h1>Site</h1><p
 
 def test_main_text(spark):
     assert main_blocks(PAGE) == ["The title", "First & foremost, a paragraph with bold and a link.", "Short."]
+    formula = "<article><p>The area is given by <math><mi>r</mi><mo>=</mo><mn>2</mn></math> as all of us know by now, <object>and so on</object> <svg><text>here</text></svg>.</p></article>"
+    assert main_blocks(formula) == ["The area is given by r=2 as all of us know by now, and so on here."]
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (3, "u", ""), (None, "v", "<p>unclosed <b>words that go on for long enough to matter <i>here."), (4, "w", "<" * 5000), (5, "x", '<a href="' * 2000)]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_mixing_of_many_sources(spark):
+    """Hundreds of sources, some tiny and some hot; targets by simple resharing, ranges in many blocks."""
+    import random
+
+    from emberlog.llm import mixing
+
+    random.seed(1)
+    rows = [(i, "w " * random.randrange(40), "hot" if i % 3 == 0 else None if i % 50 == 1 else f"s{i % 211}") for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(df, rows_per_range=10).collect()
+    old, mixing.BLOCK = mixing.BLOCK, 7
+    try:
+        assert sorted(map(tuple, mix_sources(df, rows_per_range=10).collect()), key=str) == sorted(map(tuple, got), key=str)
+    finally:
+        mixing.BLOCK = old
+    size, target, taken = Counter(), {}, Counter()
+    for r in got:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    want, open_, left = {}, set(names), float(sum(size.values()))
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 3 * size[s]}
+        if not full:
+            want |= share
+            break
+        want |= {s: 3.0 * size[s] for s in full}
+        left -= sum(3.0 * size[s] for s in full)
+        open_ -= full
+    assert all(abs(target[s] - want[s]) < 1e-6 * max(1, want[s]) and abs(taken[s] - want[s]) <= 1 for s in names)
+
+
 def test_mixing(docs):
     rows = mix_sources(docs).collect()
     size, taken, target = Counter(), Counter(), {}
