@@ -18,7 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are of the best grade with enough probability. The classifier learns from labels of docs."""
     attach(spark)
     model = fit_quality(docs, quality_grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return score_quality(docs, model).where(F.col("tails")[1] >= KEEP_TAIL).select(*docs.columns)
+    scored = score_quality(docs, model, "__grade", "__tails")
+    return scored.where(F.col("__tails")[1] >= KEEP_TAIL).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
