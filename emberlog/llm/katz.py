@@ -22,6 +22,8 @@ from .common import LOWER, buffers, mix, release, saved, word_hashes, words_of
 U = np.uint64
 #: Bytes of text in a chunk, and n-grams that a bucket gathers from chunks, about.
 CHUNK_BYTES, BUCKET_GRAMS = 4 << 20, 2_000_000
+#: Rounds in which chunks meet their answers.
+ROUNDS = 3
 START, END = U(0x2545F4914F6CDD1D), U(0x9E6C63D0876A9A47)
 #: Counts up to this one are discounted by Good-Turing.
 TRUSTED = 5
@@ -424,7 +426,11 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     counted = reduce(DataFrame.unionByName, tables)
     model = _model(counted, order)
     answers = counted.where("chunk is not null")
-    scored = saved(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_evaluate(model, order, buckets), SCORED), "katz-scored")
+    turn, parts = F.pmod(F.xxhash64("chunk"), F.lit(ROUNDS)), []
+    for k in range(ROUNDS):  # a share of the chunks at a time: all of them with their answers would fill the disks
+        own = chunks.where(turn == k).groupBy("chunk").cogroup(answers.where(turn == k).groupBy("chunk"))
+        parts.append(saved(own.applyInArrow(_evaluate(model, order, buckets), SCORED), "katz-scored"))
+    scored = reduce(DataFrame.unionByName, parts)
     release(chunks, *tables)
     sums = scored.where("order is not null").drop("docs", "waits")
     weights = saved(sums.groupBy("order", "bucket").applyInArrow(_weights, WEIGHTS), "katz-weights")
