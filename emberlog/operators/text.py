@@ -8,38 +8,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Severity ladder (fixed values).
-SEVERITY_RANKS = {"EMERGENCY": 70, "ALERT": 65, "CRITICAL": 60, "ERROR": 50, "WARNING": 40, "NOTICE": 30, "INFO": 20, "DEBUG": 10}
-#: Redaction rules in the order in which they apply; the patterns mean the same to Java and RE2.
+SEVERITY_RANKS = {"EMERGENCY": 70, "ALERT": 60, "CRITICAL": 50, "ERROR": 40, "WARN": 30, "WARNING": 30, "NOTICE": 25, "INFO": 20, "DEBUG": 10}
+#: Redaction rules in the order in which they apply (fixed values).
 REDACTIONS = (
-    (r"(?i)\bauthorization:\s*\S+(\s+\S+)?", "<auth>"),
-    (r"(?i)\b(set-)?cookie:\s*[^\n]+", "<cookie>"),
-    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "<jwt>"),
-    (r"(?i)\b(password|passwd|secret|api[_-]?key|token)\b\s*[=:]\s*\S+", "<secret>"),
-    (r"(?i)\bbearer\s+\S+", "<bearer>"),
-    (r"/(home|Users)/[A-Za-z0-9._-]+", "<home>"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "<email>"),
-    (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "<ip>"),
-    (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
-    (r"(?i)\b(user|account|session|request)[_ ]?id\s*[=:]\s*\S+", "<id>"),
-    (r"[ \t\r\n]+", " "),
+    (r"(?i)\bauthorization\s*[:=]\s*(?:bearer|basic)\s+[A-Za-z0-9._~+/\-]+=*", "<AUTH_HEADER>"),
+    (r"(?i)\b(?:set-cookie|cookie)\s*[:=]\s*[^,\n]+", "<COOKIE>"),
+    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "<JWT>"),
+    (r"(?i)(rtmps://[^ \n]+/live2/)[A-Za-z0-9_-]+", "$1<STREAM_KEY>"),
+    (r"""(?i)\b(api[_-]?key|token|secret|password)\s*[:=]\s*['"]?[A-Za-z0-9_.:/=+\-]{10,}['"]?""", "<SECRET>"),
+    (r"(?i)\b(?:sk-proj|sk|ghp|github_pat|xoxb|xoxp|xoxa|xoxr)[A-Za-z0-9_.:/=+\-]{10,}\b", "<SECRET>"),
+    (r"""(?i)/(?:home|Users)/(?:[^/\s:'"]+/+)*([^/\s:'"]+)""", "<LOCAL_PATH>/$1"),
+    (r"""(?i)[A-Z]:\\Users\\(?:[^\\\s:'"]+\\)*([^\\\s:'"]+)""", "<LOCAL_PATH>/$1"),
+    (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "<EMAIL>"),
+    (r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", "<IP>"),
+    (r"(?i)\b(user_id|order_id|customer_id|account_id)\s*[:=]\s*[A-Za-z0-9_-]{4,}", "$1=<ID>"),
+    (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<UUID>"),
+    (r"\s+", " "),
 )
 TEMPLATES = (
-    (r"\b0x[0-9a-fA-F]+\b", "<hex>"),
-    (r"\b[0-9]{4,}\b", "<num>"),
-    (r"\b[0-9]+\b", "<n>"),
+    (r"(?i)\b0x[0-9a-f]{6,}\b", "<HEX>"),
+    (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<UUID>"),
+    (r"\b\d{4,}\b", "<NUM>"),
+    (r"\b\d+\b", "<N>"),
+    (r"\s+", " "),
 )
-#: Error types by the first rule whose pattern occurs in the lower-cased message.
-ERROR_RULES = (
-    ("out_of_memory", "out of memory|oomkilled|heap space"),
-    ("timeout", "timeout|timed out|deadline exceeded"),
-    ("connection_error", "connection (refused|reset|closed)|broken pipe|unreachable"),
-    ("auth_error", "unauthorized|forbidden|permission denied|invalid credentials"),
-    ("rate_limited", "rate limit|too many requests|throttl"),
-    ("not_found", "not found|no such file|missing file"),
-    ("disk_error", "disk full|no space left|i/o error"),
-    ("deploy_event", "deploy|rollout|release"),
-)
-EVENT_FAMILIES = (("failure", "fail|error|exception|crash|timeout|refused"), ("lifecycle", "start|stop|restart|deploy|rollout"), ("traffic", "request|response|page|connection"))
+#: What hints at a boundary of states in an error type or a template (fixed values).
+STATE_TERMS = ("checkpoint", "frontier", "state_transition", "deployment", "deploy", "runtime_restart", "service_start", "watchdog", "systemd")
+#: Attributes of an event that are appended to its message (fixed values).
+CONTEXT_KEYS = ("kind", "status", "healthy", "failure_kind", "failure_subkind", "incident_stage", "incident_reason", "judgment", "judgment_reason", "action", "mbps", "notsent", "unacked", "lastsnd_ms", "stream_active", "ingest_connected", "api_cost_projected_units_per_day", "query")
 
 
 def chain(col: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -49,25 +45,56 @@ def chain(col: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 
 def sanitize(col: Column) -> Column:
-    """Secrets and personal data become placeholders; white space becomes one space."""
+    """Secrets and personal data become placeholders, user paths keep their last name; white space becomes one space."""
     return F.trim(chain(col, REDACTIONS))
 
 
 def template(col: Column) -> Column:
     """The message with its numbers replaced: rows of one template are one pattern."""
-    return chain(col, TEMPLATES)
+    return F.trim(chain(col, TEMPLATES))
+
+
+def any_of(col: Column, terms: Sequence[str]) -> Column:
+    """Whether one of the terms occurs in the column: plain text, no wildcards."""
+    out = F.contains(col, F.lit(terms[0]))
+    for t in terms[1:]:
+        out = out | F.contains(col, F.lit(t))
+    return out
 
 
-def first_match(col: Column, rules: Sequence[tuple[str, str]], default: Column) -> Column:
-    """The name of the first rule whose pattern occurs in the lower-cased column."""
+def first_case(rules: Sequence[tuple[str, Column]], default: Column) -> Column:
+    """The name of the first rule that holds."""
     out = default
-    for name, pattern in reversed(rules):
-        out = F.when(F.lower(col).rlike(pattern), F.lit(name)).otherwise(out)
+    for name, holds in reversed(rules):
+        out = F.when(holds, F.lit(name)).otherwise(out)
     return out
 
 
+def failure_kind(text: Column) -> Column:
+    """Whether a failure kind other than none, null, false or 0 is named."""
+    return text.rlike(r"(?i)\bfailure_kind=(?!none\b|null\b|false\b|0\b)[^\s,;]+")
+
+
 def error_type(message: Column, severity: Column) -> Column:
-    return first_match(message, ERROR_RULES, F.when(severity_rank(severity) >= SEVERITY_RANKS["ERROR"], F.lit("application_error")).otherwise(F.lit("none")))
+    """The first of twelve rules that holds for the message; else by severity."""
+    t = F.lower(message)
+    has = lambda *terms: any_of(t, terms)
+    rules = [
+        ("job_configuration_mismatch", has("can't open file", "no such file or directory") & has("systemd", "execstart", ".service", ".py", ".sh")),
+        ("service_start_failure", has("failed to start") & has(".service")),
+        ("connection_pool_exhausted", has("connection pool", "too many connections")),
+        ("database_timeout", has("database") & has("timeout", "timed out")),
+        ("dependency_timeout", has("deadline exceeded", "timeout", "timed out")),
+        ("stream_transport", has("rtmps", "ffmpeg tcp send sample", "ingest_connected=false")),
+        ("youtube_health", has("youtube") & has("watchdog", "api", "live")),
+        ("service_health_failure", has("healthy=false", "judgment=failed") | failure_kind(t)),
+        ("http_5xx", has("5xx", "http 500") | F.contains(F.concat(F.lit(" "), t, F.lit(" ")), F.lit(" 500 "))),
+        ("auth_failure", has("unauthorized", "permission denied", "authentication failed", "authorization failed", "auth_failure")),
+        ("runtime_restart", has("restart", "crashloop", "oom")),
+        ("deployment_event", has("deploy", "rollout")),
+        ("application_error", F.upper(severity).isin("ERROR", "CRITICAL", "ALERT", "EMERGENCY")),
+    ]
+    return first_case(rules, F.lit("none"))
 
 
 def severity_rank(col: Column) -> Column:
@@ -78,21 +105,52 @@ def severity_rank(col: Column) -> Column:
 
 
 def severity_label(rank: Column) -> Column:
-    """The highest step of the ladder that the rank reaches."""
-    out = F.lit("DEFAULT")
-    for name, least in sorted(SEVERITY_RANKS.items(), key=lambda x: x[1]):
+    """The highest step of the ladder that the rank reaches; INFO below all."""
+    out = F.lit("INFO")
+    for name, least in (("DEBUG", 10), ("INFO", 20), ("NOTICE", 25), ("WARN", 30), ("ERROR", 40), ("CRITICAL", 50), ("ALERT", 60), ("EMERGENCY", 70)):
         out = F.when(rank >= least, F.lit(name)).otherwise(out)
     return out
 
 
+def severity_of_text(message: Column) -> Column:
+    """The severity that words of a message suggest."""
+    t = F.lower(message)
+    rules = [("CRITICAL", any_of(t, ("critical", "fatal", "panic", "crash"))), ("ERROR", any_of(t, ("error", "failed", "failure", "exception", "traceback"))), ("WARN", any_of(t, ("warn", "degraded", "restart", "recover", "timeout")))]
+    return first_case(rules, F.lit("INFO"))
+
+
+def severity_of_event(get) -> Column:
+    """The severity of an event whose attributes get(key) gives as text: explicit, by status, flags, kind of failure,
+    judgment, kind."""
+    said = F.upper(F.coalesce(*[F.nullif(get(k), F.lit("")) for k in ("severity", "level", "log_level")]))
+    low = lambda k: F.lower(F.coalesce(get(k), F.lit("")))
+    kind = F.lower(F.coalesce(F.nullif(get("kind"), F.lit("")), F.nullif(get("event"), F.lit("")), F.lit("")))
+    rules = [
+        ("CRITICAL", low("status").isin("critical", "fatal", "emergency")), ("ERROR", low("status").isin("error", "failed", "fail", "unhealthy")), ("WARN", low("status").isin("warn", "warning", "degraded")),
+        ("ERROR", (get("healthy") == "false") | (get("ok") == "false") | (get("success") == "false")), ("ERROR", ~low("failure_kind").isin("", "none")),
+        ("WARN", low("judgment").isin("warn", "warning", "degraded")), ("ERROR", low("judgment").isin("error", "failed", "unhealthy")),
+        ("ERROR", any_of(kind, ("error", "fail", "panic", "crash"))), ("WARN", any_of(kind, ("restart", "recover", "degraded", "backpressure"))),
+    ]
+    return F.coalesce(said, first_case(rules, F.lit("INFO")))
+
+
+def with_context(message: Column, get) -> Column:
+    """The message and key=value of each context attribute that the event has."""
+    parts = [F.when(F.coalesce(get(k), F.lit("")) != "", F.concat(F.lit(f"{k}="), get(k))) for k in CONTEXT_KEYS]
+    return F.concat_ws(" ", message, *parts)
+
+
 def truncated(col: Column, size: int) -> Column:
-    """At most size characters and a note of how many were cut."""
-    return F.when(F.length(col) > size, F.concat(F.substring(col, 1, size), F.lit("...[+"), (F.length(col) - size).cast("string"), F.lit("]"))).otherwise(col)
+    """At most size characters of the text with single spaces, and a note of how many were cut."""
+    t = F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), r"\s+", " "))
+    return F.when(F.length(t) > size, F.concat(F.substring(t, 1, size), F.lit("...[truncated "), (F.length(t) - size).cast("string"), F.lit(" chars]"))).otherwise(t)
 
 
 def stack_hash(col: Column) -> Column:
-    marks = "(?i)traceback|exception in thread|\\bat [a-z0-9_.]+\\("
-    return F.when(col.rlike(marks), F.substring(F.sha2(col, 256), 1, 16))
+    """16 hexadecimal digits of the template's hash, if the message has marks of a stack; else empty."""
+    t = F.lower(col)
+    marks = any_of(t, ("traceback", "\n at ")) | F.contains(F.concat(F.lit(" "), t, F.lit(" ")), F.lit(" stack "))
+    return F.when(marks, F.substring(F.sha2(template(t), 256), 1, 16)).otherwise(F.lit(""))
 
 
 def stable_id(prefix: str, *parts: Column, size: int = 16) -> Column:
@@ -108,7 +166,7 @@ def key_values(col: Column) -> Column:
 
 def tolerant_timestamp(col: Column) -> Column:
     """ISO text, or epoch seconds, milliseconds, microseconds or nanoseconds by magnitude; null if neither."""
-    n = F.expr("try_cast(NULL as double)") if col is None else col.try_cast("double")
+    n = col.try_cast("double")
     scaled = F.when(n > 1e17, n / 1e9).when(n > 1e14, n / 1e6).when(n > 1e11, n / 1e3).otherwise(n)
     return F.coalesce(F.when(n.isNotNull(), F.timestamp_seconds(scaled)), F.try_to_timestamp(col))
 
@@ -117,3 +175,64 @@ def tokens(col: Column, stop: Sequence[str] = ("the", "and", "for", "with")) ->
     """Sorted different words of three letters or digits at least, without stop words."""
     words = F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9]+"), F.lit(0))
     return F.sort_array(F.array_except(F.filter(words, lambda w: F.length(w) >= 3), F.array(*map(F.lit, stop))))
+
+
+def scalar_kind(col: Column) -> Column:
+    """What a text is as a scalar: bool, null, int, float or text."""
+    t = F.lower(F.trim(col))
+    return F.when(t.isin("true", "false"), "bool").when(t.isin("none", "null"), "null").when(F.trim(col).rlike(r"^[+-]?\d+$"), "int").when(F.trim(col).rlike(r"^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$"), "float").otherwise("text")
+
+
+def not_negated(text: Column, terms: Sequence[str]) -> Column:
+    """Whether a term occurs as a word in a sentence with no "no" or "without" before it, and no "not observed", "not
+    present" or "absent" after it within 50 characters."""
+    parts = F.split(F.lower(text), r"[.;!?]")
+
+    def bare(word):
+        return lambda s: s.rlike(rf"\b{word}\b") & ~s.rlike(rf"\b(?:no|without)\b.{{0,90}}\b{word}\b") & ~s.rlike(rf"\b{word}\b.{{0,50}}\b(?:not observed|not present|absent)\b")
+
+    out = F.lit(False)
+    for term in terms:
+        out = out | F.exists(parts, bare(term.replace(".", r"\.")))
+    return out
+
+
+def semantic_name(col: Column) -> Column:
+    """Lower case, other characters than letters and digits as one underscore, at most 120 characters."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", ""), 1, 120)
+
+
+#: Subsystems by the first rule of which each group has a term in the text (fixed values).
+SUBSYSTEMS = (
+    ("youtube_health", ("youtube", "watch url", "stream_service_substate"), ("dead", "healthy", "watchdog_ok", "health")),
+    ("rtmps_ffmpeg", ("ffmpeg", "rtmps", "stream-engine", "stream_transport", "send-path", "encoder", "exit code 1")),
+    ("chromium_capture", ("chromium", "chrome", "renderer", "zygote", "gpu", "crashpad", "capture")),
+    ("audio_energy", ("audio", "pulseaudio", "pulse", "dbus", "d-bus", "x11", "energy")),
+    ("job_configuration", ("restart", "runtime_restart", "service_health_failure", "recovery", "systemd", "substate", "runtime", "fast recovery"), ("can't open file", "no such file or directory", "execstart", "configured command missing")),
+    ("runtime_recovery", ("restart", "runtime_restart", "service_health_failure", "recovery", "systemd", "substate", "runtime", "fast recovery")),
+    ("service_liveness", ("heartbeat", "liveness", "readiness", "ready", "watch renew", "watch_renew", "watchdog", "polling")),
+    ("background_processing", ("background_processing", "background processing", "scheduled job", "queue processing", "worker loop")),
+    ("traffic", ("throughput", "request_count", "request count", "notification_forward", "business-event", "output counter")),
+    ("user_experience", ("latency", "p95", "p99", "user experience", "user_experience")),
+    ("generic_runtime", ("application process", "worker", "generic_runtime", "runtime host")),
+    ("network_transport", ("connection reset", "connection_reset", "network", "tcp", "peer", "notsent", "unacked", "packet")),
+    ("database_connection_pool", ("connection pool", "connection_pool", "too many connections", "pool saturation")),
+    ("database_timeout", ("database",), ("timeout",)),
+    ("downstream_dependency", ("payment-gateway", "dependency_timeout", "downstream", "dependency")),
+    ("deployment_regression", ("deploy", "release", "rollout", "deployment")),
+    ("auth_config", ("auth", "permission", "authorization")),
+    ("resource_pressure", ("cpu", "memory", "oom", "timeout", "load", "pressure", "peak", "resource")),
+    ("observability_contract", ("healthy", "critical", "warn", "error_count", "total_log_count", "active_hour_count", "active_service_count", "adequacy", "metric", "prometheus", "alert", "observability")),
+    ("job_configuration", ("can't open file", "no such file or directory", "execstart", "configured command missing")),
+)
+
+
+def subsystem(col: Column) -> Column:
+    t = F.lower(F.coalesce(col, F.lit("")))
+    rules = []
+    for name, *groups in SUBSYSTEMS:
+        holds = any_of(t, groups[0])
+        for g in groups[1:]:
+            holds = holds & any_of(t, g)
+        rules.append((name, holds))
+    return first_case(rules, F.lit("general"))

@@ -38,11 +38,39 @@ def test_formats(spark, tmp_path):
 
 
 def test_redaction(spark):
-    text = "Authorization: Basic abc== mail a.b@c.org from 10.1.2.3 password=hunter2 in /home/joe/x\n0xff 12345 7"
-    row = spark.createDataFrame([(text,)], "t string").select(T.sanitize(F.col("t")).alias("s"), T.template(T.sanitize(F.col("t"))).alias("p")).first()
-    for secret in ("abc==", "a.b@c.org", "10.1.2.3", "hunter2", "joe"):
-        assert secret not in row.s
-    assert row.p.endswith("<hex> <num> <n>")
+    cases = {
+        "Authorization: Basic abc== mail a.b@c.org from 10.1.2.3 password=hunter2hunter2 in /home/joe/x": "<AUTH_HEADER> mail <EMAIL> from <IP> <SECRET> in <LOCAL_PATH>/x",
+        "bare ghp_abcdefghijk01 and sk-proj-0123456789ab": "bare <SECRET> and <SECRET>",
+        "to rtmps://h.example/live2/Key_1-2 now": "to rtmps://h.example/live2/<STREAM_KEY> now",
+        "C:\\Users\\joe\\a\\b.txt and /Users/ann/y.log": "<LOCAL_PATH>/b.txt and <LOCAL_PATH>/y.log",
+        "cookie: a=b; c=d, rest  user_id = ab12": "<COOKIE>, rest user_id=<ID>",
+        "short token=abc stays, 999.1.1.1 too": "short token=abc stays, 999.1.1.1 too",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.sanitize(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == cases
+    t = spark.createDataFrame([("0xff 0xABCDEF01 12345 7 a1b2 123e4567-e89b-12d3-a456-426614174000",)], "t string").select(T.template(F.col("t")).alias("p")).first()
+    assert t.p == "0xff <HEX> <NUM> <N> a1b2 <UUID>"
+
+
+def test_error_types(spark):
+    cases = [
+        ("can't open file 'x.py'", "INFO", "job_configuration_mismatch"), ("No such file or directory", "ERROR", "application_error"), ("Failed to start a.service", "INFO", "service_start_failure"), ("too many connections", "INFO", "connection_pool_exhausted"),
+        ("database timed out", "INFO", "database_timeout"), ("deadline exceeded", "INFO", "dependency_timeout"), ("ingest_connected=false", "INFO", "stream_transport"), ("youtube api", "INFO", "youtube_health"), ("youtube only", "INFO", "none"),
+        ("failure_kind=stall", "INFO", "service_health_failure"), ("failure_kind=none", "INFO", "none"), ("failure_kind=none, failure_kind=x", "INFO", "service_health_failure"), ("got 500 from it", "INFO", "http_5xx"), ("permission denied", "INFO", "auth_failure"),
+        ("crashloop", "INFO", "runtime_restart"), ("rollout", "INFO", "deployment_event"), ("hm", "alert", "application_error"), ("hm", "WARN", "none"),
+    ]
+    rows = spark.createDataFrame(cases, "m string, s string, want string").select("want", "m", T.error_type(F.col("m"), F.col("s")).alias("got")).collect()
+    assert [(r.m, r.got) for r in rows] == [(r.m, r.want) for r in rows]
+
+
+def test_short_windows_are_refused():
+    import pytest
+
+    from emberlog.operators.logs import checked_window
+
+    assert checked_window("2024-01-01 00:00:00", "2024-01-02 00:00:00")
+    with pytest.raises(ValueError):
+        checked_window("2024-01-01 00:00:00", "2024-01-01 23:59:59")
 
 
 def test_key_values_and_times(spark):
