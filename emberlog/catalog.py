@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("patterns", "reviews")
+MODULES = ("patterns", "semantics", "signals", "reviews")
 
 
 def queries() -> dict:
