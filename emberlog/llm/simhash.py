@@ -72,7 +72,8 @@ def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     to the smallest only; a variant's group is at most a ball. An odd radius takes the next even one and verifies pairs.
     """
     half = (radius + 1) // 2
-    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # balls are many times as large as fps
+    # by another key than that of the aggregate below, or both become one exchange, sized for fps; balls are many times as large
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     masks = F.array(*[F.lit(m) for m in ball_masks(64, half)])
     balls = fps.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     groups = balls.groupBy("variant").agg(F.collect_list("fp").alias("near")).where(F.size("near") > 1)
