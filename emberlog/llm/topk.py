@@ -123,9 +123,13 @@ def _dots(batches):
         yield pa.record_batch([*b.columns[:3], pa.array(score)], names=["query", "vec", "tie", "score"])
 
 
-def _exact(pairs: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
+def _exact(pairs: DataFrame, queries: DataFrame, rows: DataFrame, large: bool) -> DataFrame:
+    """Whole scores of pairs. In the JVM, but where components are so large that sums could leave the longs."""
     pairs = pairs.join(queries.select(F.col("vec").alias("query"), F.col("v").alias("qv")), "query").join(rows.select("vec", "v"), "vec")
-    return pairs.select("query", "vec", "tie", "qv", "v").mapInArrow(_dots, "query long, vec long, tie long, score long")
+    if large:
+        return pairs.select("query", "vec", "tie", "qv", "v").mapInArrow(_dots, "query long, vec long, tie long, score long")
+    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: F.coalesce(x, F.lit(0)) * F.coalesce(y, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
+    return pairs.select("query", "vec", "tie", dot.alias("score"))
 
 
 def top_k(vectors: DataFrame, query: str = "vec_id % 50 = 0", k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, lists: int = 2) -> DataFrame:
@@ -161,7 +165,8 @@ def top_k(vectors: DataFrame, query: str = "vec_id % 50 = 0", k: int = 5, id_col
     peak = F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v"))))
     size, n_rows, most = classes.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*"), F.coalesce(peak, F.lit(0))).first()
     n_queries = queries.count()
-    if size * most * most > LONG // 4:  # sums of parts could leave the longs: one list, whose entries are the totals
+    large = size * most * most > LONG // 4
+    if large:  # sums of parts could leave the longs: one list, whose entries are the totals
         lists = 1
 
     def phase(queries: DataFrame, best: int | None, open_: DataFrame | None = None) -> DataFrame:
@@ -169,7 +174,7 @@ def top_k(vectors: DataFrame, query: str = "vec_id % 50 = 0", k: int = 5, id_col
         return cells.groupBy("list", "q", "r").applyInArrow(_scores(best, lists), FOUND)
 
     gathered = saved(phase(queries.withColumn("total", F.lit(0).cast("long")), top), "topk-gathered")
-    resolved = _exact(_best(gathered, top, ["query", "list"]).select("query", "vec", "tie").distinct(), queries, classes)
+    resolved = _exact(_best(gathered, top, ["query", "list"]).select("query", "vec", "tie").distinct(), queries, classes, large)
     # fewer classes than top: the lists held them all, and no cutoff is needed beyond the least of them
     cutoff = saved(_best(resolved, top, ["query"]).groupBy("query").agg(F.min("score").alias("total")), "topk-cutoffs")
     each = F.expr(f"if(total > 0, total + {lists - 1}, total) div {lists}")  # rounded up
@@ -182,7 +187,7 @@ def top_k(vectors: DataFrame, query: str = "vec_id % 50 = 0", k: int = 5, id_col
     some = some.where(F.col("partial") + (lists - F.col("n")) * (each - 1) >= F.col("total"))
     some = saved(some.select("query", "vec", "tie", "partial", "n"), "topk-entries")
     whole = some.where(F.col("n") == lists).select("query", "vec", "tie", F.col("partial").alias("score"))
-    scored = whole.unionByName(_exact(some.where(F.col("n") < lists).select("query", "vec", "tie"), queries, classes))
+    scored = whole.unionByName(_exact(some.where(F.col("n") < lists).select("query", "vec", "tie"), queries, classes, large))
     near = _best(scored, top, ["query"]).select("query", "vec", "score")
     # classes back to rows: at most top classes of at most top rows each
     hits = near.join(members, "vec").withColumn("tie", F.col("vec_id"))
