@@ -24,17 +24,22 @@ LINES = [
 
 def test_formats(spark, tmp_path):
     (tmp_path / "2024-03-01").mkdir()
-    (tmp_path / "2024-03-01" / "a.log").write_text("\n".join(LINES))
+    (tmp_path / "2024-03-01" / "a.log").write_bytes("\n".join(LINES).encode() + b"\nbad \xff bytes")
     (tmp_path / "2023-01-01").mkdir()
     (tmp_path / "2023-01-01" / "b.log").write_text("old line")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "c.log").write_text("not a log")
     raw = L.prune_by_path_date(L.read_lines(spark, str(tmp_path), "*.log"), "2024-02-01", "2024-04-01")
     rows = {r.line: r for r in L.parse_lines(raw).collect()}
-    assert [rows[x].format for x in LINES[:9]] == ["json", "json", "text", "kubernetes", "access", "syslog", "logfmt", "text", "text"]
+    assert len(rows) == 10 and any("\ufffd" in x for x in rows)
+    assert [rows[x].format for x in LINES[:9]] == ["jsonl", "jsonl", "plain_text", "kubernetes_container_log", "apache_access", "syslog", "logfmt", "plain_text", "plain_text"]
     assert [str(rows[x].ts)[:19] if rows[x].ts else None for x in LINES[:9]] == ["2024-03-01 10:00:00", "2024-03-01 10:00:00", None, "2024-03-01 10:00:01", "2024-03-01 10:00:02", "2024-03-01 10:00:03", "2024-03-01 10:00:04", "2024-03-01 10:00:05", None]
-    assert [rows[x].severity for x in LINES[3:8]] == ["INFO", "ERROR", "INFO", "WARNING", "ERROR"]
-    assert rows[LINES[0]].labels == {"region": "eu"} and rows[LINES[6]].message == "slow query" and rows[LINES[5]].service == "sshd" and rows[LINES[7]].service == "worker"
+    assert [rows[x].severity for x in LINES[3:8]] == ["info", "error", "info", "warning", "error"]
+    assert rows[LINES[0]].attributes["region"] == "eu" and rows[LINES[6]].message == "slow query" and rows[LINES[5]].service == "sshd" and rows[LINES[4]].attributes["client_ip"] == "10.0.0.1"
+    text = {r.line: r for r in L.raw_logs(raw).collect()}
+    assert text[LINES[7]].service == "worker" and text[LINES[7]].severity == "ERROR" and text[LINES[0]].severity == "ERROR" and text[LINES[0]].labels["region"] == "eu"
     acc = L.line_accounting(L.parse_lines(raw), "2024-03-01 10:00:01", "2024-03-01 10:00:04").first()
-    assert acc.input == acc.accepted + acc.rejected + acc.out_of_window == 9
+    assert acc.input == acc.accepted + acc.rejected + acc.out_of_window == 10
 
 
 def test_redaction(spark):
