@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("patterns", "inputs", "semantics", "signals", "reviews")
+MODULES = ("patterns", "inputs", "semantics", "signals", "reviews", "arbitration")
 
 
 def queries() -> dict:
