@@ -168,7 +168,8 @@ def repaired_json(raw: Column) -> Column:
     rules that changed it, in their order."""
     fenced = F.regexp_extract_all(raw, F.lit(FENCE), F.lit(1))
     longest = F.array_max(F.transform(fenced, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    one = F.when((F.size(fenced) > 0) & (F.trim(longest) != ""), F.trim(longest)).otherwise(raw)
+    bare = F.regexp_replace(longest, r"^\s+|\s+$", "")
+    one = F.when((F.size(fenced) > 0) & (bare != ""), bare).otherwise(raw)
     start = F.regexp_instr(one, F.lit(r"[{\[]"))
     inner = F.regexp_extract(one, r"(?s)([{\[].*[}\]])", 1)
     two = F.when((start > 0) & (inner != ""), inner).otherwise(one)
