@@ -603,6 +603,58 @@ def test_near_duplicates_are_those_of_the_shingles(spark):
     assert got == {k: 1 for k in range(1300) if k % 3}
 
 
+def exact_groups(rows, least=0.8, size=5):
+    """Smallest place of each document's group, by all pairs of five-word shingles with a similarity of least (prefix filter)."""
+    sets = []
+    for t in rows:
+        w = words(low(t))
+        sets.append({" ".join(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else {""})
+    freq = Counter(x for s in sets for x in s)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    index, seen = defaultdict(list), {}
+    for i, s in enumerate(sets):
+        key = frozenset(s)
+        if key in seen:
+            root[i] = seen[key]
+            continue
+        seen[key] = i
+        order = sorted(s, key=lambda x: (freq[x], x))
+        for c in {j for x in order[: int((1 - least) * len(s)) + 1] for j in index[x]}:
+            if len(s & sets[c]) >= least * len(s | sets[c]) - 1e-9:
+                a, b = sorted((find(i), find(c)))
+                root[b] = a
+        for x in order[: int((1 - least) * len(s)) + 1]:
+            index[x].append(i)
+    return [find(i) for i in range(len(rows))]
+
+
+def test_near_duplicates_recall_and_repeatability(spark):
+    """Against exact groups of 10,000 documents; what stays does not depend on how the rows are dealt out."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = sorted(texts(docs))
+    ids = [d for d, _ in rows]
+    group = exact_groups([t for _, t in rows])
+    gone = {ids[i] for i, g in enumerate(group) if g != i}
+    kept = [{r.doc_id for r in drop_near_duplicates(docs.repartition(n)).select("doc_id").collect()} for n in (3, 7)]
+    assert kept[0] == kept[1]
+    dropped = set(ids) - kept[0]
+    assert len(gone) > 500 and len(dropped & gone) >= 0.9 * len(gone) and not dropped - gone
+
+
+def test_near_duplicates_of_one_id(spark):
+    """Different texts with one doc_id are documents of their own."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, b), (2, c), (2, c), (3, b)]
+    assert Counter(map(tuple, drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == Counter([(1, a), (2, b), (2, c)])
+
+
 @pytest.mark.parametrize("bucket_nodes", [50_000, 20])
 def test_wide_links_past_a_smaller_stranger(spark, bucket_nodes):
     import random
@@ -799,6 +851,32 @@ def test_twins(spark, data, duck):
         assert normal([tuple(r) for r in df.collect()], df.columns) == duck(sql), name
 
 
+def test_pipeline_of_odd_tables(spark, data, tmp_path):
+    """Nulls, empty and long texts, repeated ids and rows, other columns; and an empty table."""
+    import shutil
+
+    import corpus_pipeline as p
+
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{data}/{name}.parquet", tmp_path / f"{name}.parquet")
+    source = spark.read.parquet(f"{data}/documents.parquet")
+    odd = [(d, t, None, None, None) for d, t in ODD] + [(9_000_001, "same id, " + "one text " * 40, "en", "web", 1), (9_000_001, "same id, " + "another text " * 40, "en", "web", 1)]
+    docs = source.unionByName(spark.createDataFrame(odd, source.schema)).withColumn("tails", F.lit("x")).withColumn("taken", F.lit(7))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in p.STAGES[:-1]:
+        after = stage(spark, now, str(tmp_path)).cache()
+        assert after.dtypes == now.dtypes and after.count() <= now.count(), name
+        now = after
+    assert p.run(spark, str(tmp_path)).count() == now.count()
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{data}/{name}.parquet", empty / f"{name}.parquet")
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    assert p.run(spark, str(empty)).count() == 0
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline as p
 
