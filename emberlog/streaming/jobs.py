@@ -25,9 +25,22 @@ def deduplicated(events: DataFrame, key: str, ts: str = "ts", late: str = "2 hou
     return _timed(events, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def latest_state(ledger: DataFrame, key: str, ts: str = "ts") -> DataFrame:
-    """The last entry of each key, in update mode: a ledger folded to its current state."""
-    return ledger.groupBy(key).agg(F.max_by("event_type", F.struct(ts, "event_id")).alias("state"), F.count("*").alias("entries"))
+def latest_state(ledger: DataFrame, key: str, ts: str = "ts", late: str | None = None) -> DataFrame:
+    """The last entry of each key: a ledger folded to its current state, in update or complete mode. With late, the state
+    of a key's day goes as the watermark passes its end, so that only live days are held; without, all keys are held."""
+    last = F.max_by("event_type", F.struct(ts, "event_id")).alias("state"), F.count("*").alias("entries")
+    if late is None:
+        return ledger.groupBy(key).agg(*last)
+    days = _timed(ledger, ts).withWatermark(ts, late).groupBy(key, F.window(ts, "1 day").alias("w"))
+    return days.agg(*last).select(key, F.col("w.start").alias("day"), "state", "entries")
+
+
+def running_items(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "2 hours") -> DataFrame:
+    """Evidence items by their key and day, as events come: counts, times, the earliest example, how many traces about."""
+    first = F.struct(ts, "event_id")
+    days = _timed(events, ts).withWatermark(ts, late).groupBy(*keys, F.window(ts, "1 day").alias("w"))
+    out = days.agg(F.count("*").alias("n"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.min_by("message", first).alias("example"), F.approx_count_distinct("trace_id").alias("traces"))
+    return out.select(*keys, F.col("w.start").alias("day"), "n", "first_seen", "last_seen", "example", "traces")
 
 
 def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:

@@ -122,3 +122,19 @@ def test_streams_equal_batch(spark, data, tmp_path):
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("states").collect())) == sorted(map(tuple, jobs.latest_state(events, "user_id").collect()))
     assert os.path.exists(str(tmp_path / "hc"))
+
+
+def test_streamed_items_equal_batch(spark, data, tmp_path):
+    from emberlog.plans import semantics as E
+
+    keys = ["event_name", "severity", "template", "component", "source_system", "error_code", "exception_class"]
+    rows = E.events(spark, data).select(*keys, "ts", "event_id", "message", "trace_id", "event_type", "user_id")
+    src = str(tmp_path / "items")
+    rows.repartition(3).write.parquet(src)
+    stream = jobs.read_events(spark, src, rows.schema, 10)
+    jobs.run_available(jobs.running_items(stream, keys), str(tmp_path / "i"), str(tmp_path / "ic"))
+    jobs.run_available(jobs.latest_state(stream, "user_id", late="1 hour"), str(tmp_path / "s"), str(tmp_path / "sc"))
+    got, want = spark.read.parquet(str(tmp_path / "i")), jobs.running_items(rows, keys)
+    assert 0 < got.count() <= want.count() and got.exceptAll(want).count() == 0  # days after the last watermark stay open
+    state = spark.read.parquet(str(tmp_path / "s"))
+    assert state.count() > 0 and state.exceptAll(jobs.latest_state(rows, "user_id", late="1 hour")).count() == 0
