@@ -31,7 +31,8 @@ def hashed_redaction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redaction_report(spark: SparkSession, d: str) -> DataFrame:
-    r = K.redacted(_private(spark, d), "text", "clean").select(F.explode("clean_counts").alias("kind", "n"))
+    # outer, or the optimizer puts a filter on the whole chain below the explode, which evaluates it once more for each step
+    r = K.redacted(_private(spark, d), "text", "clean").select(F.explode_outer("clean_counts").alias("kind", "n")).where("kind is not null")
     return r.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("messages"))
 
 

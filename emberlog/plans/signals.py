@@ -14,6 +14,10 @@ from .facts import BASELINE, INCIDENT, logs, stored
 
 
 def _metrics(spark, d):
+    return stored(spark, d, "signal-metrics", lambda: _metrics_of(spark, d))
+
+
+def _metrics_of(spark, d):
     """The incident's metrics with their semantics, and two of the profile that report zero."""
     m = P.metric_windows(spark, d).select("metric_id", "metric_name", "baseline_value", "current_value")
     more = spark.createDataFrame([("METRIC-101", "request_count", 12.0, 0.0), ("METRIC-102", "ffmpeg_process_count", 3.0, 0.0), ("METRIC-103", "connection_reset_count", 0.0, 0.0), ("METRIC-104", "runtime_restart_count", 1.0, 9.0), ("METRIC-105", "mbps", 2.5, 0.0)], m.schema)
@@ -21,12 +25,20 @@ def _metrics(spark, d):
 
 
 def _patterns(spark, d):
+    return stored(spark, d, "signal-patterns", lambda: _patterns_of(spark, d))
+
+
+def _patterns_of(spark, d):
     p = L.pattern_summaries(logs(spark, d), "*", "prod", INCIDENT, BASELINE, 200)
     hint = L.severity_hint(F.col("n"), F.col("baseline_n"), F.col("top_rank"))
     return p.select(F.concat(F.lit("P-"), F.substring(F.sha2(F.concat_ws("|", "template", "error_type"), 256), 1, 8)).alias("pattern_id"), "template", F.lit("").alias("example_log"), "error_type", hint.alias("hint"))
 
 
 def _operational(spark, d):
+    return stored(spark, d, "signal-operational", lambda: _operational_of(spark, d))
+
+
+def _operational_of(spark, d):
     """The incident's operational evidence, and two requests that only the baseline answers."""
     o = L.operational_evidence(logs(spark, d), INCIDENT, BASELINE, 3).select("evidence_id", "request_id", "need", "subsystem", "incident_count", "baseline_count")
     gaps = spark.createDataFrame([("OPS-101", "throughput_query", "throughput_signal", "traffic", 0, 9), ("OPS-102", "scheduler_query", "scheduler_history", "background_processing", 0, 2), ("OPS-103", "silent_query", "resource_pressure", "resource_pressure", 0, 0)], o.schema)
