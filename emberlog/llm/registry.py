@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "quality", "topk", "decontaminate", "substring_dedup", "suffix_dedup", "simhash", "katz", "html_text", "mixing", "filter_audit", "clustering")
+MODULES = ("licenses", "quality", "topk", "decontaminate", "substring_dedup", "suffix_dedup", "simhash", "katz", "html_text", "mixing", "warc", "filter_audit", "clustering")
 
 
 def queries() -> dict:
