@@ -14,6 +14,9 @@ from .common import saved, shared_dir
 # ---- the format (fixed values)
 
 MARK = b"WARC/1."
+#: What stands between the pieces that are read: nothing of it can begin anew within it, so that readers which look for it
+#: across their buffers find it wherever it stands. The empty lines before it would not do.
+BETWEEN = b"\n" + MARK
 CRLF = b"\r\n"
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -185,7 +188,7 @@ def _parse(schema):
                 if raw:
                     row = parsed_record(raw)
                     if row[-1] == "cut off" and at == file:
-                        raw += END + MARK + piece
+                        raw += BETWEEN + piece
                         continue
                     out.append(row)
                     size += len(raw)
@@ -207,7 +210,7 @@ def archive_records(spark: SparkSession, path: str) -> DataFrame:
     digest are checked, and a record that fails has a problem (no header; cut off; block digest differs) and is kept. In
     a plain file that is split within a block just where that block holds those words, its record is a problem, too.
     """
-    text = spark.read.option("lineSep", (END + MARK).decode()).text(path)
+    text = spark.read.option("lineSep", BETWEEN.decode()).text(path)
     return text.select(F.col("_metadata.file_path"), F.col("value").cast("binary")).mapInArrow(_parse(_arrow(PARSED)), PARSED)
 
 
