@@ -120,7 +120,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"))
     known = rows.where(F.length("payload") >= LEAST_REVISIT).groupBy("digest")
     known = known.agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    rows = rows.join(known.drop("n"), "digest", "left").withColumn("again", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    known = saved(known.drop("n"), "warc-copies")  # as a table, so that the join sees two plain exchanges and can split the hot ones
+    rows = rows.join(known, "digest", "left").withColumn("again", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     rows = rows.select("page_id", "url", "payload", "digest", *[F.when(F.col("again"), F.col(c)).alias(c) for c in ("first", "first_url")])
     records = rows.mapInArrow(_write(uuid.uuid4().hex, segment_bytes, chunk_bytes), "record binary")
     records.select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
@@ -282,7 +283,7 @@ def with_originals(records: DataFrame) -> DataFrame:
     A revisit without such a response has the problem that it is missing."""
     known = records.where("record_type = 'response' and problem is null and payload_digest is not null").groupBy("payload_digest")
     known = known.agg(F.min(F.col("page_id").cast("long")).alias("original_page_id"), F.max("payload_bytes").alias("original_bytes"), F.lit("revisit").alias("record_type"))
-    # a row for each payload; where its revisits are hot, the join splits them
+    known = saved(known, "warc-originals")  # a row for each payload; where its revisits are hot, the join splits them
     out = records.join(known, ["payload_digest", "record_type"], "left")
     lost = (F.col("record_type") == "revisit") & F.col("original_bytes").isNull()
     return out.withColumn("problem", F.coalesce("problem", F.when(lost, F.lit("the original is missing"))))
