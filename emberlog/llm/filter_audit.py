@@ -34,8 +34,10 @@ def document_failures(docs: DataFrame) -> DataFrame:
     own = [n < 50, distinct * 100 < n * 65, F.regexp_count("text", F.lit("[A-Z]")).cast("long") * 100 > F.length("text").cast("long") * 5, F.col("text").rlike(r"[#$%&*|]")]
     fails = sum((c.cast("int") * (1 << k) for k, c in enumerate(own)), F.lit(0))
     slim = saved(words.select("doc_id", "part", fails.alias("own"), F.sha2("text", 256).alias("digest")), "audit-documents")
-    # only texts of several ids are looked up: groups of copies are one row here, and the join splits where they are hot
+    # only texts of several ids are looked up: a group of copies is one row here, and the join splits where it is hot,
+    # which it can as both sides are plain tables
     copied = slim.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    copied = saved(copied, "audit-copies")
     again = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).cast("int") * 16
     return slim.join(copied, "digest", "left").select("doc_id", "part", (F.col("own") + again).alias("fails"))
 
