@@ -10,6 +10,7 @@ from emberlog.operators import claims as C
 from emberlog.operators import relational as R
 from emberlog.operators import semantics as M
 
+from . import bundles as U
 from . import reviews as V
 from . import semantics as E
 from .facts import INCIDENT, LOGS, logs, stored
@@ -37,7 +38,7 @@ def _groups(spark, d):
 
 
 def _candidates(spark, d):
-    """Groups that agree, groups that differ, propositions of the queue, and a context, each target once."""
+    """Groups that agree, groups that differ, propositions of the queue, and what relations suggest, each target once."""
     g = _groups(spark, d)
     kind = F.when(F.col("disagreement"), "validation_target").otherwise("primary_candidate")
     cols = lambda k, s: ["target_id", "evidence", "target", "subsystem", "component", F.lit(k).alias("source"), s.alias("original_class"), F.when(s == "primary_candidate", 0.75).otherwise(0.62).alias("score"), "providers", "supporting", F.col("all_refs").alias("refs"), F.when(F.size("supporting") > 0, F.col("all_refs")).otherwise(F.array().cast("array<string>")).alias("support_refs"), "text", (F.col("n_missing") > 0).alias("missing")]
@@ -47,7 +48,12 @@ def _candidates(spark, d):
         F.col("proposition_id").alias("target_id"), "evidence", "target", "subsystem", F.lit("").alias("component"), F.lit("queue").alias("source"), F.when(F.col("mode") == "incident_candidate", "primary_candidate").otherwise("validation_target").alias("original_class"), F.col("effective").alias("score"),
         "providers", F.array().cast("array<string>").alias("supporting"), F.col("support").alias("refs"), F.col("support").alias("support_refs"), F.lit("").alias("text"), F.lit(False).alias("missing"),
     )
-    return stored(spark, d, "candidates", lambda: A.first_wins([agree, differ, legacy], "target_id", "evidence"))
+    none = F.array().cast("array<string>")
+    related = U.relationship_candidates(spark, d).select(
+        "target_id", F.lit("incident").alias("evidence"), "target", "subsystem", "component", F.lit("relations").alias("source"), "original_class", "score", none.alias("providers"), none.alias("supporting"),
+        F.split("refs", ",").alias("refs"), F.split("refs", ",").alias("support_refs"), F.lit("").alias("text"), F.lit(True).alias("missing"),
+    )
+    return stored(spark, d, "candidates", lambda: A.first_wins([agree, differ, legacy, related], "target_id", "evidence"))
 
 
 def candidate_inputs(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +246,8 @@ QUERIES = {f.__name__: f for f in (candidate_inputs, identified_candidates, cano
 _G = f"""{V._SHAPED}, g0 as (select evidence, target, subsystem, component, array_to_string(all_refs, ',') as key, all_refs, list_sort(list_distinct(list(provider))) providers, coalesce(list_sort(list_distinct(list(provider) filter (where stance = 'support'))), []) supporting, count(*) filter (where stance = 'support' and len(claims.refs) = 0) bare, max(len(lost)) nl, count(*) filter (where stance <> 'support') no, count(*) filter (where len(missing) > 0) nm, max(temporary_action) as text from claims group by 1, 2, 3, 4, 5, 6),
 grp as (select *, nl = 0 and bare = 0 and len(supporting) >= 2 agreement, nl = 0 and bare = 0 and (no > 0 or nm > 0 or len(providers) = 1) disagreement, 'cg-' || substr(sha256(concat_ws('|', evidence, target, subsystem, component, key)), 1, 16) target_id from g0),
 cand as (select target_id, evidence, target, subsystem, component, 'claims' source, case when disagreement then 'validation_target' else 'primary_candidate' end original_class, case when disagreement then 0.62 else 0.75 end::double score, providers, supporting, all_refs refs, case when len(supporting) > 0 then all_refs else [] end support_refs, text from grp where agreement or disagreement
- union all select proposition_id, evidence, target, subsystem, '', 'queue', case when mode = 'incident_candidate' then 'primary_candidate' else 'validation_target' end, effective, provs, [], support, support, '' from shaped where visibility = 'review')"""
+ union all select proposition_id, evidence, target, subsystem, '', 'queue', case when mode = 'incident_candidate' then 'primary_candidate' else 'validation_target' end, effective, provs, [], support, support, '' from shaped where visibility = 'review'
+ union all select target_id, 'incident', target, subsystem, component, 'relations', original_class, score, [], [], string_split(refs, ','), string_split(refs, ','), '' from ({U.ORACLES["relationship_candidates"]}))"""
 _ID = f"""{_G}, it as (select 'item-' || item_id item_id, item_id % 7 = 3 pay, item_id % 14 = 3 pool from benchmark), tl as (select target_id, bool_or(pay) pay, bool_or(pool) pool from (select target_id, unnest(refs) item_id from cand) join it using (item_id) group by 1),
 idc as (select cand.* replace (case when coalesce(pay and not pool, false) then 'payment_gateway' else subsystem end as subsystem, case when coalesce(pay and not pool, false) then 'payment_gateway' else component end as component) from cand left join tl using (target_id))"""
 _TR = "('database_connection_pool', 'database_dependency', 'deployment_regression', 'job_configuration', 'observability_contract', 'payment_gateway', 'resource_pressure', 'runtime_recovery', 'service_liveness', 'traffic', 'user_experience')"
