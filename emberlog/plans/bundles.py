@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import bundles as B
+from emberlog.operators import logs as L
 from emberlog.operators import relational as R
+from emberlog.operators import signatures as S
 
+from . import patterns as P
 from . import reviews as V
+from . import signals as G
 from .facts import INCIDENT, LOGS, cur, logs, stored
 
 
@@ -24,7 +28,7 @@ def _items(spark, d):
         p = rows.groupBy("bundle_id", "template", "error_type").agg(F.count("*").alias("n"))
         ref = F.concat(F.lit("P-"), F.substring(F.sha2(F.concat_ws("|", "template", "error_type"), 256), 1, 8))
         p = p.select("bundle_id", ref.alias("ref"), (1_000_000_000 - F.col("n")).alias("place"), F.col("error_type").alias("event_type"), F.concat_ws(" ", F.lit("pattern"), ref, "template", "error_type").alias("text"))
-        kinds = {"error_count": "severity_rank >= 40", "http_5xx_count": "error_type = 'http_5xx'", "checkout_500_count": "event_type = 'purchase' and error_type = 'http_5xx'", "db_pool_exhausted_count": "error_type = 'connection_pool_exhausted'"}
+        kinds = {"error_count": "severity_rank >= 40", "http_5xx_count": "error_type = 'http_5xx'", "checkout_500_count": "event_type = 'purchase' and error_type = 'http_5xx'", "db_pool_exhausted_count": "error_type = 'connection_pool_exhausted'", "runtime_restart_count": "error_type = 'runtime_restart'"}
         m = rows.groupBy("bundle_id").agg(*[F.count_if(F.expr(c)).alias(n) for n, c in kinds.items()], F.count_distinct("trace_id").alias("unique_trace_count"))
         m = m.unpivot("bundle_id", [*kinds, "unique_trace_count"], "metric_name", "metric_value").where("metric_value > 0")
         m = m.select("bundle_id", F.concat(F.lit("M-"), "metric_name").alias("ref"), F.lit(2_000_000_000).cast("long").alias("place"), F.lit("metric").alias("event_type"), F.concat_ws(" ", F.lit("metric metric_name"), "metric_name").alias("text"), "metric_name", F.col("metric_value").cast("double").alias("metric_value"))
@@ -100,6 +104,67 @@ def reconciled_missing(spark: SparkSession, d: str) -> DataFrame:
     return _reconciled(spark, d).select("bundle_id", F.array_join("missing", "|").alias("missing"))
 
 
+# ---- signatures
+
+#: Who answers for a role: a provider and its model.
+MODELS = {"hypothesis_generator": ("rules-a", "hypothesis-1"), "evidence_verifier": ("rules-a", "verifier-1"), "contrast_agent": ("rules-b", "contrast-1")}
+
+
+def _meant(spark, d):
+    """Items with the meaning of their metrics."""
+    return L.semantics(_items(spark, d).withColumn("metric_name", F.coalesce("metric_name", F.lit(""))), P._profile(spark))
+
+
+def _signed(spark, d):
+    def build():
+        c = _claims(spark, d).withColumn("text", F.concat_ws(" ", "claim_text", F.array_join("missing", " "), "temporary_action", "permanent_action"))
+        target, sub = S.claim_target(F.lit(""), F.col("claim_text")), S.claim_subsystem(F.lit(""), F.col("claim_text"))
+        c = c.withColumns({"own_target": target, "own_subsystem": sub, "subsystem": sub["value"]})
+        named = (F.col("role") == "contrast_agent") & (F.col("own_target.step") != "default")
+        c = c.withColumn("identity", F.when(named, F.array("own_target.value")).otherwise(F.array().cast("array<string>")))
+        profile = P._profile(spark).withColumn("place", F.when(F.col("metric_name") == "mbps", 0).when(F.col("metric_name") == "fail_count", 1).otherwise(2))
+        c = S.with_cited(c, _meant(spark, d)).join(F.broadcast(S.subsystem_targets(profile)), "subsystem", "left")  # a row for each subsystem of a profile
+        return S.with_review_target(S.with_signature(c))
+
+    return stored(spark, d, "signed-claims", build)
+
+
+def claim_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """What each local claim is of, its type of target, and the steps that decided."""
+    c = _signed(spark, d)
+    chains = [F.col(f"{x}.{f}").alias(n) for x, n, f in (("own_target", "own_target", "value"), ("own_target", "target_step", "step"), ("own_subsystem", "subsystem", "value"), ("own_subsystem", "subsystem_step", "step"), ("signature", "signature", "value"), ("signature", "signature_step", "step"), ("review_target", "review_target", "value"), ("review_target", "review_step", "step"))]
+    return c.select("claim_id", *chains)
+
+
+def metric_zeros(spark: SparkSession, d: str) -> DataFrame:
+    """What zero means for the metrics that claims cite."""
+    return S.zero_semantics(_claims(spark, d), _meant(spark, d)).groupBy("metric_name", "meaning", "semantic_type", "core_target_type").agg(F.count("*").alias("claims"))
+
+
+def _clusters(spark, d):
+    def build():
+        c = _signed(spark, d)
+        kind, role = F.col("claim_type"), F.col("role")
+        pair = F.create_map(*[x for r, (a, b) in MODELS.items() for x in (F.lit(r), F.struct(F.lit(a).alias("provider"), F.lit(b).alias("model")))])[role]
+        level = F.when(kind.isin("counter_evidence", "validation_target"), "high").when((kind == "support") | (F.col("permanent_action") != ""), "medium").otherwise("low")
+        c = c.withColumns({"provider": pair["provider"], "model": pair["model"], "priority": level, "counter": kind == "counter_evidence", "actions": (F.col("temporary_action") != "") | (F.col("permanent_action") != "")})
+        c = c.withColumns({"signature": F.col("signature.value"), "review_target": F.col("review_target.value"), "score": F.when(level == "high", 1.0).when(level == "medium", 0.65).otherwise(0.35), "mode": F.when(kind == "support", "incident_candidate").otherwise("validation_target")})
+        return S.signature_clusters(c)
+
+    return stored(spark, d, "signature-clusters", build)
+
+
+def signature_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of several models united by signature, with the bundle's best incident as the parent of what validates it."""
+    c = _clusters(spark, d)
+    return c.select("cluster_id", "bundle_id", "subsystem", "signature", "members", "representative", "score", F.array_join("providers", ",").alias("providers"), F.array_join("models", ",").alias("models"), "refs", "wants", "parent")
+
+
+def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    b = S.score_breakdown(_clusters(spark, d), len({p for p, _ in MODELS.values()}))
+    return b.select("cluster_id", "review_target", "evidence_strength", "actionability", "user_impact_risk", "agreement", "diversity", "missing_penalty", "duplicate_penalty")
+
+
 # ---- relations between items
 
 
@@ -132,7 +197,7 @@ def relationship_candidates(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumns({"refs": F.array_join("refs", ","), "missing": F.array_join("missing", "|")})
 
 
-QUERIES = {f.__name__: f for f in (bundle_causes, cited_items, local_claims, bundle_facts, contradicted_absences, reconciled_missing, relation_edges, relationship_candidates)}
+QUERIES = {f.__name__: f for f in (bundle_causes, cited_items, local_claims, bundle_facts, contradicted_absences, reconciled_missing, relation_edges, relationship_candidates, claim_signatures, metric_zeros, signature_clusters, score_breakdown)}
 
 
 # ---- twins
@@ -153,7 +218,7 @@ def _any(*terms: str) -> str:
 _BI = f"""with {LOGS}, bl as (select *, service || '/' || strftime(ts, '%Y-%m-%d %H') as bundle_id from logs),
 bp as (select bundle_id, template, error_type, count(*) n from bl group by all),
 bm as (select bundle_id, unnest([{{'m': 'error_count', 'v': count(*) filter (severity_rank >= 40)}}, {{'m': 'http_5xx_count', 'v': count(*) filter (error_type = 'http_5xx')}}, {{'m': 'checkout_500_count', 'v': count(*) filter (event_type = 'purchase' and error_type = 'http_5xx')}},
- {{'m': 'db_pool_exhausted_count', 'v': count(*) filter (error_type = 'connection_pool_exhausted')}}, {{'m': 'unique_trace_count', 'v': count(distinct trace_id)}}]) as x from bl group by bundle_id),
+ {{'m': 'db_pool_exhausted_count', 'v': count(*) filter (error_type = 'connection_pool_exhausted')}}, {{'m': 'runtime_restart_count', 'v': count(*) filter (error_type = 'runtime_restart')}}, {{'m': 'unique_trace_count', 'v': count(distinct trace_id)}}]) as x from bl group by bundle_id),
 bi0 as (select bundle_id, 'P-' || substr(sha256(template || '|' || error_type), 1, 8) as ref, 1 as sec, -n as o, error_type as event_type, 'pattern P-' || substr(sha256(template || '|' || error_type), 1, 8) || ' ' || template || ' ' || error_type as text, '' as metric_name from bp
  union all select bundle_id, 'M-' || x.m, 2, 0, 'metric', 'metric metric_name ' || x.m, x.m from bm where x.v > 0
  union all select distinct bundle_id, 'D-' || deploy_id, 3, 0, 'deployment_event', 'deployment deploy_id ' || deploy_id, '' from bl where deploy_id is not null),
@@ -224,7 +289,36 @@ select case k when 'd' then 'rel-deploy-' when 'g' then 'rel-payment-gateway-' e
  case k when 'd' then 'deployment_regression' when 'g' then 'external_dependency_health' else 'database_connection_pool_exhaustion' end as target, case k when 'd' then 'deployment_regression' when 'g' then 'payment_gateway' else 'database_connection_pool' end as subsystem, case k when 'd' then 'deployment_regression' when 'g' then 'payment_gateway' else 'database_connection_pool' end as component,
  case k when 'd' then 0.58 when 'g' then 0.72 else 0.93 end::double as score, case k when 'd' then 'evidence_relationship_deployment' when 'g' then 'evidence_relationship_payment_gateway' else 'evidence_relationship_database_pool' end as group_id, case k when 'd' then left_id || ',' || right_id when 'g' then g || ',' || u else p || ',' || u end as refs,
  case k when 'd' then 'diff of code and configuration since the last healthy revision' when 'g' then 'request ids, latency and errors on the gateway''s side' else 'query latency and hold times of connections|pool configuration and deployment diff' end as missing, relationship_type, shared, gap_s from ey where k is not null"""
+_CHAIN = lambda *steps: "coalesce(" + ", ".join(f"case when coalesce({v}, '') <> '' then {{'value': {v}, 'step': '{n}'}} end" for n, v in steps) + ")"
+#: Signals' terms of targets, which their own twin spells out.
+_OF = lambda x: f"(select {G._TARGET} from (select {x} as t))"
+_ONE = lambda x: f"case when len({x}) = 1 then {x}[1] end"
+_SG = f"""{_CL}, s0 as (select *, lower(claim_text) as q, lower(concat_ws(' ', claim_text, replace(missing, '|', ' '), temporary_action, permanent_action)) as full_text from lc),
+s1 as (select *, {_CHAIN(('job', "case when contains(q, 'configured job') or contains(q, 'supervisor') then 'job_configuration_mismatch' end"), ('restart', "case when contains(q, 'restart') then 'restart_loop' end"), ('dependency', "case when contains(q, 'dependency') or contains(q, 'downstream') then 'external_dependency_failure' end"), ('deployment', "case when contains(q, 'deploy') then 'deployment_correlation' end"), ('default', "'general_review'"))} as tg,
+ {_CHAIN(('recovery', "case when contains(q, 'restart') or contains(q, 'supervisor') then 'runtime_recovery' end"), ('default', "'general'"))} as sb from s0),
+s2 as (select *, case when role = 'contrast_agent' and tg.step <> 'default' then [tg.value] else [] end as ident, case when sb.value = 'runtime_recovery' then 'restart_loop' end as st from s1),
+sr as (select claim_id, bundle_id, unnest(string_split(refs, ',')) as ref, generate_subscripts(string_split(refs, ','), 1) as pos from s2 where refs <> ''),
+sc0 as (select sr.*, bi.text, bi.metric_name as m, case bi.metric_name when 'error_count' then 'error_spike' when 'runtime_restart_count' then 'restart_loop' else '' end as core from sr join bi using (bundle_id, ref)),
+sc1 as (select claim_id, coalesce(list_sort(list_distinct(list(core) filter (core <> ''))), []) ev, coalesce(list_sort(list_distinct(list(m) filter (m <> ''))), []) ms, list(core order by m) filter (core <> '') mt, string_agg(text, ' ' order by pos) et from sc0 group by 1),
+s3 as (select s2.*, coalesce(ev, []) ev, coalesce(ms, []) ms, mt[1] as mt1, coalesce(et, '') et from s2 left join sc1 using (claim_id)),
+s4 as (select *, {_OF('et')} as ett, {_OF('full_text')} as ftt, {_OF("full_text || ' ' || et")} as btt from s3),
+s5 as (select *, {_CHAIN(('identity', _ONE('ident')), ('evidence', _ONE('ev')), ('metric', 'mt1'), ('evidence_text', 'ett'), ('subsystem', "case when len(ms) = 0 then st end"), ('restarts', "case when sb.value = 'runtime_recovery' and list_contains(ms, 'runtime_restart_count') then 'restart_loop' end"), ('text', 'ftt'), ('metric_names', "case when len(ms) > 0 then 'metric:' || array_to_string(ms, ',') end"), ('words', "'text:' || array_to_string(regexp_extract_all(full_text, '[a-z0-9_]{4,}')[1:8], '-')"))} as sg from s4),
+signed as materialized (select *, {_CHAIN(('identity', _ONE('ident')), ('evidence', _ONE('ev')), ('metric', 'mt1'), ('subsystem', "case when refs = '' then st end"), ('signature', "case when sg.step in ('identity', 'evidence', 'metric', 'evidence_text', 'subsystem', 'restarts', 'text') then sg.value end"), ('text', 'btt'), ('any_signature', 'sg.value'))} as rt from s5)"""
+_SC = f"""{_SG}, c0 as (select *, 'sc-' || substr(sha256(concat_ws('|', bundle_id, sb.value, sg.value)), 1, 16) as cluster_id, case when role = 'contrast_agent' then 'rules-b' else 'rules-a' end as provider, case role when 'contrast_agent' then 'contrast-1' when 'evidence_verifier' then 'verifier-1' else 'hypothesis-1' end as model,
+ case when claim_type in ('counter_evidence', 'validation_target') then 'high' when claim_type = 'support' or permanent_action <> '' then 'medium' else 'low' end as priority, case when claim_type in ('counter_evidence', 'validation_target') then 1.0 when claim_type = 'support' or permanent_action <> '' then 0.65 else 0.35 end::double as score,
+ case when claim_type = 'support' then 'incident_candidate' else 'validation_target' end as mode from signed),
+c1 as (select cluster_id, any_value(bundle_id) bundle_id, any_value(sb.value) subsystem, any_value(sg.value) signature, count(*) members, first(claim_id order by score desc, claim_id) representative, max(score) score, first(mode order by score desc, claim_id) as mode, first(priority order by score desc, claim_id) priority, first(rt.value order by score desc, claim_id) review_target,
+ first(temporary_action <> '' or permanent_action <> '' order by score desc, claim_id) acts, list_sort(list_distinct(list(provider))) providers, string_agg(distinct model, ',' order by model) models, len(list_distinct(flatten(list(string_split(refs, ','))))) refs, len(list_distinct(flatten(list(string_split(refs, ',')) filter (claim_type <> 'counter_evidence')))) sr, len(list_distinct(flatten(list(string_split(refs, ',')) filter (claim_type = 'counter_evidence')))) cr,
+ len(list_distinct(flatten(list(string_split(missing, '|'))))) wants, len(list_distinct(flatten(list(ms)))) nm from c0 group by 1),
+ct as (select bundle_id, first(cluster_id order by score desc, cluster_id) top from c1 where mode = 'incident_candidate' or signature = 'throughput_disappearance' group by 1),
+sclu as (select c1.*, case when cluster_id <> top and (mode = 'validation_target' or signature in ('external_dependency_failure', 'network_error_signal', 'user_impact_signal_gap', 'freshness_signal_gap', 'state_mismatch', 'monitoring_gap', 'instrumentation_mismatch', 'observability_contract_mismatch')) then top else '' end as parent from c1 left join ct using (bundle_id))"""
 ORACLES = {
+    "claim_signatures": f"{_SG} select claim_id, tg.value as own_target, tg.step as target_step, sb.value as subsystem, sb.step as subsystem_step, sg.value as signature, sg.step as signature_step, rt.value as review_target, rt.step as review_step from signed",
+    "metric_zeros": f"{_SG} select m as metric_name, case when core <> '' then 'zero_is_good' else 'unknown' end as meaning, case m when 'error_count' then 'error' when 'runtime_restart_count' then 'restart' else 'unknown' end as semantic_type, core as core_target_type, count(*) as claims from sc0 where m <> '' group by all",
+    "signature_clusters": f"{_SC} select cluster_id, bundle_id, subsystem, signature, members, representative, score, array_to_string(providers, ',') as providers, models, refs, wants, parent from sclu",
+    "score_breakdown": f"""{_SC} select cluster_id, review_target, round(least(1.0::double, (coalesce(sr, 0) + 0.5::double * coalesce(cr, 0)) / 3.0::double), 4) as evidence_strength, case when wants > 0 or acts then 0.85 else 0.35 end::double as actionability,
+ case when review_target in ('throughput_disappearance', 'external_dependency_failure', 'user_impact_signal_gap', 'freshness_signal_gap') then 0.82 when review_target in ('restart_loop', 'state_mismatch', 'observability_contract_mismatch') then 0.72 when priority = 'high' then 0.78 when priority = 'medium' then 0.55 else 0.35 end::double as user_impact_risk,
+ len(providers) / 2.0::double as agreement, least(1.0::double, case when nm > 0 then nm else refs end / 2.0::double) as diversity, round(least(0.3::double, wants * 0.025::double), 4) as missing_penalty, round(least(0.2::double, (members - 1) * 0.04::double), 4) as duplicate_penalty from sclu""",
     "bundle_causes": f"{_BC} select * from bc",
     "cited_items": f"{_BR} select bundle_id, cites, array_to_string(refs, ',') as refs from br",
     "local_claims": f"{_CL} select * from lc",
