@@ -7,61 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import documents as D
 from .text import any_of, first_case
 
-EMAIL, IP = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
-INTERNAL_URL = r"(?i)\bhttps?://(?:localhost|127\.0\.0\.1|10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|[^/\s'\"]+\.(?:internal|local|corp|lan))(?::\d+)?(?:/[^\s'\"]*)?"
-USER_HOME = r"(?i)(?:/home/[^/\s:]+|/Users/[^/\s:]+|[A-Z]:\\Users\\[^\\\s:]+)"
-SECRETS = (
-    r"(?i)\b(?:Authorization\s*[:=]\s*)(?:Bearer|Basic)?\s*[A-Za-z0-9._~+/=\-]{6,}", r"(?i)\b(?:Cookie|Set-Cookie)\s*[:=]\s*[^,\s;]+(?:;\s*[^,\s;=]+=[^,\s;]+)*",
-    r"""(?i)\b(?:api[_-]?key|access[_-]?token|refresh[_-]?token|session(?:[_-]?id)?|password|passwd|secret|client[_-]?secret|private[_-]?key|credentials?|service_account)\s*[:=]\s*(?:'[^']*'|"[^"]*"|[^\s,;]+)""",
-    r"\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\b", r"(?i)\bsk-(?:live|test|proj)?-?[A-Za-z0-9_\-]{12,}\b", r"(?i)\bBearer\s+[A-Za-z0-9._~+/=\-]{8,}", r"(?i)\bBasic\s+[A-Za-z0-9+/=]{8,}",
-)
-IDS = r"(?i)\b(user[_-]?id|order[_-]?id|tracking[_-]?id|track[_-]?id|customer[_-]?id|account[_-]?id)\s*[:=]\s*([A-Za-z0-9_.:\-]{3,})"
 SENSITIVE_KEY = r"api[_-]?key|token|session(?:[_-]?id)?|password|passwd|secret|private[_-]?key|credential|client[_-]?secret|authorization|cookie|gmail|pubsub"
 ID_KEY = r"(?:^|[_-])(user|order|tracking|track|customer|account)[_-]?id$"
 
 
-def hashed(text: Column, pattern: str, name: str, fold: bool = False) -> Column:
-    """Every match of the pattern becomes <name:12 digits of its hash>: equal values stay equal."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    # longer ones first: a match may be a part of another
-    found = F.reverse(F.array_sort(F.transform(found, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))))
-    value = lambda m: F.lower(m["x"]) if fold else m["x"]
-    return F.aggregate(found, text, lambda t, m: F.replace(t, m["x"], F.concat(F.lit(f"<{name}:"), F.substring(F.sha2(value(m), 256), 1, 12), F.lit(">"))))
-
-
-def hashed_ids(text: Column) -> Column:
-    keys, values = (F.regexp_extract_all(text, F.lit(IDS), F.lit(k)) for k in (1, 2))
-    whole = F.regexp_extract_all(text, F.lit(IDS), F.lit(0))
-    parts = F.array_distinct(F.arrays_zip(whole.alias("w"), keys.alias("k"), values.alias("v")))
-    return F.aggregate(parts, text, lambda t, m: F.replace(t, m["w"], F.concat(m["k"], F.lit("=<ID_HASH:"), F.substring(F.sha2(m["v"], 256), 1, 12), F.lit(">"))))
-
-
 def redacted(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with the column redacted: homes and secrets go, URLs, ids, addresses become hashes; and out_counts, a map of
     how many there were of each kind."""
-    step, counts = F.col(column), []
-
-    def count(kind, pattern):
-        counts.append((kind, F.regexp_count("__t", F.lit(pattern))))
-
-    df = df.withColumn("__t", step)
-    for kind, pattern, to in (("user_home", USER_HOME, "<USER_HOME>"), ("internal_url", INTERNAL_URL, None)):
-        df = df.withColumn(f"__{kind}", F.regexp_count("__t", F.lit(pattern)))
-        df = df.withColumn("__t", F.regexp_replace("__t", pattern, to) if to else hashed(F.col("__t"), pattern, "URL_HASH"))
-    df = df.withColumn("__secret_like", F.lit(0))
-    for p in SECRETS[:3]:
-        df = df.withColumn("__secret_like", F.col("__secret_like") + F.regexp_count("__t", F.lit(p))).withColumn("__t", F.regexp_replace("__t", p, "<REDACTED_SECRET>"))
-    df = df.withColumn("__id_like", F.regexp_count("__t", F.lit(IDS))).withColumn("__t", hashed_ids(F.col("__t")))
-    for p in SECRETS[3:]:
-        df = df.withColumn("__secret_like", F.col("__secret_like") + F.regexp_count("__t", F.lit(p))).withColumn("__t", F.regexp_replace("__t", p, "<REDACTED_SECRET>"))
-    for kind, pattern, name, fold in (("email", EMAIL, "EMAIL_HASH", True), ("ip_address", IP, "IP_HASH", False)):
-        df = df.withColumn(f"__{kind}", F.regexp_count("__t", F.lit(pattern))).withColumn("__t", hashed(F.col("__t"), pattern, name, fold))
-    kinds = ("user_home", "internal_url", "secret_like", "id_like", "email", "ip_address")
-    found = F.map_filter(F.create_map(*[x for k in kinds for x in (F.lit(k), F.col(f"__{k}"))]), lambda _, n: n > 0)
-    df = df.withColumn(out, F.trim(F.regexp_replace("__t", r"\s+", " "))).withColumn(f"{out}_counts", found)
-    return df.drop("__t", *[f"__{k}" for k in kinds])
+    r = df.withColumn("__r", D.redacted(F.col(column)))
+    return r.withColumn(out, F.col("__r.text")).withColumn(f"{out}_counts", F.col("__r.counts")).drop("__r")
 
 
 def redacted_map(attributes: Column) -> Column:
@@ -76,7 +33,7 @@ def redacted_map(attributes: Column) -> Column:
 def fine_template(text: Column) -> Column:
     """A template with times, paths, hashes and decimals replaced as well."""
     for pattern, to in (
-        (r"<(EMAIL|IP|ID|URL)_HASH:[0-9a-f]{12}>", "<$1>"), ("<REDACTED_SECRET>", "<SECRET>"), (INTERNAL_URL, "<URL>"), (EMAIL, "<EMAIL>"), (IP, "<IP>"), (r"\b\d{4}-\d{2}-\d{2}[T ][0-2]\d:[0-5]\d:[0-5]\d(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b", "<TIMESTAMP>"),
+        (r"<(EMAIL|IP|ID|URL)_HASH:[0-9a-f]{12}>", "<$1>"), ("<REDACTED_SECRET>", "<SECRET>"), (D.INTERNAL_URL, "<URL>"), (D.EMAIL, "<EMAIL>"), (D.IP, "<IP>"), (r"\b\d{4}-\d{2}-\d{2}[T ][0-2]\d:[0-5]\d:[0-5]\d(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b", "<TIMESTAMP>"),
         (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<UUID>"), (r"(?i)\b(?:sha256:)?[0-9a-f]{32,128}\b", "<HASH>"), (r"(?i)\b[A-Z]:\\(?:[^\\\s:]+\\)+[^\\\s:]*", "<PATH>"),
         (r"(?<![A-Za-z0-9_])(?:<USER_HOME>/|/)(?:[A-Za-z0-9._@%+\-]+/)*[A-Za-z0-9._@%+\-]+", "<PATH>"), (r"\b\d+(?:\.\d+)?\b", "<NUM>"), (r"\s+", " "),
     ):
@@ -137,6 +94,10 @@ def new_snapshots(snapshots: DataFrame, key: Sequence[str], order: Column) -> Da
 
 
 def fingerprint(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(key, fingerprint): a hash over each key's input rows, whatever their order."""
+    """(key, fingerprint): a hash over each key's input rows, whatever their order: of their number and of eight sums over
+    parts of the rows' hashes, so that a key of any size is nine numbers."""
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]), 256)
-    return rows.groupBy(key).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ","), 256).alias("fingerprint"))
+    part = lambda k: F.conv(F.substring("__h", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")
+    sums = [F.sum(part(k)).alias(f"s{k}") for k in range(8)]
+    out = rows.select(key, row.alias("__h")).groupBy(key).agg(F.count("*").alias("n"), *sums)
+    return out.select(key, F.sha2(F.concat_ws("-", "n", *[F.col(f"s{k}").cast("string") for k in range(8)]), 256).alias("fingerprint"))

@@ -38,10 +38,6 @@ def with_baseline(current: DataFrame, baseline: DataFrame, keys: Sequence[str],
     return current.join(base, list(keys), "left").withColumn("baseline_n", F.coalesce("baseline_n", F.lit(0)))
 
 
-def severity_hint(n: Column, baseline: Column, rank: Column) -> Column:
-    return F.when((rank >= 50) & (n >= 2 * F.greatest(baseline, F.lit(1))), "high").when((rank >= 50) | (n >= 2 * F.greatest(baseline, F.lit(1))), "medium").otherwise("low")
-
-
 def dominant(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The most frequent value of each key; of equals the smallest."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))

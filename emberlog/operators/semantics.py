@@ -7,15 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import documents as D
 from .text import any_of, first_case, not_negated, semantic_name
 
-#: Keys, names and values that the rules below use (fixed values).
-EXPLICIT_KEYS = ("event_type", "error_type", "exception_type", "exception_class", "failure_kind", "event_class")
-CODE_KEYS = ("error_code", "errno", "sqlstate", "grpc_status", "response_code", "status_code", "http_status")
-CLASS_KEYS = ("exception_class", "exception_type")
-STATUS_KEYS = ("status", "status_code", "http_status", "response_status", "response_code")
-TEXT_KEYS = ("action", "error", "error_type", "event_class", "event_type", "exception", "exception_type", "failure", "failure_reason", "outcome", "reason", "result", "sample_reason", "state", "status")
-EMPTY = ("", "false", "n/a", "na", "none", "null", "true", "unknown")
+#: Names and values that the rules below use (fixed values).
 PLACEHOLDERS = ("error", "event", "exception", "failure", "info", "log", "message", "none", "unknown", "warning")
 WEAK = ("event", "info", "warning", "unknown")
 FAMILIES = {
@@ -36,48 +31,21 @@ FAMILY_TERMS = (
 )
 
 
-def attribute(attributes: Column, key: str) -> Column:
-    """The first scalar of a key in a JSON text, at any depth, as text; empty if there is none."""
-    return F.trim(F.regexp_extract(attributes, rf'"{key}"\s*:\s*"?([^",{{}}\[\]]*)"?', 1))
-
-
-def first_attribute(attributes: Column, keys: Sequence[str], code: bool = False) -> Column:
-    """The first of the keys with a value that says something; codes keep their letters, names are made uniform."""
-    def one(k):
-        raw = attribute(attributes, k)
-        value = F.substring(F.regexp_replace(F.regexp_replace(raw, r"[^A-Za-z0-9_.:-]+", "_"), "^_+|_+$", ""), 1, 120) if code else semantic_name(raw)
-        return F.when(~F.lower(value).isin(*EMPTY), value)
-
-    return F.coalesce(*[one(k) for k in keys], F.lit(""))
-
-
-def attribute_text(attributes: Column) -> Column:
-    """The values of attributes that describe what happened."""
-    return F.concat_ws(" ", *[F.when(~F.lower(attribute(attributes, k)).isin(*EMPTY), attribute(attributes, k)) for k in TEXT_KEYS])
-
-
 def success_code(code: Column) -> Column:
     n = F.regexp_extract(code, r"^\D*(\d{1,3})\D*$", 1).try_cast("int")
     return F.when(n.isNull(), F.lower(code).isin("ok", "success", "successful")).otherwise((n == 0) | n.between(100, 399))
 
 
-def http_5xx(attributes: Column) -> Column:
-    out = F.lit(False)
-    for k in STATUS_KEYS:
-        out = out | attribute(attributes, k).rlike(r"\b5\d\d\b")
-    return out
-
-
-def generic_name(message: Column, severity: Column, attributes: Column) -> Column:
-    """The name of an event by the first rule that its text meets; else by its severity."""
-    m, t, s = F.lower(message), F.lower(F.concat_ws(" ", message, attribute_text(attributes))), F.lower(F.trim(severity))
+def generic_name(m: Column, t: Column, s: Column, server_error: Column) -> Column:
+    """The name of an event by the first rule that its text meets; else by its severity. m: the message, t: with what its
+    attributes say, s: the severity, all in lower case; server_error: whether a status among them is 5xx."""
     has = lambda *terms: any_of(t, terms)
     nothing = has("no such file or directory")
     return first_case([
         ("missing_command", nothing & has("can't open file", "execstart", "executable", "command", ".service", ".py", ".sh")), ("missing_file", nothing), ("missing_command", has("command not found", "executable file not found")),
         ("permission_denied", has("permission denied", "operation not permitted", "access denied")), ("service_start_failure", has("failed with result 'exit-code'", "failed to start", "main process exited")),
         ("restart_loop", has("start request repeated too quickly", "restart loop", "crashloop", "back-off restarting")), ("process_exit", has("process exited", "exited with status", "exit status")), ("connection_reset", has("connection reset")),
-        ("http_5xx", F.contains(m, F.lit("http 5")) | m.rlike(r"\b(?:status|status_code|http_status|response_status)\s*[=:]\s*5\d\d\b") | http_5xx(attributes)), ("timeout", not_negated(t, ("timed out", "timeout", "deadline exceeded"))),
+        ("http_5xx", F.contains(m, F.lit("http 5")) | m.rlike(r"\b(?:status|status_code|http_status|response_status)\s*[=:]\s*5\d\d\b") | server_error), ("timeout", not_negated(t, ("timed out", "timeout", "deadline exceeded"))),
         ("dns_failure", has("temporary failure in name resolution") | has("dns") & has("failure", "failed", "nxdomain")), ("auth_failure", has("unauthorized", "forbidden", "authentication failed", "authorization failed", "invalid credentials")),
         ("config_error", has("invalid config", "configuration error", "config_error", "bad configuration")), ("dependency_unreachable", has("connection refused", "unreachable", "no route to host", "upstream unavailable")),
         ("oom", not_negated(t, ("memory cgroup out of memory", "out of memory", "oom"))), ("state_mismatch", has("state mismatch", "status mismatch", "expected state", "actual state", "contradicts", "healthy but")),
@@ -87,9 +55,9 @@ def generic_name(message: Column, severity: Column, attributes: Column) -> Colum
     ], F.lit("unknown"))
 
 
-def protocol(message: Column, attributes: Column) -> Column:
-    t = F.lower(F.concat_ws(" ", message, attribute_text(attributes)))
-    key = lambda *ks: attributes.rlike("|".join(rf'"{k}"\s*:' for k in ks))
+def protocol(t: Column, keys: Column) -> Column:
+    """t: the message with what its attributes say, in lower case; keys: the names of attributes."""
+    key = lambda *ks: F.arrays_overlap(keys, F.array(*map(F.lit, ks)))
     has = lambda *terms: any_of(t, terms)
     return first_case([
         ("tls", has("tls", "ssl", "x509", "certificate")), ("grpc", has("grpc") | key("grpc_status")), ("dns", has("dns", "nxdomain")), ("http", key("http_status", "status_code", "response_status") | t.rlike(r"\bhttp(?:/\d(?:\.\d)?)?\b")),
@@ -97,22 +65,26 @@ def protocol(message: Column, attributes: Column) -> Column:
     ], F.lit(""))
 
 
-def family(name: Column, protocol: Column, message: Column) -> Column:
+def family(t: Column, name: Column) -> Column:
+    """The family of a name, or else by the first terms in t, the name with its protocol and message in lower case."""
     known = F.lit(None).cast("string")
     for k, v in FAMILIES.items():
         known = F.when(name == k, F.lit(v)).otherwise(known)
-    t = F.lower(F.concat_ws(" ", name, protocol, message))
     return F.coalesce(known, first_case([(f, any_of(t, terms)) for f, terms in FAMILY_TERMS], F.lit("general")))
 
 
 def classified(events: DataFrame) -> DataFrame:
     """events (message, severity, attributes as JSON, template) with event_name, event_family, protocol, error_code,
-    exception_class, template_fingerprint, and from what and how surely the name was taken."""
-    m, s, a = F.col("message"), F.col("severity"), F.col("attributes")
-    e = events.withColumns({
-        "error_code": first_attribute(a, CODE_KEYS, True), "exception_class": first_attribute(a, CLASS_KEYS), "__explicit": first_attribute(a, EXPLICIT_KEYS), "protocol": protocol(m, a), "__generic": generic_name(m, s, a),
-        "template_fingerprint": F.concat(F.lit("tmpl-"), F.substring(F.sha2("template", 256), 1, 16)), "__family": first_attribute(a, ("event_family", "failure_domain", "category")),
-    })
+    exception_class, template_fingerprint, and from what and how surely the name was taken.
+
+    Attributes are parsed once for each different text of a batch, and the ladders below read columns: the lower-cased
+    texts are not built again in each of their branches."""
+    e = events.withColumn("__a", D.attribute_facts(F.col("attributes")))
+    e = e.withColumns({
+        "error_code": F.col("__a.code"), "exception_class": F.col("__a.thrown"), "__explicit": F.col("__a.explicit"), "__family": F.col("__a.family"), "__error": F.col("__a.server_error"), "__keys": F.col("__a.keys"),
+        "__m": F.lower("message"), "__t": F.lower(F.concat_ws(" ", "message", F.nullif("__a.said", F.lit("")))), "__s": F.lower(F.trim("severity")), "template_fingerprint": F.concat(F.lit("tmpl-"), F.substring(F.sha2("template", 256), 1, 16)),
+    }).drop("__a")
+    e = e.withColumns({"protocol": protocol(F.col("__t"), F.col("__keys")), "__generic": generic_name(F.col("__m"), F.col("__t"), F.col("__s"), F.col("__error"))})
     said = (F.col("__explicit") != "") & ~F.col("__explicit").isin(*PLACEHOLDERS)
     thrown, strong = F.col("exception_class") != "", ~F.col("__generic").isin(*WEAK)
     coded = (F.col("error_code") != "") & ~success_code(F.col("error_code"))
@@ -123,50 +95,41 @@ def classified(events: DataFrame) -> DataFrame:
         .when(coded, of(F.concat(F.lit("error_code_"), semantic_name(F.col("error_code"))), field, 0.9)).otherwise(of(F.col("__generic"), F.lit("template_fingerprint"), 0.55))
     )
     e = e.withColumn("__pick", pick).withColumn("event_name", F.col("__pick.name"))
-    own = F.when(F.col("__family") != "", F.col("__family")).otherwise(family(F.col("event_name"), F.col("protocol"), m))
-    return e.withColumns({"event_family": own, "classification_source": F.col("__pick.source"), "confidence": F.col("__pick.sure")}).drop("__pick", "__explicit", "__generic", "__family")
+    own = F.when(F.col("__family") != "", F.col("__family")).otherwise(family(F.lower(F.concat_ws(" ", "event_name", "protocol", "message")), F.col("event_name")))
+    return e.withColumns({"event_family": own, "classification_source": F.col("__pick.source"), "confidence": F.col("__pick.sure")}).drop("__pick", "__explicit", "__generic", "__family", "__error", "__keys", "__m", "__t", "__s")
 
 
 def overridden(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Classified events renamed by the first enabled rule of a trusted profile of which all conditions hold.
 
     rules: place, enabled, trust, term (in the message; null: any), protocol, family (null: any), event_name, event_family.
-    There are few: they are broadcast."""
+    There are few: they go along as one array, of which each event takes the first that it meets."""
     live = rules.where(F.col("enabled") & F.col("trust").isin("human_approved", "packaged_allowlist"))
-    r = F.broadcast(live.select(F.col("place"), F.col("term"), F.col("protocol").alias("r_protocol"), F.col("family").alias("r_family"), F.col("event_name").alias("r_name"), F.col("event_family").alias("r_new")))
-    meets = (F.col("term").isNull() | F.contains(F.lower("message"), F.col("term"))) & (F.col("r_protocol").isNull() | (F.col("r_protocol") == F.col("protocol"))) & (F.col("r_family").isNull() | (F.col("r_family") == F.col("event_family")))
-    hit = events.join(r, meets).groupBy("event_id").agg(F.min_by(F.struct("r_name", "r_new"), "place").alias("x"))
-    out = events.join(hit, "event_id", "left")
-    return out.withColumns({
-        "classification_source": F.when(F.col("x").isNotNull(), "profile_rule").otherwise(F.col("classification_source")),
-        "event_family": F.coalesce("x.r_new", "event_family"), "event_name": F.coalesce("x.r_name", "event_name"),
-    }).drop("x")
-
-
-def flattened(df: DataFrame, key: str, attributes: str, depth: int = 4) -> DataFrame:
-    """(key, path, name, value) of the scalars of JSON objects down to a depth; lists are left out."""
-    level, out = df.select(key, F.lit("").alias("path"), F.col(attributes).alias("json")), None
-    for _ in range(depth + 1):
-        each = level.select(key, "path", F.explode(F.from_json("json", "map<string,string>")).alias("name", "value")).where("value is not null")
-        each = each.withColumn("name", F.regexp_replace(F.lower(F.trim("name")), "-", "_")).withColumn("path", F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(".", "path", "name")))
-        scalar = each.where(~F.col("value").rlike(r"^\s*[\[{]"))
-        out = scalar if out is None else out.unionByName(scalar)
-        level = each.where(F.col("value").rlike(r"^\s*\{")).select(key, "path", F.col("value").alias("json"))
-    return out
+    listed = live.agg(F.sort_array(F.collect_list(F.struct("place", "term", F.col("protocol").alias("r_protocol"), F.col("family").alias("r_family"), F.col("event_name").alias("r_name"), F.col("event_family").alias("r_new")))).alias("__rules"))
+    free = lambda wanted, holds: wanted.isNull() | holds
+    e = events.withColumn("__m", F.lower("message")).crossJoin(F.broadcast(listed))  # one row
+    met = F.filter("__rules", lambda r: free(r["term"], F.contains(F.col("__m"), r["term"])) & free(r["r_protocol"], r["r_protocol"] == F.col("protocol")) & free(r["r_family"], r["r_family"] == F.col("event_family")))
+    e = e.withColumn("__x", F.get(met, 0))
+    return e.withColumns({
+        "classification_source": F.when(F.col("__x").isNotNull(), "profile_rule").otherwise(F.col("classification_source")),
+        "event_family": F.coalesce("__x.r_new", "event_family"), "event_name": F.coalesce("__x.r_name", "event_name"),
+    }).drop("__x", "__m", "__rules")
 
 
 #: What a generic message is completed with, in this order (fixed values).
 SEMANTIC_KEYS = ("schema", "original_service", "action", "event_class", "state", "status", "result", "outcome", "sample_reason", "reason", "failure_reason", "error_type", "exception_type", "error", "phase", "health", "healthy", "ok", "connected", "changed", "triggered")
 
 
-def enriched(message: Column, service: Column, attributes: Column) -> Column:
-    """A message that says nothing, with the service and up to seven attributes that say something behind it."""
+def enriched(message: Column, service: Column, first: Column) -> Column:
+    """A message that says nothing, with the service and up to seven attributes that say something behind it. first: the
+    first value of each attribute, a map (see documents.attribute_facts)."""
+    said = lambda k: F.coalesce(F.try_element_at(first, F.lit(k)), F.lit(""))
     generic = F.lower(F.trim(message)).rlike(r"^(?:event|log|message|record|entry)(?:\s+[a-z0-9_.-]+=[^\s]+)*$")
     have = lambda k: F.contains(F.concat(F.lit(" "), F.lower(message)), F.lit(f" {k}="))
     empty = ("", "unknown", "none", "null", "n/a", "na")
     value = lambda c: F.substring(F.regexp_replace(c, "/", ":"), 1, 120)
     tokens = [F.when(~have("service") & ~F.lower(service).isin(*empty), F.concat(F.lit("service="), value(service)))]
-    tokens += [F.when(~have(k) & ~F.lower(attribute(attributes, k)).isin(*empty), F.concat(F.lit(f"{k}="), value(attribute(attributes, k)))) for k in SEMANTIC_KEYS]
+    tokens += [F.when(~have(k) & ~F.lower(said(k)).isin(*empty), F.concat(F.lit(f"{k}="), value(said(k)))) for k in SEMANTIC_KEYS]
     more = F.array_join(F.slice(F.array_compact(F.array(*tokens)), 1, 8), " ")
     return F.when(generic, F.substring(F.trim(F.concat_ws(" ", message, more)), 1, 500)).otherwise(message)
 

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.operators import documents as D
 from emberlog.operators import text as T
 
 INCIDENT = ("2024-01-22 00:00:00", "2024-01-29 00:00:00")
@@ -49,7 +50,7 @@ LABELS = """case event_id % 6
  when 2 then concat('{"metric_name":"', case user_id % 3 when 0 then 'fail_count' when 1 then 'stream_active' else 'mbps' end, '","metric_value":"', cast(floor(value) as bigint) % 3, '"}')
  when 3 then concat('{"labels":{"metric_name":"ingest_connected","metric_value":"', user_id % 2, '","source_name":"src-', user_id % 3, '"}}')
  when 4 then '{"event_type":"custom","status":"failed"}'
- else '{}' end"""
+ else concat('{"owner":{"mail":"joe', user_id % 3, '@example.com"},"hosts":["10.1.2.', user_id % 3, '","plain"],"n":1.50}') end"""
 RAW = f"""select event_id, date_trunc('second', ts) as ts, concat('svc-', user_id % 5) as service, case when event_id % 10 < 8 then 'prod' else 'stage' end as environment,
  {SEVERITY} as severity, user_id, concat('trace-', user_id) as trace_id, case when event_type = 'signup' then concat('deploy-', user_id % 7) end as deploy_id,
  case event_id % 4 when 0 then 'systemd' when 1 then '' else 'pod' end as resource_type, event_type, value, {MESSAGE} as raw_message, {LABELS} as labels from EVENTS where event_id is not null"""
@@ -58,15 +59,37 @@ _stored: dict[tuple[str, str], str] = {}
 
 
 def _folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-    return f"{top.rstrip('/')}/emberlog-facts/{spark.sparkContext.applicationId}"
+    """This application's folder below spark.checkpoint.dir, which all executors share; below the warehouse where that is
+    unset and the master is a local one, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    return f"{top.rstrip('/')}/emberlog/{spark.sparkContext.applicationId}/facts"
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """What tells one state of an input folder from another: its entries with their lengths and times."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    entries = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    listed = sorted((e.getPath().getName(), e.getLen(), e.getModificationTime()) for e in entries)
+    return hashlib.sha256(f"{sf_dir}{listed}".encode()).hexdigest()[:16]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all stored tables of this application; they are built again when they are asked for."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
+        del _stored[key]
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build, partition: str | None = None) -> DataFrame:
-    """A table that queries share: built once for each application and input, and read from there on."""
-    key = spark.sparkContext.applicationId, f"{name}-{sf_dir}"
+    """A table that queries share: built once for each application and state of the input, and read from there on."""
+    key = spark.sparkContext.applicationId, f"{name}-{_state(spark, sf_dir)}"
     if key not in _stored:
-        path = f"{_folder(spark)}/{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+        path = f"{_folder(spark)}/{key[1]}"
         rows = build()
         rows = rows.hint("rebalance", partition).write.partitionBy(partition) if partition else rows.hint("rebalance").write
         rows.mode("overwrite").parquet(path)
@@ -75,8 +98,9 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, partition: str |
 
 
 def classified(raw: DataFrame) -> DataFrame:
-    """The sanitized log of each raw one: message without secrets, template, error type, severity's rank, stack hash."""
-    clean = raw.withColumn("message", T.sanitize(F.col("raw_message"))).drop("raw_message")
+    """The sanitized log of each raw one: message and labels without secrets, template, error type, severity's rank, stack
+    hash."""
+    clean = raw.withColumns({"message": T.sanitize(F.col("raw_message")), "labels": D.sanitized_json(F.col("labels"))}).drop("raw_message")
     return clean.withColumns({
         "log_id": F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 16), "severity_rank": T.severity_rank(F.col("severity")), "template": T.template(F.col("message")),
         "error_type": T.error_type(F.col("message"), F.col("severity")), "stack_hash": T.stack_hash(F.col("message")),
@@ -137,7 +161,7 @@ _SQL_ERROR = r"""case
 SQL_RANK = "case upper(severity) when 'EMERGENCY' then 70 when 'ALERT' then 60 when 'CRITICAL' then 50 when 'ERROR' then 40 when 'WARN' then 30 when 'WARNING' then 30 when 'NOTICE' then 25 when 'INFO' then 20 when 'DEBUG' then 10 else 0 end"
 LOGS = f"""
 l0 as ({RAW.replace("EVENTS", "events")}),
-l1 as (select * exclude (raw_message, ts), ts::timestamp as ts, {_SQL_MESSAGE} as message, {SQL_RANK} as severity_rank, substr(sha256(event_id::varchar), 1, 16) as log_id from l0),
+l1 as (select * exclude (raw_message, ts) replace (case when event_id % 6 = 5 then '{{"owner":{{"mail":"<EMAIL>"}},"hosts":["<IP>","plain"],"n":1.5}}' else labels end as labels), ts::timestamp as ts, {_SQL_MESSAGE} as message, {SQL_RANK} as severity_rank, substr(sha256(event_id::varchar), 1, 16) as log_id from l0),
 l2 as (select *, lower(message) as m, {sql_template('message')} as template from l1),
 logs as (select * exclude (m), {_SQL_ERROR} as error_type,
  case when m like '%traceback%' or ' ' || m || ' ' like '% stack %' then substr(sha256({sql_template('m')}), 1, 16) else '' end as stack_hash, ts::date as day from l2)"""

@@ -14,8 +14,9 @@ from . import semantics as E
 from .facts import LOGS, logs, stored
 
 #: The test data's raw messages with private data, as an expression that both dialects read.
-PRIVATE = """select event_id, concat(case event_id % 6 when 0 then concat('mail Joe.', user_id % 5, '@Example.com and joe.', user_id % 5, '@example.com') when 1 then concat('from 10.0.0.', user_id % 200, ' to http://10.1.2.3:80/x/', user_id % 3) when 2 then concat('user_id=ab', user_id % 9, 'c and order-id: zz', user_id % 4)
- when 3 then concat('password=hunter', user_id % 7, ' token eyJab.cd', user_id % 3, '.ef') when 4 then concat('in /home/joe', user_id % 3, '/x and Authorization: Bearer abcdef', user_id % 3) else 'nothing private, 3.5 s at 2024-01-01T00:00:00Z in /var/log/app.log' end, case when event_id % 5 = 0 then '  secret: s3' else '' end) as text from EVENTS where event_id is not null and user_id is not null"""
+PRIVATE = """select event_id, concat(case event_id % 12 when 0 then concat('mail Joe.', user_id % 5, '@Example.com and joe.', user_id % 5, '@example.com') when 1 then concat('from 10.0.0.', user_id % 200, ' to http://10.1.2.3:80/x/', user_id % 3) when 2 then concat('user_id=ab', user_id % 9, 'c and order-id: zz', user_id % 4)
+ when 3 then concat('password=hunter', user_id % 7, ' token eyJab.cd', user_id % 3, '.ef') when 4 then concat('in /home/joe', user_id % 3, '/x and Authorization: Bearer abcdef', user_id % 3) when 6 then concat('key AIzaSyA1234567890abcdefghij', user_id % 7) when 7 then concat('oauth ya29.abc_d-', user_id % 7) when 8 then concat('pem -----BEGIN PRIVATE KEY-----MII', user_id, '-----END PRIVATE KEY----- end') when 9 then 'id_token=zz1 and order_id=''12 34'''
+ when 10 then 'x-api-key: zzz to http://172.16.3.4/x' when 11 then 'v1.2.3.4 from 1.2.3.4 then user_id=abc then user_id=abcd' else 'nothing private, 3.5 s at 2024-01-01T00:00:00Z in /var/log/app.log' end, case when event_id % 5 = 0 then '  secret: s3' else '' end) as text from EVENTS where event_id is not null and user_id is not null"""
 
 
 def _private(spark, d):
@@ -31,7 +32,6 @@ def hashed_redaction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redaction_report(spark: SparkSession, d: str) -> DataFrame:
-    # outer, or the optimizer puts a filter on the whole chain below the explode, which evaluates it once more for each step
     r = K.redacted(_private(spark, d), "text", "clean").select(F.explode_outer("clean_counts").alias("kind", "n")).where("kind is not null")
     return r.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("messages"))
 
@@ -173,16 +173,19 @@ QUERIES = {f.__name__: f for f in (hashed_redaction, redaction_report, fine_temp
 # ---- twins
 
 _H = "substr(sha256({}), 1, 12)"
-_PRIV = f"""p as (select e.event_id, e.user_id u, e.event_id % 6 k, e.event_id % 5 = 0 s, x.text from ({PRIVATE.replace('EVENTS', 'events')}) x join events e using (event_id)),
+_PRIV = f"""p as (select e.event_id, e.user_id u, e.event_id % 12 k, e.event_id % 5 = 0 s, x.text from ({PRIVATE.replace('EVENTS', 'events')}) x join events e using (event_id)),
 c as (select event_id, k, u, s, case k when 0 then 'mail <EMAIL_HASH:' || {_H.format("'joe.' || (u % 5) || '@example.com'")} || '> and <EMAIL_HASH:' || {_H.format("'joe.' || (u % 5) || '@example.com'")} || '>' when 1 then 'from <IP_HASH:' || {_H.format("'10.0.0.' || (u % 200)")} || '> to <URL_HASH:' || {_H.format("'http://10.1.2.3:80/x/' || (u % 3)")} || '>'
- when 2 then 'user_id=<ID_HASH:' || {_H.format("'ab' || (u % 9) || 'c'")} || '> and order-id=<ID_HASH:' || {_H.format("'zz' || (u % 4)")} || '>' when 3 then '<REDACTED_SECRET> token <REDACTED_SECRET>' when 4 then 'in <USER_HOME>/x and <REDACTED_SECRET>' else 'nothing private, 3.5 s at 2024-01-01T00:00:00Z in /var/log/app.log' end || case when s then ' <REDACTED_SECRET>' else '' end clean,
- list_filter([case when k = 0 then 'email=2' end, case when k = 2 then 'id_like=2' end, case when k = 1 then 'internal_url=1' end, case when k = 1 then 'ip_address=1' end, case when k = 3 then 'secret_like=' || (2 + s::int) when k = 4 then 'secret_like=' || (1 + s::int) when s then 'secret_like=1' end, case when k = 4 then 'user_home=1' end], lambda x: x is not null) counts from p)"""
+ when 2 then 'user_id=<ID_HASH:' || {_H.format("'ab' || (u % 9) || 'c'")} || '> and order-id=<ID_HASH:' || {_H.format("'zz' || (u % 4)")} || '>' when 3 then '<REDACTED_SECRET> token <REDACTED_SECRET>' when 4 then 'in <USER_HOME>/x and <REDACTED_SECRET>' when 6 then 'key <REDACTED_SECRET>' when 7 then 'oauth <REDACTED_SECRET>' when 8 then 'pem <REDACTED_SECRET> end' when 9 then '<REDACTED_SECRET> and order_id=<ID_HASH:' || {_H.format("'12 34'")} || '>' when 10 then '<REDACTED_SECRET> to <URL_HASH:' || {_H.format("'http://172.16.3.4/x'")} || '>'
+ when 11 then 'v1.2.3.4 from <IP_HASH:' || {_H.format("'1.2.3.4'")} || '> then user_id=<ID_HASH:' || {_H.format("'abc'")} || '> then user_id=<ID_HASH:' || {_H.format("'abcd'")} || '>' else 'nothing private, 3.5 s at 2024-01-01T00:00:00Z in /var/log/app.log' end || case when s then ' <REDACTED_SECRET>' else '' end clean,
+ list_filter([case when k = 4 then 'authorization_header=1' end, case when k in (6, 7) then 'cloud_credential=1' end, case when k = 0 then 'email=2' end, case when k in (2, 11) then 'id_like=2' when k = 9 then 'id_like=1' end, case when k in (1, 10) then 'internal_url=1' end, case when k in (1, 11) then 'ip_address=1' end,
+ case when (case k when 3 then 2 when 6 then 1 when 8 then 1 when 9 then 1 when 10 then 1 else 0 end) + s::int > 0 then 'secret_like=' || ((case k when 3 then 2 when 6 then 1 when 8 then 1 when 9 then 1 when 10 then 1 else 0 end) + s::int) end, case when k in (3, 4, 7, 9) then 'token_like=1' end, case when k = 4 then 'user_home=1' end], lambda x: x is not null) counts from p)"""
+_SUMMED = "sha256(concat_ws('-', count(*), " + ", ".join(f"sum(cast('0x' || substr(x, {1 + 8 * k}, 8) as ubigint))::hugeint::varchar" for k in range(8)) + "))"
 _RUNS = f"with {V._RUN}"
 _B = f"b as ({BUNDLES.replace('EVENTS', 'events')}), lb as (select * from (select *, row_number() over (partition by evidence order by created_at desc, bundle_id desc) evidence_rn, row_number() over (partition by service, incident order by created_at desc, bundle_id desc)::int incident_rn from b) where evidence_rn = 1)"
 ORACLES = {
     "hashed_redaction": f"with {_PRIV} select event_id, clean, array_to_string(counts, ',') counts from c",
     "redaction_report": f"with {_PRIV}, x as (select event_id, unnest(counts) v from c) select split_part(v, '=', 1) as kind, sum(split_part(v, '=', 2)::int)::bigint n, count(*) messages from x group by 1",
-    "fine_templates": f"with {_PRIV} select case k when 0 then 'mail <EMAIL> and <EMAIL>' when 1 then 'from <IP> to <URL>' when 2 then 'user_id=<ID> and order-id=<ID>' when 3 then '<SECRET> token <SECRET>' when 4 then 'in <PATH> and <SECRET>' else 'nothing private, <NUM> s at <TIMESTAMP> in <PATH>' end || case when s then ' <SECRET>' else '' end as template, count(*) n from c group by 1",
+    "fine_templates": f"with {_PRIV} select case k when 0 then 'mail <EMAIL> and <EMAIL>' when 1 then 'from <IP> to <URL>' when 2 then 'user_id=<ID> and order-id=<ID>' when 3 then '<SECRET> token <SECRET>' when 4 then 'in <PATH> and <SECRET>' when 6 then 'key <SECRET>' when 7 then 'oauth <SECRET>' when 8 then 'pem <SECRET> end' when 9 then '<SECRET> and order_id=<ID>' when 10 then '<SECRET> to <URL>' when 11 then 'v1.<NUM>.<NUM> from <IP> then user_id=<ID> then user_id=<ID>' else 'nothing private, <NUM> s at <TIMESTAMP> in <PATH>' end || case when s then ' <SECRET>' else '' end as template, count(*) n from c group by 1",
     "redacted_labels": f"with {LOGS} select 'order_id' as key, '<ID_HASH:' || {_H.format(chr(39) + 'o' + chr(39) + ' || (user_id % 5)')} || '>' as value, count(*) n from logs group by all union all select 'region', environment, count(*) from logs group by all union all select 'user_id', '', count(*) from logs union all select 'redacted_secret', '<REDACTED_SECRET>', count(*) from logs where event_id % 2 <> 0",
     "disagreement_themes": f"{A._G}, t as (select *, lower(concat_ws(' ', target, subsystem, component, text)) x from grp where disagreement) select case when regexp_matches(x, 'external|dependency|http_5xx|timeout') then 'external_dependency' when regexp_matches(x, 'user impact|delivery|ingest|watch|audio') then 'user_impact' when regexp_matches(x, 'freshness|stale|timestamp|drift') then 'freshness' when regexp_matches(x, 'metric|count|aggregation|mismatch') then 'instrumentation' when regexp_matches(x, 'deployment|config|version') then 'deployment' else 'general' end theme, count(*) groups, min(target_id) first_id from t group by 1",
     "chunk_failures": f"{V._CHUNKS}, x as (select first_conv % 12 k, tokens % 4 a from m) select case when k = 6 then 'ok' when k = 8 then 'skipped_not_configured' when k = 0 then 'safety_filter' when k = 1 then 'context_length' when k = 2 then 'rate_limited' when k = 3 then 'timeout' when k = 4 then 'schema_invalid' when k = 7 and a = 1 then 'deterministic_parse_failure' when k = 7 then 'schema_invalid' when k = 5 then 'empty_response' when a = 3 then 'retry_exhausted' else 'provider_error' end status, count(*) n from x group by 1",
@@ -197,6 +200,6 @@ ORACLES = {
     "public_targets": f"{A._OBS}, w as (select *, regexp_replace(lower(unit), '[^a-z0-9]+', '_', 'g') unit_key from obs) select unit_key, canonical_key, original_class, score, count(*) over (partition by unit_key) merged, (sum(sources) over (partition by unit_key))::bigint all_sources from w qualify row_number() over (partition by unit_key order by case original_class when 'primary_candidate' then 3 when 'validation_target' then 2 else 1 end desc, n_supporting desc, n_refs desc, score desc, unit, canonical_key) = 1",
     "recorded_decisions": f"{V._SHAPED} select cluster_id, l.decision, count(*) members, min(proposition_id) least from shaped s join lastd l on l.evidence = s.evidence and l.target = s.target and l.subsystem = s.subsystem group by 1, 2",
     "graph_snapshots": f"{_RUNS}, s as (select *, status || '-' || (step % 2) content from r where status <> 'running'), n as (select *, lag(content) over (partition by run_id order by ts, event_id) b from s) select run_id, count(*) saved, last(content order by ts, event_id) latest from n where b is null or b <> content group by 1",
-    "input_fingerprints": f"{V._CLAIMS}, h as (select evidence, claim_type, sha256(claim_id || '|' || claim_type) x from claims), a as (select evidence, sha256(string_agg(x, ',' order by x)) fingerprint from h group by 1), b as (select evidence, sha256(string_agg(x, ',' order by x)) o from h where evidence <> 'ev-1' or claim_type <> 'caveat' group by 1) select evidence, fingerprint, case when o is null then 'computed' when o = fingerprint then 'persisted' else 'stale' end state from a left join b using (evidence)",
+    "input_fingerprints": f"{V._CLAIMS}, h as (select evidence, claim_type, sha256(claim_id || '|' || claim_type) x from claims), a as (select evidence, {_SUMMED} fingerprint from h group by 1), b as (select evidence, {_SUMMED} o from h where evidence <> 'ev-1' or claim_type <> 'caveat' group by 1) select evidence, fingerprint, case when o is null then 'computed' when o = fingerprint then 'persisted' else 'stale' end state from a left join b using (evidence)",
     "inserted_rows": f"""with {LOGS}, r as (select distinct service || ':' || log_id row_id, '{{"service":"' || service || '"' || case when resource_type <> '' then ',"resource_type":"' || resource_type || '"' else '' end || case when deploy_id is not null then ',"deploy_id":"' || deploy_id || '"' else '' end || '}}' doc from logs) select doc, count(*) n from r group by 1""",
 }

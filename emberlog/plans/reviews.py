@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.operators import claims as C
+from emberlog.operators import documents as D
 from emberlog.operators import relational as R
 from emberlog.operators import text as T
 
@@ -208,21 +209,17 @@ def reviewer_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.join(s, "provider").select("provider", "n", "tokens", "n_valid", F.array_join(F.transform("x", lambda v: F.concat(v["finding_status"], F.lit("="), v["m"].cast("string"))), ",").alias("statuses"))
 
 
-#: What must not be in a line, by kind: a term without which the pattern cannot match, and the pattern (fixed values).
-FINDINGS = (
-    ("secret_like", ("api", "token", "secret", "password", "sk-", "bearer", "eyj"), r"(?i)\b(?:api[_-]?key|access[_-]?token|password|passwd|secret|client[_-]?secret)\s*[:=]\s*[^\s,;]+|\bsk-(?:live|test|proj)?-?[a-z0-9_\-]{12,}\b|\bbearer\s+[a-z0-9._~+/=\-]{8,}|\beyj[a-z0-9_\-]+\.[a-z0-9_\-]+\.[a-z0-9_\-]+\b"),
-    ("raw_email", ("@",), r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
-    ("raw_ip", (".",), r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"),
-    ("raw_home_path", ("/home/", "/users/", "\\users\\"), r"(?i)/home/[^/\s:]+|/Users/[^/\s:]+|[A-Z]:\\Users\\[^\\\s:]+"),
-    ("raw_internal_url", (".internal", "//internal"), r"(?i)\bhttps?://internal[^\s'\",}]*|\b[A-Za-z0-9_.-]+\.internal\b"),
-)
+#: Without one of these a line has nothing that must not be there (fixed values).
+SCAN = ("authorization", "bearer", "basic", "cookie", "password", "passwd", "secret", "private_key", "api_key", "access_token", "refresh_token", "session_id", "sk-", "aiza", "ya29.", "begin private key", "http://", "https://", ".internal", "/home/", "/users/", "\\users\\", "@", ".")
+NAMES = {"email": "raw_email", "ip_address": "raw_ip", "user_home": "raw_home_path", "internal_url": "raw_internal_url", "secret_like": "secret_like"}
 
 
 def line_findings(spark: SparkSession, d: str) -> DataFrame:
     """Safety scan: the kinds of sensitive text in each line of the documents."""
     lines = _table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", r"\n")).alias("line", "t"))
-    low = F.lower("t")
-    kinds = F.array_compact(F.array(*[F.when(T.any_of(low, terms) & F.col("t").rlike(p), F.lit(kind)) for kind, terms, p in FINDINGS]))
+    lines = lines.where(T.any_of(F.lower("t"), SCAN))
+    patterns = {kind: "|".join(f"(?:{p})" for k, p in D.VERIFY if k == kind) for kind in NAMES}
+    kinds = F.array_compact(F.array(*[F.when(F.col("t").rlike(p), F.lit(NAMES[kind])) for kind, p in patterns.items()]))
     return lines.select("doc_id", (F.col("line") + 1).alias("line"), F.explode(kinds).alias("kind"))
 
 
@@ -457,8 +454,8 @@ _CHUNKS = """with recursive c as (select row_number() over (partition by role ||
 f as (select bucket, k, conv_id, tokens, 1 as chunk, tokens as held from c where k = 1 union all select c.bucket, c.k, c.conv_id, c.tokens, case when f.held + c.tokens > 1200 then f.chunk + 1 else f.chunk end, case when f.held + c.tokens > 1200 then c.tokens else f.held + c.tokens end from f join c on c.bucket = f.bucket and c.k = f.k + 1),
 m as (select bucket, chunk::int as chunk, count(*) as items, sum(tokens)::bigint tokens, min(conv_id) first_conv, max(conv_id) last_conv from f group by all)"""
 _FIND = r"""select doc_id, line, kind from (select doc_id, generate_subscripts(x, 1) as line, unnest(x) t from (select doc_id, string_split(text, chr(10)) x from documents where doc_id is not null and text is not null)), (values
- ('secret_like', '(?i)\b(api[_-]?key|access[_-]?token|password|passwd|secret|client[_-]?secret)\s*[:=]\s*[^\s,;]+|\bsk-(live|test|proj)?-?[a-z0-9_-]{12,}\b|\bbearer\s+[a-z0-9._~+/=-]{8,}|\beyj[a-z0-9_-]+\.[a-z0-9_-]+\.[a-z0-9_-]+\b'), ('raw_email', '(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b'),
- ('raw_ip', '\b((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)\b'), ('raw_home_path', '(?i)/(home|users)/[^/\s:]+|[a-z]:\\users\\[^\\\s:]+'), ('raw_internal_url', '(?i)\bhttps?://internal|\b[a-z0-9_.-]+\.internal\b')) p(kind, re) where regexp_matches(t, re)"""
+ ('secret_like', '(?i)\b(authorization|(set-)?cookie)\s*:|\b(bearer|basic)\s|\b(password|passwd|secret)\s*=|\b(private_key|api_key|access_token|refresh_token|session_id)\b|\bsk-[a-z0-9_-]{8}|-----BEGIN (?-i:PRIVATE KEY)-----|(?-i)\bAIza[0-9A-Za-z_-]{10}|(?-i)\bya29\.[0-9A-Za-z_./-]'), ('raw_email', '(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b'),
+ ('raw_ip', '\b((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)\b'), ('raw_home_path', '(?i)/(home|users)/[^/\s:]+|[a-z]:\\users\\[^\\\s:]+'), ('raw_internal_url', '(?i)\bhttps?://internal|\b[a-z0-9_.-]+\.internal\b|https?://[^/\s''",}]*\.internal')) p(kind, re) where regexp_matches(t, re)"""
 ORACLES = {
     "shared_traces": f"{_ITEMS}, z as (select item, count(*) n from m group by 1), p as (select a.item a, b.item b, count(*) shared from m a join m b on a.trace_id = b.trace_id and a.item < b.item group by 1, 2) select a, b, shared, round(shared / za.n, 6) coverage_a, round(shared / zb.n, 6) coverage_b from p join z za on za.item = a join z zb on zb.item = b",
     "overlapping_items": f"{_ITEMS}, l as (select item, list(trace_id) t from m group by 1), i as (select top.*, t from top join l using (item)) select a.item a, b.item b from i a join i b on a.item < b.item and greatest(a.s, b.s) <= least(a.e, b.e) and not list_has_any(a.t, b.t)",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators import documents as D
 from emberlog.operators import semantics as S
 from emberlog.operators import text as T
 
@@ -44,13 +45,14 @@ def profile_semantics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flat_attributes(spark: SparkSession, d: str) -> DataFrame:
-    return S.flattened(events(spark, d), "event_id", "attributes").groupBy("path", "name", "value").agg(F.count("*").alias("n"))
+    return D.flattened(events(spark, d), "event_id", "attributes").groupBy("path", "name", "value").agg(F.count("*").alias("n"))
 
 
 def enriched_messages(spark: SparkSession, d: str) -> DataFrame:
     """Generic messages with what their attributes say."""
     e = events(spark, d).withColumn("raw", F.expr("case event_id % 3 when 0 then 'event' when 1 then 'log status=kept' else message end"))
-    return e.select("event_id", S.enriched(F.col("raw"), F.col("service"), F.col("attributes")).alias("message"))
+    e = e.withColumn("first", D.attribute_facts(F.col("attributes"))["first"])
+    return e.select("event_id", S.enriched(F.col("raw"), F.col("service"), F.col("first")).alias("message"))
 
 
 def semantic_identities(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +60,7 @@ def semantic_identities(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).selectExpr("*", "case when event_id % 4 = 0 then '' else event_name end as e_name", "case when event_id % 3 = 0 then '' else event_family end as e_family")
     name = F.coalesce(F.nullif(T.semantic_name(F.col("e_name")), F.lit("")), F.lit("event"))
     e = e.withColumn("i_name", name)
-    fam = F.coalesce(F.nullif(T.semantic_name(F.col("e_family")), F.lit("")), S.family(F.col("i_name"), F.col("protocol"), F.col("template")))
+    fam = F.coalesce(F.nullif(T.semantic_name(F.col("e_family")), F.lit("")), S.family(F.lower(F.concat_ws(" ", "i_name", "protocol", "template")), F.col("i_name")))
     return e.groupBy(fam.alias("family"), F.col("i_name").alias("name"), "template_fingerprint").agg(F.count("*").alias("n"))
 
 
