@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def in_window(df: DataFrame, start: str, end: str, ts: str = "ts", closed: bool = False) -> DataFrame:
@@ -67,25 +66,3 @@ def overlap_pairs(items: DataFrame, item: str, member: str) -> DataFrame:
     for x in "ab":
         pairs = pairs.join(size.select(F.col(item).alias(x), F.col("size").alias(f"size_{x}")), x)
     return pairs.select("a", "b", "shared", (F.col("shared") / F.col("size_a")).alias("coverage_a"), (F.col("shared") / F.col("size_b")).alias("coverage_b"))
-
-
-def pack_by_budget(items: DataFrame, bucket: str, order: Sequence[str], tokens: str, budget: int) -> DataFrame:
-    """items with chunk: the place of its chunk within its bucket. A chunk takes items in order while their tokens fit
-    the budget; a larger item is a chunk of its own. Sequential by nature, so a bucket is folded as a stream of rows: the
-    sort is Spark's and the task holds one batch."""
-    out = StructType([*items.schema.fields, StructField("chunk", IntegerType())])
-
-    def fold(batches):
-        now, chunk, held = object(), 0, 0
-        for pdf in batches:
-            marks = []
-            for b, t in zip(pdf[bucket].tolist(), pdf[tokens].tolist()):
-                if b != now:
-                    now, chunk, held = b, 1, 0
-                elif held + t > budget:
-                    chunk, held = chunk + 1, 0
-                held += t
-                marks.append(chunk)
-            yield pdf.assign(chunk=marks).astype({"chunk": "int32"})
-
-    return items.repartition(bucket).sortWithinPartitions(bucket, *order).mapInPandas(fold, out)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import arbitration as A
 from emberlog.operators import claims as C
+from emberlog.operators import packing as K
 from emberlog.operators import relational as R
 from emberlog.operators import semantics as M
 
@@ -205,21 +206,21 @@ def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring small chunks of a role merged while they fit twice the budget."""
-    m = V.chunk_manifest(spark, d).withColumn("role", F.split("bucket", ":")[0]).withColumn("part", F.split("bucket", ":")[1].cast("int"))
-    return R.pack_by_budget(m.select("role", "part", F.col("chunk").alias("old"), "tokens", "items"), "role", ["part", "old"], "tokens", 2400).groupBy("role", "chunk").agg(F.count("*").alias("merged"), F.sum("tokens").alias("tokens"), F.sum("items").alias("items"))
+    """Neighbouring chunks of a role merged while they fit twice the budget."""
+    m = V.chunk_manifest(spark, d).select("bucket", F.col("chunk").alias("old"), "tokens", "items")
+    g = K.pack_by_budget(m, "bucket", ["old"], "tokens", 2 * V.BUDGET).groupBy(F.col("bucket").alias("role"), "chunk")
+    return g.agg(F.count("*").alias("merged"), F.sum("tokens").alias("tokens"), F.sum("items").alias("items"))
 
 
 def split_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Failed chunks packed again at half the budget; one that stays whole is cut in the middle."""
+    """Failed chunks packed again: with the floor of the library their halves, with a lower one parts of half the budget."""
     c = V.chunked(spark, d).withColumn("whole", F.concat_ws("/", "bucket", "chunk")).drop("chunk")
     bad = c.join(V.chunk_manifest(spark, d).where("first_conv % 11 = 0").select(F.concat_ws("/", "bucket", "chunk").alias("whole")), "whole", "left_semi")
-    s = R.pack_by_budget(bad, "whole", ["conv_id", "turn"], "tokens", 600)
-    w = R.Window.partitionBy("whole")
-    s = s.withColumns({"parts": F.max("chunk").over(w), "size": F.count("*").over(w), "place": F.row_number().over(w.orderBy("conv_id", "turn"))})
-    half = F.when(F.col("place") <= F.floor((F.col("size") + 1) / 2), 1).otherwise(2)
-    s = s.withColumn("part", F.when((F.col("parts") == 1) & (F.col("size") > 1), half).otherwise(F.col("chunk")))
-    return s.groupBy("whole", "part").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
+    out = None
+    for floor in (8_000, 100):
+        s = K.split_failed(bad, "whole", ["conv_id", "turn"], "tokens", V.BUDGET, floor).withColumn("floor", F.lit(floor))
+        out = s if out is None else out.unionByName(s)
+    return out.groupBy("floor", "whole", "part").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
 
 
 def merged_claims(spark: SparkSession, d: str) -> DataFrame:
@@ -288,8 +289,8 @@ select canonical_key, unit, final_class, final_score, array_to_string(rs, ',') r
     "top_logs": f"with {LOGS} select log_id, severity, ts from logs where ts >= timestamp '{INCIDENT[0]}' and ts < timestamp '{INCIDENT[1]}' order by severity_rank desc, ts, log_id limit 60",
     "sample_coverage": f"{_TOPS} select (select count(*) from si) as items, (select count(*) from tops) chosen, (select count(*) from si) - (select count(*) from tops) omitted, (select sum(n)::bigint from si) as rows, (select sum(n)::bigint from tops) chosen_rows, round((select sum(n) from tops) / (select sum(n) from si), 6) coverage_ratio",
     "semantic_chunks": f"{E._ITEMS}, b as (select case when n <= 3 then 'rare_singleton' else 'pattern' end || ':' || component || ':' || event_family || ':' || event_name bucket, case when event_name in ('event', 'info', 'warning', 'unknown') then template else '' end x, n from i) select bucket, count(distinct x) as keys, count(*) as items, sum(n)::bigint as rows from b group by 1",
-    "merged_chunks": f"{_FOLD}, z as (select string_split(bucket, ':')[1] as role, row_number() over (partition by string_split(bucket, ':')[1] order by string_split(bucket, ':')[2]::int, chunk) k, tokens, items from m), y as (select role, k, tokens, items, 1 as chunk, tokens as held from z where k = 1 union all select z.role, z.k, z.tokens, z.items, case when y.held + z.tokens > 2400 then y.chunk + 1 else y.chunk end, case when y.held + z.tokens > 2400 then z.tokens else y.held + z.tokens end from y join z on z.role = y.role and z.k = y.k + 1) select role, chunk, count(*) merged, sum(tokens)::bigint tokens, sum(items)::bigint as items from y group by 1, 2",
-    "split_chunks": f"{_FOLD}, fl as (select bucket, chunk from m where first_conv % 11 = 0), z as (select f.bucket || '/' || f.chunk whole, f.k, f.tokens, row_number() over (partition by f.bucket, f.chunk order by f.k) j, count(*) over (partition by f.bucket, f.chunk) size from f join fl using (bucket, chunk)), y as (select whole, j, tokens, size, 1 as part, tokens as held from z where j = 1 union all select z.whole, z.j, z.tokens, z.size, case when y.held + z.tokens > 600 then y.part + 1 else y.part end, case when y.held + z.tokens > 600 then z.tokens else y.held + z.tokens end from y join z on z.whole = y.whole and z.j = y.j + 1), v as (select *, max(part) over (partition by whole) parts from y), u as (select whole, case when parts = 1 and size > 1 then case when j <= (size + 1) // 2 then 1 else 2 end else part end as part, tokens from v) select whole, part, count(*) as items, sum(tokens)::bigint tokens from u group by 1, 2",
+    "merged_chunks": f"{_FOLD}, z as (select bucket as role, row_number() over (partition by bucket order by chunk) k, tokens, items from m), y as (select role, k, tokens, items, 1 as chunk, tokens as held from z where k = 1 union all select z.role, z.k, z.tokens, z.items, case when y.held + z.tokens > 2400 then y.chunk + 1 else y.chunk end, case when y.held + z.tokens > 2400 then z.tokens else y.held + z.tokens end from y join z on z.role = y.role and z.k = y.k + 1) select role, chunk, count(*) merged, sum(tokens)::bigint tokens, sum(items)::bigint as items from y group by 1, 2",
+    "split_chunks": f"{_FOLD}, fl as (select bucket, chunk from m where first_conv % 11 = 0), z as (select f.bucket || '/' || f.chunk whole, f.k, f.tokens, row_number() over (partition by f.bucket, f.chunk order by f.k) j, (count(*) over (partition by f.bucket, f.chunk) + 1) // 2 most from f join fl using (bucket, chunk)), y as (select whole, j, tokens, most, 1 as part, tokens as held, 1 as n from z where j = 1 union all select z.whole, z.j, z.tokens, z.most, case when y.n >= y.most or y.held + z.tokens > 600 then y.part + 1 else y.part end, case when y.n >= y.most or y.held + z.tokens > 600 then z.tokens else y.held + z.tokens end, case when y.n >= y.most or y.held + z.tokens > 600 then 1 else y.n + 1 end from y join z on z.whole = y.whole and z.j = y.j + 1), u as (select 100 as floor, whole, part, tokens from y union all select 8000, whole, case when j <= most then 1 else 2 end, tokens from z) select floor, whole, part, count(*) as items, sum(tokens)::bigint tokens from u group by all",
     "merged_claims": f"{V._CLAIMS}, k as (select * from claims qualify row_number() over (partition by evidence, provider, claim_type, target, subsystem, array_to_string(refs, ','), temporary_action order by claim_id) = 1) select evidence, provider, count(*) n, min(claim_id) first_claim from k group by 1, 2",
     "run_costs": f"{V._CLAIMS}, t as (select provider, sum(length(claim_text))::bigint tokens_in, sum(length(temporary_action))::bigint tokens_out from claims group by 1), r(provider, ri, ro) as (values ('user-0', 2.5::double, 10.0::double), ('assistant-1', 1.25, 5.0)) select provider, tokens_in, tokens_out, round(tokens_in / 1e6 * coalesce(ri, 0) + tokens_out / 1e6 * coalesce(ro, 0), 8) as cost, ri is not null priced from t left join r using (provider)",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import documents as D
 from emberlog.operators import text as T
+from emberlog.storage import delete, shared_folder
 
 INCIDENT = ("2024-01-22 00:00:00", "2024-01-29 00:00:00")
 BASELINE = ("2024-01-15 00:00:00", "2024-01-22 00:00:00")
@@ -58,17 +59,6 @@ RAW = f"""select event_id, date_trunc('second', ts) as ts, concat('svc-', user_i
 _stored: dict[tuple[str, str], str] = {}
 
 
-def _folder(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir, which all executors share; below the warehouse where that is
-    unset and the master is a local one, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-    return f"{top.rstrip('/')}/emberlog/{spark.sparkContext.applicationId}/facts"
-
-
 def _state(spark: SparkSession, sf_dir: str) -> str:
     """What tells one state of an input folder from another: its entries with their lengths and times."""
     at = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
@@ -79,8 +69,7 @@ def _state(spark: SparkSession, sf_dir: str) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete all stored tables of this application; they are built again when they are asked for."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    delete(spark, f"{shared_folder(spark)}/facts")
     for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
         del _stored[key]
 
@@ -89,7 +78,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, partition: str |
     """A table that queries share: built once for each application and state of the input, and read from there on."""
     key = spark.sparkContext.applicationId, f"{name}-{_state(spark, sf_dir)}"
     if key not in _stored:
-        path = f"{_folder(spark)}/{key[1]}"
+        path = f"{shared_folder(spark)}/facts/{key[1]}"
         rows = build()
         rows = rows.hint("rebalance", partition).write.partitionBy(partition) if partition else rows.hint("rebalance").write
         rows.mode("overwrite").parquet(path)

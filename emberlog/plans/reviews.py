@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import claims as C
 from emberlog.operators import documents as D
+from emberlog.operators import packing as K
 from emberlog.operators import relational as R
 from emberlog.operators import text as T
 
@@ -358,14 +359,21 @@ def generation_gate(spark: SparkSession, d: str) -> DataFrame:
     return out.join(hard.groupBy("grp").agg(F.count("*").alias("strict")), "grp", "left").select("grp", "with_fallback", F.coalesce("strict", F.lit(0)).alias("strict"))
 
 
+BUDGET = 1200
+
+
 def chunked(spark, d):
-    c = _table(spark, d, "conversations").where("conv_id is not null and turn is not null and role is not null").select("conv_id", "turn", F.concat_ws(":", "role", (F.col("conv_id") % 32).cast("string")).alias("bucket"), F.expr("(length(coalesce(text, '')) + 1) div 2 + 32").alias("tokens"))
-    return R.pack_by_budget(c, "bucket", ["conv_id", "turn"], "tokens", 1200)
+    """Conversations of each role in chunks of a token budget."""
+    def build():
+        c = _table(spark, d, "conversations").where("conv_id is not null and turn is not null and role is not null").select("conv_id", "turn", F.col("role").alias("bucket"), F.expr("(length(coalesce(text, '')) + 1) div 2 + 32").alias("tokens"))
+        return K.pack_by_budget(c, "bucket", ["conv_id", "turn"], "tokens", BUDGET)
+
+    return stored(spark, d, "chunked", build)
 
 
 def chunk_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations packed in order into chunks of a token budget, by bucket, and what each chunk holds."""
-    return chunked(spark, d).groupBy("bucket", "chunk").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.min("conv_id").alias("first_conv"), F.max("conv_id").alias("last_conv"))
+    """Conversations packed in order into chunks of a token budget, by role, and what each chunk holds."""
+    return chunked(spark, d).groupBy("bucket", "chunk").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.min("conv_id").alias("first_conv"), F.max("conv_id").alias("last_conv"), F.count_if(F.col("turn") == 0).alias("openings"))
 
 
 def chunk_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -450,9 +458,9 @@ t3 as (select *, least(1.0, greatest(0.0, 0.35 + case when regexp_matches(a, 're
  (case when gen then 0.055 else 0 end + case when well then 0.09 else 0 end + least(0.07, 0.0125 * len(missing)) + case when contains(b, 'user impact') then 0.025 else 0 end + least(0.04, 0.0125 * ncav) + case when seen and not spoke then 0.035 else 0 end)::double pen, (('0x' || substr(sha256(unit || '|' || title || '|' || array_to_string(claimed, ',') || '|' || n_refs), 1, 6))::bigint % 17) / 10000.0 tie from t2),
 t4 as (select *, 0.15::double * prior + 0.85::double * (0.28 + 0.31 * sup::double + case when spoke then 0.06 else 0 end + 0.08 * case when n_refs > 0 then least(1.0, ln(1 + n_refs::double) / ln(81.0::double)) else 0 end + 0.05 * case when nf > 0 then least(1.0, nf / 3.0) when n_refs > 0 then 0.35 else 0 end + 0.06 * least(1.0, ln(1 + nsrc::double) / ln(11.0::double)) + 0.13 * act + case when prim then 0.045 else 0 end - pen) + tie raw from t3)"""
 _RUN = f"r as ({RUNS.replace('EVENTS', 'events')})"
-_CHUNKS = """with recursive c as (select row_number() over (partition by role || ':' || (conv_id % 32) order by conv_id, turn) k, role || ':' || (conv_id % 32) bucket, conv_id, (length(coalesce(text, '')) + 1) // 2 + 32 tokens from conversations where conv_id is not null and turn is not null and role is not null),
-f as (select bucket, k, conv_id, tokens, 1 as chunk, tokens as held from c where k = 1 union all select c.bucket, c.k, c.conv_id, c.tokens, case when f.held + c.tokens > 1200 then f.chunk + 1 else f.chunk end, case when f.held + c.tokens > 1200 then c.tokens else f.held + c.tokens end from f join c on c.bucket = f.bucket and c.k = f.k + 1),
-m as (select bucket, chunk::int as chunk, count(*) as items, sum(tokens)::bigint tokens, min(conv_id) first_conv, max(conv_id) last_conv from f group by all)"""
+_CHUNKS = """with recursive c as (select row_number() over (partition by role order by conv_id, turn) k, role bucket, conv_id, turn, (length(coalesce(text, '')) + 1) // 2 + 32 tokens from conversations where conv_id is not null and turn is not null and role is not null),
+f as (select bucket, k, conv_id, turn, tokens, 1 as chunk, tokens as held from c where k = 1 union all select c.bucket, c.k, c.conv_id, c.turn, c.tokens, case when f.held + c.tokens > 1200 then f.chunk + 1 else f.chunk end, case when f.held + c.tokens > 1200 then c.tokens else f.held + c.tokens end from f join c on c.bucket = f.bucket and c.k = f.k + 1),
+m as (select bucket, chunk::int as chunk, count(*) as items, sum(tokens)::bigint tokens, min(conv_id) first_conv, max(conv_id) last_conv, count(*) filter (turn = 0) openings from f group by all)"""
 _FIND = r"""select doc_id, line, kind from (select doc_id, generate_subscripts(x, 1) as line, unnest(x) t from (select doc_id, string_split(text, chr(10)) x from documents where doc_id is not null and text is not null)), (values
  ('secret_like', '(?i)\b(authorization|(set-)?cookie)\s*:|\b(bearer|basic)\s|\b(password|passwd|secret)\s*=|\b(private_key|api_key|access_token|refresh_token|session_id)\b|\bsk-[a-z0-9_-]{8}|-----BEGIN (?-i:PRIVATE KEY)-----|(?-i)\bAIza[0-9A-Za-z_-]{10}|(?-i)\bya29\.[0-9A-Za-z_./-]'), ('raw_email', '(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b'),
  ('raw_ip', '\b((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)\b'), ('raw_home_path', '(?i)/(home|users)/[^/\s:]+|[a-z]:\\users\\[^\\\s:]+'), ('raw_internal_url', '(?i)\bhttps?://internal|\b[a-z0-9_.-]+\.internal\b|https?://[^/\s''",}]*\.internal')) p(kind, re) where regexp_matches(t, re)"""

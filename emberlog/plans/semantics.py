@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import documents as D
+from emberlog.operators import packing as K
 from emberlog.operators import semantics as S
 from emberlog.operators import text as T
 
@@ -81,8 +82,8 @@ def evidence_patterns(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     i = _items(spark, d)
     whole = e.groupBy(*S.ITEM_KEY).agg(F.count("*").alias("n_all"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), "event_name", "template", "component", "source_system", "severity", "error_code", "exception_class"))  # over items
-    out = i.join(whole, list(S.ITEM_KEY)).withColumn("place", place)
+    order = [-F.col("n"), "event_name", "template", "component", "source_system", "severity", "error_code", "exception_class"]
+    out = K.numbered(i.join(whole, list(S.ITEM_KEY)), *order)
     return out.select(F.concat(F.lit("PATTERN-"), F.lpad(F.col("place").cast("string"), 4, "0")).alias("evidence_id"), *S.ITEM_KEY, "n", "n_all", "first_seen", "last_seen", "example", "traces", "event_family")
 
 
