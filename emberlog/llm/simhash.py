@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from math import ceil, log2
 
 import numpy as np
 import xxhash
@@ -97,7 +96,9 @@ def near_duplicate_components(docs: DataFrame, size: int = 3, radius: int = 2, s
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(ball_links(classes.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
     roots = saved(classes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "fingerprint-roots")
-    named = roots.select("fp", F.min("least").over(Window.partitionBy("component")).alias("component_id"))
+    # a component is a row here however many fingerprints it has; the joins split where one is hot
+    names = saved(roots.groupBy("component").agg(F.min("least").alias("component_id")), "fingerprint-names")
+    named = roots.join(names, "component").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -109,9 +110,9 @@ PIECES, PIECE_BITS = 20, 32
 WIDE_LIMIT = 125
 #: A pair is near if (least[1]) * common >= least[0] * all different shingles of both.
 ALIKE = (4, 5)
-#: Classes that one step of a task works on, variants that a bucket gathers, about, nodes of a block of a hot bucket,
-#: pieces whose buckets are dealt at a time, and nodes of a variant whose pairs are all compared.
-STEP, BUCKET_ENTRIES, BUCKET_NODES, ROUND, CROWD = 8_192, 1_000_000, 50_000, 5, 16
+#: Classes that one step of a task works on, nodes that a bucket gathers, about, copies of a fingerprint that are on their
+#: way at a time, and nodes of a variant whose pairs are all compared.
+STEP, BUCKET_NODES, COPIES, CROWD = 8_192, 100_000, 24, 16
 #: Nodes and shingles of a block of a large group, about.
 SET_NODES, SET_SHINGLES = 512, 1_000_000
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
@@ -182,13 +183,22 @@ def _steps(batches):
         yield np.concatenate(nodes), np.concatenate(prints)
 
 
-PACKED = "piece int, bucket long, i int, j int, n long, nodes binary, prints binary"
+PACKED = "piece int, bucket long, n long, nodes binary, prints binary"
+DEALT = "piece int, bucket long, i int, j int, nodes binary, prints binary"
 
 
-def _balls(pieces: range, high: int, blocks: dict[tuple[int, int], int] | None):
+def bucket_bits(nodes: int, bucket_nodes: int = BUCKET_NODES) -> int:
+    """Bits that name a bucket: each node goes to 1 + bits of the 2^bits buckets of a piece, which so hold bucket_nodes each
+    at most, on average."""
+    high = 2
+    while nodes * (1 + high) > bucket_nodes << high:
+        high += 1
+    return high
+
+
+def _balls(pieces: range, high: int, counts: bool = False):
     """Each node with its fingerprint, once for every bucket that has variants of its piece: a bucket is the variants
-    with the same first high bits, so these are its own and one for each of those bits. A bucket of several blocks gets
-    its nodes as pairs (i, j) of blocks. blocks None: numbers of nodes only."""
+    with the same first high bits, so these are its own and one for each of those bits. counts: numbers of nodes only."""
     flips = np.concatenate([[0], 1 << np.arange(high)]).astype(np.int64)
 
     def run(batches):
@@ -199,25 +209,34 @@ def _balls(pieces: range, high: int, blocks: dict[tuple[int, int], int] | None):
             for piece in pieces:
                 bucket = ((words[:, piece].astype(np.int64) >> (PIECE_BITS - high))[:, None] ^ flips[None, :]).ravel()
                 by = np.argsort(bucket, kind="stable")
-                bucket, at, out = bucket[by], by // len(flips), []
-                edge = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-                for lo, hi in zip(edge, [*edge[1:], len(at)]):
-                    k, own = int(bucket[lo]), at[lo:hi]
-                    if blocks is None:
-                        out.append((piece, k, 0, 0, len(own), b"", b""))
-                        continue
-                    n = blocks.get((piece, k), 1)
-                    block = (mix(node[own].view(U)) % U(n)).astype(np.int64)
-                    for x in range(n):
-                        part = own[block == x] if n > 1 else own
-                        packed = (len(part), node[part].tobytes(), fp[part].tobytes())
-                        out += [(piece, k, min(x, y), max(x, y), *packed) for y in range(n) if (x != y or n == 1) and len(part)]
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[f.split()[0] for f in PACKED.split(", ")])
+                bucket, at = bucket[by], by // len(flips)
+                edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(at))
+                runs = [at[lo:hi] for lo, hi in zip(edge.tolist(), edge[1:].tolist())] if not counts else []
+                columns = (np.full(len(edge) - 1, piece), bucket[edge[:-1]], np.diff(edge), [node[x].tobytes() for x in runs] or [b""] * (len(edge) - 1), [fp[x].tobytes() for x in runs] or [b""] * (len(edge) - 1))
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in PACKED.split(", ")])
 
     return run
 
 
+def _blocks(batches):
+    """Runs of a bucket of several blocks as pairs (i, j) of blocks: each block's nodes meet their own and those of every
+    other. Columns: piece, bucket, nodes, prints, blocks."""
+    import pyarrow as pa
+
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    for b in batches:
+        out = []
+        for piece, bucket, nodes, prints, n in zip(*(c.to_pylist() for c in b.columns)):
+            node, fp = np.frombuffer(nodes, np.int64), np.frombuffer(prints, U).reshape(-1, PIECES * PIECE_BITS // 64)
+            block = (mix(node.view(U)) % U(n)).astype(np.int64)
+            for x in np.unique(block).tolist():
+                own = block == x
+                packed = node[own].tobytes(), fp[own].tobytes()
+                out += [(piece, bucket, min(x, y), max(x, y), *packed) for y in range(n) if x != y]
+        yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[f.split()[0] for f in DEALT.split(", ")])
+
+
 def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n places the smallest that it reaches by links (a, b)."""
     least = np.arange(n)
@@ -302,17 +321,26 @@ def _meet(high: int, limit: int):
 
 def wide_links(classes: DataFrame, limit: int, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
     """Links (a, b) between nodes (node, fp) that reach what all pairs reach that are within two bits in a piece and
-    within limit bits on the whole. No pair is a row: each bucket of variants compares its nodes within its task."""
+    within limit bits on the whole. No pair is a row: each bucket of variants compares its nodes within its task.
+
+    A piece of a node goes to 1 + bits buckets, of which the bits grow with the logarithm of the nodes (13 copies for ten
+    millions), and a few pieces are on their way at a time, so that bytes on disk stay in proportion. Buckets that hold
+    over twice the average all the same are split into pairs of blocks; which these are is a table, and a join.
+    """
     slim = classes.select("node", "fp")
-    high = max(2, ceil(log2(max(1, slim.count()) * 33 / BUCKET_ENTRIES + 1)))
-    sizes = slim.mapInArrow(_balls(range(PIECES), high, None), PACKED).groupBy("piece", "bucket").agg(F.sum("n").alias("n"))
-    over = {(r.piece, r.bucket): 1 + ceil(r.n / bucket_nodes) for r in sizes.where(F.col("n") > 2 * bucket_nodes).collect()}  # hot buckets only
-    found = []
-    for k in range(0, PIECES, ROUND):  # some pieces at a time: fingerprints of all of them would fill the disks
-        sent = slim.mapInArrow(_balls(range(k, min(k + ROUND, PIECES)), high, over), PACKED)
-        found.append(saved(sent.groupBy("piece", "bucket", "i", "j").applyInArrow(_meet(high, limit), "a long, b long").distinct(), "wide-links"))
+    high = bucket_bits(slim.count(), bucket_nodes)
+    sizes = slim.mapInArrow(_balls(range(PIECES), high, True), PACKED).groupBy("piece", "bucket").agg(F.sum("n").alias("n"))
+    hot = saved(sizes.where(F.col("n") > 2 * bucket_nodes).select("piece", "bucket", (1 + F.ceil(F.col("n") / bucket_nodes)).cast("int").alias("blocks")), "wide-hot")
+    any_hot, found, at_a_time = not hot.isEmpty(), [], max(1, COPIES // (1 + high))
+    for k in range(0, PIECES, at_a_time):
+        sent = slim.mapInArrow(_balls(range(k, min(k + at_a_time, PIECES)), high), PACKED)
+        dealt = sent.select("piece", "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "nodes", "prints")
+        if any_hot:
+            split = sent.join(hot, ["piece", "bucket"]).select("piece", "bucket", "nodes", "prints", "blocks").mapInArrow(_blocks, DEALT)
+            dealt = dealt.join(hot, ["piece", "bucket"], "left_anti").unionByName(split)
+        found.append(saved(dealt.groupBy("piece", "bucket", "i", "j").applyInArrow(_meet(high, limit), "a long, b long").distinct(), "wide-links"))
     links = saved(reduce(DataFrame.unionByName, found).distinct(), "wide-met")
-    release(*found)
+    release(hot, *found)
     return links
 
 
@@ -380,8 +408,8 @@ def alike_links(docs: DataFrame, classes: DataFrame, links: DataFrame, size: int
     groups = classes.join(components(links), "node").select("node", "component", "n", "best.doc_id", "best.text_key")
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(SET_NODES), F.sum("n") / F.lit(SET_SHINGLES))).cast("int").alias("blocks")
     groups = saved(groups, "wide-groups")
-    large = groups.groupBy("component").agg(blocks).where("blocks > 1")  # one row for each SET_NODES nodes at most
-    groups = groups.join(F.broadcast(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = saved(groups.groupBy("component").agg(blocks).where("blocks > 1"), "wide-large")
+    groups = groups.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.coalesce("doc_id", F.lit(-1 << 63)).alias("own")
     texts = docs.select(own, "text_key", "text").join(groups.select(own, "text_key", "node", "component", "blocks"), ["own", "text_key"])
     sets = texts.select("node", "component", "blocks", "text").mapInArrow(_sets(size), "node long, component long, blocks int, shingles binary")

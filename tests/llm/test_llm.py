@@ -655,6 +655,36 @@ def test_near_duplicates_of_one_id(spark):
     assert Counter(map(tuple, drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == Counter([(1, a), (2, b), (2, c)])
 
 
+def test_copies_of_fingerprints_grow_with_the_logarithm():
+    from emberlog.llm.simhash import bucket_bits
+
+    for nodes in (0, 1, 1_000, 10**6, 10**7, 10**9, 10**10):
+        high = bucket_bits(nodes)
+        assert nodes * (1 + high) <= 100_000 << high
+    assert [1 + bucket_bits(10**k) for k in (5, 6, 7, 9)] == [3, 8, 12, 19]
+
+
+def test_hot_buckets_are_split_and_others_are_not(spark):
+    """Nodes of one piece in one bucket, all within reach of each other or of a chain: with blocks of ten nodes."""
+    import numpy as np
+
+    from emberlog.llm.simhash import PIECE_BITS, PIECES, wide_links
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, PIECES * PIECE_BITS // 8, dtype=np.uint8)
+    rows = []
+    for k in range(90):
+        fp = base.copy() if k < 60 else rng.integers(0, 256, len(base), dtype=np.uint8)
+        fp[8:10] ^= np.frombuffer(np.uint16(k).tobytes(), np.uint8)
+        rows.append((k, bytearray(fp.tobytes())))
+    got = wide_links(spark.createDataFrame(rows, "node long, fp binary").repartition(4), 125, 10).collect()
+    reach = {k: k for k in range(90)}
+    for _ in range(90):
+        for a, b in got:
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    assert all(reach[k] == 0 for k in range(60)) and all(a < 60 and b < 60 for a, b in got)
+
+
 @pytest.mark.parametrize("bucket_nodes", [50_000, 20])
 def test_wide_links_past_a_smaller_stranger(spark, bucket_nodes):
     import random
