@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("patterns", "inputs", "semantics", "signals", "reviews", "arbitration", "records", "bundles")
+MODULES = ("patterns", "inputs", "semantics", "signals", "reviews", "arbitration", "records", "bundles", "decisions")
 
 
 def queries() -> dict:
