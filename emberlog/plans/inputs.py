@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import relational as R
 from emberlog.operators import text as T
+from emberlog.sources import files as I
 from emberlog.sources import lines as S
+from emberlog.storage import shared_folder
 
-from .facts import INCIDENT, stored
+from .facts import INCIDENT, LOGS, logs, stored
 
 #: The test data's lines, as an expression of the events that both dialects read: not an operator.
 LINES = """select event_id, concat('/in/', case event_id % 5 when 0 then 'app-' when 1 then '2024-01-20/db-' when 2 then '20240123_web-' when 3 then 'logs/2023-12-31/old-2024-01-25-' else '.git/' end, case event_id % 7 when 6 then 'x.zip' when 5 then '/LOCK' else concat('n', event_id % 7, '.log') end) as path,
@@ -42,6 +46,22 @@ def _all(spark, d):
     return stored(spark, d, "lines", build)
 
 
+def _files(spark, d):
+    """The logs' messages as text files, four for each day, below the shared folder."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows = logs(spark, d).select(F.concat_ws("", F.lit("dt="), F.date_format("ts", "yyyy-MM-dd")).alias("at"), F.date_format("ts", "yyyy-MM-dd").alias("dt"), (F.col("event_id") % 4).alias("quarter"), "event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "message").alias("value"))
+    rows = rows.repartition("dt", "quarter").sortWithinPartitions("dt", "quarter", "event_id")
+    rows.select("value", "dt", "quarter").write.partitionBy("dt", "quarter").text(path)
+    return path
+
+
+def file_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the files of a window with their numbers: files of other days are not opened."""
+    files = I.chosen(I.listed(spark, _files(spark, d), "*.txt"), "2024-01-22", "2024-01-28")
+    part = lambda p: F.regexp_extract("path", p, 1)
+    return I.read_files(files).select(F.split("line", " ")[0].cast("long").alias("event_id"), part(r"dt=([\d-]+)").alias("dt"), part(r"quarter=(\d)").cast("int").alias("quarter"), "line_no")
+
+
 def wanted_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines by file, without the files that hold none and those whose dates are all outside the window."""
     return S.prune_by_path_date(S.wanted_files(_all(spark, d)), "2024-01-22", "2024-01-28").groupBy("path").agg(F.count("*").alias("n"))
@@ -107,7 +127,7 @@ def system_type(spark: SparkSession, d: str) -> DataFrame:
     return S.system_type(input_profile(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (wanted_lines, line_formats, parsed_lines, line_attributes, raw_log_lines, case_logs, rejected_lines, line_accounting, loaded_logs, input_profile, system_type)}
+QUERIES = {f.__name__: f for f in (file_lines, wanted_lines, line_formats, parsed_lines, line_attributes, raw_log_lines, case_logs, rejected_lines, line_accounting, loaded_logs, input_profile, system_type)}
 
 
 # ---- twins
@@ -129,6 +149,7 @@ r as (select event_id, case when k in (0, 3, 11) then seen when k = 1 then make_
  case k when 0 then 'ERROR' when 1 then 'ERROR' when 16 then 'WARN' when 3 then 'ERROR' when 6 then 'ERROR' when 7 then 'ERROR' when 9 then 'WARN' when 11 then 'ERROR' else 'INFO' end severity,
  case k when 0 then 'request failed for a@b.example.com status=failed' when 1 then 'tick healthy=false' when 2 then 'event' when 16 then 'restart kind=restart' when 3 then 'Z stderr F error: pod ' || (u % 9) || ' died' when 11 then '[worker-2] something broke ' || (u % 9) else trim(line) end message, case k when 16 then 'restart' else 'log' end resource_type, k not in (0, 1, 2, 16) as_text from q)"""
 ORACLES = {
+    "file_lines": f"with {LOGS} select event_id, strftime(ts, '%Y-%m-%d') as dt, (event_id % 4)::int as quarter, row_number() over (partition by day, event_id % 4 order by event_id) as line_no from logs where day between date '2024-01-22' and date '2024-01-28'",
     "wanted_lines": f"{_L} select path, count(*) n from w where event_id % 5 <> 1 group by 1",
     "line_formats": f"{_L} select event_id, {_FORMAT} as format from l",
     "parsed_lines": f"{_PARSED} select event_id, format, ts, ts is null inferred, severity, {_NUM} severity_number, service, component, environment, host, message from p",

@@ -112,10 +112,10 @@ def any_timestamp(text: Column) -> Column:
     return F.date_trunc("SECOND", F.coalesce(F.when(n.isNotNull(), F.timestamp_seconds(scaled)), F.try_to_timestamp(F.replace(F.trim(text), F.lit(","), F.lit(".")))))
 
 
-def parse_lines(lines: DataFrame, year: int = 2024) -> DataFrame:
+def parse_lines(lines: DataFrame, year: int | Column = 2024) -> DataFrame:
     """lines with format, ts, inferred (no time was found), severity, severity_number, service, component, environment,
-    host, message and attributes. year: of syslog lines, as that of their file. Blank lines have format plain_text and
-    an empty message."""
+    host, message and attributes. year: of syslog lines, a number or a column such as that of their file's time. Blank
+    lines have format plain_text and an empty message."""
     t = F.trim("line")
     df = lines.withColumn("v", json_object(F.col("line"))).withColumn("format", detected_format(F.col("line"), F.col("v"))).withColumn("kv", quoted_pairs(t))
     by, v, kv = F.col("format"), F.col("v"), F.col("kv")
@@ -124,7 +124,7 @@ def parse_lines(lines: DataFrame, year: int = 2024) -> DataFrame:
     micro = F.timestamp_seconds(F.try_element_at(v, F.lit("__REALTIME_TIMESTAMP")).try_cast("long") / 1e6)
     status = x(ACCESS, 6).try_cast("int")
     prefix = x(TIME_PREFIX, 1)
-    syslog_at = F.try_to_timestamp(F.concat_ws(" ", F.lit(str(year)), x(SYSLOG, 1), x(SYSLOG, 2), x(SYSLOG, 3)), F.lit("yyyy MMM d HH:mm:ss"))
+    syslog_at = F.try_to_timestamp(F.concat_ws(" ", (year if isinstance(year, Column) else F.lit(year)).cast("string"), x(SYSLOG, 1), x(SYSLOG, 2), x(SYSLOG, 3)), F.lit("yyyy MMM d HH:mm:ss"))
     ts = (
         F.when(js, F.coalesce(micro, any_timestamp(_first(v, TIME_KEYS)))).when(k8s, F.try_to_timestamp(x(KUBERNETES, 1))).when(web, F.try_to_timestamp(x(ACCESS, 3), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))).when(sys_, syslog_at)
         .when(pair, any_timestamp(_first(kv, TIME_KEYS))).otherwise(any_timestamp(F.coalesce(prefix, x(ANY_TIME, 1))))
