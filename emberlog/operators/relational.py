@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .packing import pack_by_budget  # noqa: F401 - with the other relational operators
+
 
 def in_window(df: DataFrame, start: str, end: str, ts: str = "ts", closed: bool = False) -> DataFrame:
     """Rows of [start, end), or of [start, end] where closed."""

@@ -75,7 +75,7 @@ def inferred_citations(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: The test data's bundles: several versions of each incident.
-BUNDLES = "select concat('ev-', event_id % 3) as evidence, concat('svc-', event_id % 2) as service, event_id % 4 as incident, ts as created_at, event_id as bundle_id, case when event_id % 3 = 0 then null else event_id - 3 end as parent_id from EVENTS where event_id is not null and event_id % 97 = 0"
+BUNDLES = "select concat('ev-', event_id % 3) as evidence, concat('svc-', event_id % 6) as service, event_id % 4 as incident, ts as created_at, event_id as bundle_id from EVENTS where event_id is not null and ts is not null"
 
 
 def _bundles(spark, d):
@@ -84,24 +84,24 @@ def _bundles(spark, d):
 
 
 def latest_bundles(spark: SparkSession, d: str) -> DataFrame:
-    """Bundles that are the latest of their evidence, and whether they are of their incident."""
-    row = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(F.desc("created_at"), F.desc("bundle_id")))
-    b = _bundles(spark, d).withColumn("evidence_rn", row("evidence")).withColumn("incident_rn", row("service", "incident"))
-    return b.where("evidence_rn = 1").select("bundle_id", "evidence", "service", "incident", "incident_rn")
+    """Bundles that are the latest of their evidence and of their incident. Each ranking keeps a row of each task only."""
+    last = F.desc("created_at"), F.desc("bundle_id")
+    b = R.latest_by(_bundles(spark, d), ["evidence"], *last)
+    return b.join(R.latest_by(_bundles(spark, d), ["service", "incident"], *last).select("bundle_id"), "bundle_id", "left_semi").select("bundle_id", "evidence", "service", "incident")
 
 
 def bundle_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Visible clusters of the latest bundles, the best first."""
     b = latest_bundles(spark, d).select("evidence", "bundle_id")
     s = V._shaped(spark, d).where("representative and visibility = 'review'")
-    return s.join(F.broadcast(b), "evidence").orderBy(F.desc("effective"), "cluster_id").limit(25).select("cluster_id", "bundle_id", "target", "effective")  # a bundle for each evidence
+    return s.join(b, "evidence").orderBy(F.desc("effective"), "cluster_id").limit(25).select("cluster_id", "bundle_id", "target", "effective")
 
 
 def child_bundles(spark: SparkSession, d: str) -> DataFrame:
     """How many children the bundles have of which children exist, and the latest of these."""
     e = spark.read.parquet(f"{d}/events.parquet").where("event_id is not null").selectExpr("event_id as bundle_id", "ts as created_at", "case when event_id % 3 > 0 then event_id - event_id % 3 end as parent_id")
     kids = e.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("children"), F.max_by("bundle_id", F.struct("created_at", "bundle_id")).alias("latest_child"))
-    return e.select("bundle_id").where("bundle_id % 50 = 0").join(kids.withColumnRenamed("parent_id", "bundle_id"), "bundle_id").select("bundle_id", "children", "latest_child")
+    return e.select("bundle_id").join(kids.withColumnRenamed("parent_id", "bundle_id"), "bundle_id").select("bundle_id", "children", "latest_child")
 
 
 def provider_models(spark: SparkSession, d: str) -> DataFrame:
@@ -138,6 +138,14 @@ def public_targets(spark: SparkSession, d: str) -> DataFrame:
     return o.where("place = 1").orderBy(F.desc("score"), "unit_key").select("unit_key", "canonical_key", "original_class", "score", "merged", F.col("all_sources").cast("long").alias("all_sources"))
 
 
+def public_target_refs(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence of public targets, with that of the duplicates that each stands for: a row for each reference, with how
+    many of the observations cite it."""
+    units = A._observations(spark, d).select("canonical_key", F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", "_").alias("unit_key"))
+    cited = A._keyed(spark, d).select("canonical_key", F.explode("support_refs").alias("ref")).distinct()
+    return cited.join(units, "canonical_key").groupBy("unit_key", "ref").agg(F.count("*").alias("observations"))
+
+
 def recorded_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Decisions on clusters, recorded on every member."""
     c = V._shaped(spark, d).select("cluster_id", "proposition_id", "evidence", "target", "subsystem")
@@ -167,7 +175,7 @@ def inserted_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.dropDuplicates(["row_id"]).groupBy("doc").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (hashed_redaction, redaction_report, fine_templates, redacted_labels, disagreement_themes, chunk_failures, run_reasons, inferred_citations, latest_bundles, bundle_clusters, child_bundles, provider_models, chunk_rows, target_rollup, public_targets, recorded_decisions, graph_snapshots, input_fingerprints, inserted_rows)}
+QUERIES = {f.__name__: f for f in (hashed_redaction, redaction_report, fine_templates, redacted_labels, disagreement_themes, chunk_failures, run_reasons, inferred_citations, latest_bundles, bundle_clusters, child_bundles, provider_models, chunk_rows, target_rollup, public_targets, public_target_refs, recorded_decisions, graph_snapshots, input_fingerprints, inserted_rows)}
 
 
 # ---- twins
@@ -181,7 +189,7 @@ c as (select event_id, k, u, s, case k when 0 then 'mail <EMAIL_HASH:' || {_H.fo
  case when (case k when 3 then 2 when 6 then 1 when 8 then 1 when 9 then 1 when 10 then 1 else 0 end) + s::int > 0 then 'secret_like=' || ((case k when 3 then 2 when 6 then 1 when 8 then 1 when 9 then 1 when 10 then 1 else 0 end) + s::int) end, case when k in (3, 4, 7, 9) then 'token_like=1' end, case when k = 4 then 'user_home=1' end], lambda x: x is not null) counts from p)"""
 _SUMMED = "sha256(concat_ws('-', count(*), " + ", ".join(f"sum(cast('0x' || substr(x, {1 + 8 * k}, 8) as ubigint))::hugeint::varchar" for k in range(8)) + "))"
 _RUNS = f"with {V._RUN}"
-_B = f"b as ({BUNDLES.replace('EVENTS', 'events')}), lb as (select * from (select *, row_number() over (partition by evidence order by created_at desc, bundle_id desc) evidence_rn, row_number() over (partition by service, incident order by created_at desc, bundle_id desc)::int incident_rn from b) where evidence_rn = 1)"
+_B = f"b as ({BUNDLES.replace('EVENTS', 'events')}), lb as (select * from (select *, row_number() over (partition by evidence order by created_at desc, bundle_id desc) evidence_rn, row_number() over (partition by service, incident order by created_at desc, bundle_id desc)::int incident_rn from b) where evidence_rn = 1 and incident_rn = 1)"
 ORACLES = {
     "hashed_redaction": f"with {_PRIV} select event_id, clean, array_to_string(counts, ',') counts from c",
     "redaction_report": f"with {_PRIV}, x as (select event_id, unnest(counts) v from c) select split_part(v, '=', 1) as kind, sum(split_part(v, '=', 2)::int)::bigint n, count(*) messages from x group by 1",
@@ -191,12 +199,13 @@ ORACLES = {
     "chunk_failures": f"{V._CHUNKS}, x as (select first_conv % 12 k, tokens % 4 a from m) select case when k = 6 then 'ok' when k = 8 then 'skipped_not_configured' when k = 0 then 'safety_filter' when k = 1 then 'context_length' when k = 2 then 'rate_limited' when k = 3 then 'timeout' when k = 4 then 'schema_invalid' when k = 7 and a = 1 then 'deterministic_parse_failure' when k = 7 then 'schema_invalid' when k = 5 then 'empty_response' when a = 3 then 'retry_exhausted' else 'provider_error' end status, count(*) n from x group by 1",
     "run_reasons": f"{_RUNS}, x as (select *, case step when 0 then 'providers_completed' when 1 then 'child_bundle_created' when 2 then 'planner_answers_received' else 'claims_routed' end step_key, event_id % 5 q from r) select step_key, status, case when event_id % 13 = 0 then 'no_claims_extracted' when event_id % 17 = 0 then 'other_reason' when status = 'failed' and step = 1 then 'child_bundle_missing' when status = 'needs_input' then case when step = 2 then 'no_planner_answers' else 'human_input_required' end when event_id % 7 = 0 then 'provider_timeout' when q = 0 then 'provider_not_configured' when q = 1 and step = 0 then 'provider_failed' when status = 'failed' then step_key else '' end reason, count(*) n from x group by all",
     "inferred_citations": f"{V._CLAIMS}, x as (select claim_id, refs, length(claim_text) n from claims), y as (select *, list_filter(case when n % 70 = n % 9 then ['item-' || (n % 70)] else ['item-' || (n % 70), 'item-' || (n % 9)] end, lambda v: list_contains(k, v)) nm from x, known) select claim_id, array_to_string(case when len(refs) = 0 and len(nm) > 0 then nm else refs end, ',') refs, len(refs) = 0 and len(nm) > 0 inferred from y",
-    "latest_bundles": f"with {_B} select bundle_id, evidence, service, incident, incident_rn from lb",
+    "latest_bundles": f"with {_B} select bundle_id, evidence, service, incident from lb",
     "bundle_clusters": f"{V._SHAPED}, {_B} select cluster_id, bundle_id, target, effective from shaped join lb using (evidence) where representative and visibility = 'review' order by effective desc, cluster_id limit 25",
-    "child_bundles": "with e as (select event_id bundle_id, ts created_at, case when event_id % 3 > 0 then event_id - event_id % 3 end parent_id from events where event_id is not null), k as (select parent_id, count(*) children, last(bundle_id order by created_at, bundle_id) latest_child from e where parent_id is not null group by 1) select e.bundle_id, children, latest_child from e join k on k.parent_id = e.bundle_id where e.bundle_id % 50 = 0",
+    "child_bundles": "with e as (select event_id bundle_id, ts created_at, case when event_id % 3 > 0 then event_id - event_id % 3 end parent_id from events where event_id is not null), k as (select parent_id, count(*) children, last(bundle_id order by created_at, bundle_id) latest_child from e where parent_id is not null group by 1) select e.bundle_id, children, latest_child from e join k on k.parent_id = e.bundle_id",
     "provider_models": f"{V._CLAIMS}, {V._RUN}, l as (select provider, 'model-' || (event_id % 4) model from r where provider is not null qualify row_number() over (partition by provider order by ts desc, event_id desc) = 1), c as (select 'p-' || (length(claim_text) % 4) provider from claims) select provider, coalesce(model, 'unknown') model, count(*) claims from c left join l using (provider) group by all",
     "chunk_rows": f"{A._G}, ch(chunk_id, ids) as (values ('chunk-1', ['item-1', 'item-2', 'item-3']), ('chunk-2', ['item-30', 'item-35'])) select chunk_id, count(*) as rows, min(target_id) least from cand join ch on list_has_any(refs, ids) where source = 'claims' group by 1",
     "target_rollup": f"{V._CLAIMS}, n as (select count(distinct provider) total from claims) select target, count(distinct provider) detected, any_value(total) total, round(count(distinct provider) / any_value(total), 4) detection, len(list_distinct(flatten(list(refs)))) n_refs, count(distinct claim_type) kinds, count(*) filter (where claim_type = 'counter_evidence') disagreements from claims, n group by 1",
+    "public_target_refs": f"{A._OBS}, w as (select canonical_key, regexp_replace(lower(unit), '[^a-z0-9]+', '_', 'g') unit_key from obs), y as (select distinct canonical_key, unnest(support_refs) as ref from keyed) select unit_key, ref, count(*) observations from y join w using (canonical_key) group by all",
     "public_targets": f"{A._OBS}, w as (select *, regexp_replace(lower(unit), '[^a-z0-9]+', '_', 'g') unit_key from obs) select unit_key, canonical_key, original_class, score, count(*) over (partition by unit_key) merged, (sum(sources) over (partition by unit_key))::bigint all_sources from w qualify row_number() over (partition by unit_key order by case original_class when 'primary_candidate' then 3 when 'validation_target' then 2 else 1 end desc, n_supporting desc, n_refs desc, score desc, unit, canonical_key) = 1",
     "recorded_decisions": f"{V._SHAPED} select cluster_id, l.decision, count(*) members, min(proposition_id) least from shaped s join lastd l on l.evidence = s.evidence and l.target = s.target and l.subsystem = s.subsystem group by 1, 2",
     "graph_snapshots": f"{_RUNS}, s as (select *, status || '-' || (step % 2) content from r where status <> 'running'), n as (select *, lag(content) over (partition by run_id order by ts, event_id) b from s) select run_id, count(*) saved, last(content order by ts, event_id) latest from n where b is null or b <> content group by 1",
