@@ -82,9 +82,11 @@ def _scan(phrases: Mapping[str, str], rank: Mapping[bytes, int], least: int, rea
                 words = line.split()
                 flat, places, labels = b" " + b" ".join(words) + b" ", [], set()
                 for needle, label in needles:
-                    at = flat.find(needle)
+                    at, before, word = flat.find(needle), 0, 0
                     while at >= 0:
-                        places.append(flat.count(b" ", 0, at))
+                        word += flat.count(b" ", before, at)  # from the place before: a text is gone through once
+                        before = at
+                        places.append(word)
                         labels.add(label)
                         at = flat.find(needle, at + 1)
                 blocks = []
@@ -104,13 +106,14 @@ def _scan(phrases: Mapping[str, str], rank: Mapping[bytes, int], least: int, rea
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches of every row of docs.
+def scan_licenses(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.8, names: frozenset[str] = NAMES) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches, contained of every row of docs.
 
     Words are A-Z lower-cased runs of characters other than ASCII ones that are no letters or digits. The phrase scan
     counts the places where a phrase's words follow each other. A template matches a run of words if that has the share
-    threshold of the template's different words at least, among them those that name a license, and is no longer than
-    REACH times the template. Line ends and comment marks are no words, so wrapped texts match; a line without words ends
+    threshold of the template's different words at least and is no longer than REACH times the template: contained has
+    the labels of all templates that match so (sorted, comma-joined). labels, score and matches are of those of which the
+    run also has the words that name a license (names; the empty set for all). Line ends and comment marks are no words, so wrapped texts match; a line without words ends
     a run. Blocks of words that overlap enough to hold every such run are joined on tokens: with
     all tokens in one order, the rarest first, a block of the overlap needed must have a token in common with the
     template's prefix within its own prefix (prefix filter), have as many template tokens as needed (length filter), and
@@ -128,7 +131,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     need = [max(1, ceil(threshold * len(ws) - 1e-9)) for _, _, ws in rows]
     sets = [set(ws) for _, _, ws in rows]
     over = [[j for j, other in enumerate(sets) if own < other and rows[j][0] != rows[i][0]] for i, own in enumerate(sets)]
-    shapes = [(label, i, REACH * long, n, sorted(rank[w] for w in ws), sorted(rank[w] for w in NAMES.intersection(ws)), over[i]) for i, ((label, long, ws), n) in enumerate(zip(rows, need))]
+    shapes = [(label, i, REACH * long, n, sorted(rank[w] for w in ws), sorted(rank[w] for w in names.intersection(ws)), over[i]) for i, ((label, long, ws), n) in enumerate(zip(rows, need))]
     table = spark.createDataFrame(shapes, "label string, template int, reach int, need int, t_ranks array<int>, t_names array<int>, over array<int>")
     least = min(need)
     scan = _scan(phrases, {w.encode(): i for w, i in rank.items()}, least, REACH * max(long for _, long, _ in rows))
@@ -140,18 +143,20 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     index = table.select("*", F.posexplode(F.expr("slice(t_ranks, 1, size(t_ranks) - need + 1)")).alias("t_at", "token"))
     pairs = probe.join(F.broadcast(index), "token")  # as many rows as the templates have prefix tokens
     pairs = pairs.where("size(ranks) >= need and least(at, t_at) + least(size(ranks) - at, size(t_ranks) - t_at) >= need")
-    pairs = pairs.dropDuplicates(["row", "block", "template"]).where("size(array_intersect(ranks, t_ranks)) >= need and size(array_except(t_names, ranks)) = 0")
+    pairs = pairs.dropDuplicates(["row", "block", "template"]).where("size(array_intersect(ranks, t_ranks)) >= need")
     # the run from each place on: a block has a bounded number of them
     pairs = pairs.withColumn("places", F.expr("filter(places, p -> array_contains(t_ranks, p.own))"))
     pairs = pairs.withColumn("runs", F.expr("transform(places, p -> array_distinct(transform(filter(places, q -> q.at >= p.at and q.at < p.at + reach), q -> q.own)))"))
-    pairs = pairs.withColumn("common", F.expr("array_max(transform(filter(runs, r -> size(array_except(t_names, r)) = 0), r -> size(r)))")).where("common >= need")
-    pairs = pairs.groupBy("row", "block").agg(F.collect_list(F.struct("template", "over", "label", (F.col("common") / F.size("t_ranks")).alias("containment"))).alias("hits"))
+    pairs = pairs.where("exists(runs, r -> size(r) >= need)")
+    pairs = saved(pairs.withColumn("common", F.expr("array_max(transform(filter(runs, r -> size(array_except(t_names, r)) = 0), r -> size(r)))")).drop("places", "runs", "ranks"), "license-pairs")
+    contained = pairs.groupBy("row").agg(F.array_join(F.sort_array(F.collect_set("label")), ",").alias("contained"))
+    pairs = pairs.where("common >= need").groupBy("row", "block").agg(F.collect_list(F.struct("template", "over", "label", (F.col("common") / F.size("t_ranks")).alias("containment"))).alias("hits"))
     pairs = pairs.select("row", "block", F.explode(F.expr("filter(hits, h -> not exists(hits, x -> array_contains(h.over, x.template)))")).alias("hit"))
     hits = pairs.groupBy("row").agg(F.sort_array(F.collect_set("hit.label")).alias("own"), F.max("hit.containment").alias("score"), F.sort_array(F.collect_list(F.struct("block", "hit.label", "hit.containment"))).alias("matches"))
     base = F.expr("filter(split(base_labels, ','), x -> x <> '')")
     labels = F.array_join(F.sort_array(F.array_union(base, F.coalesce("own", F.array().cast("array<string>")))), ",")
-    out = scanned.drop("blocks").join(hits, "row", "left")
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "matches")
+    out = scanned.drop("blocks").join(hits, "row", "left").join(contained, "row", "left")
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "matches", F.coalesce("contained", F.lit("")).alias("contained"))
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
