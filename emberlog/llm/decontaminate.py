@@ -195,16 +195,17 @@ def window_filter(windows: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", least_windows: int = 6, least_share: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", least_windows: int = 6, least_share: float = 0.5, mixed_names: bool = False) -> DataFrame:
     """key, item_id, n_windows, item_windows, n_slots of every document and benchmark item that it holds.
 
     Texts become sequences of template tokens: numbers, names and units are placeholders. Windows of eight tokens, five of
     them words at least, meet by hash. Windows at the same distance between item and document are one placing of the
     item. Each number or unit of the item is assigned the value that stands for it in most of the placing's windows
-    (of equally many the larger hash), and windows that contradict this are left out; a placing in which two values
-    stand for one name is left out as a whole. Two values of the item may have one in the document. A placing counts
-    if least_windows windows or the share least_share of the item's remain. So a question with other numbers or names
-    is found, with equal numbers that became different ones too, and one that mixes up names is not. The best placing
+    (of equally many the larger hash), and windows that contradict this are left out. With mixed_names, so is each name;
+    without, a placing in which two values stand for one name is left out as a whole. Two values of the item may have one
+    in the document. A placing counts if least_windows windows or the share least_share of the item's remain. So a question
+    with other numbers or names is found, with equal numbers that became different ones too, and with mixed_names one in
+    which some mentions of a name are changed and others are not, as long as enough of it agrees. The best placing
     of each pair is returned. An item of fewer than eight tokens is one window. An item of which no window has five words
     is looked for with its own numbers, units and names, not with placeholders. Items of fewer than three tokens and
     null and empty texts take no part; rows that repeat a key count as one document, a null key is a key like any other.
@@ -224,7 +225,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", least
         F.collect_set(F.struct("item_pos", pairs.alias("pairs"))).alias("windows")
     )  # no more windows than the item has, but for rows that repeat a key
     placing = placing.withColumn("every", F.flatten("windows.pairs")).withColumn("pairs", F.array_distinct("every"))
-    placing = placing.where("size(filter(pairs, p -> p.i & 1 = 1)) = size(array_distinct(transform(filter(pairs, p -> p.i & 1 = 1), p -> p.i)))")
+    if not mixed_names:
+        placing = placing.where("size(filter(pairs, p -> p.i & 1 = 1)) = size(array_distinct(transform(filter(pairs, p -> p.i & 1 = 1), p -> p.i)))")
     counted = placing.withColumn("counted", F.expr("transform(pairs, p -> struct(p.i as i, size(filter(every, q -> q = p)) as n, p.d as d))"))
     # pairs that another one with the same value of the item outdoes
     lost = "filter(counted, p -> exists(counted, q -> q.i = p.i and (q.n > p.n or q.n = p.n and q.d > p.d)))"
@@ -237,18 +239,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", least
     return best.select(F.col("key").alias(key), "item_id", "best.n_windows", "item_windows", "best.n_slots")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item, with all their columns. Texts are told apart by a 64-bit
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mixed_names: bool = False) -> DataFrame:
+    """The rows of docs whose text holds no benchmark item (see find_leaks), with all their columns. Texts are told apart by a 64-bit
     hash, so repeated and null doc_ids do no harm; a null text stays."""
     own = "__text_key"
     keyed = docs.withColumn(own, F.xxhash64("text"))
-    leaks = find_leaks(keyed, benchmark, own).select(own).distinct()
+    leaks = find_leaks(keyed, benchmark, own, mixed_names=mixed_names).select(own).distinct()
     return keyed.join(leaks, own, "left_anti").drop(own).select(*docs.columns)
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return find_leaks(docs, bench)
+    return find_leaks(docs, bench, mixed_names=True)
 
 
 QUERIES = {"op4_benchmark_decontamination": op4_benchmark_decontamination}
