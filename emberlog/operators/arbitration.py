@@ -204,18 +204,22 @@ def schema_errors(text: Column) -> Column:
 
 PATHS = r"(/[A-Za-z0-9._~+@%=\-][A-Za-z0-9._~+@%=/:\-]*|(?:deployment|systemd|scripts|src|app|ops|bin|lib)/[A-Za-z0-9._~+@%=/:\-]+)"
 UNITS = r"\b[A-Za-z0-9_.@-]+\.(?:service|timer|path|socket)\b"
+COMMANDS = ("execstart", "command=", "cmd=", "argv", "can't open file", "cannot open file")
 STATES = ("failed", "failure", "exit-code", "exited", "restart", "started", "stopped", "inactive", "dead", "running", "activating", "main process exited")
 
 
 def extracted(text: Column) -> list[Column]:
-    """paths, missing paths (of lines that say that something is missing), units and words of states in a text."""
+    """paths, missing paths (of lines that say that something is missing), units, words of states, and lines with commands (of
+    up to 240 characters) in a text."""
     clean = lambda a: F.array_distinct(F.transform(a, lambda x: F.regexp_replace(x, r"[.,;:)'\"]+$", "")))
     path = clean(F.regexp_extract_all(text, F.lit(PATHS), F.lit(1)))
     lines = F.filter(F.split(text, r"\n"), lambda s: any_of(F.lower(s), ("no such file", "can't open file", "cannot open file", "missing", "not found")))
     lost = clean(F.flatten(F.transform(lines, lambda s: F.regexp_extract_all(s, F.lit(PATHS), F.lit(1)))))
     unit = F.array_distinct(F.regexp_extract_all(text, F.lit(UNITS), F.lit(0)))
     state = F.filter(F.array(*map(F.lit, STATES)), lambda w: F.contains(F.lower(text), w))
-    return [path.alias("paths"), lost.alias("missing_paths"), unit.alias("units"), state.alias("states")]
+    trimmed = F.transform(F.split(text, r"\n"), lambda s: F.trim(s))
+    command = F.array_distinct(F.transform(F.filter(trimmed, lambda s: any_of(F.lower(s), COMMANDS)), lambda s: F.substring(s, 1, 240)))
+    return [path.alias("paths"), lost.alias("missing_paths"), unit.alias("units"), state.alias("states"), command.alias("commands")]
 
 
 def request_rows(logs: DataFrame, requests: DataFrame, limit: int) -> DataFrame:

@@ -99,6 +99,16 @@ def name_of(value: str) -> str:
     return re.sub(r"[\W_]+", "_", unicodedata.normalize("NFKC", value).lower()).strip("_")[:120]
 
 
+def semantic_name(column: Column) -> Column:
+    """A name as name_of makes it, with compatible forms of characters made one (NFKC)."""
+
+    @F.arrow_udf("string")
+    def named(texts: pa.Array) -> pa.Array:
+        return _by_value(texts, lambda x: name_of(x or ""), pa.string())
+
+    return named(column)
+
+
 def code_of(value: str) -> str:
     return re.sub(r"[^A-Za-z0-9_.:-]+", "_", unicodedata.normalize("NFKC", value).strip()).strip("_")[:120]
 

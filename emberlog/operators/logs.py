@@ -361,13 +361,15 @@ SUBSYSTEM_ERRORS = {
 }
 
 
-def analysis_windows(end: str, minutes: int, lookback_hours: int, baseline_days: int, raw_start: str) -> dict[str, Column]:
-    """Start and end of the incident, lookback and baseline windows, all anchored on the incident's end."""
-    last = F.lit(end).cast("timestamp")
-    start = last - F.make_dt_interval(mins=F.lit(minutes))
+def analysis_windows(end: str | Column, minutes: int | Column, lookback_hours: int | Column, baseline_days: int | Column, raw_start: str | Column) -> dict[str, Column]:
+    """Start and end of the incident, lookback and baseline windows, all anchored on the incident's end: values, or columns
+    such as the last and first time of each source."""
+    c = lambda x: x if isinstance(x, Column) else F.lit(x)
+    last = c(end).cast("timestamp")
+    start = last - F.make_dt_interval(mins=c(minutes))
     return {
-        "incident_start": start, "incident_end": last, "lookback_start": start - F.make_dt_interval(hours=F.lit(lookback_hours)),
-        "baseline_start": F.greatest(F.lit(raw_start).cast("timestamp"), start - F.make_dt_interval(days=F.lit(baseline_days))), "baseline_end": start,
+        "incident_start": start, "incident_end": last, "lookback_start": start - F.make_dt_interval(hours=c(lookback_hours)),
+        "baseline_start": F.greatest(c(raw_start).cast("timestamp"), start - F.make_dt_interval(days=c(baseline_days))), "baseline_end": start,
     }
 
 

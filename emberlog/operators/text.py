@@ -183,6 +183,13 @@ def scalar_kind(col: Column) -> Column:
     return F.when(t.isin("true", "false"), "bool").when(t.isin("none", "null"), "null").when(F.trim(col).rlike(r"^[+-]?\d+$"), "int").when(F.trim(col).rlike(r"^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$"), "float").otherwise("text")
 
 
+def coerced(col: Column) -> Column:
+    """A text as the scalar that it is: struct of its kind, the flag of a bool, the number of an int or float, and the text of
+    all else."""
+    kind, t = scalar_kind(col), F.trim(col)
+    return F.struct(kind.alias("kind"), F.when(kind == "bool", F.lower(t) == "true").alias("flag"), F.when(kind.isin("int", "float"), t.try_cast("double")).alias("number"), F.when(kind == "text", t).alias("text"))
+
+
 def not_negated(text: Column, terms: Sequence[str]) -> Column:
     """Whether a term is mentioned as a word without being denied: no "no" or "without" up to 90 characters before it in its
     sentence, and no "not observed", "not present" or "absent" up to 50 behind it. Every mention counts by itself."""

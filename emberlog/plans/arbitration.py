@@ -143,11 +143,11 @@ def reviewer_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extracted_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths, missing paths, units and states that the incident's messages name."""
+    """Paths, missing paths, units, states and commands that the incident's messages name."""
     rows = R.in_window(logs(spark, d), *INCIDENT).select(F.concat("message", F.expr("case when event_id % 26 = 5 then concat(chr(10), 'No such file or directory: /opt/run', user_id % 3, '.sh, inactive (dead)') else '' end")).alias("text"))
     e = rows.select(*A.extracted(F.col("text")))
-    flat = [F.array_join(c, ",").alias(c) for c in ("paths", "missing_paths", "units", "states")]
-    return e.select(*flat).groupBy("paths", "missing_paths", "units", "states").agg(F.count("*").alias("n"))
+    names = ("paths", "missing_paths", "units", "states", "commands")
+    return e.select(*[F.array_join(c, ",").alias(c) for c in names]).groupBy(*names).agg(F.count("*").alias("n"))
 
 
 def requested_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -282,7 +282,7 @@ select canonical_key, unit, final_class, final_score, array_to_string(rs, ',') r
     "reviewer_outputs": f"""with o as (select *, output_id % 100 % 4 q, output_id // 100 % 5 w from ({OUTPUTS.replace('CONVERSATIONS', 'conversations')})) select output_id, case when q = 3 then case when w = 0 then 'invalid_after_repair' else 'invalid_json' end when w in (0, 1) or q = 1 then 'parsed_repaired' else 'parsed_original' end status,
  array_to_string(list_filter([case when w = 0 then 'strip_code_fence_wrapper' end, case when w = 1 and q <> 3 then 'extract_json_window' end, case when q = 1 then 'python_literal_to_json_literal' end], lambda x: x is not null), ',') rules,
  case q when 0 then '{{"schema_version": "v1", "summary": "s", "claims": [{{"claim_type": "support", "claim_text": "a"}}, {{"claim_type": "guess", "claim_text": "b"}}]}}' when 1 then '{{"schema_version": "v1", "summary": "", "claims": [], "ok": true, "x": null}}' when 2 then '{{"summary": "t", "claims": [{{"claim_type": "caveat"}}]}}' else case when w = 0 then '{{"summary": "broken' else raw end end as text, case q when 0 then 'claim_type_unknown' when 1 then 'summary_missing' when 2 then 'schema_version_missing,claim_text_missing' else '' end errors from o""",
-    "extracted_paths": rf"with {LOGS}, r as (select message || case when event_id % 26 = 5 then chr(10) || 'No such file or directory: /opt/run' || (user_id % 3) || '.sh, inactive (dead)' else '' end t from logs where ts >= timestamp '{INCIDENT[0]}' and ts < timestamp '{INCIDENT[1]}'), e as (select list_transform(regexp_extract_all(t, '{_P}', 1), lambda x: regexp_replace(x, '[.,;:)]+$', '')) p, list_transform(flatten(list_transform(list_filter(string_split(t, chr(10)), lambda s: regexp_matches(lower(s), 'no such file|can.t open file|cannot open file|missing|not found')), lambda s: regexp_extract_all(s, '{_P}', 1))), lambda x: regexp_replace(x, '[.,;:)]+$', '')) mp, regexp_extract_all(t, '\b[A-Za-z0-9_.@-]+\.(?:service|timer|path|socket)\b') u, list_filter(['failed', 'failure', 'exit-code', 'exited', 'restart', 'started', 'stopped', 'inactive', 'dead', 'running', 'activating', 'main process exited'], lambda w: contains(lower(t), w)) st from r) select array_to_string(p, ',') paths, array_to_string(mp, ',') missing_paths, array_to_string(u, ',') units, array_to_string(st, ',') states, count(*) n from e group by all",
+    "extracted_paths": rf"with {LOGS}, r as (select message || case when event_id % 26 = 5 then chr(10) || 'No such file or directory: /opt/run' || (user_id % 3) || '.sh, inactive (dead)' else '' end t from logs where ts >= timestamp '{INCIDENT[0]}' and ts < timestamp '{INCIDENT[1]}'), e as (select list_transform(regexp_extract_all(t, '{_P}', 1), lambda x: regexp_replace(x, '[.,;:)]+$', '')) p, list_transform(flatten(list_transform(list_filter(string_split(t, chr(10)), lambda s: regexp_matches(lower(s), 'no such file|can.t open file|cannot open file|missing|not found')), lambda s: regexp_extract_all(s, '{_P}', 1))), lambda x: regexp_replace(x, '[.,;:)]+$', '')) mp, regexp_extract_all(t, '\b[A-Za-z0-9_.@-]+\.(?:service|timer|path|socket)\b') u, list_filter(['failed', 'failure', 'exit-code', 'exited', 'restart', 'started', 'stopped', 'inactive', 'dead', 'running', 'activating', 'main process exited'], lambda w: contains(lower(t), w)) st, list_transform(list_filter(string_split(t, chr(10)), lambda s: regexp_matches(lower(s), 'execstart|command=|cmd=|argv|can.t open file|cannot open file')), lambda s: substr(trim(s), 1, 240)) co from r) select array_to_string(p, ',') paths, array_to_string(mp, ',') missing_paths, array_to_string(u, ',') units, array_to_string(st, ',') states, array_to_string(co, ',') commands, count(*) n from e group by all",
     "requested_rows": f"with {LOGS}, x as (select *, lower(message || ' ' || template || ' ' || error_type || ' ' || labels) s from logs where ts >= timestamp '2024-01-15' and ts < timestamp '{INCIDENT[1]}'), h as (select 'stream_query' request_id, * from x where s like '%rtmps%' or s like '%ffmpeg%' union all select 'login_query', * from x where s like '%unauthorized%' union all select 'any_query', * from x) select request_id, row_number() over (partition by request_id order by ts desc, log_id desc)::int place, log_id, ts, error_type from h qualify place <= 20",
     "matched_paths": f"with {LOGS}, l as (select distinct '/srv/' || regexp_extract(message, '(run[0-9]+[.]py)', 1) path from logs where error_type = 'job_configuration_mismatch') select path, 'name' how from l where path in ('/srv/run1.py', '/srv/run3.py')",
     "top_evidence": f"{_TOPS} select item_id, event_name, severity, n, interest from tops",

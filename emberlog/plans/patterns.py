@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators import documents as D
 from emberlog.operators import logs as L
 from emberlog.operators import relational as R
 from emberlog.operators import text as T
@@ -187,28 +188,28 @@ def metric_semantics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def message_fields(spark: SparkSession, d: str) -> DataFrame:
-    """key=value pairs of messages by key: what kinds of scalars they are."""
+    """key=value pairs of messages by key: what kinds of scalars they are, the sum of the numbers and how many are true."""
     kv = logs(spark, d).select(F.explode(T.key_values(F.col("message"))).alias("key", "value"))
-    return kv.groupBy("key", T.scalar_kind(F.regexp_replace("value", "[,;]+$", "")).alias("kind")).agg(F.count("*").alias("n"))
+    kv = kv.select("key", T.coerced(F.regexp_replace("value", "[,;]+$", "")).alias("c"))
+    return kv.groupBy("key", F.col("c.kind").alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("c.number"), 3).alias("total"), F.count_if("c.flag").alias("truths"))
 
 
 def time_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Windows anchored on one end, their length and label, and whether they are long enough to analyse."""
-    cases = [("2024-01-29 00:00:00", 90, 24, 7), ("2024-01-29 06:30:00", 1440, 6, 3), ("2024-01-03 00:00:00", 2880, 36, 14)]
-    out = None
-    for i, (end, minutes, hours, days) in enumerate(cases):
-        w = L.analysis_windows(end, minutes, hours, days, "2024-01-01 00:00:00")
-        one = spark.range(1).select(F.lit(i).alias("place"), *[c.alias(k) for k, c in w.items()], F.lit(hours * 60).alias("lookback"))
-        out = one if out is None else out.unionByName(one)
+    """Windows anchored on the last log of each service, their length and label, and whether they are long enough to
+    analyse; no baseline begins before the service's first log."""
+    ends = logs(spark, d).groupBy("service").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    cases = spark.createDataFrame([(0, 90, 24, 7), (1, 1440, 6, 3), (2, 2880, 36, 90)], "place int, minutes int, hours int, days int")
+    e = ends.crossJoin(F.broadcast(cases))  # three windows for each service
+    out = e.select("service", "place", "hours", *[c.alias(k) for k, c in L.analysis_windows(F.col("last"), F.col("minutes"), F.col("hours"), F.col("days"), F.col("first")).items()])
     minutes = L.duration_minutes(F.col("incident_start"), F.col("incident_end"))
     days = F.greatest((F.unix_timestamp("baseline_end") - F.unix_timestamp("baseline_start")) / 86400, F.lit(1.0))
-    return out.select("place", "incident_start", "lookback_start", "baseline_start", minutes.alias("minutes"), L.lookback_label(F.col("lookback")).alias("label"), F.round(days, 4).alias("baseline_days"), (minutes >= 1440).alias("long_enough"))
+    return out.select("service", "place", "incident_start", "lookback_start", "baseline_start", minutes.alias("minutes"), L.lookback_label(F.col("hours") * 60).alias("label"), F.round(days, 4).alias("baseline_days"), (minutes >= 1440).alias("long_enough"))
 
 
 def texts_and_severity(spark: SparkSession, d: str) -> DataFrame:
     """Severity of words, non-negated terms, and names of events made uniform."""
     e = logs(spark, d)
-    return e.select("event_id", T.severity_of_text(F.col("message")).alias("by_text"), T.not_negated(F.col("message"), ("timeout", "error", "http 500")).alias("signal"), T.semantic_name(F.col("template")).alias("name"))
+    return e.select("event_id", T.severity_of_text(F.col("message")).alias("by_text"), T.not_negated(F.col("message"), ("timeout", "error", "http 500")).alias("signal"), D.semantic_name(F.col("template")).alias("name"))
 
 
 def event_severities(spark: SparkSession, d: str) -> DataFrame:
@@ -383,8 +384,9 @@ ORACLES = {
     "evidence_items": f"{_COVER}, {_LOCAL}, {_EVIDENCE} select pattern_id evidence_id, 'log_pattern' kind, template summary, n::double as value, null::varchar interpretation from listed union all select metric_id, 'metric_window', metric_name, current_value, null from local union all select evidence_id, 'operational_evidence', request_id, incident_count::double, interpretation from ops",
     "metric_observations": f"with {LOGS}, {_SEM}, y as (select {_NEST.format('metric_name')} metric_name, {_NEST.format('metric_value')} as text, ts, log_id from logs), z as (select metric_name, last(text order by ts, log_id) as text, last(log_id order by ts, log_id) log_id from y where metric_name is not null group by 1), w as (select z.*, coalesce(zero_behavior, 'unknown') zero_behavior, try_cast(text as double) x from z left join sem using (metric_name)) select metric_name, text, log_id, zero_behavior, case when x is null then 'observed' when zero_behavior = 'suspicious' and x = 0 then 'suspicious_zero_or_gap' when zero_behavior = 'healthy' and x = 0 then 'healthy_zero' when regexp_matches(metric_name, '_(ok|connected|active|available|present|up)$') then case when x >= 1 then 'healthy' else 'suspicious_zero_or_gap' end when metric_name like '%fail_count' then case when x = 0 then 'healthy_zero' else 'nonzero_count' end else 'observed' end assessment, 'int' as kind from w",
     "metric_semantics": f"{_METRICS}, {_SEM} select metric_name, coalesce(semantic_type, 'unknown') semantic_type, coalesce(zero_behavior, 'unknown') zero_behavior, coalesce(subsystem, 'general') subsystem, coalesce(core_target_type, '') core_target_type from m left join sem using (metric_name)",
-    "message_fields": f"with {LOGS}, y as (select log_id, unnest({_KV.format(1)}) as key, unnest({_KV.format(2)}) as value from logs), z as (select key, regexp_replace(value, '[,;]+$', '') x from y) select key, case when lower(x) in ('true', 'false') then 'bool' when lower(x) in ('none', 'null') then 'null' when regexp_full_match(x, '[+-]?[0-9]+') then 'int' when regexp_full_match(x, '[+-]?([0-9]+[.][0-9]*|[.][0-9]+|[0-9]+)([eE][+-]?[0-9]+)?') then 'float' else 'text' end as kind, count(*) n from z group by all",
-    "time_windows": "select * from (values (0, timestamp '2024-01-28 22:30:00', timestamp '2024-01-27 22:30:00', timestamp '2024-01-21 22:30:00', 90::bigint, '1d', 7.0::double, false), (1, timestamp '2024-01-28 06:30:00', timestamp '2024-01-28 00:30:00', timestamp '2024-01-25 06:30:00', 1440::bigint, '6h', 3.0::double, true), (2, timestamp '2024-01-01 00:00:00', timestamp '2023-12-30 12:00:00', timestamp '2024-01-01 00:00:00', 2880::bigint, '36h', 1.0::double, true)) t(place, incident_start, lookback_start, baseline_start, minutes, label, baseline_days, long_enough)",
+    "message_fields": f"with {LOGS}, y as (select log_id, unnest({_KV.format(1)}) as key, unnest({_KV.format(2)}) as value from logs), z as (select key, regexp_replace(value, '[,;]+$', '') x from y) select key, case when lower(x) in ('true', 'false') then 'bool' when lower(x) in ('none', 'null') then 'null' when regexp_full_match(x, '[+-]?[0-9]+') then 'int' when regexp_full_match(x, '[+-]?([0-9]+[.][0-9]*|[.][0-9]+|[0-9]+)([eE][+-]?[0-9]+)?') then 'float' else 'text' end as kind, count(*) n, round(sum(case when regexp_full_match(x, '[+-]?([0-9]+[.][0-9]*|[.][0-9]+|[0-9]+)([eE][+-]?[0-9]+)?') then try_cast(x as double) end), 3) total, count(*) filter (lower(x) = 'true') truths from z group by all",
+    "time_windows": f"""with {LOGS}, ends as (select service, min(ts) f, max(ts) l from logs group by 1), cs(place, m, h, dd, label) as (values (0, 90, 24, 7, '1d'), (1, 1440, 6, 3, '6h'), (2, 2880, 36, 90, '36h')),
+x as (select *, l - m * interval 1 minute as s from ends, cs), y as (select *, greatest(f, s - dd * interval 1 day) as b from x) select service, place, s as incident_start, s - h * interval 1 hour as lookback_start, b as baseline_start, m::bigint as minutes, label, round(greatest(date_diff('second', b, s) / 86400.0::double, 1.0::double), 4) as baseline_days, m >= 1440 as long_enough from y""",
     "texts_and_severity": f"with {LOGS}, y as (select *, lower(message) l from logs), z as (select *, string_split_regex(l, '[.;!?]') parts from y) select event_id, {_LEVEL.format('l')} by_text, " + " or ".join(rf"len(list_filter(parts, lambda s: regexp_matches(s, '\b{w}\b') and not regexp_matches(s, '\b(no|without)\b.{{0,90}}\b{w}\b') and not regexp_matches(s, '\b{w}\b.{{0,50}}\b(not observed|not present|absent)\b'))) > 0" for w in ("timeout", "error", "http 500")) + r" as signal, substr(trim(regexp_replace(lower(template), '[^\p{L}\p{N}]+', '_', 'g'), '_'), 1, 120) as name from z",
     "event_severities": """with a as (select event_id, case when event_id % 3 = 0 then 'said' end message, case when event_id % 11 = 0 then 'notice' end as level, case event_id % 7 when 0 then 'fatal' when 1 then 'Degraded' when 2 then 'unhealthy' when 3 then '' end status, case when event_id % 5 = 0 then 'false' end healthy,
  case event_id % 8 when 0 then 'none' when 1 then 'stall' end fk, case event_id % 9 when 0 then 'warn' when 1 then 'failed' end j, case event_id % 10 when 0 then 'crash_report' when 1 then 'restart' when 2 then 'tick' end kind, case when event_id % 4 = 0 then user_id::varchar end mbps from events where event_id is not null)
