@@ -42,8 +42,10 @@ def with_evidence_identity(candidates: DataFrame, items: DataFrame) -> DataFrame
     return out.drop("__pay")
 
 
-def canonical_target(explicit: Column, text: Column) -> Column:
-    e, t = token(explicit), F.lower(text)
+def canonical_target(explicit: Column, text: Column, explicit_token: Column | None = None) -> Column:
+    """The target that a candidate names, or else its text; explicit_token: the token of explicit, where it is a column
+    already."""
+    e, t = token(explicit) if explicit_token is None else explicit_token, F.lower(text)
     has = lambda *terms: any_of(t, terms)
     known = (
         F.when(e.isin("restart_loop", "process_restart", "process_restart_loop"), "process_restart_loop").when(e.isin("transport_failure", "transport_path_failure", "throughput_disappearance"), "transport_path_failure")
@@ -61,9 +63,9 @@ def canonical_target(explicit: Column, text: Column) -> Column:
     return F.when(F.coalesce(explicit, F.lit("")).isin("", "general", "general_review", "validation_target"), guess).otherwise(known)
 
 
-def canonical_unit(target: Column, subsystem: Column, component: Column) -> Column:
-    """What is reviewed: a trusted unit, else the component, else the subsystem."""
-    t, s, c = token(target), token(subsystem), token(component)
+def canonical_unit(t: Column, s: Column, c: Column) -> Column:
+    """What is reviewed: a trusted unit, else the component, else the subsystem; t, s, c: the tokens of target, subsystem and
+    component."""
     subject = F.when(t == "database_connection_pool_exhaustion", "database_connection_pool").when((t == "deployment_regression") | (s == "deployment_regression") | (c == "deployment_regression"), "deployment_regression").when(c.isin(*TRUSTED_UNITS), c).when(s.isin(*TRUSTED_UNITS), s)
     fixed = subject.isin("transport_sender", "database_connection_pool", "database_dependency", "payment_gateway", "deployment_regression")
     return F.when(fixed, subject).when(~c.isin(*NAMELESS), c).when(~s.isin(*NAMELESS), s).otherwise(F.coalesce(subject, F.lit("general")))
@@ -71,10 +73,13 @@ def canonical_unit(target: Column, subsystem: Column, component: Column) -> Colu
 
 def with_canonical_key(candidates: DataFrame) -> DataFrame:
     """candidates (target_id, evidence, target, subsystem, component, text) with canonical_target, unit, family and key."""
-    c = candidates.withColumn("canonical_target", canonical_target(F.col("target"), F.col("text"))).withColumn("unit", canonical_unit(F.col("target"), F.col("subsystem"), F.col("component")))
-    named = ~token(F.col("subsystem")).isin(*NAMELESS) | ~F.col("unit").isin(*NAMELESS)
+    # tokens are columns of their own: spelled out in every branch they would be hundreds of replacements
+    c = candidates.withColumns({"__t": token(F.col("target")), "__s": token(F.col("subsystem")), "__c": token(F.col("component"))})
+    c = c.withColumns({"canonical_target": canonical_target(F.col("target"), F.col("text"), F.col("__t")), "unit": canonical_unit(F.col("__t"), F.col("__s"), F.col("__c"))})
+    c = c.withColumn("__u", token(F.col("unit")))
+    named = ~F.col("__s").isin(*NAMELESS) | ~F.col("__u").isin(*NAMELESS)
     c = c.withColumn("family", F.when(named | (F.col("canonical_target") == "general_review"), "").otherwise(F.col("canonical_target")))
-    return c.withColumn("canonical_key", F.substring(F.sha2(F.concat_ws("|", "evidence", "unit", "family"), 256), 1, 24))
+    return c.withColumn("canonical_key", F.substring(F.sha2(F.concat_ws("|", "evidence", "unit", "family"), 256), 1, 24)).drop("__t", "__s", "__c", "__u")
 
 
 def _spread(df: DataFrame, by: str, column: str) -> DataFrame:

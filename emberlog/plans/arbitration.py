@@ -74,7 +74,8 @@ def identified_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keyed(spark, d):
-    return A.with_canonical_key(A.with_evidence_identity(_candidates(spark, d), _item_texts(spark, d)))
+    # stored: the joins of the observations would push tests of the key down to here, and spell it out four times
+    return stored(spark, d, "keyed", lambda: A.with_canonical_key(A.with_evidence_identity(_candidates(spark, d), _item_texts(spark, d))))
 
 
 def canonical_keys(spark: SparkSession, d: str) -> DataFrame:
