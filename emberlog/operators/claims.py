@@ -58,20 +58,23 @@ def distinct_values(df: DataFrame, by: Sequence[str], column: str, name: str) ->
 
 def joined_texts(claims: DataFrame, by: Sequence[str], size: int, name: str) -> DataFrame:
     """Of each group the texts in the order of claim_id, joined by a space and cut to size: only as many claims are
-    gathered as fill it."""
+    gathered as fill it. A claim takes a character at least, so that a group's first size claims do, and the rest does not
+    leave the tasks that have it."""
     w = Window.partitionBy(*by).orderBy("claim_id")
+    rows = claims.select(*by, "claim_id", "claim_text").withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= size)
     before = F.coalesce(F.sum(F.length("claim_text") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = claims.withColumn("__before", before).where(F.col("__before") < size)
+    rows = rows.withColumn("__before", before).where(F.col("__before") < size)
     parts = F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "claim_text"))), lambda x: x["claim_text"])
     return rows.groupBy(*by).agg(F.substring(F.array_join(parts, " "), 1, size).alias(name))
 
 
 def propositions(claims: DataFrame) -> DataFrame:
-    """Claims of one bundle, target and subsystem as one proposition: its claims, the texts of each stance, priority."""
+    """Claims of one bundle, target and subsystem as one proposition: how many, the texts of each stance, priority. Which
+    claims it has is a table of its own, see proposition_links."""
     by, of = list(GROUP), F.col("claim_type")
     checks = of.isin("validation_target", "caveat") | (F.size("missing") > 0)
     p = claims.groupBy(*by).agg(
-        F.sort_array(F.collect_list("claim_id")).alias("linked_claim_ids"), F.count("*").alias("n_claims"), F.count_if(~F.col("valid")).alias("invalid"), F.count_if(checks).alias("checks"),
+        F.count("*").alias("n_claims"), F.count_if(~F.col("valid")).alias("invalid"), F.count_if(checks).alias("checks"),
         F.count_if((F.col("temporary_action") != "") | (F.col("permanent_action") != "")).alias("actions"),
     )
     for kind, name in (("support", "support_summary"), ("counter_evidence", "counter_summary")):
@@ -79,8 +82,16 @@ def propositions(claims: DataFrame) -> DataFrame:
     wants = claims.where((of == "next_data_needed") | (F.size("missing") > 0)).withColumn("want", F.when(F.size("missing") > 0, F.col("missing")).otherwise(F.array("claim_text")))
     p = p.join(distinct_values(wants, by, "want", "next_data"), by, "left").withColumn("next_data", F.coalesce("next_data", _empty()))
     priority = F.when((F.col("invalid") > 0) | (F.col("counter_summary") != "") | (F.col("checks") >= 2), "high").when((F.col("actions") > 0) | (F.col("support_summary") != ""), "medium").otherwise("low")
-    key = F.concat(F.lit("prop-"), F.substring(F.sha2(F.concat_ws("|", *by), 256), 1, 16))
-    return p.withColumn("priority", priority).withColumn("cause", cause_key(F.concat_ws(" ", "support_summary", "counter_summary"))).withColumn("proposition_id", key).drop("invalid", "checks", "actions")
+    return p.withColumn("priority", priority).withColumn("cause", cause_key(F.concat_ws(" ", "support_summary", "counter_summary"))).withColumn("proposition_id", proposition_key()).drop("invalid", "checks", "actions")
+
+
+def proposition_key() -> Column:
+    return F.concat(F.lit("prop-"), F.substring(F.sha2(F.concat_ws("|", *GROUP), 256), 1, 16))
+
+
+def proposition_links(claims: DataFrame) -> DataFrame:
+    """proposition_id, claim_id: a row for each claim."""
+    return claims.select(proposition_key().alias("proposition_id"), "claim_id")
 
 
 def clamped(x: Column) -> Column:
@@ -95,7 +106,7 @@ def risky_share(n: Column) -> Column:
 
 def scores(props: DataFrame, claims: DataFrame, results: DataFrame) -> DataFrame:
     """Scores of propositions from the claims that they link to; results: result_id, schema_valid (their share counts)."""
-    linked = props.select("proposition_id", F.explode("linked_claim_ids").alias("claim_id")).join(claims, "claim_id")
+    linked = claims.withColumn("proposition_id", proposition_key()).join(props.select("proposition_id"), "proposition_id", "left_semi")
     kind, n = F.col("claim_type"), F.count("*")
     has = lambda *kinds: F.max(kind.isin(*kinds).cast("int"))
     s = linked.groupBy("proposition_id").agg(
