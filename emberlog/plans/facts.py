@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import documents as D
 from emberlog.operators import text as T
-from emberlog.storage import delete, shared_folder
+from emberlog.storage import delete, exists, shared_folder
 
 INCIDENT = ("2024-01-22 00:00:00", "2024-01-29 00:00:00")
 BASELINE = ("2024-01-15 00:00:00", "2024-01-22 00:00:00")
@@ -77,7 +77,7 @@ def clear(spark: SparkSession) -> None:
 def stored(spark: SparkSession, sf_dir: str, name: str, build, partition: str | None = None) -> DataFrame:
     """A table that queries share: built once for each application and state of the input, and read from there on."""
     key = spark.sparkContext.applicationId, f"{name}-{_state(spark, sf_dir)}"
-    if key not in _stored:
+    if key not in _stored or not exists(spark, f"{_stored[key]}/_SUCCESS"):
         path = f"{shared_folder(spark)}/facts/{key[1]}"
         rows = build()
         rows = rows.hint("rebalance", partition).write.partitionBy(partition) if partition else rows.hint("rebalance").write

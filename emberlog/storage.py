@@ -31,6 +31,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; results that read them must be written before."""
     delete(spark, f"{shared_folder(spark)}/work")
