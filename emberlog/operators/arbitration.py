@@ -244,3 +244,38 @@ def matched_paths(wanted: DataFrame, missing: DataFrame) -> DataFrame:
     close = missing.withColumn("__b", name).join(wanted.select(name.alias("__b")).distinct(), "__b", "left_semi").drop("__b").withColumn("how", F.lit("name"))
     none = same.limit(1).agg((F.count("*") == 0).alias("__none"))
     return same.unionByName(close.join(F.broadcast(none), F.col("__none")).drop("__none")).distinct()
+
+
+#: Folders that a collector may read, and the names of units (fixed values).
+COLLECTED_ROOTS = ("/etc/systemd", "/lib/systemd", "/usr/lib/systemd", "/opt", "/srv", "/home", "/var/lib", "/var/log", "/run")
+UNIT_NAME, UNIT_IN_TEXT = r"^[A-Za-z0-9_.@:-]+\.(?:service|timer|path|socket)$", r"\b[A-Za-z0-9_.@:-]+\.(?:service|timer|path|socket)\b"
+
+
+def collected_path(path: Column) -> Column:
+    """A path as a collector reads it: absolute, without doubled slashes and dots; null if it goes up or is outside the
+    folders that may be read."""
+    p = F.regexp_replace(F.trim(path), ":+$", "")
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"/(?:\.?/)+", "/"), r"/\.$", "/"), r"(?<=.)/+$", "")
+    inside = F.lit(False)
+    for root in COLLECTED_ROOTS:
+        inside = inside | (clean == root) | clean.startswith(f"{root}/")
+    return F.when(p.startswith("/") & ~F.array_contains(F.split(p, "/"), "..") & inside, clean)
+
+
+def collector_targets(rows: DataFrame) -> DataFrame:
+    """request_id, kind (unit or path), value: what a collector is to look at for each request, each once.
+
+    rows: request_id, request_type, text, labels (JSON). Units are those that the text names or the labels give, at the top
+    or nested; paths those of the text, but for a request for an installed artifact that has missing ones only these. What
+    is no name of a unit, or no path that may be read, is left out."""
+    paths, lost = extracted(F.col("text"))[:2]
+    doc = F.try_parse_json("labels")
+    given = F.array_compact(F.array(*[F.try_variant_get(doc, p, "string") for p in ("$.systemd_unit", "$.labels.systemd_unit")]))
+    units = F.array_union(F.regexp_extract_all("text", F.lit(UNIT_IN_TEXT), F.lit(0)), F.coalesce(given, F.array().cast("array<string>")))
+    rows = rows.select("request_id", "request_type", units.alias("units"), paths, lost)
+    unit = rows.select("request_id", F.explode("units").alias("u")).select("request_id", F.lit("unit").alias("kind"), F.trim("u").alias("value")).where(F.col("value").rlike(UNIT_NAME))
+    missing = rows.select("request_id", "request_type", F.explode("missing_paths").alias("p"))
+    only = missing.where("request_type = 'installed_artifact'").select("request_id").distinct()
+    other = rows.join(only, "request_id", "left_anti").select("request_id", "request_type", F.explode("paths").alias("p"))
+    path = missing.unionByName(other).select("request_id", F.lit("path").alias("kind"), collected_path(F.col("p")).alias("value")).where("value is not null")
+    return unit.unionByName(path).distinct()

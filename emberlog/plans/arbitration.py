@@ -151,6 +151,18 @@ def extracted_paths(spark: SparkSession, d: str) -> DataFrame:
     return e.select(*[F.array_join(c, ",").alias(c) for c in names]).groupBy(*names).agg(F.count("*").alias("n"))
 
 
+#: The test data's words and labels that name units and paths, as expressions that both dialects read.
+NAMED = """concat(message, case event_id % 26 when 4 then concat(chr(10), 'No such file or directory: /opt//app/./run', user_id % 3, '.sh') when 5 then concat(' of app', user_id % 3, '@a.timer in /srv/x', user_id % 4, '/ and /etc/passwd, /opt/../y') else '' end)"""
+UNITS = """case event_id % 5 when 0 then concat('{"systemd_unit":"top-', user_id % 2, '.service"}') when 1 then concat('{"labels":{"systemd_unit":"in-', user_id % 2, '.socket"},"x":[1]}') when 2 then '{"systemd_unit":"not a unit"}' else 'broken' end"""
+
+
+def collector_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Units and paths to look at for two requests over the incident's failures."""
+    kind = F.expr("case error_type when 'service_start_failure' then 'process_state' else 'installed_artifact' end")
+    rows = R.in_window(logs(spark, d), *INCIDENT).where("event_id % 26 in (4, 5)")
+    return A.collector_targets(rows.select(F.concat(kind, F.lit("_query")).alias("request_id"), kind.alias("request_type"), F.expr(NAMED).alias("text"), F.expr(UNITS).alias("labels")))
+
+
 def requested_rows(spark: SparkSession, d: str) -> DataFrame:
     """The latest rows of three requests for more data from the baseline's start to the incident's end."""
     r = spark.createDataFrame([("stream_query", ["rtmps", "ffmpeg"]), ("login_query", ["unauthorized"]), ("any_query", [])], "request_id string, terms array<string>")
@@ -240,7 +252,7 @@ def run_costs(spark: SparkSession, d: str) -> DataFrame:
     return t.select("provider", "tokens_in", "tokens_out", F.round(cost, 8).alias("cost"), F.col("rate_in").isNotNull().alias("priced"))
 
 
-QUERIES = {f.__name__: f for f in (candidate_inputs, identified_candidates, canonical_keys, text_categories, merged_observations, review_convergence, agreement_dimensions, arbitrated_targets, provider_stances, reviewer_outputs, extracted_paths, requested_rows, matched_paths, top_evidence, top_logs, sample_coverage, semantic_chunks, merged_chunks, split_chunks, merged_claims, run_costs)}
+QUERIES = {f.__name__: f for f in (candidate_inputs, identified_candidates, canonical_keys, text_categories, merged_observations, review_convergence, agreement_dimensions, arbitrated_targets, provider_stances, reviewer_outputs, extracted_paths, collector_targets, requested_rows, matched_paths, top_evidence, top_logs, sample_coverage, semantic_chunks, merged_chunks, split_chunks, merged_claims, run_costs)}
 
 
 # ---- twins
@@ -283,6 +295,9 @@ select canonical_key, unit, final_class, final_score, array_to_string(rs, ',') r
     "reviewer_outputs": f"""with o as (select *, output_id % 100 % 4 q, output_id // 100 % 5 w from ({OUTPUTS.replace('CONVERSATIONS', 'conversations')})) select output_id, case when q = 3 then case when w = 0 then 'invalid_after_repair' else 'invalid_json' end when w in (0, 1) or q = 1 then 'parsed_repaired' else 'parsed_original' end status,
  array_to_string(list_filter([case when w = 0 then 'strip_code_fence_wrapper' end, case when w = 1 and q <> 3 then 'extract_json_window' end, case when q = 1 then 'python_literal_to_json_literal' end], lambda x: x is not null), ',') rules,
  case q when 0 then '{{"schema_version": "v1", "summary": "s", "claims": [{{"claim_type": "support", "claim_text": "a"}}, {{"claim_type": "guess", "claim_text": "b"}}]}}' when 1 then '{{"schema_version": "v1", "summary": "", "claims": [], "ok": true, "x": null}}' when 2 then '{{"summary": "t", "claims": [{{"claim_type": "caveat"}}]}}' else case when w = 0 then '{{"summary": "broken' else raw end end as text, case q when 0 then 'claim_type_unknown' when 1 then 'summary_missing' when 2 then 'schema_version_missing,claim_text_missing' else '' end errors from o""",
+    "collector_targets": f"""with {LOGS}, q as (select *, event_id % 26 = 5 as started, case when error_type = 'service_start_failure' then 'process_state_query' else 'installed_artifact_query' end as request_id from logs where ts >= timestamp '{INCIDENT[0]}' and ts < timestamp '{INCIDENT[1]}' and event_id % 26 in (4, 5))
+select distinct request_id, 'path' as kind, case when started then '/srv/x' || (user_id % 4) else '/opt/app/run' || (user_id % 3) || '.sh' end as value from q where not started or request_id = 'process_state_query' union all
+select distinct request_id, 'unit', v from (select request_id, unnest([case event_id % 5 when 0 then 'top-' || (user_id % 2) || '.service' when 1 then 'in-' || (user_id % 2) || '.socket' end, case when started then 'app' || (user_id % 3) || '@a.timer' end, case when started then 'worker' || (user_id % 7) || '.service' end]) v from q) where v is not null""",
     "extracted_paths": rf"with {LOGS}, r as (select message || case when event_id % 26 = 5 then chr(10) || 'No such file or directory: /opt/run' || (user_id % 3) || '.sh, inactive (dead)' else '' end t from logs where ts >= timestamp '{INCIDENT[0]}' and ts < timestamp '{INCIDENT[1]}'), e as (select list_transform(regexp_extract_all(t, '{_P}', 1), lambda x: regexp_replace(x, '[.,;:)]+$', '')) p, list_transform(flatten(list_transform(list_filter(string_split(t, chr(10)), lambda s: regexp_matches(lower(s), 'no such file|can.t open file|cannot open file|missing|not found')), lambda s: regexp_extract_all(s, '{_P}', 1))), lambda x: regexp_replace(x, '[.,;:)]+$', '')) mp, regexp_extract_all(t, '\b[A-Za-z0-9_.@-]+\.(?:service|timer|path|socket)\b') u, list_filter(['failed', 'failure', 'exit-code', 'exited', 'restart', 'started', 'stopped', 'inactive', 'dead', 'running', 'activating', 'main process exited'], lambda w: contains(lower(t), w)) st, list_transform(list_filter(string_split(t, chr(10)), lambda s: regexp_matches(lower(s), 'execstart|command=|cmd=|argv|can.t open file|cannot open file')), lambda s: substr(trim(s), 1, 240)) co from r) select array_to_string(p, ',') paths, array_to_string(mp, ',') missing_paths, array_to_string(u, ',') units, array_to_string(st, ',') states, array_to_string(co, ',') commands, count(*) n from e group by all",
     "requested_rows": f"with {LOGS}, x as (select *, lower(message || ' ' || template || ' ' || error_type || ' ' || labels) s from logs where ts >= timestamp '2024-01-15' and ts < timestamp '{INCIDENT[1]}'), h as (select 'stream_query' request_id, * from x where s like '%rtmps%' or s like '%ffmpeg%' union all select 'login_query', * from x where s like '%unauthorized%' union all select 'any_query', * from x) select request_id, row_number() over (partition by request_id order by ts desc, log_id desc)::int place, log_id, ts, error_type from h qualify place <= 20",
     "matched_paths": f"with {LOGS}, l as (select distinct '/srv/' || regexp_extract(message, '(run[0-9]+[.]py)', 1) path from logs where error_type = 'job_configuration_mismatch') select path, 'name' how from l where path in ('/srv/run1.py', '/srv/run3.py')",

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from emberlog.operators import arbitration as A
 from emberlog.operators import ledger as L
 from emberlog.operators import observations as O
 from emberlog.operators import packing as K
@@ -130,3 +131,19 @@ def test_numbers_over_all_rows(spark):
     df = spark.range(500).withColumn("v", F.xxhash64("id")).repartition(7)
     rows = K.numbered(df, "v").collect()
     assert [r.place for r in sorted(rows, key=lambda r: r.v)] == list(range(1, 501))
+
+
+@pytest.mark.parametrize("path,want", [
+    ("/opt/a.sh:", "/opt/a.sh"), (" /opt//a/./b/ ", "/opt/a/b"), ("/opt", "/opt"), ("/optional/a", None), ("/opt/../etc", None), ("opt/a", None), ("/etc/passwd", None), ("/usr/lib/systemd/x.service", "/usr/lib/systemd/x.service"), ("", None), (None, None), ("/run/a..b", "/run/a..b"),
+])
+def test_paths_that_may_be_read(spark, path, want):
+    assert of(spark, A.collected_path(F.col("p")), p=path) == want
+
+
+def test_collector_targets(spark):
+    rows = [
+        ("r1", "installed_artifact", "no such file: /opt/gone.sh\nother /opt/there.sh of a.service", '{"labels":{"systemd_unit":"b.timer"}}'), ("r1", "installed_artifact", "only /opt/more.sh", "[1]"), ("r2", "installed_artifact", "only /srv/x", None),
+        ("r3", "process_state", "missing /opt/m and\n /opt/n", '{"systemd_unit":"bad unit"}'), ("r4", "process_state", None, '{"systemd_unit":7}'),
+    ]
+    got = {tuple(r) for r in A.collector_targets(spark.createDataFrame(rows, "request_id string, request_type string, text string, labels string")).collect()}
+    assert got == {("r1", "unit", "a.service"), ("r1", "unit", "b.timer"), ("r1", "path", "/opt/gone.sh"), ("r2", "path", "/srv/x"), ("r3", "path", "/opt/m"), ("r3", "path", "/opt/n")}
