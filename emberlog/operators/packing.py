@@ -35,6 +35,24 @@ def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
     return out.withColumn("place", F.col("place") + 1).drop("__all")
 
 
+def last_before(left: DataFrame, right: DataFrame, by: str, left_id: str, right_id: str, ts: str, seconds: int) -> DataFrame:
+    """by, right_id, n, left_id, gap_s of the right rows that have left rows of their group up to seconds before them: how
+    many, and the last one (of equal times the largest id). Both: by, id, ts; times count in whole seconds.
+
+    An as-of join without pairs: both sides are sorted together, and left rows are counted up to each right row's time and up
+    to seconds before it; the count names the last one's place."""
+    at = F.unix_timestamp(ts)
+    own = written(running(left.select(by, F.col(left_id).alias("__id"), at.alias("__v")), [by], ["__v", "__id"]), "asof-left")
+    ends = right.select(by, F.col(right_id).alias("__id"), at.alias("__v"))
+    marks = own.select(by, "__id", "__v", F.lit(0).alias("__side"), F.lit(1).alias("__one"))
+    probes = [ends.select(by, "__id", (F.col("__v") - back).alias("__v"), F.lit(side).alias("__side"), F.lit(0).alias("__one")) for side, back in ((1, 0), (2, seconds + 1))]
+    met = running(marks.unionByName(probes[0]).unionByName(probes[1]), [by], ["__v", "__side", "__id"], ["__one"]).where("__side > 0")
+    both = met.groupBy(by, "__id").agg(F.max(F.when(F.col("__side") == 1, F.struct("before___one", "__v"))).alias("now"), F.max(F.when(F.col("__side") == 2, F.col("before___one"))).alias("old"))
+    hit = both.select(by, F.col("__id").alias(right_id), (F.col("now.before___one") - F.col("old")).alias("n"), (F.col("now.before___one") - 1).alias("place"), F.col("now.__v").alias("__at")).where("n > 0")
+    out = hit.join(own.select(by, "place", F.col("__id").alias(left_id), "__v"), [by, "place"])
+    return out.select(by, right_id, "n", left_id, (F.col("__at") - F.col("__v")).alias("gap_s"))
+
+
 def pack_by_budget(items: DataFrame, bucket: str, order: Sequence[str], tokens: str, budget: int, max_items: str | None = None) -> DataFrame:
     """items with chunk: the number of its chunk within its bucket, from 1. A chunk takes items in order while their tokens
     fit the budget (and, where max_items names a column of the bucket's largest number of items, it has so many at most); a

@@ -147,3 +147,17 @@ def test_collector_targets(spark):
     ]
     got = {tuple(r) for r in A.collector_targets(spark.createDataFrame(rows, "request_id string, request_type string, text string, labels string")).collect()}
     assert got == {("r1", "unit", "a.service"), ("r1", "unit", "b.timer"), ("r1", "path", "/opt/gone.sh"), ("r2", "path", "/srv/x"), ("r3", "path", "/opt/m"), ("r3", "path", "/opt/n")}
+
+
+def test_last_before_is_the_pairs_best(spark):
+    random.seed(21)
+    left = [(random.choice("ab"), k, random.randrange(4_000)) for k in range(60)]
+    right = [(random.choice("abc"), k, random.randrange(4_000)) for k in range(80)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"g string, {name} int, t long").select("g", name, F.timestamp_seconds("t").alias("ts"))
+    got = {(r.g, r.r): (r.n, r.l, r.gap_s) for r in K.last_before(frame(left, "l"), frame(right, "r"), "g", "l", "r", "ts", 300).collect()}
+    want = {}
+    for g, r, t in right:
+        near = [(u, k) for h, k, u in left if h == g and 0 <= t - u <= 300]
+        if near:
+            want[g, r] = (len(near), max(near)[1], t - max(near)[0])
+    assert got == want and want
