@@ -116,6 +116,41 @@ def overridden(events: DataFrame, rules: DataFrame) -> DataFrame:
     }).drop("__x", "__m", "__rules")
 
 
+#: Fields that a profile's rules may name, and trusts that count (fixed values).
+RULE_FIELDS = ("event_name", "event_family", "component", "subsystem", "source", "protocol", "error_code", "exception_class")
+RULE_TRUSTS = ("human_approved", "packaged_allowlist")
+
+
+def profile_matched(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """Classified events with profile_rule, and the name and family that it gives: of the first enabled rule of a trusted
+    profile of which all conditions hold.
+
+    rules: place, rule_id, enabled, trust, equals (map of a field of RULE_FIELDS to the values that it may have, made uniform
+    as names), contains_all and contains_any (terms in template, message, name, component and source; null: no such
+    condition, empty: never met), event_name, event_family (null: as it was). A rule without conditions is never met.
+    Fields that events lack are empty, and equal nothing. Rules are few and go along as one array."""
+    live = rules.where(F.col("enabled") & F.col("trust").isin(*RULE_TRUSTS))
+    live = live.select("place", "rule_id", F.transform_values("equals", lambda _, v: F.transform(v, semantic_name)).alias("equals"), *[F.transform(c, lambda x: F.lower(x)).alias(c) for c in ("contains_all", "contains_any")], F.col("event_name").alias("r_name"), F.col("event_family").alias("r_family"))
+    order = live.select(F.struct("place", "rule_id").alias("at"), F.struct("rule_id", F.map_entries("equals").alias("equals"), "contains_all", "contains_any", "r_name", "r_family").alias("rule"))
+    listed = order.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "rule")), lambda a, b: F.when(a["at"] < b["at"], -1).otherwise(1)), lambda x: x["rule"]).alias("__rules"))
+    have = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in events.columns else F.lit("")
+    own = F.create_map(*[x for c in RULE_FIELDS for x in (F.lit(c), semantic_name(have(c)))])
+    text = F.lower(F.concat_ws(" ", *[have(c) for c in ("template", "message", "event_name", "component", "source")]))
+    e = events.withColumns({"__own": own, "__text": text}).crossJoin(F.broadcast(listed))  # one row
+
+    def holds(r: Column) -> Column:
+        field = F.forall(r["equals"], lambda x: (F.col("__own")[x["key"]] != "") & F.array_contains(x["value"], F.col("__own")[x["key"]]))
+        every = r["contains_all"].isNull() | ((F.size(r["contains_all"]) > 0) & F.forall(r["contains_all"], lambda t: F.contains(F.col("__text"), t)))
+        some = r["contains_any"].isNull() | F.exists(r["contains_any"], lambda t: F.contains(F.col("__text"), t))
+        return ((F.size(r["equals"]) > 0) | r["contains_all"].isNotNull() | r["contains_any"].isNotNull()) & field & every & some
+
+    e = e.withColumn("__x", F.get(F.filter("__rules", holds), 0))
+    return e.withColumns({
+        "profile_rule": F.col("__x.rule_id"), "classification_source": F.when(F.col("__x").isNotNull(), "profile_rule").otherwise(F.col("classification_source")),
+        "event_family": F.coalesce("__x.r_family", "event_family"), "event_name": F.coalesce("__x.r_name", "event_name"),
+    }).drop("__own", "__text", "__rules", "__x")
+
+
 #: What a generic message is completed with, in this order (fixed values).
 SEMANTIC_KEYS = ("schema", "original_service", "action", "event_class", "state", "status", "result", "outcome", "sample_reason", "reason", "failure_reason", "error_type", "exception_type", "error", "phase", "health", "healthy", "ok", "connected", "changed", "triggered")
 

@@ -45,6 +45,19 @@ def profile_semantics(spark: SparkSession, d: str) -> DataFrame:
     return S.overridden(events(spark, d), rules).select("event_id", "event_name", "event_family", "classification_source")
 
 
+RULES = "place int, rule_id string, enabled boolean, trust string, equals map<string,array<string>>, contains_all array<string>, contains_any array<string>, event_name string, event_family string"
+
+
+def profile_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Events by the rule of a profile that renames them: by values of fields, all of some terms, any of others."""
+    rules = spark.createDataFrame([
+        (1, "off", False, "human_approved", {}, ["rtmps"], None, "never", None), (2, "untrusted", True, "draft", {}, ["rtmps"], None, "never", None), (3, "empty", True, "human_approved", {}, None, None, "never", None), (4, "no-terms", True, "human_approved", {}, [], None, "never", None),
+        (5, "slow-send", True, "human_approved", {"component": ["Unknown", "comp 1"]}, ["RTMPS", "send-path"], None, "slow_send", "streaming"), (6, "web", True, "packaged_allowlist", {"protocol": ["HTTP"], "event_family": ["dependency", "x"]}, None, None, "web_call", None),
+        (7, "live", True, "packaged_allowlist", {}, None, ["watchdog", "ffmpeg"], "live_check", "streaming"), (8, "coded", True, "human_approved", {"error_code": ["E42", "404"]}, None, None, None, "coded"), (9, "lost", True, "human_approved", {"subsystem": [""]}, None, None, "never", None),
+    ], RULES)
+    return S.profile_matched(events(spark, d), rules).select("event_id", "profile_rule", "event_name", "event_family", "classification_source")
+
+
 def flat_attributes(spark: SparkSession, d: str) -> DataFrame:
     return D.flattened(events(spark, d), "event_id", "attributes").groupBy("path", "name", "value").agg(F.count("*").alias("n"))
 
@@ -91,7 +104,7 @@ def event_signals(spark: SparkSession, d: str) -> DataFrame:
     return S.signals(_items(spark, d)).select("event_name", "target", "n", "number", "items", "component", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (event_semantics, profile_semantics, flat_attributes, enriched_messages, semantic_identities, window_events, evidence_patterns, event_signals)}
+QUERIES = {f.__name__: f for f in (event_semantics, profile_semantics, profile_rules, flat_attributes, enriched_messages, semantic_identities, window_events, evidence_patterns, event_signals)}
 
 
 # ---- twins
@@ -135,6 +148,8 @@ _KEY = ", ".join(S.ITEM_KEY)
 ORACLES = {
     "event_semantics": f"{_EVENTS} select {', '.join(COLUMNS)}, template_fingerprint from ev",
     "profile_semantics": f"{_EVENTS} select event_id, case when m like '%rtmps%' then 'stream_stalled' when protocol = 'http' and event_family = 'dependency' then 'upstream_http' when m like '%youtube%' then 'live_check' when protocol = 'sql' then 'sql_trouble' else event_name end event_name, case when m like '%rtmps%' then 'streaming' when protocol = 'http' and event_family = 'dependency' then 'dependency' when m like '%youtube%' then 'streaming' else event_family end event_family, case when m like '%rtmps%' or (protocol = 'http' and event_family = 'dependency') or m like '%youtube%' or protocol = 'sql' then 'profile_rule' else classification_source end classification_source from ev",
+    "profile_rules": f"""{_EVENTS}, pr as (select *, lower(concat_ws(' ', template, message, event_name, component, environment)) z from ev), ps as (select *, case when component in ('unknown', 'comp-1') and contains(z, 'rtmps') and contains(z, 'send-path') then 'slow-send' when protocol = 'http' and event_family = 'dependency' then 'web' when contains(z, 'watchdog') or contains(z, 'ffmpeg') then 'live' when error_code in ('E42', '404') then 'coded' end as r from pr)
+select event_id, r as profile_rule, case r when 'slow-send' then 'slow_send' when 'web' then 'web_call' when 'live' then 'live_check' else event_name end event_name, case when r in ('slow-send', 'live') then 'streaming' when r = 'coded' then 'coded' else event_family end event_family, case when r is not null then 'profile_rule' else classification_source end classification_source from ps""",
     "flat_attributes": f"{_EVENTS}, x as (select t.path || '.' || t.key as p, t.key as name, json_extract_string(t.atom, '$') as value from ev, json_tree(ev.attributes) t where t.type not in ('OBJECT', 'ARRAY')) select substr(replace(replace(p, '$.', ''), '\"', ''), 1) as path, name, value, count(*) n from x group by all",
     "enriched_messages": f"{_EVENTS}, r as (select *, case event_id % 3 when 0 then 'event' when 1 then 'log status=kept' else message end raw from ev) select event_id, case when event_id % 3 = 2 then raw else trim(concat_ws(' ', raw, 'service=' || service, case when {_a('event_class')} not in ('', 'none') then 'event_class=' || {_a('event_class')} end, case when event_id % 3 = 0 and {_a('status')} <> '' then 'status=' || {_a('status')} end, 'outcome=' || nullif({_a('outcome')}, ''), 'reason=' || nullif({_a('reason')}, ''), 'error_type=' || nullif({_a('error_type')}, ''), 'ok=' || nullif({_a('ok')}, ''))) end message from r",
     "semantic_identities": f"{_EVENTS}, x as (select *, case when event_id % 4 = 0 then 'event' else event_name end nm, case when event_id % 3 = 0 then '' else event_family end fm from ev), y as (select *, lower(nm || ' ' || protocol || ' ' || template) g from x) select case when fm <> '' then fm else {_FAM.format(n='nm', t='g')} end as family, nm as name, template_fingerprint, count(*) n from y group by all",
