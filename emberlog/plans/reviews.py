@@ -217,17 +217,19 @@ def reviewer_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.join(s, "provider").select("provider", "n", "tokens", "n_valid", F.array_join(F.transform("x", lambda v: F.concat(v["finding_status"], F.lit("="), v["m"].cast("string"))), ",").alias("statuses"))
 
 
-#: Without one of these a line has nothing that must not be there (fixed values).
-SCAN = ("authorization", "bearer", "basic", "cookie", "password", "passwd", "secret", "private_key", "api_key", "access_token", "refresh_token", "session_id", "sk-", "aiza", "ya29.", "begin private key", "http://", "https://", ".internal", "/home/", "/users/", "\\users\\", "@", ".")
-NAMES = {"email": "raw_email", "ip_address": "raw_ip", "user_home": "raw_home_path", "internal_url": "raw_internal_url", "secret_like": "secret_like"}
+#: Kinds of findings: what they are called, and terms of which a line must have one (fixed values).
+KINDS = {
+    "secret_like": ("secret_like", ("authorization", "bearer", "basic", "cookie", "password", "passwd", "secret", "private_key", "api_key", "access_token", "refresh_token", "session_id", "sk-", "aiza", "ya29.", "begin private key")),
+    "email": ("raw_email", ("@",)), "ip_address": ("raw_ip", (".",)), "user_home": ("raw_home_path", ("/home/", "/users/", "\\users\\")), "internal_url": ("raw_internal_url", (".internal", "//internal")),
+}
 
 
 def line_findings(spark: SparkSession, d: str) -> DataFrame:
     """Safety scan: the kinds of sensitive text in each line of the documents."""
     lines = _table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", r"\n")).alias("line", "t"))
-    lines = lines.where(T.any_of(F.lower("t"), SCAN))
-    patterns = {kind: "|".join(f"(?:{p})" for k, p in D.VERIFY if k == kind) for kind in NAMES}
-    kinds = F.array_compact(F.array(*[F.when(F.col("t").rlike(p), F.lit(NAMES[kind])) for kind, p in patterns.items()]))
+    lines = lines.withColumn("low", F.lower("t"))
+    patterns = {kind: "|".join(f"(?:{p})" for k, p in D.VERIFY if k == kind) for kind in KINDS}
+    kinds = F.array_compact(F.array(*[F.when(T.any_of(F.col("low"), terms) & F.col("t").rlike(patterns[kind]), F.lit(name)) for kind, (name, terms) in KINDS.items()]))
     return lines.select("doc_id", (F.col("line") + 1).alias("line"), F.explode(kinds).alias("kind"))
 
 
