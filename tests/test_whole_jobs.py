@@ -1,6 +1,7 @@
 """Queries give their whole rows again, and claims of the same id keep their own citations."""
 
 from emberlog.operators import claims as C
+from emberlog.plans import reviews
 
 
 def test_claims_of_one_id_are_judged_apart(spark):
@@ -8,3 +9,9 @@ def test_claims_of_one_id_are_judged_apart(spark):
     claims = spark.createDataFrame(rows, "claim_id string, refs array<string>, counter_refs array<string>")
     got = C.with_valid_refs(claims, spark.createDataFrame([("a",)], "item_id string")).collect()
     assert sorted((r.claim_id, r.refs, r.lost, r.valid) for r in got) == [("c1", ["a"], [], True), ("c1", ["x"], ["x", "y"], False), ("c2", [], [], True)]
+
+
+def test_propositions_name_all_their_claims(spark, data):
+    rows = reviews.proposition_texts(spark, data).collect()
+    assert sorted(c for r in rows for c in r.linked.split(",")) == sorted(r.claim_id for r in reviews.claims(spark, data).collect())
+    assert all(len(r.linked.split(",")) == r.n_claims for r in rows)
