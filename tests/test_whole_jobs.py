@@ -1,7 +1,9 @@
 """Queries give their whole rows again, and claims of the same id keep their own citations."""
 
+from pyspark.sql import functions as F
+
 from emberlog.operators import claims as C
-from emberlog.plans import reviews
+from emberlog.plans import facts, reviews
 
 
 def test_claims_of_one_id_are_judged_apart(spark):
@@ -15,3 +17,9 @@ def test_propositions_name_all_their_claims(spark, data):
     rows = reviews.proposition_texts(spark, data).collect()
     assert sorted(c for r in rows for c in r.linked.split(",")) == sorted(r.claim_id for r in reviews.claims(spark, data).collect())
     assert all(len(r.linked.split(",")) == r.n_claims for r in rows)
+
+
+def test_deployments_are_those_of_each_service(spark, data):
+    got = reviews.deployments_before_signals(spark, data)
+    seen = facts.logs(spark, data).where("deploy_id is not null").select("deploy_id", F.col("service").alias("deployed_on")).distinct()
+    assert got.join(seen, ["deploy_id", "deployed_on"], "left_anti").count() == 0 and got.select("deployed_on").distinct().count() > 1
