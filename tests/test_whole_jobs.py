@@ -23,3 +23,10 @@ def test_deployments_are_those_of_each_service(spark, data):
     got = reviews.deployments_before_signals(spark, data)
     seen = facts.logs(spark, data).where("deploy_id is not null").select("deploy_id", F.col("service").alias("deployed_on")).distinct()
     assert got.join(seen, ["deploy_id", "deployed_on"], "left_anti").count() == 0 and got.select("deployed_on").distinct().count() > 1
+
+
+def test_every_pair_of_a_deployment_and_an_error(spark, data):
+    rows = facts.logs(spark, data).select("service", "event_id", F.unix_timestamp("ts").alias("t"), "deploy_id", "severity_rank").collect()
+    want = {(a.service, a.event_id, b.event_id, b.t - a.t) for a in rows if a.deploy_id for b in rows if b.severity_rank >= 40 and a.service == b.service and 0 <= b.t - a.t <= 1800}
+    got = reviews.deployments_before_errors(spark, data).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 0
