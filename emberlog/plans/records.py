@@ -11,7 +11,7 @@ from emberlog.operators import relational as R
 from . import arbitration as A
 from . import reviews as V
 from . import semantics as E
-from .facts import LOGS, logs, stored
+from .facts import LOGS, dealt, logs, stored
 
 #: The test data's raw messages with private data, as an expression that both dialects read.
 PRIVATE = """select event_id, concat(case event_id % 12 when 0 then concat('mail Joe.', user_id % 5, '@Example.com and joe.', user_id % 5, '@example.com') when 1 then concat('from 10.0.0.', user_id % 200, ' to http://10.1.2.3:80/x/', user_id % 3) when 2 then concat('user_id=ab', user_id % 9, 'c and order-id: zz', user_id % 4)
@@ -20,7 +20,7 @@ PRIVATE = """select event_id, concat(case event_id % 12 when 0 then concat('mail
 
 
 def _private(spark, d):
-    spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView("__emberlog_private")
+    dealt(spark.read.parquet(f"{d}/events.parquet"), "event_id").createOrReplaceTempView("__emberlog_private")
     return spark.sql(PRIVATE.replace("EVENTS", "__emberlog_private"))
 
 

@@ -30,3 +30,10 @@ def test_every_pair_of_a_deployment_and_an_error(spark, data):
     want = {(a.service, a.event_id, b.event_id, b.t - a.t) for a in rows if a.deploy_id for b in rows if b.severity_rank >= 40 and a.service == b.service and 0 <= b.t - a.t <= 1800}
     got = reviews.deployments_before_errors(spark, data).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_one_row_group_is_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(facts, "TASK_ROWS", 50)
+    rows = facts.dealt(spark.read.parquet(f"{tmp_path}/t"), "id")
+    assert rows.rdd.getNumPartitions() == 20 and rows.count() == 1000
