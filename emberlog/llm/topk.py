@@ -8,14 +8,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
-
-#: Candidates and queries that meet in one cell at most, about.
-CELL_ROWS, CELL_QUERIES = 8_192, 2_048
+from .common import release, saved
+
+#: Rows of a stripe, queries of a round and queries worked on at a time, at most, about. A stripe has fewer rows where there
+#: would be too few stripes for the cores.
+CELL_ROWS, CELL_QUERIES, BLOCK = 32_768, 65_536, 256
+LEAST_ROWS = 1_024
+#: Of so many stripes one takes part in the first phase.
+FIRST = 16
 #: Components beyond this are taken for it: with any other component of 2 or more the score would leave the longs.
 LIMIT = 1 << 62
 LONG = (1 << 63) - 1
-FOUND = "query long, vec long, tie long, list int, r long, score long, total long"
+FOUND = "query long, vec long, tie long, score long"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -28,25 +32,12 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return rows.select("vec_id", F.transform("v", lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(most)), F.lit(-most))).cast("long")).alias("v"))
 
 
-def _cells(queries: DataFrame, rows: DataFrame, lists: int, size: int, n_queries: int, n_rows: int, open_: DataFrame | None = None) -> DataFrame:
-    """Both sides' parts, each sent to the cells of its list in which it meets the other side's stripes; open_: only the
-    cells (query, list, r)."""
-    qs, rs = max(1, math.ceil(n_queries / CELL_QUERIES)), max(1, math.ceil(n_rows / CELL_ROWS))
-    step = max(1, math.ceil(size / lists))
-    parts = F.posexplode(F.expr(f"transform(sequence(0, {lists - 1}), i -> slice(v, i * {step} + 1, {step}))"))
-    stripe = lambda n: F.pmod(F.xxhash64("vec"), F.lit(n))
-    q = queries.select("vec", "total", parts.alias("list", "part")).withColumn("q", stripe(qs))
-    r = rows.select("vec", "tie", parts.alias("list", "part")).withColumn("r", stripe(rs))
-    if open_ is None:
-        q = q.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rs - 1))))
-        r = r.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))))
-    else:
-        cells = open_.select(F.col("query").alias("vec"), "list", "r").withColumn("q", stripe(qs))
-        q = q.join(cells.select("vec", "list", "r"), ["vec", "list"])
-        r = r.join(cells.select("list", "r", "q").distinct(), ["list", "r"])
-    q = q.selectExpr("0 side", "list", "cast(q as long) q", "cast(r as long) r", "vec", "0L tie", "part", "total")
-    r = r.selectExpr("1 side", "list", "cast(q as long) q", "cast(r as long) r", "vec", "tie", "part", "0L total")
-    return q.unionByName(r)
+def _cells(queries: DataFrame, rows: DataFrame, stripes: int, step: int, kind: str) -> DataFrame:
+    """Rows dealt out to stripes, every step-th of these, each with all queries: a row is sent once."""
+    r = rows.withColumn("r", F.pmod(F.xxhash64("vec"), F.lit(stripes))).where(F.col("r") % step == 0)
+    q = queries.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"), F.lit(step).cast("long"))))
+    v = f"cast(v as array<{kind}>) v"
+    return q.selectExpr("0 side", "r", "vec", "0L tie", v, "total").unionByName(r.selectExpr("1 side", "r", "vec", "tie", v, "0L total"))
 
 
 def _top(x: np.ndarray) -> int:
@@ -63,18 +54,45 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(a.astype(object) @ b.T.astype(object), -LONG, LONG).astype(np.int64)
 
 
-def _scores(k: int | None, lists: int):
-    """Of each cell, the k best entries of each query's list (k given), or all that reach the query's share of its total."""
-
-    def matrix(table):
-        cells = table.column("part").combine_chunks()
-        cells = cells.chunk(0) if hasattr(cells, "chunk") else cells
-        at = np.asarray(cells.offsets)
-        width = int(np.diff(at).max(initial=0))
-        out = np.zeros((len(table), width), np.int64)
-        row = np.repeat(np.arange(len(table)), np.diff(at))
-        out[row, np.arange(at[0], at[-1]) - at[row]] = cells.flatten().to_numpy(zero_copy_only=False)
-        return out
+def _matrix(table) -> np.ndarray:
+    cells = table.column("v").combine_chunks()
+    cells = cells.chunk(0) if hasattr(cells, "chunk") else cells
+    at = np.asarray(cells.offsets)
+    out = np.zeros((len(table), int(np.diff(at).max(initial=0))), np.int64)
+    row = np.repeat(np.arange(len(table)), np.diff(at))
+    out[row, np.arange(at[0], at[-1]) - at[row]] = cells.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return x if x.dtype == np.int64 else np.rint(x).astype(np.int64)
+
+
+def _search(k: int, lists: int, size: int, first: bool):
+    """Of each stripe and query: the k best totals of the rows that lead the lists (first); else the k best rows, with their
+    totals, of those that reach the query's share of its cutoff in a list, and the cutoff as a whole."""
+    step = max(1, -(-size // lists))
+
+    def led(s):
+        """Totals of the rows with the k best entries of each list; a row counts once."""
+        m, at = min(k, s[0].shape[1]), np.arange(len(s[0]))[:, None]
+        column = np.sort(np.concatenate([np.argpartition(x, x.shape[1] - m, axis=1)[:, -m:] for x in s], axis=1), axis=1)
+        total = sum(_whole(x[at, column]) for x in s)
+        total[:, 1:][column[:, 1:] == column[:, :-1]] = -LONG - 1
+        return np.repeat(at.ravel(), m), np.sort(total, axis=1)[:, -m:].ravel()
+
+    def reached(s, cutoff):
+        each = (-(-cutoff // lists))[:, None].astype(s[0].dtype)
+        hit = s[0] >= each
+        for x in s[1:]:
+            hit |= x >= each
+        row, column = np.nonzero(hit)
+        total = sum(_whole(x[row, column]) for x in s)
+        keep = np.flatnonzero(total >= cutoff[row])
+        keep = keep[np.lexsort((column[keep], -total[keep], row[keep]))]
+        row, column, total = row[keep], column[keep], total[keep]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[keep], column[keep], total[keep]
 
     def run(key, table):
         import pyarrow as pa
@@ -83,24 +101,29 @@ def _scores(k: int | None, lists: int):
         q, r = (table.filter(pc.equal(table.column("side"), i)) for i in (0, 1))
         out = []
         if len(q) and len(r):
-            a, b = matrix(q), matrix(r)
-            width = max(a.shape[1], b.shape[1])
-            a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
-            tie = r.column("tie").to_numpy()
-            order = np.argsort(tie, kind="stable")
-            b, tie, vec = b[order], tie[order], r.column("vec").to_numpy()[order]
-            total, own = q.column("total").to_numpy(), q.column("vec").to_numpy()
-            for i in range(0, len(q), 256):
-                s = products(a[i : i + 256], b)
-                if k is None:
-                    x, y = np.nonzero(s >= -(-total[i : i + 256, None] // lists))
-                else:  # the smaller row id wins a tie: columns are in its order
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
-                    x, y = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
-                out.append((own[i + x], vec[y], tie[y], s[x, y], total[i + x]))
-        own, vec, tie, score, total = (np.concatenate(c) for c in zip(*out)) if out else [np.zeros(0, np.int64)] * 5
-        which, cell = np.full(len(own), key[0].as_py(), np.int32), np.full(len(own), key[2].as_py(), np.int64)
-        return pa.table([pa.array(c) for c in (own, vec, tie, which, cell, score, total)], names=[f.split()[0] for f in FOUND.split(", ")])
+            a, b = _matrix(q), _matrix(r)
+            a, b = (np.pad(x, ((0, 0), (0, lists * step - x.shape[1]))) for x in (a, b))
+            tie, vec = r.column("tie").to_numpy(), r.column("vec").to_numpy()
+            order = np.lexsort((vec, tie))  # the smaller row id wins a tie
+            b, tie, vec = b[order], tie[order], vec[order]
+            cutoff, own = q.column("total").to_numpy(), q.column("vec").to_numpy()
+            bound = a.shape[1] * _top(a) * _top(b)
+            exact = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else None  # sums of whole numbers, none rounded
+            if exact:
+                a, b = a.astype(exact), b.astype(exact)
+            block = BLOCK if exact else BLOCK // 16
+            for i in range(0, len(q), block):
+                parts = ((a[i : i + block, j : j + step], b[:, j : j + step]) for j in range(0, lists * step, step))
+                s = [x @ y.T if exact else products(x, y) for x, y in parts]
+                if first:
+                    row, total = led(s)
+                    out.append((own[i + row], total))
+                else:
+                    row, column, total = reached(s, cutoff[i : i + block])
+                    out.append((own[i + row], vec[column], tie[column], total))
+        names = ["query", "score"] if first else [f.split()[0] for f in FOUND.split(", ")]
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64) for _ in names]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return run
 
@@ -110,85 +133,61 @@ def _best(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _dots(batches):
-    import pyarrow as pa
-
-    for b in batches:
-        score = np.zeros(b.num_rows, np.int64)
-        q, v = b.column(3), b.column(4)
-        for k in range(b.num_rows):
-            x, y = (c[k].values.to_numpy(zero_copy_only=False) for c in (q, v))
-            n = min(len(x), len(y))
-            score[k] = products(x[None, :n], y[None, :n])[0, 0]
-        yield pa.record_batch([*b.columns[:3], pa.array(score)], names=["query", "vec", "tie", "score"])
-
-
-def _exact(pairs: DataFrame, queries: DataFrame, rows: DataFrame, large: bool) -> DataFrame:
-    """Whole scores of pairs. In the JVM, but where components are so large that sums could leave the longs."""
-    pairs = pairs.join(queries.select(F.col("vec").alias("query"), F.col("v").alias("qv")), "query").join(rows.select("vec", "v"), "vec")
-    if large:
-        return pairs.select("query", "vec", "tie", "qv", "v").mapInArrow(_dots, "query long, vec long, tie long, score long")
-    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: F.coalesce(x, F.lit(0)) * F.coalesce(y, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
-    return pairs.select("query", "vec", "tie", dot.alias("score"))
-
-
 def top_k(vectors: DataFrame, query: str = "vec_id % 50 = 0", k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, lists: int = 2) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k rows of highest integer inner product, its own row left
     out; all of them if there are fewer. Ties go to the smaller vec_id.
 
     query is a condition on vec_id. The components of all vectors are cut into `lists` ranges, and a range's inner
-    product is a row's entry in that list. Phase one gathers the best entries of each query's lists, cell by cell, and
-    resolves the best ones' rows: the K-th best total is a safe cutoff. Phase two collects all entries that reach
-    cutoff / lists: a row in none of them is below the cutoff. Cells of which phase one's last entry is below it have
-    given all they have; only the others get the query and its cutoff again. Phase three drops rows that cannot reach
-    the cutoff with the entries they lack and resolves the others exactly.
-
-    Lists are scored in cells of bounded numbers of queries and rows. Equal vectors are searched for once, and as
-    candidates only the k + 1 smallest ids of them can matter; that is exact. Rows that do not take part: see
-    quantised. Repeated ids are rows of their own, each a query with its own result; vectors of different lengths meet
-    as if padded with zeros. Sums are exact; a score beyond the longs is the nearest long, and components beyond 2^62
-    count as that. Other columns are ignored. An empty table gives no rows.
+    product is a row's entry in that list. Phase one resolves the rows with the best entries of each of a query's lists, in
+    one of FIRST stripes of the rows: the K-th best total is a cutoff that the result reaches, whatever the other stripes
+    hold. Phase two takes all rows of all stripes with an entry that reaches cutoff / lists: a row without one is below the
+    cutoff. Phase three resolves these and keeps those that reach the cutoff, of a stripe at most K for each query. All
+    phases work where a stripe's vectors are, so that entries are not sent: what leaves a stripe are results.
+
+    Queries are asked in rounds of bounded numbers, and in a round each row is sent to one stripe, with each of the round's
+    queries: what a round puts on disk grows with the rows, not with their square, and goes before the next one. The work
+    of all rounds is queries times rows. Equal vectors are searched for once, and as candidates only the k + 1 smallest ids
+    of them can matter; that is exact. Rows that do not take part: see quantised. Repeated ids are rows of their own, each a
+    query with its own result; vectors of different lengths meet as if padded with zeros. Sums are exact; a score beyond the
+    longs is the nearest long, and components beyond 2^62 count as that. Other columns are ignored. An empty table gives no
+    rows.
     """
     top = k + 1  # with the query's own row
     rows = quantised(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id())
-    rows = saved(rows.withColumn("vec_key", F.sha2(F.array_join("v", ","), 256)), "topk-rows")
+    stored = rows = saved(rows.withColumn("vec_key", F.unhex(F.sha2(F.array_join("v", ","), 256))), "topk-rows")
     first = Window.partitionBy("vec_key").orderBy("vec_id", "row")
-    kept = saved(rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= top).drop("n"), "topk-candidates")
+    candidates = kept = saved(rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= top).drop("n"), "topk-candidates")
     # a class of equal vectors goes by the row of its smallest id; ties between classes too
     head = Window.partitionBy("vec_key")
     kept = kept.withColumn("tie", F.min("vec_id").over(head)).withColumn("vec", F.min_by("row", F.struct("vec_id", "row")).over(head))
-    members = kept.select("vec", "vec_id", "row")
+    members = saved(kept.select("vec", "vec_id", "row"), "topk-members")
     classes = saved(kept.where("row = vec").select("vec", "vec_key", "v", "tie"), "topk-classes")
-    asking = rows.where(query).select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), "vec_key")
-    wanted = asking.select("vec_key").distinct()
-    queries = saved(classes.join(wanted, "vec_key", "left_semi").select("vec", "vec_key", "v"), "topk-queries")
+    asking = saved(rows.where(query).select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), "vec_key"), "topk-asking")
+    release(stored, candidates)
+    queries = saved(classes.join(asking.select("vec_key").distinct(), "vec_key", "left_semi").select("vec", "vec_key", "v"), "topk-queries")
     peak = F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v"))))
     size, n_rows, most = classes.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*"), F.coalesce(peak, F.lit(0))).first()
-    n_queries = queries.count()
-    large = size * most * most > LONG // 4
-    if large:  # sums of parts could leave the longs: one list, whose entries are the totals
+    kind = "short" if most < 1 << 15 else "int" if most < 1 << 31 else "long"
+    if size * most * most > LONG // 4:  # sums of parts could leave the longs: one list, whose entries are the totals
         lists = 1
-
-    def phase(queries: DataFrame, best: int | None, open_: DataFrame | None = None) -> DataFrame:
-        cells = _cells(queries, classes, lists, size, n_queries, n_rows, open_)
-        return cells.groupBy("list", "q", "r").applyInArrow(_scores(best, lists), FOUND)
-
-    gathered = saved(phase(queries.withColumn("total", F.lit(0).cast("long")), top), "topk-gathered")
-    resolved = _exact(_best(gathered, top, ["query", "list"]).select("query", "vec", "tie").distinct(), queries, classes, large)
-    # fewer classes than top: the lists held them all, and no cutoff is needed beyond the least of them
-    cutoff = saved(_best(resolved, top, ["query"]).groupBy("query").agg(F.min("score").alias("total")), "topk-cutoffs")
-    each = F.expr(f"if(total > 0, total + {lists - 1}, total) div {lists}")  # rounded up
-    known = gathered.drop("total").join(cutoff, "query").where(F.col("score") >= each)
-    open_ = saved(known.groupBy("query", "list", "r").count().where(F.col("count") >= top), "topk-open")
-    asked = queries.join(cutoff, queries.vec == cutoff.query).select("vec", "v", "total")
-    more = phase(asked, None, open_).join(open_, ["query", "list", "r"], "left_semi")
-    entries = known.join(open_, ["query", "list", "r"], "left_anti").unionByName(more)
-    some = entries.groupBy("query", "vec", "tie").agg(F.sum("score").alias("partial"), F.count("*").alias("n"), F.max("total").alias("total"))
-    some = some.where(F.col("partial") + (lists - F.col("n")) * (each - 1) >= F.col("total"))
-    some = saved(some.select("query", "vec", "tie", "partial", "n"), "topk-entries")
-    whole = some.where(F.col("n") == lists).select("query", "vec", "tie", F.col("partial").alias("score"))
-    scored = whole.unionByName(_exact(some.where(F.col("n") < lists).select("query", "vec", "tie"), queries, classes, large))
-    near = _best(scored, top, ["query"]).select("query", "vec", "score")
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    stripes = max(1, math.ceil(n_rows / CELL_ROWS), min(2 * cores, math.ceil(n_rows / LEAST_ROWS)))
+    rounds = max(1, math.ceil(queries.count() / CELL_QUERIES))
+    near = None
+    for i in range(rounds):
+        asked = queries.where(F.pmod(F.xxhash64("vec"), F.lit(rounds)) == i).select("vec", "v")
+
+        def phase(asked: DataFrame, first: bool, step: int, schema: str) -> DataFrame:
+            return _cells(asked, classes, stripes, step, kind).groupBy("r").applyInArrow(_search(top, lists, size, first), schema)
+
+        led = phase(asked.withColumn("total", F.lit(0).cast("long")), True, FIRST, "query long, score long")
+        least = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+        cutoff = saved(led.withColumn("rank", least).where(F.col("rank") == top).select(F.col("query").alias("vec"), F.col("score").alias("total")), "topk-cutoffs")
+        # fewer classes than top in those stripes: no cutoff
+        asked = asked.join(cutoff, "vec", "left").withColumn("total", F.coalesce("total", F.lit(-LONG)))
+        found = saved(_best(phase(asked, False, 1, FOUND), top, ["query"]).select("query", "vec", "score"), "topk-found")
+        release(cutoff)
+        near = found if near is None else near.unionByName(found)
     # classes back to rows: at most top classes of at most top rows each
     hits = near.join(members, "vec").withColumn("tie", F.col("vec_id"))
     hits = _best(hits.select("query", "score", "vec_id", "tie", F.col("row").alias("vec")), top, ["query"])
