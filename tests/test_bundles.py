@@ -81,6 +81,29 @@ def test_relations(spark):
     assert len({r.target_id for r in got}) == 3
 
 
+def test_pairs_that_suggest_a_candidate_are_all_there(spark):
+    """Those of 60 items, some of several kinds: the candidates of all pairs, made one by one."""
+    kinds = [("http_5xx", ""), ("x", "pool exhausted"), ("x", "payment gateway"), ("http_5xx", "payment gateway, pool exhausted"), ("none", ""), (None, None)]
+    known = [(f"i{k:02}", *kinds[k % 6]) for k in range(60)]
+    of = {i[0]: {f"t{k * j % 7}" for j in (1, 3)} if k % 4 else {f"u{k}"} if k % 8 else set() for k, i in enumerate(known)}
+    span = {i[0]: (k * 7919 % 200_000, k * 7919 % 200_000 + k % 5 * 30_000) for k, i in enumerate(known)}
+    edges = []
+    for a in of:
+        for b in of:
+            shared, apart = len(of[a] & of[b]), max(span[a][0], span[b][0]) > min(span[a][1], span[b][1])
+            if a < b and shared:
+                edges.append(("shared_trace", a, b, shared, 0))
+            elif a < b and of[a] and of[b] and not apart:
+                edges.append(("overlapping_window_no_shared_trace", a, b, 0, 0))
+    items = spark.createDataFrame(known, "item_id string, event_type string, text string")
+    members = spark.createDataFrame([(i, x) for i in of for x in sorted(of[i])] * 2 + [("i00", None)], "item_id string, trace_id string")
+    spans = spark.createDataFrame([(i, *x) for i, x in span.items()], "item_id string, s long, e long").withColumns({c: F.timestamp_seconds(c) for c in "se"})
+    none = spark.createDataFrame([], "left_id string, right_id string, gap_s long")
+    got = B.relationship_candidates(B.relation_edges(*B.suggesting_pairs(members, spans, items), none), items).collect()
+    want = B.relationship_candidates(spark.createDataFrame(edges, "relationship_type string, left_id string, right_id string, shared long, gap_s long"), items).collect()
+    assert sorted(got) == sorted(want) and {r.subsystem for r in want} == {"database_connection_pool", "payment_gateway"} and len(want) > 60
+
+
 SIGNED = "claim_id string, identity array<string>, evidence_targets array<string>, metrics array<string>, metric_targets array<string>, evidence_text string, subsystem string, subsystem_target string, text string, refs array<string>"
 
 

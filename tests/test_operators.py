@@ -96,6 +96,13 @@ def test_range_join_edges(spark):
     assert sorted(r.gap_s for r in R.range_join(a, b, ["k"], "x", "y", 1800).collect()) == [0, 1799, 1800]
 
 
+def test_overlapping_spans_meet_once(spark):
+    spans = [(k, k * 13 % 50, k * 13 % 50 + k % 4 * 11) for k in range(40)]
+    rows = spark.createDataFrame(spans, "k int, s long, e long").withColumns({c: F.timestamp_seconds(c) for c in "se"})
+    got = R.overlapping(rows, rows.select(*[F.col(c).alias(f"r_{c}") for c in "kse"]), "s", "e", 10).collect()
+    assert sorted((r.k, r.r_k) for r in got) == [(a[0], b[0]) for a in spans for b in spans if max(a[1], b[1]) <= min(a[2], b[2])]
+
+
 def test_tables(spark, tmp_path):
     p = str(tmp_path / "t")
     tables.append(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, p string, v int"), p, ["p"])

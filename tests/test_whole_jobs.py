@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from emberlog.operators import claims as C
-from emberlog.plans import facts, reviews
+from emberlog.plans import bundles, facts, reviews
 
 
 def test_claims_of_one_id_are_judged_apart(spark):
@@ -37,3 +37,16 @@ def test_one_row_group_is_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(facts, "TASK_ROWS", 50)
     rows = facts.dealt(spark.read.parquet(f"{tmp_path}/t"), "id")
     assert rows.rdd.getNumPartitions() == 20 and rows.count() == 1000
+
+
+def test_relations_beyond_the_32_highest_items_suggest_candidates(spark, tmp_path):
+    """Pairs of warnings behind more than 32 items of emergencies: a pool's with server errors by a trace, a gateway's with others by time."""
+    at = lambda day, hour: f"2024-01-{day} {hour:02}:00:00"
+    rows = [(26 * (k + j) + kind, at(22 + k // 12, 5), 2 + k % 3, "error", 35.0) for j in (0, 1000) for k in range(60) for kind in (2, 5, 6, 7)]
+    rows += [(260_003, at(28, 9), 7, "purchase", 12.0), (260_026, at(28, 9), 7, "purchase", 12.0), (260_027, at(28, 1), 6, "purchase", 12.0), (260_053, at(28, 23), 6, "purchase", 12.0), (260_052, at(28, 20), 8, "purchase", 12.0)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double")
+    events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    got = bundles.relationship_candidates(spark, str(tmp_path)).where("relationship_type <> 'deployment_precedes_signal'").collect()
+    pool, hit, late, slow = "svc-2/connection_pool_exhausted/28", "svc-2/http_5xx/28", "svc-3/http_5xx/28", "svc-1/dependency_timeout/28"
+    assert reviews._signal_items(spark, str(tmp_path)).where("top_rank > 30").count() > 32
+    assert sorted((r.subsystem, r.refs, r.shared) for r in got) == [("database_connection_pool", f"{pool},{hit}", 1), ("payment_gateway", f"{slow},{hit}", 0), ("payment_gateway", f"{slow},{late}", 0)]
